@@ -158,15 +158,24 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from its bytes alone."""
+_INK = np.where(_SPACE, np.uint64(0), _BYTE)
+
+
+def run_hashes(buf: np.ndarray, starts: np.ndarray, value_of: np.ndarray) -> np.ndarray:
+    """Sums, over each run from a start to the next, of the bytes' values times powers of their place."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    value = _BYTE[buf[np.repeat(starts, lens) + at]]
-    value *= _powers(int(lens.max()))[at]
-    return mix(np.add.reduceat(value, np.cumsum(lens) - lens) + lens.astype(np.uint64))
+    at = np.arange(starts[0], len(buf), dtype=np.int32)
+    at -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(buf)))
+    value = value_of[buf[starts[0] :]]
+    value *= _powers(int(at.max()) + 1)[at]
+    return np.add.reduceat(value, starts - starts[0])
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes alone; `starts`, `ends` are all words of `buf`."""
+    sums = run_hashes(buf, starts, _INK)  # white space adds nothing to the word before it
+    return mix(sums + (ends - starts).astype(np.uint64)) if len(sums) else sums
 
 
 _PLACE = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
