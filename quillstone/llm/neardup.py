@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
@@ -49,8 +49,8 @@ MANTISSA = 10
 ROWS = 6  # registers in a band; 42 bands of 6 miss a pair of Jaccard 0.8 with probability 3e-6
 BANDS = K // ROWS
 SIGMAS = 6.0  # a pair is dropped unseen only if its estimate is this many deviations too low
-HUB_ROUNDS = 3
-BLOCK = 512
+HUB_ROUNDS = 2
+BLOCK = 1 << 18  # shingles in a block of classes, about 2 MB
 
 SKETCHED = "doc_id long, h1 long, h2 long, n long, f1 long, f2 long, regs binary"
 
@@ -181,23 +181,81 @@ def _sets(width: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Of two blocks of one bucket's sketches: plausible pairs whose classes are in different components."""
+def _unblock(x, fields: int) -> list:
+    """Numpy columns of a block's list of structs: class ids, components, then the rest as Arrow arrays."""
+    z = x.values.flatten()
+    return [np.stack([np.asarray(z[0]), np.asarray(z[1])], 1), np.stack([np.asarray(z[2]), np.asarray(z[3])], 1), *z[4 : 4 + fields]]
+
+
+def _block_partners(percent: int):
+    """Of two blocks of one hub's sketches: the classes with a plausible partner in another component."""
+
+    def run(parts):
+        for part in parts:
+            hubs, found = [], []
+            for hub, x, y, same in zip(*(part.column(c) for c in ("hub", "x", "y", "same")), strict=True):
+                fx, cx, nx, rx = _unblock(x, 2)
+                fy, cy, ny, ry = (fx, cx, nx, rx) if same.as_py() else _unblock(y, 2)
+                rx, ry, nx, ny = _matrix(rx), _matrix(ry), np.asarray(nx), np.asarray(ny)
+                hit_x, hit_y = np.zeros(len(fx), bool), np.zeros(len(fy), bool)
+                for i in range(len(fx)):
+                    far = np.flatnonzero((cy != cx[i]).any(1))
+                    far = far[plausible(rx[i][None], ry[far], np.full(len(far), nx[i]), ny[far], percent)]
+                    hit_y[far] = True
+                    hit_x[i] = len(far) > 0
+                rows = fx[hit_x | hit_y] if same.as_py() else np.concatenate([fx[hit_x], fy[hit_y]])
+                found.append(rows)
+                hubs += [hub.as_py()] * len(rows)
+            rows = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([h["f1"] for h in hubs], pa.int64()), pa.array([h["f2"] for h in hubs], pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["h1", "h2", "f1", "f2"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Of two blocks of classes with their sets: confirmed links that join components, a forest of them.
+
+    A row has blocks x and y (the same one, or two of one hub) with each class's component; pairs
+    inside a component, at the start or by a link just found, are passed over.
+    """
 
     def run(parts):
         for part in parts:
             out = []
-            for row in part.to_pylist():
-                x, y = row["x"], row["y"]
-                rx, ry = (np.frombuffer(b"".join(m["regs"] for m in z), np.uint16).reshape(-1, K) for z in (x, y))
-                nx, ny = (np.array([m["n"] for m in z]) for z in (x, y))
-                for i, m in enumerate(x):
-                    far = np.array([(m["c1"], m["c2"]) != (o["c1"], o["c2"]) and (m["f1"], m["f2"]) < (o["f1"], o["f2"]) or (row["bx"] != row["by"] and (m["c1"], m["c2"]) != (o["c1"], o["c2"])) for o in y])
-                    for k in np.flatnonzero(far)[plausible(rx[i][None], ry[far], np.full(far.sum(), nx[i]), ny[far], percent)] if far.any() else ():
-                        a, b = sorted([(m["f1"], m["f2"]), (y[k]["f1"], y[k]["f2"])])
-                        out.append((*a, *b))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a1", "a2", "b1", "b2"])
+            for x, y, same in zip(*(part.column(c) for c in ("x", "y", "same")), strict=True):
+                same = same.as_py()
+                (fx, cx, zx), (fy, cy, zy) = (_unblock(z, 1) for z in (x, x if same else y))
+                (nx, sx), (ny, sy) = ((np.diff(np.asarray(z.offsets)), np.asarray(z.flatten()).view(np.uint64)) for z in (zx, zy))
+                comp = np.unique(np.concatenate([cx, cy]), axis=0, return_inverse=True)[1].ravel()
+                own, other = comp[: len(fx)], comp[len(fx) :]  # views: relabelling one relabels comp
+                if own[0] == own.max() == own.min() and (other == own[0]).all():
+                    continue
+                ends = np.r_[0, np.cumsum(nx)]
+                rx = np.stack([registers(sx[ends[i] : ends[i + 1]]) for i in range(len(nx))])
+                ey = np.r_[0, np.cumsum(ny)]
+                ry = rx if same else np.stack([registers(sy[ey[i] : ey[i + 1]]) for i in range(len(ny))])
+                owner = np.repeat(np.arange(len(ny)), ny)
+                by = np.argsort(sy, kind="stable")
+                sorted_y, owner = sy[by], owner[by]
+                for i in range(len(fx)):
+                    far = np.flatnonzero(other != own[i])
+                    if same:
+                        far = far[far > i]
+                    if not len(far):
+                        continue
+                    far = far[plausible(rx[i][None], ry[far], np.full(len(far), nx[i]), ny[far], percent)]
+                    if not len(far):
+                        continue
+                    mine = sx[ends[i] : ends[i + 1]]
+                    lo, hi = np.searchsorted(sorted_y, mine, "left"), np.searchsorted(sorted_y, mine, "right")
+                    at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
+                    both = np.bincount(owner[at], minlength=len(ny))[far]
+                    for k in far[both * 100 >= (nx[i] + ny[far] - both) * percent]:
+                        if other[k] != own[i]:
+                            out.append((*fx[i], *fy[k]))
+                            comp[comp == other[k]] = own[i]
+            cols = [pa.array([r[c] for r in out], pa.int64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays(cols, ["a1", "a2", "b1", "b2"])
 
     return run
 
@@ -237,25 +295,50 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
     keys = classes.where("n > 3").select("f1", "f2", "regs").mapInArrow(_bands, "f1 long, f2 long, keys array<long>")
     keys = keys.select("f1", "f2", F.explode("keys").alias("key"))
-    from pyspark.sql import Window
-
     over = Window.partitionBy("key")
     buckets = stash(keys.withColumn("size", F.count("*").over(over)).where("size > 1").select("key", "f1", "f2"), "buckets")
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """(f1, f2, set) of the classes (f1, f2); one text per class is read again, by its hash."""
+        where = needed.join(classes, ["f1", "f2"]).select("f1", "f2", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"))
+        texts = rows.join(where.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        return where.join(texts.mapInArrow(_sets(width), "h1 long, h2 long, set array<long>"), ["h1", "h2"]).select("f1", "f2", "set")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of class pairs (a1, a2, b1, b2), those whose full sets reach the threshold, as structs a, b."""
         side = lambda p: classes.select(F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("n").alias(f"{p}n"), F.col("regs").alias(f"{p}r"))
         both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
         left = stash(both.select("a1", "a2", "an", "ar", "b1", "b2", "bn", "br").mapInArrow(_thin(percent), "a1 long, a2 long, b1 long, b2 long"), "pairs")
         needed = left.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).union(left.select("b1", "b2")).distinct()
-        where = needed.join(classes, ["f1", "f2"]).select("f1", "f2", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"))
-        texts = rows.join(where.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-        sets = where.join(texts.mapInArrow(_sets(width), "h1 long, h2 long, set array<long>"), ["h1", "h2"]).select("f1", "f2", "set")
-        sets = stash(sets, "sets")
+        sets = stash(sets_of(needed), "sets")
         own = lambda p: sets.select(F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("set").alias(f"{p}s"))
         full = left.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).withColumn("both", F.size(F.array_intersect("as", "bs")).cast("long"))
         return stash(full.where(F.col("both") * 100 >= (F.size("as") + F.size("bs") - F.col("both")) * percent).select(named("a"), named("b")), "links")
 
+    def in_blocks(at: DataFrame) -> DataFrame:
+        """Links between the components that still meet in a bucket, as structs a, b.
+
+        Buckets with one smallest class go together: most bands of a group of copies share it, so its
+        classes are compared once and not once a band.
+        """
+        at = at.withColumn("hub", F.min(F.struct("f1", "f2")).over(over)).select("hub", "f1", "f2", "c").distinct()
+        at = stash(at.join(classes.select("f1", "f2", "n", "regs"), ["f1", "f2"]), "residue")
+
+        def paired(m: DataFrame, weight, *fields: str) -> DataFrame:
+            cut = F.floor(F.sum(weight).over(Window.partitionBy("hub").orderBy("f1", "f2")) / BLOCK)
+            own = F.struct("f1", "f2", F.col("c.f1").alias("c1"), F.col("c.f2").alias("c2"), *fields)
+            m = stash(m.withColumn("block", cut).groupBy("hub", "block").agg(F.collect_list(own).alias("ms")), "blocks")
+            x = m.select("hub", F.col("block").alias("bx"), F.col("ms").alias("x"))
+            y = m.select("hub", F.col("block").alias("by"), F.col("ms").alias("y"))
+            both = x.join(y, "hub").where("bx <= by and (bx < by or size(x) > 1)")
+            return both.select("hub", "x", F.when(F.col("bx") < F.col("by"), F.col("y")).otherwise(F.slice("y", 1, 0)).alias("y"), (F.col("bx") == F.col("by")).alias("same"))
+
+        left = paired(at, F.lit(K // 4), "n", "regs").mapInArrow(_block_partners(percent), "h1 long, h2 long, f1 long, f2 long").distinct()
+        left = stash(left.withColumn("hub", F.struct(F.col("h1").alias("f1"), F.col("h2").alias("f2"))).join(at.select("hub", "f1", "f2", "c"), ["hub", "f1", "f2"]).select("hub", "f1", "f2", "c"), "partners")
+        full = left.join(sets_of(left.select("f1", "f2").distinct()), ["f1", "f2"])
+        pairs = paired(full, F.size("set") + 64, "set").select("x", "y", "same")
+        return stash(pairs.mapInArrow(_block_links(percent), "a1 long, a2 long, b1 long, b2 long").select(named("a"), named("b")), "links")
+
     def labelled(comps: DataFrame | None) -> DataFrame:
         """The buckets with each class's component, where more than one component meets."""
         at = buckets.withColumn("f", F.struct("f1", "f2"))
@@ -265,7 +348,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         return at.withColumn("lo", F.min("c").over(over)).withColumn("hi", F.max("c").over(over)).where("lo <> hi").drop("lo", "hi")
 
     links: list[DataFrame] = []
-    tried: list[DataFrame] = []
     comps = None
     for turn in range(HUB_ROUNDS + 1):
         at = labelled(comps)
@@ -274,26 +356,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
             at = at.withColumn("hub", hub).where("hub.c <> c")
             me, it = F.struct("f1", "f2"), F.struct("hub.f1", "hub.f2")
             at = at.select(F.least(me, it).alias("a"), F.greatest(me, it).alias("b")).distinct()
-            pairs = at.select(F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("b.f1").alias("b1"), F.col("b.f2").alias("b2"))
+            found = confirmed(at.select(F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("b.f1").alias("b1"), F.col("b.f2").alias("b2")))
         else:
-            # What is left: classes of one bucket, in different components, never compared. In blocks.
-            m = at.join(classes.select("f1", "f2", "n", "regs"), ["f1", "f2"]).withColumn("block", F.floor(F.row_number().over(over.orderBy("f1", "f2")) / BLOCK))
-            m = m.select("key", "block", F.struct("f1", "f2", "n", "regs", F.col("c.f1").alias("c1"), F.col("c.f2").alias("c2")).alias("m"))
-            m = m.groupBy("key", "block").agg(F.collect_list("m").alias("ms"))
-            x = m.select("key", F.col("block").alias("bx"), F.col("ms").alias("x"))
-            y = m.select("key", F.col("block").alias("by"), F.col("ms").alias("y"))
-            pairs = x.join(y, "key").where("bx <= by").select("x", "y", "bx", "by").mapInArrow(_block_pairs(percent), "a1 long, a2 long, b1 long, b2 long").distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["a1", "a2", "b1", "b2"], "left_anti")
-        pairs = stash(pairs, "proposed")
-        if pairs.isEmpty():
-            break
-        tried.append(pairs)
-        found = confirmed(pairs)
-        if found.isEmpty():
-            continue
-        links.append(found)
-        comps = stash(components(reduce(DataFrame.union, links), "a", "b"), "components")
+            found = in_blocks(at)
+        if not found.isEmpty():
+            links.append(found)
+            comps = stash(components(reduce(DataFrame.union, links), "a", "b"), "components")
 
     of = classes.select("f1", "f2", "doc_id").withColumn("f", F.struct("f1", "f2"))
     if comps is not None:

@@ -3,7 +3,7 @@
 Each rule looks at a document's statistics and votes good (1), bad (0) or abstains (null). Instead of
 dropping what any one rule dislikes, expectation-maximisation estimates how far each rule can be
 trusted - the probability of each of its votes given a good or a bad document - from the rules'
-agreement alone, and a document's posterior probability of being good decides.
+agreement and a weak prior belief in rules, and a document's posterior probability of being good decides.
 
 Scale. Votes are JVM expressions over one row; the model sees only the counts of vote patterns, at
 most 3 ** len(RULES) rows whatever the input, which are also all that the posterior needs.
@@ -30,39 +30,50 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, 0).when(good, 1)
 
 
-#: Name -> vote. Ratios are per word, so that a text's length decides only where a rule says so.
+_letters = _c("n_lower") + _c("n_upper") + _c("n_wide")
+
+#: Name -> vote. Shares are per word, line or character, so that length decides only where a rule says
+#: so. Most kinds of junk are looked at from two or three sides: agreement is all that EM can go by.
 RULES: dict[str, Column] = {
     "length": _vote((_c("n_words") >= 30) & (_c("n_words") <= 100_000), _c("n_words") < 20),
     "word_length": _vote((_c("word_chars") >= 3 * _words) & (_c("word_chars") <= 10 * _words), (_c("word_chars") < 2 * _words) | (_c("word_chars") > 15 * _words)),
     "symbols": _vote(_c("n_symbols") * 100 <= _words, _c("n_symbols") * 10 > _words),
-    "dup_lines": _vote(_c("n_dup_lines") == 0, _c("n_dup_lines") * 10 > _c("n_ink_lines") * 3),
+    "symbol_words": _vote(_c("n_bare_words") * 50 <= _words, _c("n_bare_words") * 10 > _words),
+    "letters": _vote(_letters * 100 >= _c("word_chars") * 93, _letters * 100 < _c("word_chars") * 88),
+    "dup_lines": _vote(_c("n_dup_lines") * 20 <= _c("n_ink_lines"), _c("n_dup_lines") * 10 > _c("n_ink_lines") * 3),
     "repeats": _vote(_c("n_repeat_words") * 20 <= _words, _c("n_repeat_words") * 5 > _words),
     "stutter": _vote(_c("n_same_next") * 50 <= _words, _c("n_same_next") * 10 > _words),
-    "shouting": _vote((_c("n_caps_words") * 20 <= _words) & (_c("n_bangs") * 20 <= _words), (_c("n_caps_words") * 10 > _words * 3) | (_c("n_bangs") * 10 > _words * 3)),
+    "distinct": _vote(_c("n_distinct_words") * 5 >= _words * 2, _c("n_distinct_words") * 5 < _words),
+    "capitals": _vote(_c("n_caps_words") * 20 <= _words, _c("n_caps_words") * 10 > _words * 3),
+    "bangs": _vote(_c("n_bangs") * 20 <= _words, _c("n_bangs") * 10 > _words * 3),
 }
 
 
+#: What is believed of every rule before its votes are seen, as shares of (abstain, bad, good) votes,
+#: and how much that belief weighs, as a share of the documents.
+PRIOR_GOOD, PRIOR_BAD, PRIOR_WEIGHT = (0.05, 0.02, 0.93), (0.05, 0.25, 0.70), 0.05
+
+
 def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Posterior of good for each pattern (rows; -1 abstains), by EM over patterns with `counts`.
 
-    Starts from the majority of each pattern's votes; a rule's table of vote probabilities is kept
-    from turning over, as a good document's vote for good stays at least as likely as a bad one's.
+    Kinds of junk differ and seldom trip the same rule, so a start from the majority would take every
+    lone vote for an error. It starts from doubt instead: a document with any vote against it is
+    likelier bad; EM then gives each rule the trust that its agreement with the others earns it.
     """
     seen = votes >= 0
-    post = np.where(seen.any(1), (np.where(seen, votes, 0).sum(1) + 1.0) / (seen.sum(1) + 2.0), 0.5)
+    post = np.where((votes == 0).any(1), 0.2, np.where((votes == 1).any(1), 0.95, 0.5))
+    total = counts.sum()
     for _ in range(rounds):
-        good, bad = counts * post, counts * (1 - post)
-        prior = (good.sum() + 1) / (counts.sum() + 2)
+        prior = ((counts * post).sum() + 1) / (total + 2)
         score = np.full(len(votes), np.log(prior) - np.log1p(-prior))
         for r in range(votes.shape[1]):
-            shares = []
-            for weight in (good, bad):
-                by = np.array([weight[votes[:, r] == v].sum() for v in (-1, 0, 1)]) + 0.5
-                shares.append(by / by.sum())
-            g, b = shares
-            if g[2] / (g[1] + g[2]) < b[2] / (b[1] + b[2]):
-                g = b = (g + b) / 2
-            score += (np.log(g) - np.log(b))[votes[:, r] + 1] * seen[:, r]
+            tables = []
+            for weight, belief in ((counts * post, PRIOR_GOOD), (counts * (1 - post), PRIOR_BAD)):
+                by = np.array([weight[votes[:, r] == v].sum() for v in (-1, 0, 1)])
+                by += np.array(belief) * (PRIOR_WEIGHT * total + 1)
+                tables.append(by / by.sum())
+            score += (np.log(tables[0]) - np.log(tables[1]))[votes[:, r] + 1] * seen[:, r]
         new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             return new
