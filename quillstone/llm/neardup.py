@@ -282,8 +282,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = new
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id, kept (see the module's text for the cases)."""
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: bool = False) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id, kept (see the module's text for the cases).
+
+    extra: the rows as `keep_one` needs them, with text hashes and components instead of kept.
+    """
     spark = docs.sparkSession
     batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -365,15 +368,32 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
     of = classes.select("f1", "f2", "doc_id").withColumn("f", F.struct("f1", "f2"))
     if comps is not None:
-        of = of.join(comps.withColumnRenamed("node", "f"), "f", "left")
-        of = of.withColumn("c", F.coalesce("comp", "f"))
-        least = of.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-        of = of.join(least, "c").select("f1", "f2", "component_id")
+        of = of.join(comps.withColumnRenamed("node", "f"), "f", "left").withColumn("comp", F.coalesce("comp", "f"))
+        of = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("f1", "f2", "comp", "component_id")
     else:
-        of = of.select("f1", "f2", F.col("doc_id").alias("component_id"))
+        of = of.select("f1", "f2", F.col("f").alias("comp"), F.col("doc_id").alias("component_id"))
+    if extra:
+        return sketched.select("doc_id", "h1", "h2", F.col("n").alias("n_shingles"), "f1", "f2").join(of, ["f1", "f2"], "left").drop("f1", "f2")
     out = sketched.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2"], "left")
     mine = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, mine.isNull()).alias("kept"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of `docs`, all columns: one of each component, and those without words; repeats of a kept row's id go too.
+
+    A component's row is the one of its smallest doc_id (of equal ids the first by text); components
+    without any id keep one row.
+    """
+    found = near_duplicates(docs, width, percent, extra=True)
+    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("m")).select("m.doc_id", "m.h1", "m.h2")
+    bare = found.where("n_shingles = 0").select("doc_id", "h1", "h2").distinct()
+    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("none"))
+    keep = stash(best.union(bare).select(key(F.col("doc_id")).alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "keep")
+    text = F.coalesce("text", F.lit(""))
+    # Own names for all columns meanwhile, so that none of the table's can clash.
+    own = docs.select(F.struct("*").alias("_row"), key(F.col("doc_id")).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(width), text).alias("_h2"))
+    return own.join(keep, ["_id", "_h1", "_h2"], "left_semi").groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row.*")
+
+
 common.ship(__name__)
