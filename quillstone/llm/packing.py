@@ -11,6 +11,9 @@ tokens, rounded by the running sum of shares), so where any document is cut foll
 its queue alone. No task has to see the windows before its own, deficits pass windows and partitions
 by arithmetic, and only the last window can be short.
 
+Words are looked up by a 64-bit hash: two of a worker's two million remembered words share one with a
+probability of 1e-7, and would then share their ids.
+
 Scale. Tokenised rows are written once (two bytes an id) with their place in their partition's part of
 the queue; the parts' sizes, one row per partition and source, give each part's place in its queue.
 The driver holds one total per queue, at most MAX_QUEUES: where there are more sources, sources share
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import batches, stash
+from quillstone.llm.common import _LOWER, batches, buffer_of, slices, stash, text_bytes, word_hashes, word_spans
 
 LENGTH = 4096
 CLOSING = 2
 MAX_QUEUES = 4096
-MEMO = 300_000
-_FRESH = 20_000  # words that are given to the tokenizer at once
+MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
+_MARK = b"\x01"  # stands alone between words that are tokenised together
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
 def tokenizer_path() -> str:
@@ -47,46 +52,116 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words:
+    """Ids of words by their 64-bit hashes, from a tokenizer that splits at white space and lower-cases.
+
+    Such a tokenizer's ids of a text are the ids of its words one after the other. It also splits between
+    a letter and a full stop or the like, so these are looked up apart, and words by their lower case.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        if len(self.mark) != 1 or any(_MARK in w for w in words):
+            return encode(words)
+        out: list[np.ndarray] = []
+        for ids in encode([(b" " + _MARK + b" ").join(words[i : i + 500]) for i in range(0, len(words), 500)]):
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            begin = 0
+            for end in ends:
+                out.append(ids[begin:end])
+                begin = end + 1
+        assert len(out) == len(words)
+        return out
+
+    def places(self, keys: np.ndarray, spell) -> np.ndarray:
+        """Where distinct sorted `keys` are in the table, after adding those it lacks; spell(places in keys) gives words."""
+        at = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            if len(self.keys) + len(fresh) > MEMO and len(self.keys):
+                self.clear()
+                return self.places(keys, spell)
+            ids = self._encode(spell(fresh))
+            size = np.array([len(x) for x in ids], np.int64)
+            start = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate([self.flat, *ids])
+            self.keys, self.start, self.size = (np.insert(a, at[fresh], b) for a, b in ((self.keys, keys[fresh]), (self.start, start), (self.size, size)))
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def ids(self, buf: np.ndarray, off: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents one after the other, each with `closing` after it; their offsets)."""
+        low = _LOWER[buf]
+        starts, ends, first = word_spans(low, off)
+        letter = (low >= 97) & (low <= 122)
+        cut = np.flatnonzero(_STOP[low[1:]] & letter[:-1]) + 1
+        cut = cut[~np.isin(cut, off)]
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        first = np.searchsorted(starts, off)
+        if len(starts):
+            keys, index, inverse = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+            raw = low.tobytes()
+            at = self.places(keys, lambda some: [raw[a:b] for a, b in zip(starts[index[some]].tolist(), ends[index[some]].tolist(), strict=True)])
+            begin, size = self.start[at][inverse], self.size[at][inverse]
+        else:
+            begin = size = np.zeros(0, np.int64)
+        # Ids of the words, with a place left for the closing id after each document.
+        total = np.concatenate([[0], np.cumsum(size)])
+        offsets = total[first] + np.arange(len(off))
+        pick = np.repeat((begin - total[:-1]).astype(np.int32), size) + np.arange(total[-1], dtype=np.int32)
+        out = np.empty(total[-1] + len(off) - 1, np.uint16)
+        body = np.ones(len(out), bool)
+        body[offsets[1:] - 1] = False
+        out[body] = self.flat[pick]
+        out[~body] = closing
+        return out, offsets
+
+
+def _words(path: str) -> Words:
+    """The worker's own table for a vocabulary file; it outlives a task where Spark keeps the worker."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_quillstone_words", {})
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
+
+
 def _tokenise(path: str, closing: int):
     def run(parts):
+        import os
+
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # Ids of words between blanks: the tokenizer itself splits at white space and drops it, so a text's ids are its words' ids.
-        ids: list[np.ndarray] = []
-        index: dict[str, int] = {}
-        place: dict[str, int] = {}
-        part_id = TaskContext.get().partitionId()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        words, place, part_id = _words(path), {}, TaskContext.get().partitionId()
         for part in parts:
-            words = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-            if len(index) > MEMO:
-                index.clear()
-                ids.clear()
-            fresh = list({w for d in words for w in d}.difference(index))
-            for i in range(0, len(fresh), _FRESH):
-                some = fresh[i : i + _FRESH]
-                for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    index[w] = len(ids)
-                    ids.append(np.array(e.ids, np.uint16))
-            sizes = np.array([len(x) for x in ids])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-            starts = np.cumsum(sizes) - sizes
-            out, counts, offs = [], [], []
-            for d, queue in zip(words, part.column("queue").to_pylist(), strict=True):
-                at = np.fromiter(map(index.__getitem__, d), np.int64, len(d))
-                n = sizes[at]
-                pick = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
-                own = np.append(flat[pick], np.uint16(closing))
-                out.append(own.tobytes())
-                counts.append(len(own))
-                offs.append(place.get(queue, 0))
-                place[queue] = offs[-1] + len(own)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("queue"), pa.array(np.full(part.num_rows, part_id, np.int64)), pa.array(offs, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
-                ["doc_id", "queue", "part", "at", "doc_tokens", "ids"],
-            )
+            buf, off = buffer_of(part.column("text"))
+            queues = part.column("queue").to_pylist()
+            for i, j in slices(off):
+                ids, at = words.ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], closing)
+                counts, offs = np.diff(at), []
+                for queue, n in zip(queues[i:j], counts.tolist(), strict=True):
+                    offs.append(place.get(queue, 0))
+                    place[queue] = offs[-1] + n
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id")[i:j], part.column("queue")[i:j], pa.array(np.full(j - i, part_id, np.int64)), pa.array(offs, pa.int64()), pa.array(counts), raw],
+                    ["doc_id", "queue", "part", "at", "doc_tokens", "ids"],
+                )
 
     return run
 
@@ -191,7 +266,7 @@ def pack(docs: DataFrame, path: str | None = None, closing: int = CLOSING, targe
     batches(spark)
     many = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
     queue = F.concat(F.lit("q"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")) if many else F.col("source").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), text_bytes().alias("text"))
     tokens = stash(rows.mapInArrow(_tokenise(path or tokenizer_path(), closing), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     parts = stash(parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "parts")
