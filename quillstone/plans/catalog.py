@@ -1,4 +1,9 @@
-"""The catalogue of registered queries over the driver's tables, each with its SQL oracle."""
+"""The catalogue of registered queries over the driver's tables, each with its SQL oracle.
+
+The tables stand in for a vault: documents for raw items and pages, labels for provenance,
+conversations for chats, pages for clippings, events for the log, and the foreign keys of nation,
+region, customer and supplier for the graph. Each query runs the library's operator on whole tables.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,425 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as fn
+from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.plans import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "2001-08-01"  # the last o_orderdate
+
+
+class Tables:
+    """Tables of a directory, by attribute; reading is lazy and pruned."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str):
+    """Register a function of Tables under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- status -------------------------------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS depth, max(doc_id) AS last_id FROM documents GROUP BY source")
+def inbox_depth(t):
+    return status.inbox_depth(t.documents, "source", "doc_id")
+
+
+@query("SELECT event_type, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY event_type")
+def last_ingest(t):
+    return status.last_ingest(t.events, "event_type")
+
+
+@query("SELECT lang AS type, count(*) AS n FROM documents GROUP BY lang")
+def page_counts(t):
+    return status.page_counts(t.documents.withColumnRenamed("lang", "type"))
+
+
+@query("SELECT count(*) AS entries FROM events")
+def log_size(t):
+    return status.log_size(t.events)
+
+
+# --- lint ---------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+def lint_orphans(t):
+    return lint.orphans(t.orders.select("o_orderkey", "o_orderstatus"), t.lineitem, "o_orderkey", "l_orderkey")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate < DATE '{AS_OF}' - INTERVAL 90 DAY")
+def lint_stale(t):
+    return lint.stale(t.orders, AS_OF, 90, "o_orderdate").select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def decision_without_sources(t):
+    cited = t.labels.groupBy("doc_id").agg(F.collect_set("quality").alias("sources"))
+    pages = t.documents.select("doc_id", "source").join(cited, "doc_id", "left").withColumn("type", F.lit("decision"))
+    return lint.missing_values(pages, "decision", "sources").select("doc_id", "source")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def person_without_works_at(t):
+    # The open orders are the edges: one list per customer, missing where there is none.
+    edges = t.orders.where("o_orderstatus = 'O'").select("o_custkey").distinct().select(F.col("o_custkey").alias("c_custkey"), F.array(F.col("o_custkey")).alias("works_at"))
+    pages = t.customer.select("c_custkey", "c_name").join(edges, "c_custkey", "left").withColumn("type", F.lit("person"))
+    return lint.missing_values(pages, "person", "works_at").select("c_custkey", "c_name")
+
+
+@query(
+    "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id WHERE a.text <> b.text"
+)
+def contradiction_pairs(t):
+    d = t.documents.select("doc_id", "source", "n_chars", F.md5("text").alias("h"))
+    a, b = (d.select("source", "n_chars", F.col("doc_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    return a.join(b, ["source", "n_chars"]).where("a < b and ha <> hb").select("a", "b")
+
+
+@query(f"""
+SELECT rule, count(*) AS n FROM (
+  SELECT 'orphan' AS rule FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
+  UNION ALL SELECT 'stale' FROM orders WHERE o_orderdate < DATE '{AS_OF}' - INTERVAL 90 DAY
+  UNION ALL SELECT 'no_sources' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) GROUP BY rule""")
+def lint_debt(t):
+    tag = lambda df, rule: df.select(F.lit(rule).alias("rule"))
+    return lint.debt(tag(lint_orphans(t), "orphan").unionAll(tag(lint_stale(t), "stale")).unionAll(tag(decision_without_sources(t), "no_sources")))
+
+
+# --- collect and ingest -------------------------------------------------------------------------
+
+
+@query("SELECT md5(text) AS content_key, min(doc_id) AS keeper, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def duplicate_skip(t):
+    return t.documents.groupBy(F.md5("text").alias("content_key")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("""
+WITH known AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE doc_id % 4 = 0), new AS (SELECT source, md5(text) AS k FROM documents WHERE doc_id % 4 <> 0)
+SELECT source, count(*) FILTER (known.k IS NULL) AS new, count(known.k) AS duplicates FROM new LEFT JOIN known ON new.k = known.k GROUP BY source""")
+def collect_report(t):
+    d = t.documents.select("doc_id", "source", F.md5("text").alias("item_key"))
+    return ingest.collect_report(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0"), by="source")
+
+
+@query("SELECT doc_id FROM documents d WHERE doc_id % 4 <> 0 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0)")
+def ingest_guard(t):
+    d = t.documents.select("doc_id", F.md5("text").alias("item_key"))
+    return ingest.unseen(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0")).select("doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def idempotent_upsert(t):
+    d = t.documents.select("doc_id", "n_chars")
+    once = ingest.upsert(d.where("doc_id % 3 <> 0"), d, "doc_id")
+    return ingest.upsert(once, d, "doc_id")
+
+
+@query("""
+SELECT conv_id, turn, kind, CASE kind WHEN 'meeting' THEN 'meetings' WHEN 'decision' THEN 'decisions' WHEN 'source' THEN 'sources' WHEN 'project' THEN 'projects' ELSE 'topics' END AS dir FROM (
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'meeting' WHEN regexp_matches(text, '(?i)\\b(?:we|was|were|have) decided\\b|\\bdecision:') THEN 'decision'
+  WHEN role = 'assistant' THEN 'source' WHEN regexp_matches(text, '(?i)\\bproject\\b') THEN 'project' ELSE 'topic' END AS kind FROM conversations)""")
+def classify_route(t):
+    channel = F.when(F.col("role") == "system", "meetings").when(F.col("role") == "assistant", "docs").otherwise("journal")
+    routed = ingest.route(t.conversations.withColumn("channel", channel), "channel", "text")
+    return routed.select("conv_id", "turn", F.col("type").alias("kind"), "dir")
+
+
+@query(r"""
+SELECT event_id, 'raw/' || event_type || '/' || strftime(ts, '%Y/%m') || '/' || event_id || '.md' AS path,
+  strftime(ts, '%Y-%m-%d') || '-' || regexp_replace(regexp_replace(lower(event_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM events""")
+def dated_paths(t):
+    name = F.concat(F.col("event_id").cast("string"), F.lit(".md"))
+    return t.events.select("event_id", fn.dated_path("event_type", "ts", name).alias("path"), fn.meeting_slug("ts", "event_type").alias("slug"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def slugs(t):
+    return t.part.select("p_partkey", fn.slugify(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
+
+
+@query("SELECT source AS source_path, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR) || ':' || n_chars, ',' ORDER BY doc_id) AS summary FROM documents GROUP BY source")
+def consolidated_diff(t):
+    entry = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")).alias("line"))
+    return t.documents.groupBy(F.col("source").alias("source_path")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), ",").alias("summary"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, source AS content FROM documents WHERE doc_id % 5 <> 1")
+def undo_batch(t):
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("content"), "doc_id")
+    before = files.where("doc_id % 5 <> 1")
+    op = F.when(F.col("doc_id") % 5 == 1, "create").otherwise("update")
+    changes = files.where("doc_id % 5 in (1, 2)").select(F.lit("b1").alias("batch_id"), "path", op.alias("op"), F.when(op == "update", F.col("content")).alias("before"), F.upper("content").alias("after"))
+    return ingest.undo(ingest.apply(before, changes), changes, "b1")
+
+
+# --- graph --------------------------------------------------------------------------------------
+
+
+def _edges(t) -> DataFrame:
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    return graph.foreign_key_edges([
+        (t.nation, key("n", "n_nationkey"), "part_of", key("r", "n_regionkey")),
+        (t.customer, key("c", "c_custkey"), "lives_in", key("n", "c_nationkey")),
+        (t.supplier, key("s", "s_suppkey"), "works_at", key("n", "s_nationkey")),
+    ])
+
+
+_EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'part_of' AS edge, 'r' || n_regionkey AS dst FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'lives_in', 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'works_at', 'n' || s_nationkey FROM supplier)"""
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
+def graph_project(t):
+    return _edges(t)
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges WHERE edge NOT IN ('part_of', 'works_at')")
+def validate_vocab(t):
+    e = _edges(t)
+    return graph.undeclared(e, t._spark.createDataFrame([("part_of",), ("works_at",)], "edge string"))
+
+
+@query(f"""WITH {_EDGES}, ways AS (SELECT src AS via, edge, dst AS id FROM edges UNION ALL SELECT dst, edge, src FROM edges)
+SELECT DISTINCT id, edge, via FROM ways WHERE via IN ('c0', 'n2')""")
+def one_hop(t):
+    return graph.expand(t._spark.createDataFrame([("c0",), ("n2",)], "id string"), _edges(t))
+
+
+@query("""
+WITH RECURSIVE walk(start, cur, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 5
+  UNION ALL SELECT start, (7 * cur + 3) % 25, depth + 1 FROM walk WHERE depth < 4)
+SELECT start, cur, depth FROM walk""")
+def bounded_recursion(t):
+    t.nation.createOrReplaceTempView("quillstone_nation")
+    return t._spark.sql("""
+      WITH RECURSIVE walk(start, cur, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM quillstone_nation WHERE n_nationkey < 5
+        UNION ALL SELECT start, (7 * cur + 3) % 25, depth + 1 FROM walk WHERE depth < 4)
+      SELECT start, cur, depth FROM walk""")
+
+
+@query("""
+WITH RECURSIVE step AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey BETWEEN 64 AND 127),
+all_steps AS (SELECT src, dst FROM step UNION ALL SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey BETWEEN 32 AND 63),
+walk AS (SELECT src, dst, 1 AS hops FROM all_steps UNION ALL SELECT w.src, s.dst, w.hops + 1 FROM walk w JOIN all_steps s ON s.src = w.dst)
+SELECT src AS start, max_by(dst, hops) AS "end", CAST(max(hops) AS INTEGER) AS hops, false AS cyclic FROM walk GROUP BY src""")
+def supersession_chain(t):
+    p = t.part.select("p_partkey").where("p_partkey between 32 and 127")
+    half = F.when(F.col("p_partkey") >= 64, F.floor(F.col("p_partkey") / 2)).otherwise(F.floor(F.col("p_partkey") / 4)).cast("long")
+    return graph.follow(p.select(F.col("p_partkey").alias("src"), half.alias("dst")), 8)
+
+
+@query(f"WITH {_EDGES} SELECT src, edge, dst FROM edges WHERE edge = 'part_of' UNION SELECT src, edge, dst FROM edges WHERE edge = 'works_at' AND CAST(substr(src, 2) AS INTEGER) % 2 = 0")
+def promote_edges(t):
+    e = _edges(t)
+    queued = e.where("edge = 'works_at'")
+    decisions = queued.withColumn("decision", F.when(F.substring("src", 2, 20).cast("int") % 2 == 0, "confirm").otherwise("skip"))
+    return graph.promote(e.where("edge = 'part_of'"), queued, decisions)
+
+
+@query("""SELECT '{"id":"n' || n_nationkey || '","type":"file","label":"nation"}' AS json FROM nation UNION ALL
+SELECT '{"id":"n' || n_nationkey || '-part_of-r' || n_regionkey || '","fromNode":"n' || n_nationkey || '","toNode":"r' || n_regionkey || '","label":"part_of"}' FROM nation""")
+def canvas_export(t):
+    nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("nation").alias("type"))
+    return graph.canvas(nodes, _edges(t).where("edge = 'part_of'"))
+
+
+# --- retrieval ----------------------------------------------------------------------------------
+
+_BM25 = """tok AS (SELECT doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[^a-z]+') IF x <> ''] AS w FROM documents WHERE lang = 'en'),
+cnt AS (SELECT id, len(w) AS dl, len([x FOR x IN w IF x = 'the']) AS a, len([x FOR x IN w IF x = 'ther']) AS b FROM tok),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS dfa, count(*) FILTER (b > 0) AS dfb FROM cnt),
+bm AS (SELECT id, CASE WHEN a > 0 THEN ln(1 + (n - dfa + 0.5) / (dfa + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END
+  + CASE WHEN b > 0 THEN ln(1 + (n - dfb + 0.5) / (dfb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END AS score FROM cnt, st WHERE a > 0 OR b > 0)"""
+_COSINE = "cs AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)"
+
+
+def _bm25(t) -> DataFrame:
+    return retrieval.bm25(t.documents.where("lang = 'en'"), ["the", "ther"])
+
+
+def _cosine(t) -> DataFrame:
+    first = t.embeddings.where("vec_id = 0").select("embedding").first()
+    return retrieval.cosine(t.embeddings, first[0] if first else [])
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, id LIMIT 20")
+def bm25_topk(t):
+    return retrieval.top(_bm25(t), 20, 6)
+
+
+@query(f"WITH {_COSINE} SELECT id, round(score, 5) AS score FROM cs ORDER BY round(score, 5) DESC, id LIMIT 20")
+def vector_topk(t):
+    return retrieval.top(_cosine(t), 20, 5)
+
+
+@query(f"""WITH {_BM25}, {_COSINE}, x AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 50), y AS (SELECT id, round(score, 5) AS score FROM cs ORDER BY score DESC, id LIMIT 50),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM x UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM y)
+SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM r GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
+def hybrid_rrf(t):
+    fused = retrieval.fuse(retrieval.top(_bm25(t), 50, 6), retrieval.top(_cosine(t), 50, 5), 200)
+    return fused.withColumn("rrf", F.round("rrf", 9)).orderBy(F.desc("rrf"), "id").limit(20)
+
+
+@query("SELECT DISTINCT n_nationkey AS id FROM nation WHERE lower(n_name) IN ('nation_3', 'nation_7', 'nation 3', 'nation 7', 'nation3', 'nation7', 'france', 'germany')")
+def query_entities(t):
+    aliases = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("alias"))
+    return retrieval.recognise("how do NATION_3, nation 7, France and Germany compare?", aliases)
+
+
+@query(r"""
+WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE lang = 'en' AND doc_id % 10 < 5)
+SELECT doc_id AS path, CAST(line AS INTEGER) AS line, text FROM ln WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), 'ther')""")
+def citations(t):
+    d = t.documents.where("lang = 'en' and doc_id % 10 < 5")
+    own = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
+    return retrieval.cite(d.select(F.col("doc_id").alias("path")), own, ["ther"])
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+def extract_links(t):
+    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+# --- maintenance --------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CASE WHEN n.n_nationkey % 2 = 0 THEN 'renamed-' || n.n_nationkey ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer LEFT JOIN nation n ON n.n_nationkey = c_nationkey")
+def rename_slug(t):
+    names = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("old"), F.concat(F.lit("renamed-"), F.col("n_nationkey").cast("string")).alias("new"))
+    return maintenance.rename(t.customer.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), names, "nation")
+
+
+@query("SELECT md5(text) AS identity, min(doc_id) AS keeper, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def merge_pages(t):
+    rows = t.documents.select(F.md5("text").alias("identity"), "doc_id", F.array("source").alias("sources"))
+    return maintenance.merge(rows, "identity", "doc_id", "sources").where("n > 1").select("identity", "keeper", "n", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""SELECT a.c_name AS stub, b.c_name AS slug, CAST(levenshtein(a.c_name, b.c_name) AS INTEGER) AS distance FROM customer a JOIN customer b
+ON substr(a.c_name, 1, 17) = substr(b.c_name, 1, 17) WHERE a.c_custkey % 7 = 0 AND b.c_custkey % 7 <> 0 AND levenshtein(a.c_name, b.c_name) <= 1""")
+def link_candidates(t):
+    name = lambda df: df.select(F.col("c_name").alias("slug"))
+    return maintenance.link_candidates(name(t.customer.where("c_custkey % 7 = 0")), name(t.customer.where("c_custkey % 7 <> 0")), 1, 17)
+
+
+@query(f"SELECT 'o' || o_orderkey AS from_slug, 'archive/o' || o_orderkey AS to_slug FROM orders WHERE o_orderdate < DATE '{AS_OF}' - INTERVAL 2000 DAY")
+def archive_redirects(t):
+    pages = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("slug"), F.col("o_orderdate").alias("last_verified"), F.lit("wiki/topics/x.md").alias("path"))
+    return maintenance.archive(pages, lint.stale(pages, AS_OF, 2000))[1]
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 3 THEN 'n10' WHEN s_nationkey = 10 THEN 'n10' ELSE 'n' || s_nationkey END AS nation FROM supplier")
+def redirect_resolution(t):
+    redirects = t._spark.createDataFrame([("n0", "n1"), ("n1", "n2"), ("n2", "n10"), ("n20", "n21"), ("n21", "n20")], "from_slug string, to_slug string")
+    rows = t.supplier.select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"))
+    return maintenance.resolve(rows, redirects, "nation")
+
+
+@query("""SELECT doc_id AS slug, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS ord, trim(unnest(string_split(text, chr(10))), ' ') AS text FROM documents WHERE n_chars > 5000""")
+def refactor_split(t):
+    marked = t.documents.where("n_chars > 5000").select("doc_id", F.regexp_replace("text", "\n", "\n## x\n").alias("body"))
+    return maintenance.split_bloated(marked, 5000, "doc_id").select("slug", "ord", "text")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
+def compile_scope(t):
+    scope = t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return maintenance.scoped(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), scope, "l_orderkey")
+
+
+@query("""SELECT layer, path, text FROM (SELECT 'raw' AS layer, 'c' || conv_id || '/' || turn AS path, text FROM conversations UNION ALL SELECT 'wiki', 'd' || doc_id, text FROM documents)
+WHERE contains(lower(text), 'worthless') ORDER BY path""")
+def thread_timeline(t):
+    raw = t.conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("path"), "text", F.col("turn").alias("at"))
+    wiki = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text", F.col("doc_id").alias("at"))
+    return maintenance.thread(raw, wiki, "worthless").select("layer", "path", "text")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_per_day(t):
+    from quillstone.streaming.inbox import events_per_window
+
+    out = events_per_window(t.events)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- views --------------------------------------------------------------------------------------
+
+# The stand-ins' columns under the views' names; a fifth of the rows each is in the inbox and in quarantine.
+_FILES = """files AS (SELECT 'd' || doc_id AS file_name, CASE doc_id % 5 WHEN 0 THEN 'raw/inbox/' WHEN 1 THEN 'raw/quarantine/' ELSE 'raw/docs/' END || doc_id AS path,
+  source, lang AS channel, n_chars AS captured_at FROM documents)"""
+_PAGES = """vp AS (SELECT 'o' || o_orderkey AS file_name, CASE o_orderstatus WHEN 'F' THEN 'person' WHEN 'O' THEN 'decision' ELSE 'topic' END AS type, o_orderkey AS k,
+  o_orderdate AS created, o_orderdate AS last_verified, o_orderpriority AS status FROM orders)"""
+
+
+def _files(t) -> DataFrame:
+    place = F.when(F.col("doc_id") % 5 == 0, "raw/inbox/").when(F.col("doc_id") % 5 == 1, "raw/quarantine/").otherwise("raw/docs/")
+    key = F.col("doc_id").cast("string")
+    return t.documents.select(F.concat(F.lit("d"), key).alias("file_name"), F.concat(place, key).alias("path"), "source", F.col("lang").alias("channel"), F.col("n_chars").alias("captured_at"))
+
+
+def _pages(t) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "person").when(F.col("o_orderstatus") == "O", "decision").otherwise("topic")
+    return t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file_name"), kind.alias("type"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("last_verified"), F.col("o_orderpriority").alias("status"))
+
+
+for _name, _view, _src, _where in (
+    ("inbox_status", "inbox-status", _FILES, "path LIKE 'raw/inbox/%'"),
+    ("quarantine", "quarantine", _FILES, "path LIKE 'raw/quarantine/%'"),
+    ("lint_orphans", "lint-orphans", _PAGES, "k NOT IN (SELECT l_orderkey FROM lineitem)"),
+    ("lint_stale", "lint-stale", _PAGES, f"last_verified < DATE '{AS_OF}' - INTERVAL 90 DAY"),
+):
+    _cols = ", ".join(views.alias(c) for c in views.VIEWS[_view].columns)
+    _from = "files" if _src is _FILES else "vp"
+    _keep = {
+        "inbox_status": lambda t: views.folder("inbox"),
+        "quarantine": lambda t: views.folder("quarantine"),
+        "lint_orphans": lambda t: lambda rows: lint.orphans(rows, t.lineitem, "k", "l_orderkey"),
+        "lint_stale": lambda t: lambda rows: lint.stale(rows, AS_OF),
+    }[_name]
+    _rows = _files if _src is _FILES else _pages
+    QUERIES[f"view_{_name}"] = lambda spark, d, v=_view, rows=_rows: views.as_written(views.VIEWS[v], rows(Tables(spark, d)))
+    ORACLES[f"view_{_name}"] = f"WITH {_src} SELECT {_cols} FROM {_from}"
+    QUERIES[f"view_{_name}_intended"] = lambda spark, d, v=_view, rows=_rows, keep=_keep: views.as_intended(views.VIEWS[v], rows(t := Tables(spark, d)), keep(t))
+    ORACLES[f"view_{_name}_intended"] = f"WITH {_src} SELECT {_cols} FROM {_from} WHERE {_where}"
+
+
+def _invariant_pages(t) -> DataFrame:
+    """Labels as sources, same-length documents of a source as contradictions, lang as type."""
+    cited = t.labels.select("doc_id", F.concat(F.lit("l"), F.col("quality").cast("string")).alias("sources"))
+    kind = F.when(F.col("lang") == "en", "person").when(F.col("lang") == "de", "decision").otherwise("topic")
+    works = F.when(F.col("n_chars") % 2 == 0, F.col("source"))
+    return t.documents.join(cited, "doc_id", "left").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), kind.alias("type"), works.alias("works_at"), "sources", F.lit(None).cast("string").alias("contradicts"), F.col("lang").alias("status"))
+
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_INVARIANTS = """ip AS (SELECT 'd' || d.doc_id AS file_name, CASE lang WHEN 'en' THEN 'person' WHEN 'de' THEN 'decision' ELSE 'topic' END AS type, CASE WHEN n_chars % 2 = 0 THEN source END AS works_at,
+  'l' || l.quality AS sources, CAST(NULL AS VARCHAR) AS contradicts, lang AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_INV_COLS = ", ".join(views.alias(c) for c in views.VIEWS["graph-invariants"].columns)
 
 
-def inbox_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("depth"), F.max("doc_id").alias("last_id"))
+@query(f"WITH {_INVARIANTS} SELECT {_INV_COLS} FROM ip")
+def view_graph_invariants(t):
+    return views.as_written(views.VIEWS["graph-invariants"], _invariant_pages(t))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"inbox_depth": inbox_depth}
-ORACLES: dict[str, str] = {"inbox_depth": "SELECT source, count(*) AS depth, max(doc_id) AS last_id FROM documents GROUP BY source"}
+@query(f"WITH {_INVARIANTS} SELECT {_INV_COLS} FROM ip WHERE type = 'person' AND works_at IS NULL OR type = 'decision' AND sources IS NULL")
+def view_graph_invariants_intended(t):
+    broken = (lambda rows: lint.missing_values(rows.withColumns({"_w": F.array_compact(F.array("works_at")), "_s": F.array_compact(F.array("sources"))}), "person", "_w").unionAll(
+        lint.missing_values(rows.withColumns({"_w": F.array_compact(F.array("works_at")), "_s": F.array_compact(F.array("sources"))}), "decision", "_s")))
+    return views.as_intended(views.VIEWS["graph-invariants"], _invariant_pages(t), broken)
