@@ -16,37 +16,35 @@ null doc_id is returned as null.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import stash
 from quillstone.llm.docstats import with_statistics
 
-_c = F.col
-_words = F.greatest(_c("n_words"), F.lit(1))
-
-
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, 0).when(good, 1)
-
+#: Name -> (good if, bad if), SQL conditions over the statistics with w for n_words, at least 1. Shares are
+#: per word, line or character, so that length decides only where a rule says so. Most kinds of junk
+#: are looked at from two or three sides: agreement is all that EM can go by.
+RULES: dict[str, tuple[str, str]] = {
+    "length": ("n_words >= 30 and n_words <= 100000", "n_words < 20"),
+    "word_length": ("word_chars >= 3 * w and word_chars <= 10 * w", "word_chars < 2 * w or word_chars > 15 * w"),
+    "symbols": ("n_symbols * 100 <= w", "n_symbols * 10 > w"),
+    "symbol_words": ("n_bare_words * 50 <= w", "n_bare_words * 10 > w"),
+    "letters": ("(n_lower + n_upper + n_wide) * 100 >= word_chars * 93", "(n_lower + n_upper + n_wide) * 100 < word_chars * 88"),
+    "dup_lines": ("n_dup_lines * 20 <= n_ink_lines", "n_dup_lines * 10 > n_ink_lines * 3"),
+    "repeats": ("n_repeat_words * 20 <= w", "n_repeat_words * 5 > w"),
+    "stutter": ("n_same_next * 50 <= w", "n_same_next * 10 > w"),
+    "distinct": ("n_distinct_words * 5 >= w * 2", "n_distinct_words * 5 < w"),
+    "capitals": ("n_caps_words * 20 <= w", "n_caps_words * 10 > w * 3"),
+    "bangs": ("n_bangs * 20 <= w", "n_bangs * 10 > w * 3"),
+}
 
-_letters = _c("n_lower") + _c("n_upper") + _c("n_wide")
 
-#: Name -> vote. Shares are per word, line or character, so that length decides only where a rule says
-#: so. Most kinds of junk are looked at from two or three sides: agreement is all that EM can go by.
-RULES: dict[str, Column] = {
-    "length": _vote((_c("n_words") >= 30) & (_c("n_words") <= 100_000), _c("n_words") < 20),
-    "word_length": _vote((_c("word_chars") >= 3 * _words) & (_c("word_chars") <= 10 * _words), (_c("word_chars") < 2 * _words) | (_c("word_chars") > 15 * _words)),
-    "symbols": _vote(_c("n_symbols") * 100 <= _words, _c("n_symbols") * 10 > _words),
-    "symbol_words": _vote(_c("n_bare_words") * 50 <= _words, _c("n_bare_words") * 10 > _words),
-    "letters": _vote(_letters * 100 >= _c("word_chars") * 93, _letters * 100 < _c("word_chars") * 88),
-    "dup_lines": _vote(_c("n_dup_lines") * 20 <= _c("n_ink_lines"), _c("n_dup_lines") * 10 > _c("n_ink_lines") * 3),
-    "repeats": _vote(_c("n_repeat_words") * 20 <= _words, _c("n_repeat_words") * 5 > _words),
-    "stutter": _vote(_c("n_same_next") * 50 <= _words, _c("n_same_next") * 10 > _words),
-    "distinct": _vote(_c("n_distinct_words") * 5 >= _words * 2, _c("n_distinct_words") * 5 < _words),
-    "capitals": _vote(_c("n_caps_words") * 20 <= _words, _c("n_caps_words") * 10 > _words * 3),
-    "bangs": _vote(_c("n_bangs") * 20 <= _words, _c("n_bangs") * 10 > _words * 3),
-}
+def votes_of(stats: DataFrame) -> DataFrame:
+    """`stats` with votes: a character per rule, 1 good, 0 bad, - abstains; bad goes before good."""
+    w = stats.withColumn("w", F.greatest("n_words", F.lit(1)))
+    code = F.concat(*(F.when(F.expr(bad), "0").when(F.expr(good), "1").otherwise("-") for good, bad in RULES.values()))
+    return w.withColumn("votes", code).drop("w")
 
 
 #: What is believed of every rule before its votes are seen, as shares of (abstain, bad, good) votes,
@@ -84,13 +82,12 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
 def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good."""
     spark = docs.sparkSession
-    code = F.concat_ws("", *(F.coalesce(v.cast("string"), F.lit("-")) for v in RULES.values()))
-    stats = stash(with_statistics(docs).withColumn("votes", code), "rules")
+    stats = stash(votes_of(with_statistics(docs)), "rules")
     patterns = stats.groupBy("votes").count().orderBy("votes").collect()  # 3 ** len(RULES) at most
     votes = np.array([["-01".index(x) - 1 for x in p["votes"]] for p in patterns], int).reshape(-1, len(RULES))
     post = fit(votes, np.array([p["count"] for p in patterns], float))
     table = spark.createDataFrame([(p["votes"], float(x)) for p, x in zip(patterns, post, strict=True)], "votes string, p_good double")
-    failed = (_c("n_words") < 20) | (_c("n_repeat_words") * 100 > _c("n_words") * 30)
+    failed = F.expr("n_words < 20 or n_repeat_words * 100 > n_words * 30")
     out = stats.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return out.select(*names, (~failed & (_c("p_good") >= keep_from)).alias("kept"), "p_good")
+    return out.select(*names, (~failed & (F.col("p_good") >= keep_from)).alias("kept"), "p_good")
