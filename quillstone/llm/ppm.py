@@ -36,7 +36,7 @@ from quillstone.llm.common import _LOWER, batches, buffer_of, remainder, slices,
 
 ORDER = 5
 ROOT = 3
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 START, END = 0xFE, 0xFF
 GRAM, WORD = 0, 1
 #: The end token's key among words; a word's hash takes this value with probability 2 ** -64.
