@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
@@ -296,10 +296,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
     classes = stash(sketched.where("n > 0").groupBy("f1", "f2", "n", "regs").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("h1", "h2")).alias("at")), "classes")
     named = lambda p: F.struct(F.col(f"{p}1").alias("f1"), F.col(f"{p}2").alias("f2")).alias(p)
 
-    keys = classes.where("n > 3").select("f1", "f2", "regs").mapInArrow(_bands, "f1 long, f2 long, keys array<long>")
-    keys = keys.select("f1", "f2", F.explode("keys").alias("key"))
-    over = Window.partitionBy("key")
-    buckets = stash(keys.withColumn("size", F.count("*").over(over)).where("size > 1").select("key", "f1", "f2"), "buckets")
+    # Counts first, with partial sums, then the members of buckets with two classes or more: a bucket with
+    # a third of all classes is one row of the counts and a side that the join may split.
+    banded = stash(classes.where("n > 3").select("f1", "f2", "regs").mapInArrow(_bands, "f1 long, f2 long, keys array<long>"), "bands")
+    keys = banded.select("f1", "f2", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = stash(keys.join(shared, "key", "left_semi").select("key", "f1", "f2"), "buckets")
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """(f1, f2, set) of the classes (f1, f2); one text per class is read again, by its hash."""
@@ -324,13 +326,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
         Buckets with one smallest class go together: most bands of a group of copies share it, so its
         classes are compared once and not once a band.
         """
-        at = at.withColumn("hub", F.min(F.struct("f1", "f2")).over(over)).select("hub", "f1", "f2", "c").distinct()
+        at = at.select("hub.f1", "hub.f2", F.struct("f1", "f2").alias("f"), "c").select(F.struct("f1", "f2").alias("hub"), "f.f1", "f.f2", "c").distinct()
         at = stash(at.join(classes.select("f1", "f2", "n", "regs"), ["f1", "f2"]), "residue")
 
         def paired(m: DataFrame, weight, *fields: str) -> DataFrame:
-            cut = F.floor(F.sum(weight).over(Window.partitionBy("hub").orderBy("f1", "f2")) / BLOCK)
+            """Blocks of about BLOCK shingles' weight, dealt by hash, each with itself and each with those of its hub after it."""
+            sized = m.groupBy("hub").agg(F.ceil(F.sum(weight) / BLOCK).alias("blocks"))
             own = F.struct("f1", "f2", F.col("c.f1").alias("c1"), F.col("c.f2").alias("c2"), *fields)
-            m = stash(m.withColumn("block", cut).groupBy("hub", "block").agg(F.collect_list(own).alias("ms")), "blocks")
+            m = m.join(sized, "hub").withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")))
+            m = stash(m.groupBy("hub", "block").agg(F.collect_list(own).alias("ms")), "blocks")
             x = m.select("hub", F.col("block").alias("bx"), F.col("ms").alias("x"))
             y = m.select("hub", F.col("block").alias("by"), F.col("ms").alias("y"))
             both = x.join(y, "hub").where("bx <= by and (bx < by or size(x) > 1)")
@@ -342,23 +346,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
         pairs = paired(full, F.size("set") + 64, "set").select("x", "y", "same")
         return stash(pairs.mapInArrow(_block_links(percent), "a1 long, a2 long, b1 long, b2 long").select(named("a"), named("b")), "links")
 
-    def labelled(comps: DataFrame | None) -> DataFrame:
-        """The buckets with each class's component, where more than one component meets."""
+    def labelled(comps: DataFrame | None, turn: int) -> DataFrame:
+        """(key, f1, f2, c, hub) of buckets where components meet: each class's component and the bucket's hub of this turn."""
         at = buckets.withColumn("f", F.struct("f1", "f2"))
         if comps is not None:
             at = at.join(comps.withColumnRenamed("node", "f"), "f", "left")
         at = at.withColumn("c", F.coalesce("comp", "f") if comps is not None else F.col("f")).select("key", "f1", "f2", "c")
-        return at.withColumn("lo", F.min("c").over(over)).withColumn("hi", F.max("c").over(over)).where("lo <> hi").drop("lo", "hi")
+        order = F.xxhash64(F.lit(turn), "f1", "f2") if 0 < turn < HUB_ROUNDS else F.lit(0).cast("long")
+        hub = F.min(F.struct(order.alias("o"), "f1", "f2", "c")).alias("hub")
+        met = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo <> hi").select("key", "hub")
+        return at.join(met, "key")
 
     links: list[DataFrame] = []
     comps = None
     for turn in range(HUB_ROUNDS + 1):
-        at = labelled(comps)
+        at = labelled(comps, turn)
         if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "f1", "f2").alias("o") if turn else F.lit(0).alias("o"), "f1", "f2", "c")).over(over)
-            at = at.withColumn("hub", hub).where("hub.c <> c")
             me, it = F.struct("f1", "f2"), F.struct("hub.f1", "hub.f2")
-            at = at.select(F.least(me, it).alias("a"), F.greatest(me, it).alias("b")).distinct()
+            at = at.where("hub.c <> c").select(F.least(me, it).alias("a"), F.greatest(me, it).alias("b")).distinct()
             found = confirmed(at.select(F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("b.f1").alias("b1"), F.col("b.f2").alias("b2")))
         else:
             found = in_blocks(at)
