@@ -1,10 +1,10 @@
 """Toxicity scores: subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the vectors of its character n-grams (with word borders) and of the
-whole word, all hashed into one table; a window of words is the mean of its words' vectors; a linear
-softmax over two classes scores the window, and a document has the score of its most toxic window, so
-that one insult in a long text isn't averaged away. The table and the softmax are trained jointly in
-numpy by gradient descent, the gradient going to each document's top window. A misspelling that was
+A word's vector is the mean of the vectors of its character n-grams (with word borders), hashed into one
+table; a window of words is the mean of its words' vectors; a linear
+softmax over two classes scores the window, and a document has the mean of its windows' scores weighted
+by their softmax, which is close to the highest, so that one insult in a long text isn't averaged away.
+The table and the softmax are trained jointly in numpy by gradient descent. A misspelling that was
 never seen shares most n-grams, hence most of its vector, with the word it comes from.
 
 Scale. Scoring is one pass over the rows, without a shuffle; the model is BUCKETS x DIM floats whatever
@@ -18,36 +18,73 @@ smoothed share of label 1; neither labels, lang, source nor doc_id enter a score
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import batches, remainder, text_bytes
+from quillstone.llm.common import _LOWER, batches, buffer_of, mix, remainder, slices, text_bytes, word_hashes, word_spans
 
 BUCKETS, DIM = 1 << 16, 16
 GRAM_SIZES = (3, 4, 5)
 WINDOW = 2
 ROUNDS, DECAY, EPSILON = 60, 1e-4, 1e-5
-MEMO = 400_000  # words whose weight a worker remembers
-_TRIM = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, A-Z lower-cased."""
-    return text.lower().split()
-
-
-def grams_of(word: bytes) -> np.ndarray:
-    """Table rows of a word: of itself and of its n-grams of code points with borders."""
-    bare = _TRIM.sub(b"", word)
-    marked = "<" + bare.decode("utf-8", "replace")[:64] + ">"
-    pieces = [marked[i : i + n] for n in GRAM_SIZES for i in range(len(marked) - n + 1)] or [marked]
-    return np.fromiter((zlib.crc32(p.encode()) for p in pieces), np.int64, len(pieces)) % BUCKETS
+_EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, each word's place among them, first word per document), A-Z lower-cased.
+
+    A document without words has one, the empty word.
+    """
+    low = _LOWER[buf]
+    starts, ends, first = word_spans(low, off)
+    _, index, inverse = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+    raw = low.tobytes()
+    words = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+    bare = np.flatnonzero(np.diff(first) == 0)
+    if len(bare):
+        inverse = np.insert(inverse, first[bare], len(words))
+        first = first + np.concatenate([[0], np.cumsum(np.diff(first) == 0)])
+        words.append(b"")
+    return words, inverse.astype(np.int32), first
+
+
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(table row, word) of the n-grams of code points of words without outer punctuation, with borders."""
+    text = b" ".join(b"<" + w.strip(_EDGES) + b">" for w in words).decode("utf-8", "replace")
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.cumsum(code == 0x20).astype(np.int32)
+    rows, owners = [], []
+    for n in GRAM_SIZES:
+        m = len(code) - n + 1
+        if m <= 0:
+            continue
+        inside = np.flatnonzero(word[:m] == word[n - 1 :])
+        inside = inside[code[inside] != 0x20]
+        value = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            value = value * np.uint64(0x100000001B3) + code[inside + k]
+        rows.append((mix(value) % np.uint64(BUCKETS)).astype(np.int32))
+        owners.append(word[inside])
+    return (np.concatenate(rows), np.concatenate(owners)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def _windows(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, length) of each window, and each document's first window."""
+    sizes = np.diff(first)
+    place = np.arange(n, dtype=np.int64) - np.repeat(first[:-1], sizes)
+    heads = np.flatnonzero(place % WINDOW == 0)
+    return heads, np.diff(heads, append=n), np.searchsorted(heads, first[:-1])
+
+
+def _pooled(logit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each document's logit, its windows' shares in it): a mean weighted by softmax, close to the maximum."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(logit)))
+    part = np.exp(logit - np.maximum.reduceat(logit, starts)[owner])
+    part /= np.add.reduceat(part, starts)[owner]
+    return np.add.reduceat(part * logit, starts), part
 
 
 class Model:
@@ -56,42 +93,30 @@ class Model:
     def __init__(self, start: float):
         self.bias, self.weight = start, np.zeros(BUCKETS, np.float32)
 
-    def fit(self, texts: list[bytes], y: np.ndarray, rounds: int | None = None, rate: float = 0.3, seed: int = 1) -> Model:
-        rounds = rounds or ROUNDS
+    def fit(self, texts: list[bytes], y: np.ndarray, rounds: int | None = None, rate: float = 0.03, seed: int = 1) -> Model:
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        vocab, stream, first = words_of(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+        flat, owner = grams_of(vocab)
+        sizes = np.maximum(np.bincount(owner, minlength=len(vocab)), 1).astype(np.float32)
+        heads, span, begin = _windows(first, len(stream))
+        span = span.astype(np.float32)
+        window = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(heads, append=len(stream)))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(begin, append=len(heads)))
+        share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
         rng = np.random.default_rng(seed)
-        vocab: dict[bytes, int] = {}
-        docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t)), np.int64) for t in texts]
-        docs = [d if len(d) else np.full(1, vocab.setdefault(b"", len(vocab))) for d in docs]
-        grams = [grams_of(w) for w in vocab]
-        sizes = np.array([len(g) for g in grams])
-        flat, starts = np.concatenate(grams), np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(grams)), sizes)
         table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
         bias = np.array([0, -2], np.float32)
-        share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        sizes_d = np.array([len(d) for d in docs])
-        stream, begin = np.concatenate(docs), np.cumsum(sizes_d) - sizes_d
-        place = np.arange(len(stream)) - np.repeat(begin, sizes_d)
-        heads = np.flatnonzero(place % WINDOW == 0)
-        span = np.diff(heads, append=len(stream))
-        window = np.repeat(np.arange(len(heads)), span)
-        first = np.searchsorted(heads, begin)
-        doc_of = np.repeat(np.arange(len(docs)), np.diff(first, append=len(heads)))
         adam = [[np.zeros_like(z), np.zeros_like(z)] for z in (table, softmax, bias)]
-        for step in range(1, rounds + 1):
+        for step in range(1, (rounds or ROUNDS) + 1):
             # Each word's logit difference, then each window's mean, then a soft maximum over a document's windows.
             direction = softmax[:, 1] - softmax[:, 0]
-            word = np.add.reduceat((table @ direction)[flat], starts) / sizes
-            logit = np.add.reduceat(word[stream], heads) / span
-            peak = np.maximum.reduceat(logit, first)
-            part = np.exp(logit - peak[doc_of])
-            part /= np.add.reduceat(part, first)[doc_of]
-            whole = np.add.reduceat(part * logit, first)
+            word = (np.bincount(owner, (table @ direction)[flat], len(vocab)) / sizes).astype(np.float32)
+            whole, part = _pooled(np.add.reduceat(word[stream], heads) / span, begin)
             p = 1 / (1 + np.exp(-np.clip(whole + bias[1] - bias[0], -50, 50)))
             error = (p - y) * share
             # Back to the words of the windows that counted, their table rows, and the softmax.
-            pull = error[doc_of] * part / span
+            pull = (error[doc] * part / span).astype(np.float32)
             words = np.bincount(stream, pull[window], len(vocab)) / sizes
             rows = np.bincount(flat, words[owner], BUCKETS).astype(np.float32)
             s = rows @ table + DECAY * direction
@@ -100,37 +125,30 @@ class Model:
             for z, g, (m, v) in zip((table, softmax, bias), grads, adam, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                z -= rate * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
+                z -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
         self.weight = (table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
         return self
 
-    def word(self, word: bytes) -> float:
-        return float(self.weight[grams_of(word)].mean())
-
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Each word's logit difference."""
+        rows, owner = grams_of(words)
+        return np.bincount(owner, self.weight[rows], len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
 
-def probability(value: np.ndarray, model: Model) -> float:
-    """Score of a document from its words' logits: the windows' means, joined as in training."""
-    at = np.arange(0, len(value), WINDOW)
-    logit = np.add.reduceat(value, at) / np.diff(at, append=len(value))
-    part = np.exp(logit - logit.max())
-    whole = (part * logit).sum() / part.sum() + model.bias
-    return 1 / (1 + np.exp(-min(max(whole, -50), 50)))
+    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Probability of label 1 per document."""
+        words, place, first = words_of(buf, off)
+        heads, span, begin = _windows(first, len(place))
+        whole, _ = _pooled(np.add.reduceat(self.words(words)[place], heads) / span, begin)
+        return 1 / (1 + np.exp(-np.clip(whole + self.bias, -50, 50)))
 
 
 def _scores(model: Model, parts):
     """(scores, batch) of batches with a column text."""
-    memo: dict[bytes, float] = {}
     for part in parts:
-        out = np.empty(part.num_rows)
-        for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
-            words = words_of(text or b"") or [b""]
-            for w in set(words).difference(memo):
-                memo[w] = model.word(w)
-            out[i] = probability(np.fromiter(map(memo.__getitem__, words), float, len(words)), model)
-            if len(memo) > MEMO:
-                memo.clear()
-        yield out, part
+        buf, off = buffer_of(part.column("text").cast(pa.binary()).fill_null(b""))
+        got = [model.score(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
+        yield np.concatenate(got) if got else np.zeros(0), part
 
 
 def _score(model: Model):
@@ -141,7 +159,7 @@ def _score(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 4_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2_000) -> Model:
     """The model of the training rows (fold not 1 of 3) of `docs`; see the module for what it takes."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(remainder("doc_id", 3) != 1)
     shares = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -155,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return Model(start).fit(rows["text"].to_pylist(), y)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 4_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score, predicted."""
     batches(docs.sparkSession)
     model = train(docs, labels, label, max_rows)
@@ -172,7 +190,7 @@ def _keep(model: Model, threshold: float):
     return run
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 4_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `threshold`."""
     batches(docs.sparkSession)
     return docs.mapInArrow(_keep(train(docs, labels, label, max_rows), threshold), docs.schema)
