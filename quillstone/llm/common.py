@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; documents of some hundred kB each then still fit a worker.
 BATCH_ROWS = 1000
 #: Bytes of text that one vectorised step takes at a time (a longer document is taken whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 

@@ -40,6 +40,7 @@ LENGTH = 4096
 CLOSING = 2
 MAX_QUEUES = 4096
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
+SLICE = 4 << 20  # bytes of text at a time; every slice passes over the remembered words
 _MARK = b"\x01"  # stands alone between words that are tokenised together
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
@@ -151,7 +152,7 @@ def _tokenise(path: str, closing: int):
         for part in parts:
             buf, off = buffer_of(part.column("text"))
             queues = part.column("queue").to_pylist()
-            for i, j in slices(off):
+            for i, j in slices(off, SLICE):
                 ids, at = words.ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], closing)
                 counts, offs = np.diff(at), []
                 for queue, n in zip(queues[i:j], counts.tolist(), strict=True):

@@ -100,7 +100,7 @@ def _tally(key, table):
             a, n = _counted(keys[learn])
             b, _ = _counted(keys[~learn])
             got[kind].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), n.dtype)])))
-        if len(got[GRAM]) >= 4:
+        if len(got[GRAM]) >= 8:
             got = {kind: [_merged(parts)] for kind, parts in got.items()}
     got[WORD].append((END_KEY[None], train.sum(keepdims=True)))
     out = [(kind, *_merged(parts)) for kind, parts in got.items()]
