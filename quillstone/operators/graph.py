@@ -61,6 +61,16 @@ def expand(seeds: DataFrame, edges: DataFrame, edge_names: list[str] | None = No
     return both.join(seeds.select(F.col("id").alias("via")).distinct(), "via").select("id", "edge", "via").distinct()
 
 
+def hops(seeds: DataFrame, edges: DataFrame, n: int, edge_names: list[str] | None = None) -> DataFrame:
+    """(id, hop): what seeds (id) reach in at most `n` hops, with the least hop; n is small and fixed in the plan."""
+    reached = seeds.select("id", F.lit(0).alias("hop")).distinct()
+    front = reached
+    for hop in range(1, n + 1):
+        front = expand(front, edges, edge_names).select("id").distinct().join(reached, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
+        reached = reached.unionAll(front)
+    return reached
+
+
 def promote(pages_edges: DataFrame, proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """Edges of the frontmatter after review: those there, and proposals whose decision is 'confirm'.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import frontmatter
 from quillstone.functions.text import append_bullet, dated_path, slugify, type_dir
+from quillstone.schemas import CHANNELS
 
 
 def unseen(items: DataFrame, known: DataFrame, key: str = "item_key") -> DataFrame:
@@ -28,6 +29,18 @@ def collect_report(items: DataFrame, known: DataFrame, key: str = "item_key", by
     return marked.groupBy(by).agg(F.count(F.when(F.col("_known").isNull(), 1)).alias("new"), F.count("_known").alias("duplicates"))
 
 
+def split_valid(items: DataFrame, channels: tuple[str, ...] = CHANNELS) -> tuple[DataFrame, DataFrame]:
+    """(items to ingest, items to quarantine): without text, without a known channel or with broken characters."""
+    bad = F.coalesce(F.trim("content") == "", F.lit(True)) | ~F.coalesce(F.col("channel").isin(*channels), F.lit(False)) | F.coalesce(F.contains("content", F.lit("\ufffd")), F.lit(False))
+    marked = items.withColumn("_bad", bad)
+    return marked.where("not _bad").drop("_bad"), marked.where("_bad").drop("_bad").withColumn("state", F.lit("quarantine"))
+
+
+def file_away(items: DataFrame) -> DataFrame:
+    """Ingested items at their final, dated path; the content, hence the key, stays as it is."""
+    return items.withColumn("path", dated_path("channel", "captured_at", "file_name")).withColumn("state", F.lit("filed"))
+
+
 def classify(channel: Column, text: Column) -> Column:
     """Page type that an item is about: by channel, then by what its text says."""
     says = lambda pattern: text.rlike(pattern)

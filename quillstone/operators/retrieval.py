@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import tokens
-from quillstone.operators.graph import expand
+from quillstone.operators.graph import expand, small
 
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -19,6 +19,33 @@ def recognise(question: str, aliases: DataFrame, longest: int = 4) -> DataFrame:
     return aliases.where(name.isin(*sorted(grams)) if grams else F.lit(False)).select("id").distinct()
 
 
+def aliases_of(pages: DataFrame) -> DataFrame:
+    """(id, alias): each page's slug in words and its aliases."""
+    names = F.concat(F.array(F.regexp_replace("slug", "-", " ")), F.coalesce("aliases", F.array().cast("array<string>")))
+    return pages.select(F.col("slug").alias("id"), F.explode(names).alias("alias"))
+
+
+def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
+    """(path, id) of the pages whose alias occurs in a text, by runs of up to `longest` words; texts: path, content.
+
+    Runs are filtered by the alias table, broadcast if it is checked to be small, as soon as they are made.
+    """
+    words = F.filter(F.split(F.lower("content"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    rows = texts.select("path", words.alias("w"))
+    at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+    run = lambda n: F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " ")))
+    runs = [run(n) for n in range(1, longest + 1)]
+    name = F.trim(F.regexp_replace(F.lower("alias"), "[^\\p{L}\\p{N}]+", " "))
+    known = aliases.select("id", name.alias("name")).where("name <> ''").distinct()
+    return rows.select("path", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("name")).join(small(known), "name").select("path", "id").distinct()
+
+
+def rerank(hits: DataFrame, near: DataFrame, boost: float = 2.0) -> DataFrame:
+    """(id, score) of a shortlist with the scores of `near` (id), say neighbours of the question's entities, multiplied."""
+    near = near.select("id", F.lit(boost).alias("_boost")).distinct()
+    return hits.join(near, "id", "left").select("id", (F.col("score") * F.coalesce("_boost", F.lit(1.0))).alias("score"))
+
+
 def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of documents with any term: ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)).
 
@@ -73,15 +100,13 @@ def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k
     Seeds are pages that the question names, widened by one hop; a candidate's BM25 score is doubled if
     it was reached that way.
     """
-    aliases = pages.select(F.col("slug").alias("id"), F.explode(F.concat(F.array(F.regexp_replace("slug", "-", " ")), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
-    seeds = recognise(question, aliases)
-    near = seeds.unionAll(expand(seeds, edges, edge_names).select("id")).distinct().withColumn("near", F.lit(2.0))
+    seeds = recognise(question, aliases_of(pages))
+    near = seeds.unionAll(expand(seeds, edges, edge_names).select("id"))
     terms = sorted({w for w in "".join(c if "a" <= c <= "z" else " " for c in question.lower()).split() if len(w) > 2})
     if not terms:
         return lines.where("false").withColumn("score", F.lit(0.0))
     body = pages.select("slug", F.concat_ws(" ", F.regexp_replace("slug", "-", " "), "body").alias("text"))
-    scored = bm25(body, terms, "slug").join(near, "id", "left").select("id", (F.col("score") * F.coalesce("near", F.lit(1.0))).alias("score"))
-    best = top(scored, k)
+    best = top(rerank(bm25(body, terms, "slug"), near), k)
     cited = pages.join(best.select(F.col("id").alias("slug"), "score"), "slug").select(F.explode(F.concat(F.array("path"), F.coalesce("sources", F.array().cast("array<string>")))).alias("path"), "score")
     cited = cited.groupBy("path").agg(F.max("score").alias("score"))
     return cite(cited, lines, terms).join(cited, "path").select("path", "line", "text", "score").orderBy(F.desc("score"), "path", "line")
