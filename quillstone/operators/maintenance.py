@@ -88,11 +88,11 @@ def narrative(timeline: DataFrame, topic: str, most: int = 1000) -> str:
     return "\n".join([f"# {topic}", "", *(f"- {r['at']} ({r['layer']}, {r['path']}): {r['text']}" for r in timeline.limit(most).collect())])
 
 
-def scaffold(root: str) -> list[str]:
+def scaffold(root: str, contract: str = "CONTRACT.md") -> list[str]:
     """Create an empty vault's directories; refuses a directory that has a contract file already."""
     import os
 
-    if os.path.exists(os.path.join(root, "AGENTS.md")):
+    if os.path.exists(os.path.join(root, contract)):
         raise FileExistsError(f"{root} is a vault already")
     names = [f"raw/inbox/{c}" for c in ("journal", "meetings", "emails", "chats", "clippings", "docs")]
     names += [f"raw/{c}" for c in RAW_CLASSES] + [f"wiki/{d}" for d in (*TYPE_TO_DIR.values(), *SERVICE_DIRS)]

@@ -139,8 +139,8 @@ def test_follow(spark):
 
 
 def test_graph_schema(spark, tmp_path):
-    (tmp_path / "schema.cypher").write_text("CREATE NODE TABLE Person(id STRING, PRIMARY KEY(id));\nCREATE NODE TABLE Org(id STRING);\nCREATE REL TABLE works_at(FROM Person TO Org);\n")
-    nodes, edges = vault.graph_schema(spark, str(tmp_path / "schema.cypher"))
+    (tmp_path / "schema.ddl").write_text("CREATE NODE TABLE Person(id STRING, PRIMARY KEY(id));\nCREATE NODE TABLE Org(id STRING);\nCREATE REL TABLE works_at(FROM Person TO Org);\n")
+    nodes, edges = vault.graph_schema(spark, str(tmp_path / "schema.ddl"))
     assert rows(nodes, "type") == [("org",), ("person",)] and rows(edges, "edge", "src_type", "dst_type") == [("works_at", "person", "org")]
 
 
@@ -229,7 +229,7 @@ def test_text_functions(spark):
 
 
 def test_scaffold_refuses_a_vault(tmp_path):
-    (tmp_path / "AGENTS.md").write_text("")
+    (tmp_path / "CONTRACT.md").write_text("")
     with pytest.raises(FileExistsError):
         maintenance.scaffold(str(tmp_path))
 
