@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and return the written table, which cuts the lineage.
 
     Unlike an executor's cache or local checkpoint, the files outlive lost executors.
@@ -48,10 +48,7 @@ def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     if not _made:
         atexit.register(_drop_all)
     _made.append((spark, path))
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
