@@ -151,9 +151,20 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 def plausible(a, b, na, nb, percent: int) -> np.ndarray:
     """Can the pair reach the threshold? By set sizes, which is exact, and by the estimate less SIGMAS deviations."""
     t = percent / 100
-    sized = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    got, seen = estimate(a, b, na, nb)
-    return sized & (got >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
+    na, nb = np.broadcast_arrays(na, nb)
+    ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    one = [len(x) < len(ok) for x in (a, b)]  # the same sketch against all others
+    at = np.flatnonzero(ok)
+    a, b = (x if lone else x[at] for x, lone in zip((a, b), one, strict=True))
+    seen = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
+    least = t - SIGMAS * np.sqrt(t * (1 - t) / seen)
+    # The correction only lowers an estimate, so it is worked out for those that are high enough without.
+    high = ((a == b) & (a > 0)).sum(-1) >= least * seen
+    ok[at[~high]] = False
+    at, least = at[high], least[high]
+    a, b = (x if lone else x[high] for x, lone in zip((a, b), one, strict=True))
+    ok[at] = estimate(a, b, na[at], nb[at])[0] >= least
+    return ok
 
 
 def _thin(percent: int):
@@ -269,17 +280,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = lambda e: e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
     e = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
+        # Done when every node points at one smaller node that points at none: hubs' links often do at once.
+        ends = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", F.lit(None)))
+        ends = ends.groupBy("x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.when(F.col("y").isNull(), 1)).alias("under"))
+        if ends.where("lo <> hi or (lo is not null and under > 0)").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
         near = both(e)
         least = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = near.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = large.union(least.where("m < x").select("x", "m")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).where("u <> v").distinct()
-        new = stash(small, "edges")
-        tally = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tally(new) == tally(e):
-            return new.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(new.select("v", "v").distinct())
-        e = new
+        e = stash(small, "edges")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: bool = False) -> DataFrame:
