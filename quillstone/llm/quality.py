@@ -6,10 +6,10 @@ walks for a whole batch at once.
 
 Scale. Statistics and scores are per row, without a shuffle. The trees are fitted on the driver from
 statistics (not texts) of at most `max_rows` labelled training rows, those with the smallest hash of
-their doc_id, and are a few hundred kB however large the input is.
+their doc_id, which are broadcast to find them, and are a few hundred kB however large the input is.
 
-Defined cases: a null or empty text has all counts 0 and is scored like any; several labels of one
-doc_id count as that many training rows; labels whose doc_id is missing, null or not in `docs` are
+Defined cases: a null or empty text has all counts 0 and is scored like any; different labels of one
+doc_id are a training row each, equal ones and repeated rows one (of different texts the least counts); labels whose doc_id is missing, null or not in `docs` are
 not used; with no training rows, or one class only, every score is the smoothed share of label 1.
 Neither labels, lang, source nor doc_id enter a score.
 """
@@ -127,8 +127,10 @@ def _scored(model: Trees):
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, max_rows: int = 30_000) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score, predicted. Rows of fold 1 of 3 are not learned from."""
     stats = stash(with_statistics(docs).withColumn("held_out", remainder("doc_id", 3) == 1), "quality")
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null")
-    train = stats.where("not held_out").join(own, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *NAMES).limit(max_rows).select("y", *NAMES).toArrow()
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").where(remainder("doc_id", 3) != 1)
+    pick = F.broadcast(own.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows))  # max_rows at most
+    found = stats.join(pick, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*NAMES)).alias("s"))
+    train = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y").select("y", "s.*").toArrow()
     x = features({n: np.asarray(train[n]) for n in NAMES}) if len(train) else np.zeros((0, 19))
     model = Trees().fit(x, np.asarray(train["y"]).astype(float))
     out = stats.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")

@@ -11,8 +11,8 @@ Scale. Scoring is one pass over the rows, without a shuffle; the model is BUCKET
 the input. It is fitted on the driver from the whole texts of at most `max_rows` labelled training
 rows, all of label 1 first up to half of them, taken by the smallest hash of doc_id.
 
-Defined cases: null, empty and wordless texts have the score of an empty window; repeated labels of one
-doc_id count as that many training rows; with no training rows, or one class only, every score is the
+Defined cases: null, empty and wordless texts have the score of an empty window; different labels of one
+doc_id are a training row each, equal ones and repeated rows one (of different texts the least); with no training rows, or one class only, every score is the
 smoothed share of label 1; neither labels, lang, source nor doc_id enter a score.
 """
 
@@ -161,11 +161,13 @@ def _score(model: Model):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2_000) -> Model:
     """The model of the training rows (fold not 1 of 3) of `docs`; see the module for what it takes."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(remainder("doc_id", 3) != 1)
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(remainder("doc_id", 3) != 1).distinct()
     shares = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones = min(shares.get(1, 0), max_rows // 2)
-    pick = own.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ones).union(own.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows - ones))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(pick, "doc_id").select("y", "text").toArrow()
+    first = lambda y, n: own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    pick = F.broadcast(first(1, ones).union(first(0, max_rows - ones)))  # max_rows at most
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(pick, "doc_id")
+    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").select("y", "text").toArrow()
     y = np.asarray(rows["y"]).astype(float)
     start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if not len(y) or y.min() == y.max():
