@@ -96,6 +96,29 @@ def buffer_of(array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - (off[0] if len(off) else 0)
 
 
+def pieces(column, most: int = SLICE_BYTES):
+    """(first row, end, bytes, offsets) of about `most` bytes of a chunked Arrow column at a time, without joining its chunks."""
+    row = 0
+    for chunk in column.chunks:
+        buf, off = buffer_of(chunk)
+        for i, j in slices(off, most):
+            yield row + i, row + j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        row += len(chunk)
+
+
+def release() -> None:
+    """Give freed memory back to the system, as an idle worker would otherwise keep what a large group took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slices(off: np.ndarray, most: int = SLICE_BYTES):
     """Ranges (i, j) of documents with about `most` bytes together."""
     i, n = 0, len(off) - 1

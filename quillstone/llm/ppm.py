@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, batches, buffer_of, remainder, slices, stash, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, batches, buffer_of, pieces, release, remainder, stash, text_bytes, word_hashes, word_spans  # noqa: F401 - buffer_of for tests
 
 ORDER = 5
 ROOT = 3
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 64 << 20
 START, END = 0xFE, 0xFF
 GRAM, WORD = 0, 1
 #: The end token's key among words; a word's hash takes this value with probability 2 ** -64.
@@ -89,11 +89,10 @@ def _spread(train: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _tally(key, table):
     """Distinct strings and words of one group of documents, with their counts in its training rows."""
-    buf, off = buffer_of(table.column("text"))
     train = ~np.asarray(table.column("held").combine_chunks().to_numpy(zero_copy_only=False), bool)
     got = {GRAM: [], WORD: []}
-    for i, j in slices(off):
-        low, own = _LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+    for i, j, buf, own in pieces(table.column("text")):
+        low = _LOWER[buf]
         for kind, make in ((GRAM, grams), (WORD, _words)):
             keys, first = make(low, own)
             learn = _spread(train[i:j], first)
@@ -104,6 +103,8 @@ def _tally(key, table):
             got = {kind: [_merged(parts)] for kind, parts in got.items()}
     got[WORD].append((END_KEY[None], train.sum(keepdims=True)))
     out = [(kind, *_merged(parts)) for kind, parts in got.items()]
+    got.clear()
+    release()
     return pa.table({
         "g": pa.array(np.full(sum(len(k) for _, k, _ in out), key[0].as_py(), np.int32)),
         "kind": pa.array(np.concatenate([np.full(len(k), kind, np.int8) for kind, k, _ in out])),
@@ -236,7 +237,6 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _score(total: int, distinct: int):
     def run(key, docs, model):
-        buf, off = buffer_of(docs.column("text"))
         kind, keys, value = (model.column(c).combine_chunks().to_numpy() for c in ("kind", "key", "value"))
         keys = keys.view(np.uint64)
         cost, count = (_Lookup(keys[kind == k], value[kind == k]) for k in (GRAM, WORD))
@@ -244,8 +244,8 @@ def _score(total: int, distinct: int):
         end = math.log10((count(END_KEY[None])[0] if docs.num_rows else 0) + 1) - unit
         known_end = int(docs.num_rows and count(END_KEY[None])[0] > 0)
         cols = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for i, j in slices(off):
-            low, own = _LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+        for _, _, buf, own in pieces(docs.column("text")):
+            low = _LOWER[buf]
             strings, first = grams(low, own)
             cols["score"].append(_sums(cost(strings), first))
             words, first = _words(low, own)
@@ -254,6 +254,8 @@ def _score(total: int, distinct: int):
             cols["n_known"].append(_sums((c > 0).astype(float), first).astype(np.int64) + known_end)
             cols["base_score"].append(_sums(np.log10(c + 1) - unit, first) + end)
         out = {c: pa.array(np.concatenate(v)) if v else pa.array([], pa.float64()) for c, v in cols.items()}
+        del cost, count, kind, keys, value
+        release()
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array(np.full(docs.num_rows, total, np.int64)), "base_score": out["base_score"], "score": out["score"]})
 
     return run
