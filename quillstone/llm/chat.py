@@ -33,15 +33,15 @@ def segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(_NONE)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sides = pairs.select("pair_id", F.explode(F.create_map(F.lit("chosen"), "chosen_id", F.lit("rejected"), "rejected_id")).alias("side", "conv"))
-    own = sides.join(rows, "conv")
+    # The comparison moves hashes of turns only; texts move once, when it is known where prefixes end.
+    code = lambda seed: F.xxhash64(F.lit(seed), "role", "text")
+    marks = sides.join(rows.select("conv", "turn", code(1).alias("a"), code(2).alias("b")), "conv")
     chosen = F.col("side") == "chosen"
-    code = lambda seed: F.xxhash64(F.lit(seed), "role", "text").cast("decimal(20,0)")
-    slot = own.groupBy("pair_id", "turn").agg(
-        *(F.sum(F.when(s, v)).alias(f"{k}_{name}") for k, s in (("c", chosen), ("r", ~chosen)) for name, v in (("n", F.lit(1)), ("a", code(1)), ("b", code(2))))
-    )
+    values = (("n", F.lit(1)), ("a", F.col("a").cast("decimal(20,0)")), ("b", F.col("b").cast("decimal(20,0)")))
+    slot = marks.groupBy("pair_id", "turn").agg(*(F.sum(F.when(s, v)).alias(f"{k}_{name}") for k, s in (("c", chosen), ("r", ~chosen)) for name, v in values))
     differs = ~(F.col("c_n").eqNullSafe(F.col("r_n")) & F.col("c_a").eqNullSafe(F.col("r_a")) & F.col("c_b").eqNullSafe(F.col("r_b")))
     ends = slot.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("ends"))
-    out = own.join(ends, "pair_id").withColumn("shared", F.col("ends").isNull() | (F.col("turn") < F.col("ends")))
+    out = sides.join(ends, "pair_id").join(rows, "conv").withColumn("shared", F.col("ends").isNull() | (F.col("turn") < F.col("ends")))
     out = out.where(~F.col("shared") | (F.col("side") == "chosen"))
     rendered = F.concat(F.lit(OPEN), "role", F.lit(CLOSE + "\n"), "text", F.lit("\n"))
     mask = (~F.col("shared") & (F.col("role") == "assistant")).cast("int")
