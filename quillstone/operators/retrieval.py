@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +51,23 @@ def rerank(hits: DataFrame, near: DataFrame, boost: float = 2.0) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of documents with any term: ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)).
 
-    Each document's term counts come from its own row by array functions, so nothing is exploded and
-    only one row of corpus figures is joined back.
+    Each document's term counts come from its own row by array functions, so nothing is exploded or
+    shuffled; one row of corpus figures is worked out first and goes into the plan as constants.
     """
     words = tokens(text)
     rows = docs.select(F.col(id_).alias("id"), words.alias("w"))
     count = lambda t: F.size(F.filter("w", lambda x: x == t))
     rows = rows.select("id", F.size("w").alias("dl"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
-    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row of figures
-    return scored.select("id", sum(F.when(F.col(f"tf{i}") > 0, part(i)).otherwise(0.0) for i in range(len(terms))).alias("score"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
+    if not stats["avgdl"]:
+        return rows.where("false").select("id", F.lit(0.0).alias("score"))
+
+    def part(i: int):
+        df, tf = stats[f"df{i}"], F.col(f"tf{i}")
+        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"])))).otherwise(0.0)
+
+    return rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).select("id", sum(part(i) for i in range(len(terms))).alias("score"))
 
 
 def cosine(vectors: DataFrame, query: list[float], id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
