@@ -294,6 +294,22 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = stash(small, "edges")
 
 
+SIEVE = 1 << 26  # bits, 8 MB, whatever the input
+_MAP = 1 << 15  # bits of one of Spark's bitmaps
+
+
+def sieved(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows whose h1 may be among `needed`'s: a bitmap of fixed size, broadcast, so that most texts needn't move.
+
+    It lets through all that are needed and, as it fills, more of the others; an exact join follows.
+    """
+    slot = F.pmod(F.col("h1"), F.lit(SIEVE))
+    bits = needed.select(slot.alias("s")).groupBy((F.col("s") / _MAP).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.col("s") % _MAP).alias("_bits"))
+    at = rows.withColumn("_map", (slot / _MAP).cast("int")).withColumn("_p", (slot % _MAP).cast("int"))
+    kept = at.join(F.broadcast(bits), "_map")  # SIEVE / _MAP rows of 4 kB at most
+    return kept.where("shiftright(cast(conv(hex(substring(_bits, _p div 8 + 1, 1)), 16, 10) as int), _p % 8) & 1 = 1").select(rows.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept (see the module's text for the cases).
 
@@ -318,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
     def sets_of(needed: DataFrame) -> DataFrame:
         """(f1, f2, set) of the classes (f1, f2); one text per class is read again, by its hash."""
         where = needed.join(classes, ["f1", "f2"]).select("f1", "f2", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"))
-        texts = rows.join(where.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        texts = sieved(rows, where).join(where.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
         return where.join(texts.mapInArrow(_sets(width), "h1 long, h2 long, set array<long>"), ["h1", "h2"]).select("f1", "f2", "set")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
