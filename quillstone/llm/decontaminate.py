@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into windows (whole items where they are shorter). A stretch of text within e
-edits of a window of n bytes shares at least n + 1 - Q * (e + 1) q-grams with it, all near one
-diagonal (place in the text minus place in the window). So shared q-grams are counted in overlapping
-bands of diagonals, bands that reach the bound are kept, and a banded alignment verifies them. Text and
-items are compared with A-Z lower-cased and each run of white space as one blank.
+Every WINDOW bytes of an item, at all places, are a window (whole items where they are shorter). A
+stretch of text within e edits of a window of n bytes shares at least n + 1 - Q * (e + 1) q-grams with
+it, all near one diagonal (place in the text minus place in the item). So q-grams shared with whole
+items are counted in overlapping bands of diagonals; where a window's places in a band reach the bound,
+a banded alignment verifies the window. Text and items are compared with A-Z lower-cased and each run of
+white space as one blank.
 
 Scale. One pass over the documents, without a shuffle. The items' index goes to every task; it is
 built from at most BLOCK_BYTES of item text at a time, larger benchmarks take a pass per block.
@@ -28,8 +29,8 @@ from quillstone.llm.common import _LOWER, _SPACE, batches, buffer_of, mix, slice
 
 Q = 10
 WINDOW = 96  # bytes; about fifteen words
-STRIDE = 48
 EDITS = 0.06  # of a window's bytes
+BATCH = 256  # windows aligned at a time
 BLOCK_BYTES = 16 << 20
 _BLOOM = 22
 
@@ -66,27 +67,25 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows of the items and where each q-gram is in them."""
+    """The items' bodies and where each q-gram is in them.
+
+    Any WINDOW bytes of an item, from whatever place, are a window (an item that is shorter is its own).
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.items, self.windows = [], []
+        self.items, self.bodies = [], []
         hashes, owner, place = [], [], []
         for item_id, text in items:
             buf, _ = normalised(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             body = buf.tobytes().strip(b" ")
             if len(body) < Q:
                 continue
-            starts = list(range(0, max(1, len(body) - WINDOW + 1), STRIDE))
-            if len(body) > WINDOW and starts[-1] != len(body) - WINDOW:
-                starts.append(len(body) - WINDOW)
-            for s in starts:
-                own = body[s : s + WINDOW]
-                got = gram_hashes(np.frombuffer(own, np.uint8))
-                hashes.append(got)
-                owner.append(np.full(len(got), len(self.windows)))
-                place.append(np.arange(len(got)))
-                self.windows.append(own)
-                self.items.append(item_id)
+            got = gram_hashes(np.frombuffer(body, np.uint8))
+            hashes.append(got)
+            owner.append(np.full(len(got), len(self.bodies)))
+            place.append(np.arange(len(got)))
+            self.bodies.append(body)
+            self.items.append(item_id)
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         hashes, owner, place = cat(hashes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
         by = np.argsort(hashes, kind="stable")
@@ -95,12 +94,12 @@ class Index:
         self.owner, self.place = owner[by], place[by]
         self.bloom = np.zeros(1 << _BLOOM, bool)
         self.bloom[(self.keys >> np.uint64(64 - _BLOOM)).astype(np.int64)] = True
-        size = np.array([len(w) for w in self.windows], np.int64)
-        self.edits = np.floor(size * EDITS).astype(np.int64)
-        self.bound = np.maximum(1, size + 1 - Q * (self.edits + 1))
+        self.size = np.minimum(np.array([len(w) for w in self.bodies], np.int64), WINDOW)  # of an item's windows
+        self.edits = np.floor(self.size * EDITS).astype(np.int64)
+        self.bound = np.maximum(1, self.size + 1 - Q * (self.edits + 1))
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
-        """(document, window) of verified regions; one window per document and item is enough."""
+        """(document, item) of verified regions."""
         if not len(self.keys):
             return []
         hashes = gram_hashes(buf)
@@ -113,27 +112,66 @@ class Index:
         at, k, doc = at[inside], k[inside], doc[inside]
         n = self.first[k + 1] - self.first[k]
         entry = np.arange(n.sum()) + np.repeat(self.first[k] - (np.cumsum(n) - n), n)
-        at, doc, window = np.repeat(at, n), np.repeat(doc, n), self.owner[entry]
-        diagonal = at - self.place[entry] - off[doc] + WINDOW  # WINDOW: never below 0
-        width = self.edits[window] + 1
+        at, doc, item, place = np.repeat(at, n), np.repeat(doc, n), self.owner[entry], self.place[entry]
+        diagonal = at - place - off[doc]
+        width = self.edits[item] + 1
         found: dict[tuple[int, int], bool] = {}
-        for back in (0, 1):  # each hit counts in the two bands of twice the width that hold it
-            band = diagonal // width - back
-            key = mix(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + window.astype(np.uint64)) + (band + 1).astype(np.uint64))
-            _, start, count = np.unique(key, return_index=True, return_counts=True)
-            for i in start[count >= self.bound[window[start]]].tolist():
-                d, w = int(doc[i]), int(window[i])
+        for back in (0, 1):  # each hit counts in two bands of twice the width; any `width` diagonals are in one of them
+            band = (diagonal + back * width) // (2 * width)
+            key = mix(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + item.astype(np.uint64)) + (band + 1).astype(np.uint64))
+            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(count[inverse] >= self.bound[item])
+            some = some[np.lexsort((place[some], inverse[some]))]
+            some = some[(np.diff(inverse[some], prepend=-1) != 0) | (np.diff(place[some], prepend=-1) != 0)]
+            group, places, owner = inverse[some], place[some], item[some]
+            # A window holds `bound` places if the one that many further on is of the same band and near.
+            last = np.arange(len(some)) + self.bound[owner] - 1
+            last[last >= len(some)] = -1
+            full = (last >= 0) & (group[last] == group) & (places[last] - places <= self.size[owner] - Q) if len(some) else np.zeros(0, bool)
+            for g in np.unique(group[full]).tolist():
+                own = slice(*np.searchsorted(group, [g, g + 1]).tolist())
+                head = some[own.start]
+                d, w = int(doc[head]), int(item[head])
                 if found.get((d, self._item(w))):
                     continue
-                lo = max(0, int(band[i]) * int(width[i]) - WINDOW - int(self.edits[w]))
-                hi = int(band[i] + 2) * int(width[i]) - WINDOW + len(self.windows[w]) + int(self.edits[w])
-                region = buf[off[d] + lo : min(off[d + 1], off[d] + max(hi, 0))].tobytes()
-                if within(self.windows[w], region, int(self.edits[w])):
+                lo = (2 * int(band[head]) - back) * int(width[head])
+                if self._meets(w, places[own], buf[off[d] : off[d + 1]], lo, lo + 2 * int(width[head])):
                     found[d, self._item(w)] = True
         return list(found)
 
-    def _item(self, window: int):
-        item = self.items[window]
+    def _meets(self, w: int, places: np.ndarray, text: np.ndarray, lo: int, hi: int) -> bool:
+        """Is some window of item `w`, where `places` (sorted, distinct) are shared, within its edits of `text` between diagonals lo and hi?"""
+        size, edits, bound = int(self.size[w]), int(self.edits[w]), int(self.bound[w])
+        # Windows that hold at least `bound` of the places: those from ends[i] - grams + 1 to places[i] for a run of `bound`.
+        grams = size - Q + 1
+        first, last = places[: len(places) - bound + 1], places[bound - 1 :]
+        near = last - first < grams
+        end = len(self.bodies[w]) - size
+        begin, stop = np.maximum(last[near] - grams + 1, 0), np.minimum(first[near], end)
+        starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]))
+        if not len(starts):
+            return False
+        held = np.searchsorted(places, starts + grams) - np.searchsorted(places, starts)
+        starts = starts[np.argsort(-held, kind="stable")]  # the likeliest first
+        s = int(starts[0])
+        if self.bodies[w][s : s + size] in text[max(0, s + lo - edits) : max(0, s + hi + size + edits)].tobytes():
+            return True
+        body = np.frombuffer(self.bodies[w], np.uint8).astype(np.int16)
+        span = hi - lo + size + 2 * edits
+        pad = np.full(len(text) + 2 * span, -1, np.int16)  # equals no byte
+        pad[span : span + len(text)] = text
+        step, begin = 8, 0
+        while begin < len(starts):
+            own = starts[begin : begin + step]
+            windows = body[own[:, None] + np.arange(size)]
+            regions = pad[np.clip(own + lo - edits + span, 0, len(pad) - span)[:, None] + np.arange(span)]
+            if any_within(windows, regions, edits):
+                return True
+            begin, step = begin + step, BATCH
+        return False
+
+    def _item(self, place: int):
+        item = self.items[place]
         return -1 if item is None else item
 
 
@@ -156,6 +194,25 @@ def within(window: bytes, region: bytes, edits: int) -> bool:
     return bool(row.min() <= edits)
 
 
+def any_within(windows: np.ndarray, regions: np.ndarray, edits: int) -> bool:
+    """Is some row of `windows` within `edits` edits of a stretch of its row of `regions`? As `within`, many at a time."""
+    step = np.arange(regions.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(windows), regions.shape[1] + 1), np.int16)
+    for i in range(windows.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (regions != windows[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= step
+        row = np.minimum.accumulate(new, axis=1, out=new)
+        row += step
+        alive = row.min(axis=1) <= edits
+        if not alive.all():
+            if not alive.any():
+                return False
+            row, windows, regions = row[alive], windows[alive], regions[alive]
+    return True
+
+
 def _run(index: Index):
     def run(parts):
         for part in parts:

@@ -123,6 +123,32 @@ def test_verification_is_the_edit_distance():
             assert decontaminate.within(window, region, e) == (edit_distance_within(window, region) <= e)
 
 
+def test_decontamination_of_windows_at_every_offset():
+    rng = np.random.default_rng(5)
+    chars = lambda n: rng.choice(list(b"abcdefghijklmnopq"), n).astype(np.uint8).tobytes()
+    item = chars(330)
+    index = decontaminate.Index([(7, item)])
+    cut = lambda texts: index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for size in (96, 97, 110, 120, 137, 142):
+        texts = [chars(at % 7 * 50) + item[at : at + size] + chars(60) for at in range(len(item) - size + 1)]
+        assert sorted(d for d, _ in cut(texts)) == list(range(len(texts))), size
+    # Five edits are found at every offset; in 96 bytes with more, or in 80 bytes, nothing is.
+    edited, broken, short = [], [], []
+    for at in range(len(item) - 95):
+        own = bytearray(item[at : at + 96])
+        for i in (10, 30, 50):
+            own[i] = ord("z")
+        own[70:70] = b"z"
+        del own[85]
+        edited.append(chars(40) + bytes(own) + chars(40))
+        for i in range(0, len(own), 12):
+            own[i] = ord("z")
+        broken.append(chars(40) + bytes(own) + chars(40))
+        short.append(chars(40) + b"z" + item[at : at + 80] + b"z" + chars(40))
+    assert sorted(d for d, _ in cut(edited)) == list(range(len(edited)))
+    assert cut(broken) == [] and cut(short) == []
+
+
 def test_decontamination_odd_rows(spark, odd, clashing, none, sample):
     items = spark.createDataFrame([(1, LONG[:300]), (2, None)], "item_id long, text string")
     for docs in (odd, clashing):
