@@ -13,12 +13,12 @@ from quillstone.operators.graph import expand, small
 K1, B, FUSION = 1.2, 0.75, 60
 
 
-def recognise(question: str, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """(id) of pages that an alias in the question names; aliases: id, alias. Only the question's few n-grams are looked up."""
+def recognise(question: str, aliases: DataFrame) -> DataFrame:
+    """(id) of pages that an alias of any length in the question names, as a run of whole words; aliases: id, alias."""
     words = [w for w in "".join(c if c.isalnum() else " " for c in question.lower()).split() if w]
-    grams = {" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
     name = F.trim(F.regexp_replace(F.lower("alias"), "[^\\p{L}\\p{N}]+", " "))
-    return aliases.where(name.isin(*sorted(grams)) if grams else F.lit(False)).select("id").distinct()
+    named = F.contains(F.lit(f" {' '.join(words)} "), F.concat(F.lit(" "), name, F.lit(" ")))
+    return aliases.where((name != "") & named).select("id").distinct()
 
 
 def aliases_of(pages: DataFrame) -> DataFrame:
@@ -27,18 +27,22 @@ def aliases_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("slug").alias("id"), F.explode(names).alias("alias"))
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """(path, id) of the pages whose alias occurs in a text, by runs of up to `longest` words; texts: path, content.
+def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, id) of the pages whose alias occurs in a text, by runs of as many words as some alias has; texts: path, content.
 
-    Runs are filtered by the alias table, broadcast if it is checked to be small, as soon as they are made.
+    The numbers of words are an aggregate of the alias table, worked out first. Runs are filtered by the
+    alias table, broadcast if it is checked to be small, as soon as they are made.
     """
     words = F.filter(F.split(F.lower("content"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     rows = texts.select("path", words.alias("w"))
     at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
     run = lambda n: F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " ")))
-    runs = [run(n) for n in range(1, longest + 1)]
     name = F.trim(F.regexp_replace(F.lower("alias"), "[^\\p{L}\\p{N}]+", " "))
     known = aliases.select("id", name.alias("name")).where("name <> ''").distinct()
+    sizes = known.agg(F.array_sort(F.collect_set(F.size(F.split("name", " "))))).first()[0]
+    if not sizes:
+        return texts.select("path").join(known.select("id"), F.lit(False))
+    runs = [run(n) for n in sizes]
     return rows.select("path", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("name")).join(small(known), "name").select("path", "id").distinct()
 
 

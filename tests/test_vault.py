@@ -257,3 +257,13 @@ def test_provider_exports(spark, tmp_path):
     spark.dataSource.register(ExportSource)
     got = spark.read.format("provider_export").option("path", str(tmp_path)).load()
     assert rows(got, "channel", "content") == [("emails", "hi")]
+
+
+def test_names_of_many_words(spark):
+    aliases = spark.createDataFrame([("six", "The Group of Six Wise Owls"), ("dated", "2024 05 01 weekly sync"), ("one", "owl"), ("blank", "--"), ("none", None)], "id string, alias string")
+    asked = "What did the group of six wise owls say in 2024-05-01-weekly-sync?"
+    assert rows(retrieval.recognise(asked, aliases), "id") == [("dated",), ("six",)]
+    assert rows(retrieval.recognise("", aliases), "id") == [] and rows(retrieval.recognise("group of six wise", aliases), "id") == []
+    texts = spark.createDataFrame([("a", f"x {asked} y"), ("b", "an owl"), ("c", "the group of six wise"), ("d", None)], "path string, content string")
+    assert rows(retrieval.mentions(texts, aliases), "path", "id") == [("a", "dated"), ("a", "six"), ("b", "one")]
+    assert rows(retrieval.mentions(texts, aliases.where("false")), "path", "id") == []
