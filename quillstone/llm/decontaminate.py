@@ -99,7 +99,7 @@ class Index:
         self.bound = np.maximum(1, self.size + 1 - Q * (self.edits + 1))
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
-        """(document, item) of verified regions."""
+        """(document, place of the item in `items`) of verified regions."""
         if not len(self.keys):
             return []
         hashes = gram_hashes(buf)
@@ -132,11 +132,11 @@ class Index:
                 own = slice(*np.searchsorted(group, [g, g + 1]).tolist())
                 head = some[own.start]
                 d, w = int(doc[head]), int(item[head])
-                if found.get((d, self._item(w))):
+                if found.get((d, w)):
                     continue
                 lo = (2 * int(band[head]) - back) * int(width[head])
                 if self._meets(w, places[own], buf[off[d] : off[d + 1]], lo, lo + 2 * int(width[head])):
-                    found[d, self._item(w)] = True
+                    found[d, w] = True
         return list(found)
 
     def _meets(self, w: int, places: np.ndarray, text: np.ndarray, lo: int, hi: int) -> bool:
@@ -170,10 +170,6 @@ class Index:
             begin, step = begin + step, BATCH
         return False
 
-    def _item(self, place: int):
-        item = self.items[place]
-        return -1 if item is None else item
-
 
 def within(window: bytes, region: bytes, edits: int) -> bool:
     """Is some stretch of `region` within `edits` edits of the whole `window`? Rows of the window against the band."""
@@ -221,9 +217,10 @@ def _run(index: Index):
             dirty = np.zeros(part.num_rows, bool)
             for i, j in slices(off):
                 own, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for d, item in index.search(own, at):
+                for d, w in index.search(own, at):
                     dirty[i + d] = True
-                    if item >= 0:
+                    item = index.items[w]
+                    if item is not None:
                         lists[i + d].append(item)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("row"), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64())), pa.array(dirty)],

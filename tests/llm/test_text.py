@@ -149,6 +149,14 @@ def test_decontamination_of_windows_at_every_offset():
     assert cut(broken) == [] and cut(short) == []
 
 
+def test_decontamination_reports_negative_ids(spark):
+    items = [(-1, LONG[:200]), (-(2**40), LONG[:120]), (None, LONG[:150]), (3, "something else " * 12)]
+    docs = spark.createDataFrame([(1, LONG[:400]), (2, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1]["item_ids"] == [-(2**40), -1] and got[1]["n_items"] == 2 and got[1]["contaminated"]
+    assert got[2]["item_ids"] == [] and not got[2]["contaminated"]
+
+
 def test_decontamination_odd_rows(spark, odd, clashing, none, sample):
     items = spark.createDataFrame([(1, LONG[:300]), (2, None)], "item_id long, text string")
     for docs in (odd, clashing):
