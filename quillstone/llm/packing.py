@@ -16,8 +16,8 @@ probability of 1e-7, and would then share their ids.
 
 Scale. Tokenised rows are written once (two bytes an id) with their place in their partition's part of
 the queue; the parts' sizes, one row per partition and source, give each part's place in its queue.
-The driver holds one total per queue, at most MAX_QUEUES: where there are more sources, sources share
-queues by their hash.
+The queues' totals and their running sum are a table too, so any number of sources is as exact as one.
+The driver holds the totals of the queues that have a target, and one sum for each range of queues.
 
 Defined cases: a null text is empty, and an empty document is its closing id alone; a null source is a
 queue like any other; repeated rows are each packed; an empty table gives no rows; a document longer
@@ -38,7 +38,6 @@ from quillstone.llm.common import _LOWER, batches, buffer_of, slices, stash, tex
 
 LENGTH = 4096
 CLOSING = 2
-MAX_QUEUES = 4096
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
 SLICE = 4 << 20  # bytes of text at a time; every slice passes over the remembered words
 _MARK = b"\x01"  # stands alone between words that are tokenised together
@@ -210,45 +209,49 @@ class Schedule:
 
     def pieces(self, queue, first: int, size: int):
         """(window, offset there, tokens) of `size` tokens of a queue from its token `first` on."""
-        k = 0
-        while size:
-            at, end, table, whole = self.phases[k]
-            k += 1
-            if queue not in table:
-                continue
-            done, before, share = table[queue]
-            served = lambda p: done + p * (before + share) // whole - p * before // whole  # noqa: B023, E731
-            if served(end - at) <= first:
-                continue
-            # The window where token `first` is served: about first / share, then exactly.
-            w = (at + ((first - done) * whole // share if share else 0)) // LENGTH
-            stop = lambda w: min((w + 1) * LENGTH, end) - at  # noqa: B023, E731
-            while w * LENGTH > at and served(w * LENGTH - at) > first:
-                w -= 1
-            while served(stop(w)) <= first:
-                w += 1
-            while size and w * LENGTH < end:
-                begin = max(w * LENGTH, at) - at
-                lo, hi = served(begin), served(stop(w))
-                n = min(size, hi - first)
-                if n > 0:
-                    # Before this queue's tokens come those of the queues before it, and the window's earlier phase.
-                    ahead = stop(w) * before // whole - begin * before // whole
-                    yield w, begin + at - w * LENGTH + ahead + first - lo, n
-                    first += n
-                    size -= n
-                w += 1
-
-
-def _cut(schedule: Schedule):
+        return serve(((at, end, *table[queue], whole) for at, end, table, whole in self.phases if queue in table), first, size)
+
+
+def serve(phases, first: int, size: int):
+    """`Schedule.pieces` by a queue's own phases: (first position, end, its first token, sum of shares before, its share, sum of all)."""
+    phases = iter(phases)
+    while size:
+        at, end, done, before, share, whole = next(phases)
+        served = lambda p: done + p * (before + share) // whole - p * before // whole  # noqa: B023, E731
+        if served(end - at) <= first:
+            continue
+        # The window where token `first` is served: about first / share, then exactly.
+        w = (at + ((first - done) * whole // share if share else 0)) // LENGTH
+        stop = lambda w: min((w + 1) * LENGTH, end) - at  # noqa: B023, E731
+        while w * LENGTH > at and served(w * LENGTH - at) > first:
+            w -= 1
+        while served(stop(w)) <= first:
+            w += 1
+        while size and w * LENGTH < end:
+            begin = max(w * LENGTH, at) - at
+            lo, hi = served(begin), served(stop(w))
+            n = min(size, hi - first)
+            if n > 0:
+                # Before this queue's tokens come those of the queues before it, and the window's earlier phase.
+                ahead = stop(w) * before // whole - begin * before // whole
+                yield w, begin + at - w * LENGTH + ahead + first - lo, n
+                first += n
+                size -= n
+            w += 1
+
+
+def _cut(schedule: Schedule, begin: int, whole: int):
+    """Cuts by the schedule of the queues with a target; the others are one phase of `whole` tokens from `begin` on."""
+
     def run(parts):
         for part in parts:
             rows = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-            columns = [part.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "ids")]
-            for doc_id, queue, first, size, raw in zip(*columns, strict=True):
+            columns = [part.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "ids", "before", "share")]
+            for doc_id, queue, first, size, raw, before, share in zip(*columns, strict=True):
                 wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
                 start = 0
-                for window, offset, n in schedule.pieces(queue, first, size):
+                own = schedule.pieces(queue, first, size) if share is None else serve([(begin, begin + whole, 0, before, share, whole)], first, size)
+                for window, offset, n in own:
                     crc = zlib.crc32(wide[4 * start : 4 * (start + n)])
                     for c, v in zip(rows, (doc_id, start, n, crc, size, window, offset), strict=True):
                         rows[c].append(v)
@@ -261,20 +264,32 @@ def _cut(schedule: Schedule):
 def pack(docs: DataFrame, path: str | None = None, closing: int = CLOSING, targets: dict[str, int] | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    targets: whole-number shares by source; by default every source's share of the input.
+    targets: whole-number shares by source; by default every source's share of the input. Sources without
+    a target come after those with one, by their shares of what is left of the input.
     """
     spark = docs.sparkSession
     batches(spark)
-    many = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue = F.concat(F.lit("q"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")) if many else F.col("source").cast("string")
+    queue = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), text_bytes().alias("text"))
     tokens = stash(rows.mapInArrow(_tokenise(path or tokenizer_path(), closing), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     parts = stash(parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "parts")
-    totals = {r["queue"]: int(r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES at most
-    placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base"), (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
-    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "doc_tokens", "ids")
-    return placed.mapInArrow(_cut(Schedule(totals, targets)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    named = {q: w for q, w in (targets or {}).items() if w}
+    aimed = F.coalesce(F.col("queue").isin(*named), F.lit(False)) if named else F.lit(False)
+    totals = {r["queue"]: int(r["n"]) for r in parts.where(aimed).groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one a target
+    others = parts.where(~aimed).groupBy("queue").agg(F.sum("n").alias("share"))
+    others = stash(others.orderBy("queue").withColumn("range", F.spark_partition_id()), "queues")
+    sums, whole = [], 0
+    for r in others.groupBy("range").agg(F.sum("share").alias("n")).orderBy("range").collect():  # one a partition
+        sums.append((r["range"], whole))
+        whole += int(r["n"])
+    sums = spark.createDataFrame(sums, "range int, ahead long")
+    running = F.sum("share").over(Window.partitionBy("range").orderBy("queue")) - F.col("share")
+    others = others.join(F.broadcast(sums), "range").select(F.col("queue").alias("o"), (F.col("ahead") + running).alias("before"), "share")
+    parts = parts.join(others, F.col("queue").eqNullSafe(F.col("o")), "left")
+    placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base", "before", "share"), (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
+    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "doc_tokens", "ids", "before", "share")
+    return placed.mapInArrow(_cut(Schedule(totals, named), sum(totals.values()), whole), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 common.ship(__name__)

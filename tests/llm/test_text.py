@@ -57,6 +57,19 @@ def test_mixture_in_every_window():
         assert all(abs(got[w, q] - 4096 * n / 50_000) <= 1 for q, n in totals.items())
 
 
+def test_targets_among_many_sources(spark):
+    docs = [(i, "one two three", f"s{i}") for i in range(4200)] + [(10_000 + i, "word " * 1500, "ab"[i % 2]) for i in range(16)]
+    pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets={"a": 3, "b": 1}).collect()
+    by = {}
+    for p in pieces:
+        own = "other" if p["doc_id"] < 10_000 else "ab"[p["doc_id"] % 2]
+        by[p["sequence_id"], own] = by.get((p["sequence_id"], own), 0) + p["length"]
+    assert (by[0, "a"], by[0, "b"]) == (3072, 1024) and (0, "other") not in by
+    spans = sorted((4096 * p["sequence_id"] + p["offset"], p["length"]) for p in pieces)
+    assert all(x + n == y for (x, n), (y, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+    assert {p["doc_id"] for p in pieces} == {d[0] for d in docs}
+
+
 def test_targets_with_odd_shares():
     totals = {"a": 5, "b": 10_000, None: 3, "d": 0}
     s = packing.Schedule(totals, {"a": 1})
