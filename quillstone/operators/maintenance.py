@@ -39,7 +39,24 @@ def merge(pages: DataFrame, identity: str, slug: str, *lists: str) -> DataFrame:
 
 
 def link_candidates(stubs: DataFrame, canonical: DataFrame, distance: int = 2, prefix: int = 3) -> DataFrame:
-    """(stub, slug, distance): stubs within an edit distance of a canonical slug that begins alike (the block)."""
+    """(stub, slug, distance): stubs within an edit distance of a canonical slug that begins alike (the block).
+
+    With prefix 0 there is no block and no pair is lost, each given once: names within `distance` edits
+    have a text in common that leaves out at most `distance` characters of each.
+    """
+    if not prefix:
+        left_out = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        shorter = lambda x: F.when(F.length(x) > 0, left_out(x)).otherwise(F.array().cast("array<string>"))
+
+        def keys(c: str):
+            found = F.array(F.col(c))
+            for _ in range(distance):
+                found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
+            return F.explode(found).alias("_k")
+
+        a, b = stubs.select(F.col("slug").alias("stub")).distinct(), canonical.select("slug").distinct()
+        pairs = a.select("stub", keys("stub")).join(b.select("slug", keys("slug")), "_k").where("stub <> slug").select("stub", "slug").distinct()
+        return pairs.withColumn("distance", F.levenshtein("stub", "slug", distance)).where("distance >= 0")
     block = F.substring("slug", 1, prefix)
     a = stubs.select(F.col("slug").alias("stub"), block.alias("_b"))
     b = canonical.select("slug", block.alias("_b"))

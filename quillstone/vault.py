@@ -204,7 +204,7 @@ class Vault:
     def link(self, distance: int = 2) -> DataFrame:
         """(stub, slug, distance): canonical pages that tofile stubs may be."""
         pages = self.table("pages")
-        return maintenance.link_candidates(pages.where("type = 'tofile'"), pages.where("type <> 'tofile'"), distance)
+        return maintenance.link_candidates(pages.where("type = 'tofile'"), pages.where("type <> 'tofile'"), distance, prefix=0)
 
     def merge(self) -> DataFrame:
         """Fold pages with one identity key into the smallest slug; the others become redirects. Returns (identity_key, keeper, n)."""

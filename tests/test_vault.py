@@ -267,3 +267,26 @@ def test_names_of_many_words(spark):
     texts = spark.createDataFrame([("a", f"x {asked} y"), ("b", "an owl"), ("c", "the group of six wise"), ("d", None)], "path string, content string")
     assert rows(retrieval.mentions(texts, aliases), "path", "id") == [("a", "dated"), ("a", "six"), ("b", "one")]
     assert rows(retrieval.mentions(texts, aliases.where("false")), "path", "id") == []
+
+
+def test_links_are_those_of_brute_force(spark):
+    import itertools
+    import types
+
+    from quillstone.vault import Vault
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    slugs = ["error-budget", "acme", "carol-jones", "ab", "x"]
+    stubs = ["eror-budget", "error-budgt", "rror-budge", "xacme", "cmae", "arol-jonse", "carol", "ba", "y", "", "acme"]
+    table = spark.createDataFrame([(s, "topic") for s in slugs] + [(s, "tofile") for s in stubs], "slug string, type string")
+    for distance in (1, 2):
+        want = sorted((a, b, edits(a, b)) for a, b in itertools.product(stubs, slugs) if a != b and edits(a, b) <= distance)
+        assert rows(Vault.link(types.SimpleNamespace(table=lambda _: table), distance), "stub", "slug", "distance") == want
