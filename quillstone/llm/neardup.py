@@ -416,17 +416,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs`, all columns: one of each component, and those without words; repeats of a kept row's id go too.
 
     A component's row is the one of its smallest doc_id (of equal ids the first by text); components
-    without any id keep one row.
+    without any id keep one row. Of rows without words all that have no id stay.
     """
     found = near_duplicates(docs, width, percent, extra=True)
-    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("m")).select("m.doc_id", "m.h1", "m.h2")
-    bare = found.where("n_shingles = 0").select("doc_id", "h1", "h2").distinct()
+    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("m")).select("m.doc_id", "m.h1", "m.h2", F.lit(False).alias("all"))
+    bare = found.where("n_shingles = 0").select("doc_id", "h1", "h2", F.col("doc_id").isNull().alias("all")).distinct()
     key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("none"))
-    keep = stash(best.union(bare).select(key(F.col("doc_id")).alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "keep")
+    keep = stash(best.union(bare).select(key(F.col("doc_id")).alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("all").alias("_all")), "keep")
     text = F.coalesce("text", F.lit(""))
     # Own names for all columns meanwhile, so that none of the table's can clash.
     own = docs.select(F.struct("*").alias("_row"), key(F.col("doc_id")).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(width), text).alias("_h2"))
-    return own.join(keep, ["_id", "_h1", "_h2"], "left_semi").groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row.*")
+    kept = own.join(keep, ["_id", "_h1", "_h2"]).withColumn("_each", F.when(F.col("_all"), F.monotonically_increasing_id()))
+    return kept.groupBy("_id", "_h1", "_h2", "_each").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 common.ship(__name__)

@@ -99,3 +99,9 @@ def test_collisions_are_corrected():
     a, b = (neardup.registers(np.unique(rng.integers(0, 2**64, 4000, np.uint64)))[None] for _ in "ab")
     got, _ = neardup.estimate(a, b, np.array([4000]), np.array([4000]))
     assert abs(got[0]) < 0.02
+
+
+def test_keep_one_keeps_rows_without_id_and_words(spark):
+    docs = [(None, None), (None, ""), (None, ""), (None, " \n"), (None, " \n"), (1, ""), (1, ""), (None, "a b c d e f g"), (None, "a b c d e f g")]
+    kept = neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in [*docs[:6], docs[7]])
