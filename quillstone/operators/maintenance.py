@@ -100,9 +100,9 @@ def thread(raw: DataFrame, wiki: DataFrame, topic: str, text: str = "text", at:
     return rows.where(F.contains(F.lower(text), F.lit(topic.lower()))).orderBy(at, "path")
 
 
-def narrative(timeline: DataFrame, topic: str, most: int = 1000) -> str:
-    """A thread page as Markdown, from the first `most` entries of a timeline."""
-    return "\n".join([f"# {topic}", "", *(f"- {r['at']} ({r['layer']}, {r['path']}): {r['text']}" for r in timeline.limit(most).collect())])
+def narrative(timeline: DataFrame, topic: str) -> str:
+    """A thread page as Markdown, from all entries of a timeline in its order; the page is one string on the driver."""
+    return "\n".join([f"# {topic}", "", *(f"- {r['at']} ({r['layer']}, {r['path']}): {r['text']}" for r in timeline.toLocalIterator())])
 
 
 def scaffold(root: str, contract: str = "CONTRACT.md") -> list[str]:

@@ -290,3 +290,8 @@ def test_links_are_those_of_brute_force(spark):
     for distance in (1, 2):
         want = sorted((a, b, edits(a, b)) for a, b in itertools.product(stubs, slugs) if a != b and edits(a, b) <= distance)
         assert rows(Vault.link(types.SimpleNamespace(table=lambda _: table), distance), "stub", "slug", "distance") == want
+
+
+def test_narrative_has_every_entry(spark):
+    timeline = spark.range(2500).selectExpr("id AS at", "'raw' AS layer", "concat('p', id) AS path", "'x' AS text").orderBy("at")
+    assert maintenance.narrative(timeline, "t").split("\n")[2:] == [f"- {i} (raw, p{i}): x" for i in range(2500)]
