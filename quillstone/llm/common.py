@@ -6,22 +6,19 @@ the word and shingle work is vectorised over the whole buffer.
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; documents of some hundred kB each then still fit a worker.
-BATCH_ROWS = 1000
-#: Bytes of text that one vectorised step takes at a time (a longer document is taken whole).
-SLICE_BYTES = 1 << 20
+from quillstone.shared import stash, unstash  # noqa: F401 - for the operators
 
-_made: list[tuple[SparkSession, str]] = []
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bytes of text that one vectorised step takes at a time; byte work on a longer document goes in steps of this size.
+SLICE_BYTES = 1 << 20
 
 
 def ship(name: str) -> None:
@@ -29,47 +26,16 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and return the written table, which cuts the lineage.
+def batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in rows and bytes.
 
-    Unlike an executor's cache or local checkpoint, the files outlive lost executors.
+    The session's settings are lowered and stay so: they count when a plan runs, which is after an
+    operator has returned it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_drop_all)
-    _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_all() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001, PERF203 - the session may be gone at exit
-            return
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; the default of 10,000 rows can be a GB of long documents."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most, unit in (("maxRecordsPerBatch", BATCH_ROWS, ""), ("maxBytesPerBatch", BATCH_BYTES, "b")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > most:
+            spark.conf.set(name, f"{most}{unit}")
 
 
 def text_bytes(text: str | Column = "text") -> Column:
@@ -182,14 +148,25 @@ _INK = np.where(_SPACE, np.uint64(0), _BYTE)
 
 
 def run_hashes(buf: np.ndarray, starts: np.ndarray, value_of: np.ndarray) -> np.ndarray:
-    """Sums, over each run from a start to the next, of the bytes' values times powers of their place."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    at = np.arange(starts[0], len(buf), dtype=np.int32)
-    at -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(buf)))
-    value = value_of[buf[starts[0] :]]
-    value *= _powers(int(at.max()) + 1)[at]
-    return np.add.reduceat(value, starts - starts[0])
+    """Sums, over each run from a start to the next, of the bytes' values times powers of their place.
+
+    SLICE_BYTES at a time: a run that goes on in the next step has the power of its place there before its sum.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    n = len(buf)
+    for p in range(int(starts[0]) if len(starts) else n, n, SLICE_BYTES):
+        q = min(p + SLICE_BYTES, n)
+        lo, hi = int(np.searchsorted(starts, p, "right")) - 1, int(np.searchsorted(starts, q))
+        heads = starts[lo:hi] - p
+        heads[0] = 0
+        at = np.arange(q - p, dtype=np.int32)
+        at -= np.repeat(heads.astype(np.int32), np.diff(heads, append=q - p))
+        value = value_of[buf[p:q]]
+        value *= _powers(int(at.max()) + 1)[at]
+        sums = np.add.reduceat(value, heads)
+        sums[:1] *= np.uint64(pow(_STEP, p - int(starts[lo]), 1 << 64))
+        out[lo:hi] += sums
+    return out
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -46,8 +46,9 @@ def normalised(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         drop[0] = False
     heads = off[:-1][(off[:-1] > 0) & (off[:-1] < len(buf))]
     drop[heads] = False
-    kept = np.concatenate([[0], np.cumsum(~drop)])
-    return low[~drop], kept[off]
+    keep = ~drop
+    sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return low[keep], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:

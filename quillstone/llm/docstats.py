@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _BYTE, batches, buffer_of, mix, run_hashes, shingle_hashes, slices, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _BYTE, _SPACE, SLICE_BYTES, batches, buffer_of, mix, run_hashes, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 8
-_CLASSES = ("other", "lower", "upper", "digit", "symbol", "stop", "bang", "continued", "wide")
-_CLASS = np.zeros(256, np.int64)
+_CLASSES = ("other", "lower", "upper", "digit", "symbol", "stop", "bang", "continued", "wide", "space")
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
@@ -21,6 +21,7 @@ _CLASS[[ord(c) for c in ".,;:"]] = 5
 _CLASS[[ord(c) for c in "!?"]] = 6
 _CLASS[0x80:0xC0] = 7  # not the first byte of a code point
 _CLASS[0xC0:] = 8
+_CLASS[_SPACE] = 9
 
 NAMES = (
     "n_chars_all", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ink_lines", "n_distinct_words",
@@ -32,6 +33,17 @@ def _owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _class_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bytes of each class per document, worked out in steps of SLICE_BYTES."""
+    m, k = len(off) - 1, len(_CLASSES)
+    out = np.zeros(m * k, np.int64)
+    for p in range(0, len(buf), SLICE_BYTES):
+        q = min(p + SLICE_BYTES, len(buf))
+        owner = np.repeat(np.arange(m), np.diff(np.clip(off, p, q)))
+        out += np.bincount(owner * k + _CLASS[buf[p:q]], minlength=m * k)
+    return out.reshape(m, k)
+
+
 def _per_doc(flags: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     return np.bincount(owner[flags], minlength=m)
 
@@ -50,14 +62,12 @@ def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def statistics(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """NAMES -> counts per document."""
     m = len(off) - 1
-    byte_owner = _owners(off)
-    classes = np.bincount(byte_owner * len(_CLASSES) + _CLASS[buf], minlength=m * len(_CLASSES)).reshape(m, -1)
+    classes = _class_counts(buf, off)
     kind = dict(zip(_CLASSES, classes.T, strict=True))
     starts, ends, first = word_spans(buf, off)
     owner = _owners(first)
     words = word_hashes(buf, starts, ends)
     salt = mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    heads = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     # Words in windows that occur twice or more in their text.
     runs = shingle_hashes(words, WINDOW)
     inside = owner[: len(runs)] == owner[WINDOW - 1 :] if len(runs) else np.zeros(0, bool)
@@ -90,11 +100,11 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "n_chars_all": classes.sum(1) - kind["continued"],
         "n_words": np.diff(first),
-        "word_chars": np.bincount(owner, heads[ends] - heads[starts], m).astype(np.int64),
+        "word_chars": classes.sum(1) - kind["continued"] - kind["space"],
         "n_symbols": kind["symbol"],
         "n_dup_lines": _per_doc(late_line, line_owner[inked], m),
         "n_repeat_words": _per_doc(repeated, owner, m),
-        "n_lines": np.bincount(byte_owner[breaks], minlength=m) + 1,
+        "n_lines": np.bincount(np.searchsorted(off, breaks, "right") - 1, minlength=m) + 1,
         "n_ink_lines": np.bincount(line_owner[inked], minlength=m),
         "n_distinct_words": np.diff(first) - _per_doc(late, owner, m),
         "n_same_next": _per_doc(same_next, owner, m),

@@ -7,11 +7,12 @@ that an escaped context knows are excluded from the shallower ones. The trie is
 scoring, so a byte's code length depends on its last six bytes alone. Text is coded in UTF-8 with
 A-Z lower-cased; 0xFE stands for the start of the text and 0xFF for its end, neither occurs in UTF-8.
 
-Scale. The trie is a table of (context and byte, count), never held in one place. Documents are dealt
-into groups of a bounded number of bytes; each group sends its distinct 6-byte strings and words with
-their training counts, the counts are summed by key, code lengths are worked out in subtrees of one
+Scale. The trie is a table of (context and byte, count), never held in one place. Documents are dealt,
+as they are scanned, into groups of a bounded number of bytes and written down so, as which group a row is
+in must not change when a lost executor's work is done again. Each group sends its distinct 6-byte
+strings and words with their training counts, the counts are summed by key, code lengths are worked out in subtrees of one
 three-byte context (at most 256 ** 3 rows, by the size of the alphabet), and each group gets back
-only the rows of its own strings. Only the orders below 3 go to every task: at most 256 ** 3 counts by
+only the rows of its own strings, for which its text moves once. Only the orders below 3 go to every task: at most 256 ** 3 counts by
 the size of the alphabet, some ten thousand in practice.
 
 Words are counted by a 64-bit hash of their bytes; two of a billion distinct words share one with a
@@ -28,15 +29,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, batches, buffer_of, pieces, release, remainder, stash, text_bytes, word_hashes, word_spans  # noqa: F401 - buffer_of for tests
+from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, release, remainder, slices, stash, text_bytes, unstash, word_hashes, word_spans
 
 ORDER = 5
 ROOT = 3
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
+#: Partitions that groups are dealt over at most; each takes its groups one after the other.
+MOST_PARTITIONS = 20_000
+_ROWS = 200_000  # of an Arrow batch of keys
 START, END = 0xFE, 0xFF
 GRAM, WORD = 0, 1
 #: The end token's key among words; a word's hash takes this value with probability 2 ** -64.
@@ -64,6 +68,23 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[keep[ORDER:]], off + np.arange(m + 1)
 
 
+def gram_pieces(buf: np.ndarray, off: np.ndarray):
+    """`grams`, in steps of SLICE_BYTES for a single long document."""
+    n = len(buf)
+    if len(off) != 2 or n <= 2 * SLICE_BYTES:
+        yield grams(buf, off)
+        return
+    for a in range(0, n, SLICE_BYTES):
+        b = min(a + SLICE_BYTES, n)
+        head = buf[a - ORDER : a] if a else np.full(ORDER, START, np.uint8)
+        text = np.concatenate([head, buf[a:b], np.full(b == n, END, np.uint8)])
+        key = np.zeros(len(text) - ORDER, np.uint64)
+        for i in range(ORDER + 1):
+            key <<= np.uint64(8)
+            key |= text[i : len(text) - ORDER + i]
+        yield key, np.array([0, len(key)])
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -87,30 +108,65 @@ def _spread(train: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(train, np.diff(first))
 
 
-def _tally(key, table):
-    """Distinct strings and words of one group of documents, with their counts in its training rows."""
-    train = ~np.asarray(table.column("held").combine_chunks().to_numpy(zero_copy_only=False), bool)
-    got = {GRAM: [], WORD: []}
-    for i, j, buf, own in pieces(table.column("text")):
-        low = _LOWER[buf]
-        for kind, make in ((GRAM, grams), (WORD, _words)):
-            keys, first = make(low, own)
-            learn = _spread(train[i:j], first)
-            a, n = _counted(keys[learn])
-            b, _ = _counted(keys[~learn])
-            got[kind].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), n.dtype)])))
-        if len(got[GRAM]) >= 8:
-            got = {kind: [_merged(parts)] for kind, parts in got.items()}
-    got[WORD].append((END_KEY[None], train.sum(keepdims=True)))
-    out = [(kind, *_merged(parts)) for kind, parts in got.items()]
-    got.clear()
-    release()
-    return pa.table({
-        "g": pa.array(np.full(sum(len(k) for _, k, _ in out), key[0].as_py(), np.int32)),
-        "kind": pa.array(np.concatenate([np.full(len(k), kind, np.int8) for kind, k, _ in out])),
-        "key": pa.array(np.concatenate([k for _, k, _ in out]).view(np.int64)),
-        "c": pa.array(np.concatenate([c for _, _, c in out]).astype(np.int64)),
-    })
+def _deal(limit: int):
+    """Adds the group: a partition's rows in order, about `limit` bytes of text a group."""
+
+    def run(parts):
+        from pyspark import TaskContext
+
+        base, used = TaskContext.get().partitionId() << 32, 0
+        for part in parts:
+            _, off = buffer_of(part.column("text"))
+            before = used + off[:-1] + 64 * np.arange(len(off) - 1)
+            used += int(off[-1]) + 64 * (len(off) - 1) if len(off) > 1 else 0
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base + before // limit)], ["doc_id", "held", "text", "g"])
+
+    return run
+
+
+def _table(g: int, got: dict):
+    """A group's keys and counts as Arrow batches."""
+    for kind, parts in got.items():
+        keys, counts = _merged(parts)
+        for i in range(0, len(keys), _ROWS):
+            k, c = keys[i : i + _ROWS], counts[i : i + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), g)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["g", "kind", "key", "c"])
+
+
+def _tally(parts):
+    """Distinct strings and words of each group of documents, with their counts in its training rows.
+
+    A group that lies in several partitions' rows gives some keys more than once, with parts of their counts.
+    """
+    now, got = None, {}
+    for part in parts:
+        groups = np.asarray(part.column("g"))
+        cuts = np.flatnonzero(np.diff(groups)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)], strict=True):
+            if lo == hi:
+                continue
+            if now != groups[lo]:
+                if got:
+                    yield from _table(now, got)
+                    release()
+                now, got = int(groups[lo]), {GRAM: [], WORD: []}
+            own = part.slice(lo, hi - lo)
+            train = ~np.asarray(own.column("held").to_numpy(zero_copy_only=False), bool)
+            buf, off = buffer_of(own.column("text"))
+            got[WORD].append((END_KEY[None], train.sum(keepdims=True)))
+            for i, j in slices(off):
+                low, at = _LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+                for kind, made in ((GRAM, gram_pieces(low, at)), (WORD, [_words(low, at)])):
+                    for keys, first in made:
+                        learn = _spread(train[i:j], first)
+                        a, n = _counted(keys[learn])
+                        b, _ = _counted(keys[~learn])
+                        got[kind].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), n.dtype)])))
+                        if len(got[kind]) >= 8:
+                            got[kind] = [_merged(got[kind])]
+    if got:
+        yield from _table(now, got)
+        release()
 
 
 class _Ladder:
@@ -216,14 +272,16 @@ class _Lookup:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of `keys`, all of which must be in the table."""
+        """Values of `keys`; one that isn't in the table is an error."""
         slot = self._slot(keys)
         got = self.at[slot]
-        wrong = np.flatnonzero(self.keys[got] != keys)
+        wrong = np.flatnonzero((got < 0) | (self.keys[got] != keys))
         while len(wrong):
+            if (got[wrong] < 0).any():
+                raise KeyError("a group's model lacks one of its strings")
             slot[wrong] = (slot[wrong] + 1) & self.mask
             got[wrong] = self.at[slot[wrong]]
-            wrong = wrong[self.keys[got[wrong]] != keys[wrong]]
+            wrong = wrong[(got[wrong] < 0) | (self.keys[got[wrong]] != keys[wrong])]
         return self.values[got]
 
 
@@ -241,18 +299,19 @@ def _score(total: int, distinct: int):
         keys = keys.view(np.uint64)
         cost, count = (_Lookup(keys[kind == k], value[kind == k]) for k in (GRAM, WORD))
         unit = math.log10(total + distinct + 1)
-        end = math.log10((count(END_KEY[None])[0] if docs.num_rows else 0) + 1) - unit
-        known_end = int(docs.num_rows and count(END_KEY[None])[0] > 0)
+        end_count = count(END_KEY[None])[0] if docs.num_rows else 0
+        end, known_end = math.log10(end_count + 1) - unit, int(end_count > 0)
         cols = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for _, _, buf, own in pieces(docs.column("text")):
-            low = _LOWER[buf]
-            strings, first = grams(low, own)
-            cols["score"].append(_sums(cost(strings), first))
-            words, first = _words(low, own)
-            c = count(words)
-            cols["n_tokens"].append(np.diff(first) + 1)
-            cols["n_known"].append(_sums((c > 0).astype(float), first).astype(np.int64) + known_end)
-            cols["base_score"].append(_sums(np.log10(c + 1) - unit, first) + end)
+        for chunk in docs.column("text").chunks:
+            buf, off = buffer_of(chunk)
+            for i, j in slices(off):
+                low, at = _LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+                cols["score"].append(sum(_sums(cost(strings), first) for strings, first in gram_pieces(low, at)))
+                words, first = _words(low, at)
+                c = count(words)
+                cols["n_tokens"].append(np.diff(first) + 1)
+                cols["n_known"].append(_sums((c > 0).astype(float), first).astype(np.int64) + known_end)
+                cols["base_score"].append(_sums(np.log10(c + 1) - unit, first) + end)
         out = {c: pa.array(np.concatenate(v)) if v else pa.array([], pa.float64()) for c, v in cols.items()}
         del cost, count, kind, keys, value
         release()
@@ -267,26 +326,23 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     Rows whose crc32(doc_id) mod `folds` is `held_fold` are scored but not learned from.
     """
     batches(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
-    groups = max(1, math.ceil(size / GROUP_BYTES))
-    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", folds) == held_fold).alias("held"), text_bytes().alias("text"), dealt.alias("g"))
-    tallied = stash(dealt.groupBy("g").applyInArrow(_tally, "g int, kind byte, key long, c long"), "tallied")
-    words = tallied.where(f"kind = {WORD}")
-    words = stash(words.select("g", "kind", "key", F.sum("c").over(Window.partitionBy("key")).cast("double").alias("value"), "c"), "words")
-    total = words.agg(F.sum("c")).first()[0] or 0
-    # Each known word once: its rows carry its whole count, so those of weight c / value sum to 1.
-    distinct = round(words.where("value > 0").agg(F.sum(F.col("c") / F.col("value"))).first()[0] or 0)
-    strings = tallied.where(f"kind = {GRAM}")
-    model = stash(strings.groupBy("key").agg(F.sum("c").alias("c")), "model")
-    pairs = model.groupBy((F.col("key") % (1 << 8 * ROOT)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # 256 ** ROOT rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", folds) == held_fold).alias("held"), text_bytes().alias("text"))
+    dealt = stash(rows.mapInArrow(_deal(GROUP_BYTES), "doc_id long, held boolean, text binary, g long"), "dealt")
+    tallied = stash(dealt.mapInArrow(_tally, "g long, kind byte, key long, c long"), "tallied")
+    groups = max(1, min(MOST_PARTITIONS, tallied.select("g").distinct().count()))
+    model = stash(tallied.groupBy("kind", "key").agg(F.sum("c").alias("c")), "model")
+    words, strings = model.where(f"kind = {WORD}"), model.where(f"kind = {GRAM}")
+    known = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
+    pairs = strings.groupBy((F.col("key") % (1 << 8 * ROOT)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # 256 ** ROOT rows at most
     low = _Ladder(np.asarray(pairs["key"]).view(np.uint64), np.asarray(pairs["c"]), ROOT - 1, 0)
     root = F.shiftright("key", 8) % (1 << 8 * ROOT)
-    priced = model.withColumn("root", root).repartition("root").sortWithinPartitions("root").select("key", "c").mapInArrow(_subtrees(low), "key long, value double")
-    priced = strings.select("g", "kind", "key").join(priced, "key").select("g", "kind", "key", "value")
-    table = priced.union(words.select("g", "kind", "key", "value"))
+    priced = strings.withColumn("root", root).repartition("root").sortWithinPartitions("root").select("key", "c").mapInArrow(_subtrees(low), "key long, value double")
+    priced = priced.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").union(words.select("kind", "key", F.col("c").cast("double")))
+    table = stash(tallied.select("g", "kind", "key").join(priced, ["kind", "key"]).select("g", "kind", "key", "value"), "priced")
+    unstash(tallied, model)
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("g").cogroup(table.groupBy("g")).applyInArrow(_score(total, distinct), kinds)
+    sides = (x.repartition(groups, "g").groupBy("g") for x in (dealt, table))
+    return next(sides).cogroup(next(sides)).applyInArrow(_score(known["total"], known["distinct"]), kinds)
 
 
 common.ship(__name__)

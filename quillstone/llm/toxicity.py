@@ -9,7 +9,9 @@ never seen shares most n-grams, hence most of its vector, with the word it comes
 
 Scale. Scoring is one pass over the rows, without a shuffle; the model is BUCKETS x DIM floats whatever
 the input. It is fitted on the driver from the whole texts of at most `max_rows` labelled training
-rows, all of label 1 first up to half of them, taken by the smallest hash of doc_id.
+rows, all of label 1 first up to half of them, taken by the smallest hash of doc_id, as long as they have
+`max_bytes` together: a row whose text would go beyond is passed over. A document longer than SLICE_BYTES is
+scored in steps of as many words as half of that.
 
 Defined cases: null, empty and wordless texts have the score of an empty window; different labels of one
 doc_id are a training row each, equal ones and repeated rows one (of different texts the least); with no training rows, or one class only, every score is the
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, batches, buffer_of, mix, remainder, slices, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, mix, remainder, slices, stash, text_bytes, unstash, word_hashes, word_spans
 
 BUCKETS, DIM = 1 << 16, 16
 GRAM_SIZES = (3, 4, 5)
@@ -137,11 +139,27 @@ class Model:
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probability of label 1 per document."""
-        words, place, first = words_of(buf, off)
-        heads, span, begin = _windows(first, len(place))
-        whole, _ = _pooled(np.add.reduceat(self.words(words)[place], heads) / span, begin)
+        if len(off) == 2 and len(buf) > 2 * SLICE_BYTES:
+            logit = self._long(buf)
+            begin = np.zeros(1, np.int64)
+        else:
+            words, place, first = words_of(buf, off)
+            heads, span, begin = _windows(first, len(place))
+            logit = np.add.reduceat(self.words(words)[place], heads) / span
+        whole, _ = _pooled(logit, begin)
         return 1 / (1 + np.exp(-np.clip(whole + self.bias, -50, 50)))
 
+    def _long(self, buf: np.ndarray) -> np.ndarray:
+        """The windows' logits of one document, a whole number of windows' words at a time."""
+        starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
+        out, step = [], SLICE_BYTES // 16 * WINDOW
+        for i in range(0, max(len(starts), 1), step):
+            a, b = (starts[i], ends[min(i + step, len(ends)) - 1]) if len(starts) else (0, 0)
+            words, place, first = words_of(buf[a:b], np.array([0, b - a]))
+            heads, span, _ = _windows(first, len(place))
+            out.append(np.add.reduceat(self.words(words)[place], heads) / span)
+        return np.concatenate(out)
+
 
 def _scores(model: Model, parts):
     """(scores, batch) of batches with a column text."""
@@ -159,7 +177,7 @@ def _score(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 2_000, max_bytes: int = 8 << 20) -> Model:
     """The model of the training rows (fold not 1 of 3) of `docs`; see the module for what it takes."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(remainder("doc_id", 3) != 1).distinct()
     shares = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -167,7 +185,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     first = lambda y, n: own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     pick = F.broadcast(first(1, ones).union(first(0, max_rows - ones)))  # max_rows at most
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(pick, "doc_id")
-    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").select("y", "text").toArrow()
+    found = stash(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "training")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"))
+    sizes = found.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(*order).collect()  # max_rows at most
+    left, chosen = max_bytes, []
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["doc_id"], r["y"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, y int"))
+    rows = found.join(chosen, ["doc_id", "y"]).orderBy(*order).select("y", "text").toArrow()  # max_bytes at most
+    unstash(found)
     y = np.asarray(rows["y"]).astype(float)
     start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if not len(y) or y.min() == y.max():
@@ -175,10 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return Model(start).fit(rows["text"].to_pylist(), y)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, max_bytes: int = 8 << 20) -> DataFrame:
     """Per row of `docs`: doc_id, held_out, score, predicted."""
     batches(docs.sparkSession)
-    model = train(docs, labels, label, max_rows)
+    model = train(docs, labels, label, max_rows, max_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 3) == 1).alias("held_out"), text_bytes().alias("text"))
     out = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -192,10 +220,10 @@ def _keep(model: Model, threshold: float):
     return run
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, max_bytes: int = 8 << 20) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `threshold`."""
     batches(docs.sparkSession)
-    return docs.mapInArrow(_keep(train(docs, labels, label, max_rows), threshold), docs.schema)
+    return docs.mapInArrow(_keep(train(docs, labels, label, max_rows, max_bytes), threshold), docs.schema)
 
 
 common.ship(__name__)
