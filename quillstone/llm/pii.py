@@ -2,10 +2,11 @@
 
 Base kinds, leftmost and not overlapping within a kind: email, ip (four parts of at most 255), card (16 to
 19 digits passing Luhn) and phone (8 to 15 digits); a match that fails its test is dropped and not
-retried. They are always reported. Added kinds are reported from a score of 0.6: iban (the mod-97
-check confirms it), short_card (13 to 15 digits passing Luhn) and national_id (3-2-4 digits), of which
-the last two have no or a weak checksum and need a context word. A checksum gives 0.6 (a weak one
-0.4), a bare pattern 0.3, a word of the kind's context within 48 characters adds 0.3, a word that
+retried. They are always reported, whatever their score. Added kinds are reported from a score of 0.6: iban (the mod-97
+check confirms it), short_card (13 to 15 digits passing Luhn), national_id (3-2-4 digits) and secret (32
+or more letters and digits of both sorts in a row, as keys and tokens have), of which
+the last three have no or a weak checksum and need a context word. A strong checksum or an address's own form gives
+0.6, a weak one 0.4, a bare pattern 0.3; a word of the kind's context within 48 characters adds 0.3, a word that
 speaks against it takes 0.3.
 
 Scale. One pass over each row, no shuffle, no state; every pattern takes time linear in the text, so a
@@ -28,17 +29,18 @@ from quillstone.llm import common
 from quillstone.llm.common import batches
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("iban", "short_card", "national_id")
+ADDED = ("iban", "short_card", "national_id", "secret")
 REPORT_FROM = 0.6
 
 # Possessive forms of the contract's patterns: what follows a run can't be part of it, so they match the same.
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}+(?![A-Za-z0-9])")
 # Words that speak for a kind, and against any.
 _FOR = {
     "email": r"e-?mail|mail|contact|write",
@@ -48,10 +50,13 @@ _FOR = {
     "iban": r"iban|account|bank|transfer|konto|compte|cuenta",
     "short_card": r"card|amex|visa|credit|debit|payment",
     "national_id": r"ssn|social|security|national|identity|tax",
+    "secret": r"token|secret|password|passwd|bearer|credential|(?:api|access|private)[ _-]?key",
 }
 _FOR = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in _FOR.items()}
 _AGAINST = re.compile(r"\b(?:version|isbn|order|invoice|serial|part|example|test)\b", re.I)
 _NEAR = 48
+#: Scores without context.
+BASE_SCORE = {"email": 0.6, "ip": 0.4, "card": 0.6, "phone": 0.3, "iban": 0.6, "short_card": 0.4, "national_id": 0.3, "secret": 0.3}
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -70,17 +75,13 @@ def mod97(iban: str) -> bool:
 def _emails(text: str):
     at, done = text.find("@"), 0
     while at >= 0:
-        # A match starts where the run of local characters before the @ does; runs are short, so look back in steps.
-        back = 64
-        while True:
-            lo = max(done, at - back)
-            m = _LOCAL.search(text, lo, at)
-            if m is None or m.start() > lo or lo == done:
-                break
-            back *= 8
-        tail = _DOMAIN.match(text, at + 1) if m else None
+        # A match starts where the run of local characters before the @ does. No run is looked at twice: an @ ends it.
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        tail = _DOMAIN.match(text, at + 1) if start < at else None
         if tail:
-            yield m.start(), tail.end()
+            yield start, tail.end()
             done = tail.end()
         at = text.find("@", max(at + 1, done))
 
@@ -107,19 +108,21 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
         while len(whole) >= 15 and not mod97(whole) and " " in whole:  # words that follow may have been taken in
             whole = whole.rpartition(" ")[0]
         if mod97(whole):
-            found.append(("iban", m.start(), m.start() + len(whole), 0.6))
+            found.append(("iban", m.start(), m.start() + len(whole)))
     for m in _DIGITS.finditer(text):
         if 13 <= m.end() - m.start() <= 32:
             digits = _NOT_DIGIT.sub("", m[0])
             if 13 <= len(digits) <= 15 and luhn(digits) and not text[max(0, m.start() - 1) : m.start()] == "+":
-                found.append(("short_card", m.start(), m.end(), 0.4))
-    found += [("national_id", m.start(), m.end(), 0.3) for m in _NATIONAL.finditer(text)]
-    return [(kind, a, b) for kind, a, b, base in found if context_score(text, kind, a, b, base) >= REPORT_FROM]
+                found.append(("short_card", m.start(), m.end()))
+    found += [("national_id", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
+    found += [("secret", m.start(), m.end()) for m in _SECRET.finditer(text) if not m[0].isdigit() and not m[0].isalpha()]
+    return [s for s in found if context_score(text, *s) >= REPORT_FROM]
 
 
-def context_score(text: str, kind: str, a: int, b: int, base: float) -> float:
+def context_score(text: str, kind: str, a: int, b: int) -> float:
+    """How sure a span is: its kind's score, more or less what the words near it say."""
     near = text[max(0, a - _NEAR) : a] + " " + text[b : b + _NEAR]
-    return base + 0.3 * bool(_FOR[kind].search(near)) - 0.3 * bool(_AGAINST.search(near))
+    return round(BASE_SCORE[kind] + 0.3 * bool(_FOR[kind].search(near)) - 0.3 * bool(_AGAINST.search(near)), 1)
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
@@ -149,7 +152,7 @@ def redacted(text: str) -> str:
 
 def _find(parts):
     for part in parts:
-        rows = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+        rows = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "scores")}
         for text in part.column("text").to_pylist():
             spans = all_spans(text)
             base = [s for s in spans if s[0] in KINDS]
@@ -157,14 +160,16 @@ def _find(parts):
                 rows[f"n_{k}"].append(sum(s[0] == k for s in base))
             rows["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
             rows["spans"].append(_joined(spans))
+            rows["n_spans"].append(len(spans))
+            rows["scores"].append(",".join(str(context_score(text, *s)) for s in spans))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.int64() if c[:2] == "n_" else pa.string()) for c, v in rows.items())], ["doc_id", *rows])
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined)."""
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined), n_spans and scores (of the spans, in their order)."""
     batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, scores string")
 
 
 def _redact(parts):

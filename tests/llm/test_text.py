@@ -334,10 +334,17 @@ def test_pii_added_kinds_and_redaction(spark):
     assert sorted(map(tuple, pii.redact(docs).collect())) == [(1, None, "k"), (2, "x [EMAIL]", "k")]
 
 
+def test_pii_scores_and_secrets(spark):
+    texts = ["write to a@b.co", "a@b.co", "order a@b.co", "call +1 202 555 0143", 'token = "6df57b16f87eabefefcab67b433efd90636bb6bd"', "6df57b16f87eabefefcab67b433efd90636bb6bd", "secret " + "a" * 40]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["scores"] for i in range(7)] == ["0.9", "0.6", "0.3", "0.6", "0.6", "", ""]
+    assert [got[i]["n_spans"] for i in range(7)] == [1, 1, 1, 1, 1, 0, 0] and got[4]["spans"] == "secret:9:49"
+
+
 def test_pii_long_runs_are_linear():
     import time
 
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " (" * 150_000, "a." * 150_000 + "@", "A1" * 150_000, "DE12" + " A" * 150_000, "@" * 300_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " (" * 150_000, "a." * 150_000 + "@", "A1" * 150_000, "DE12" + " A" * 150_000, "@" * 300_000, "a" * 120_000 + " " + "a" * 33_000 + "@x.y", "a" * 150_000 + "@" + "b" * 150_000, "a-" * 75_000 + "@" + "b-" * 75_000 + "@c", "a1" * 150_000):
         at = time.time()
         pii.all_spans(text)
         assert time.time() - at < 5, text[:10]
