@@ -1,13 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens (its documents one after the other, each with a closing id). Window
-by window, each queue earns its share of the window's tokens and is served what it has earned; what is
-left of a token is a deficit that it carries into the next window. By default the shares are the
+by window, each queue earns its share of the window's tokens and is served what it has earned in whole runs of
+RUN tokens, so that sources, however many, don't cut documents to crumbs; what is
+left of a run is a deficit that it carries into the next window. By default the shares are the
 queues' own sizes, so that every window has the mixture of the whole input and all queues run dry
-together; with `targets`, a queue that runs dry leaves its share to the others.
+together; with `targets`, a queue that runs dry leaves its share to the others. What is left of a queue after its
+whole runs, less than one, comes at the end, queue after queue.
 
-With whole tokens, a queue's service until a window's end has a closed form (its share of the windows'
-tokens, rounded by the running sum of shares), so where any document is cut follows from its place in
+With whole runs, a queue's service until a window's end has a closed form (its share of the windows'
+runs, rounded by the running sum of shares), so where any document is cut follows from its place in
 its queue alone. No task has to see the windows before its own, deficits pass windows and partitions
 by arithmetic, and only the last window can be short.
 
@@ -17,7 +19,8 @@ probability of 1e-7, and would then share their ids.
 Scale. Tokenised rows are written once (two bytes an id) with their place in their partition's part of
 the queue; the parts' sizes, one row per partition and source, give each part's place in its queue.
 The queues' totals and their running sum are a table too, so any number of sources is as exact as one.
-The driver holds the totals of the queues that have a target, and one sum for each range of queues.
+The driver holds the totals of the queues that have a target (and a schedule of the phases between their ends, which
+grows with the square of the number of targets), and one sum for each range of queues.
 
 Defined cases: a null text is empty, and an empty document is its closing id alone; a null source is a
 queue like any other; repeated rows are each packed; an empty table gives no rows; a document longer
@@ -37,6 +40,7 @@ from quillstone.llm import common
 from quillstone.llm.common import _LOWER, batches, buffer_of, slices, stash, text_bytes, word_hashes, word_spans
 
 LENGTH = 4096
+RUN = 128  # tokens; a divisor of LENGTH
 CLOSING = 2
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
 SLICE = 4 << 20  # bytes of text at a time; every slice passes over the remembered words
@@ -167,91 +171,110 @@ def _tokenise(path: str, closing: int):
 
 
 class Schedule:
-    """Who is served when: phases in which the same queues are served, in fixed order, by whole-number shares."""
+    """Who is served when: phases in which the same queues are served, in fixed order, by whole-number shares.
+
+    All in runs: `totals` of the queues, and positions.
+    """
 
     def __init__(self, totals: dict, weights: dict | None = None):
-        self.order = sorted(totals, key=lambda q: (q is not None, q))
-        left = {q: totals[q] for q in self.order if totals[q]}
-        self.phases = []  # (first position, end, {queue: (its first token, sum of shares before, its share)}, sum of all)
+        left = {q: totals[q] for q in sorted(totals, key=lambda q: (q is not None, q)) if totals[q]}
+        self.phases = []  # (first position, end, {queue: (its first run, sum of shares before, its share)}, sum of all)
         done, at = dict.fromkeys(left, 0), 0
         while left:
             share = {q: weights.get(q, 0) if weights else totals[q] for q in left}
             if not any(share.values()):
                 share = dict.fromkeys(left, 1)
-            whole = sum(share.values())
-            # The phase ends where the first queue runs dry: at the last position at which no queue is owed more than it has.
-            lo, hi = 1, sum(left.values())
-            owed = lambda p: self._owed(p, share, whole)
+            before, whole = {}, 0
+            for q, s in share.items():
+                before[q] = whole
+                whole += s
+            owed = lambda q, p: p * (before[q] + share[q]) // whole - p * before[q] // whole  # noqa: B023, E731
+            # The phase ends where the first queue runs dry. What a queue is owed is less than one off its exact share,
+            # so that place is between these two, and only queues that are near their end there need a look.
+            sure = {q: (left[q] * whole - 1) // s for q, s in share.items() if s}
+            lo, hi = max(1, min(sure.values())), max(1, min((left[q] + 1) * whole // share[q] + 1 for q in sure))
+            near = [q for q, p in sure.items() if p <= hi]
+            hi = min(hi, sum(left.values()))
             while lo < hi:
                 mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if all(owed(mid)[q] <= left[q] for q in left) else (lo, mid - 1)
-            if any(owed(lo)[q] > left[q] for q in left):  # a single token that falls to an empty queue
+                lo, hi = (mid, hi) if all(owed(q, mid) <= left[q] for q in near) else (lo, mid - 1)
+            if any(owed(q, lo) > left[q] for q in near):  # a single run that falls to an empty queue
                 q = max(left, key=left.get)
-                share, whole, lo = {q: 1}, 1, 1
-            before, table = 0, {}
-            for q, s in share.items():
-                table[q] = (done[q], before, s)
-                before += s
-            self.phases.append((at, at + lo, table, whole))
-            for q, n in self._owed(lo, share, whole).items():
+                share, before, whole, lo = {q: 1}, {q: 0}, 1, 1
+            self.phases.append((at, at + lo, {q: (done[q], before[q], s) for q, s in share.items()}, whole))
+            for q in share:
+                n = owed(q, lo)
                 done[q] += n
                 left[q] -= n
             left = {q: n for q, n in left.items() if n}
             at += lo
+        self.size = at
 
-    @staticmethod
-    def _owed(p: int, share: dict, whole: int) -> dict:
-        before, out = 0, {}
-        for q, s in share.items():
-            out[q] = p * (before + s) // whole - p * before // whole
-            before += s
-        return out
+    def phases_of(self, queue) -> list:
+        return [(at, end, *table[queue], whole) for at, end, table, whole in self.phases if queue in table]
 
-    def pieces(self, queue, first: int, size: int):
-        """(window, offset there, tokens) of `size` tokens of a queue from its token `first` on."""
-        return serve(((at, end, *table[queue], whole) for at, end, table, whole in self.phases if queue in table), first, size)
+    def pieces(self, queue, first: int, size: int, length: int = LENGTH // RUN):
+        """(window, offset there, runs) of `size` runs of a queue from its run `first` on."""
+        return serve(self.phases_of(queue), first, size, length)
 
 
-def serve(phases, first: int, size: int):
-    """`Schedule.pieces` by a queue's own phases: (first position, end, its first token, sum of shares before, its share, sum of all)."""
+def serve(phases, first: int, size: int, length: int = LENGTH // RUN):
+    """`Schedule.pieces` by a queue's own phases: (first position, end, its first run, sum of shares before, its share, sum of all)."""
     phases = iter(phases)
     while size:
         at, end, done, before, share, whole = next(phases)
         served = lambda p: done + p * (before + share) // whole - p * before // whole  # noqa: B023, E731
         if served(end - at) <= first:
             continue
-        # The window where token `first` is served: about first / share, then exactly.
-        w = (at + ((first - done) * whole // share if share else 0)) // LENGTH
-        stop = lambda w: min((w + 1) * LENGTH, end) - at  # noqa: B023, E731
-        while w * LENGTH > at and served(w * LENGTH - at) > first:
+        # The window where run `first` is served: about first / share, then exactly.
+        w = (at + ((first - done) * whole // share if share else 0)) // length
+        stop = lambda w: min((w + 1) * length, end) - at  # noqa: B023, E731
+        while w * length > at and served(w * length - at) > first:
             w -= 1
         while served(stop(w)) <= first:
             w += 1
-        while size and w * LENGTH < end:
-            begin = max(w * LENGTH, at) - at
+        while size and w * length < end:
+            begin = max(w * length, at) - at
             lo, hi = served(begin), served(stop(w))
             n = min(size, hi - first)
             if n > 0:
-                # Before this queue's tokens come those of the queues before it, and the window's earlier phase.
+                # Before this queue's runs come those of the queues before it, and the window's earlier phase.
                 ahead = stop(w) * before // whole - begin * before // whole
-                yield w, begin + at - w * LENGTH + ahead + first - lo, n
+                yield w, begin + at - w * length + ahead + first - lo, n
                 first += n
                 size -= n
             w += 1
 
 
-def _cut(schedule: Schedule, begin: int, whole: int):
-    """Cuts by the schedule of the queues with a target; the others are one phase of `whole` tokens from `begin` on."""
+def token_pieces(phases, first: int, size: int, total: int, rest_at: int):
+    """(window, offset there, tokens) of `size` tokens from token `first` on of a queue of `total` tokens whose last, broken run is at `rest_at`."""
+    full, end = total // RUN * RUN, first + size
+    if first < full:
+        run = first // RUN
+        for w, offset, n in serve(phases, run, -(-min(end, full) // RUN) - run):
+            lo = max(first, run * RUN)
+            run += n
+            yield w, offset * RUN + lo - (run - n) * RUN, min(end, run * RUN) - lo
+    at, left = rest_at + max(first - full, 0), end - max(first, full)
+    while left > 0:
+        w, offset = divmod(at, LENGTH)
+        n = min(left, LENGTH - offset)
+        yield w, offset, n
+        at, left = at + n, left - n
+
+
+def _cut(phases: dict, begin: int, whole: int):
+    """Cuts by the phases of the queues with a target; the others are one phase of `whole` runs from run `begin` on."""
 
     def run(parts):
         for part in parts:
             rows = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-            columns = [part.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "ids", "before", "share")]
-            for doc_id, queue, first, size, raw, before, share in zip(*columns, strict=True):
+            columns = [part.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "ids", "before", "total", "rest_at")]
+            for doc_id, queue, first, size, raw, before, total, rest_at in zip(*columns, strict=True):
                 wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
                 start = 0
-                own = schedule.pieces(queue, first, size) if share is None else serve([(begin, begin + whole, 0, before, share, whole)], first, size)
-                for window, offset, n in own:
+                own = phases[queue] if before is None else [(begin, begin + whole, 0, before, total // RUN, whole)]
+                for window, offset, n in token_pieces(own, first, size, total, rest_at):
                     crc = zlib.crc32(wide[4 * start : 4 * (start + n)])
                     for c, v in zip(rows, (doc_id, start, n, crc, size, window, offset), strict=True):
                         rows[c].append(v)
@@ -265,31 +288,43 @@ def pack(docs: DataFrame, path: str | None = None, closing: int = CLOSING, targe
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     targets: whole-number shares by source; by default every source's share of the input. Sources without
-    a target come after those with one, by their shares of what is left of the input.
+    a target come after those with one, by their shares of what is left of the input. path: a vocabulary of at
+    most 65,536 ids.
     """
     spark = docs.sparkSession
     batches(spark)
+    path = path or tokenizer_path()
+    if Words(path).tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError(f"{path} has more ids than two bytes can tell apart")
     queue = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), text_bytes().alias("text"))
-    tokens = stash(rows.mapInArrow(_tokenise(path or tokenizer_path(), closing), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
+    tokens = stash(rows.mapInArrow(_tokenise(path, closing), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     parts = stash(parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "parts")
     named = {q: w for q, w in (targets or {}).items() if w}
     aimed = F.coalesce(F.col("queue").isin(*named), F.lit(False)) if named else F.lit(False)
     totals = {r["queue"]: int(r["n"]) for r in parts.where(aimed).groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one a target
-    others = parts.where(~aimed).groupBy("queue").agg(F.sum("n").alias("share"))
-    others = stash(others.orderBy("queue").withColumn("range", F.spark_partition_id()), "queues")
-    sums, whole = [], 0
-    for r in others.groupBy("range").agg(F.sum("share").alias("n")).orderBy("range").collect():  # one a partition
-        sums.append((r["range"], whole))
-        whole += int(r["n"])
-    sums = spark.createDataFrame(sums, "range int, ahead long")
-    running = F.sum("share").over(Window.partitionBy("range").orderBy("queue")) - F.col("share")
-    others = others.join(F.broadcast(sums), "range").select(F.col("queue").alias("o"), (F.col("ahead") + running).alias("before"), "share")
-    parts = parts.join(others, F.col("queue").eqNullSafe(F.col("o")), "left")
-    placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base", "before", "share"), (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
-    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "doc_tokens", "ids", "before", "share")
-    return placed.mapInArrow(_cut(Schedule(totals, named), sum(totals.values()), whole), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    schedule = Schedule({q: n // RUN for q, n in totals.items()}, named)
+    others = parts.where(~aimed).groupBy("queue").agg(F.sum("n").alias("total"))
+    runs, rest = F.floor(F.col("total") / RUN).alias("runs"), (F.col("total") % RUN).alias("rest")
+    others = stash(others.select("queue", "total", runs, rest).orderBy("queue").withColumn("range", F.spark_partition_id()), "queues")
+    sums, whole, broken = [], 0, sum(n % RUN for n in totals.values())
+    for r in others.groupBy("range").agg(F.sum("runs").alias("runs"), F.sum("rest").alias("rest")).orderBy("range").collect():  # one a partition
+        sums.append((r["range"], whole, broken))
+        whole, broken = whole + int(r["runs"]), broken + int(r["rest"])
+    tails = RUN * (schedule.size + whole)  # where the broken runs begin: those of targets, then the others'
+    sums = spark.createDataFrame(sums, "range int, ahead long, broken long")
+    running = lambda c: F.sum(c).over(Window.partitionBy("range").orderBy("queue")) - F.col(c)
+    others = others.join(F.broadcast(sums), "range").select(F.col("queue").alias("o"), (F.col("ahead") + running("runs")).alias("before"), "total", (F.lit(tails) + F.col("broken") + running("rest")).alias("rest_at"))
+    at, fixed = tails, []
+    for q, n in totals.items():
+        fixed.append((q, None, n, at))
+        at += n % RUN
+    queues = others.union(spark.createDataFrame(fixed, "o string, before long, total long, rest_at long"))
+    parts = parts.join(queues, F.col("queue").eqNullSafe(F.col("o")))
+    placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base", "before", "total", "rest_at"), (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
+    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "doc_tokens", "ids", "before", "total", "rest_at")
+    return placed.mapInArrow(_cut({q: schedule.phases_of(q) for q in totals}, schedule.size, whole), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 common.ship(__name__)
