@@ -5,14 +5,16 @@ stretch of text within e edits of a window of n bytes shares at least n + 1 - Q
 it, all near one diagonal (place in the text minus place in the item). So q-grams shared with whole
 items are counted in overlapping bands of diagonals; where a window's places in a band reach the bound,
 a banded alignment verifies the window. Text and items are compared with A-Z lower-cased and each run of
-white space as one blank.
+white space as one blank. An item of so few bytes that no edit is allowed must be met as whole words, that is
+runs of letters and digits, whatever is between them; it is looked up by the 64-bit hash of its words.
 
-Scale. One pass over the documents, without a shuffle. The items' index goes to every task; it is
-built from at most BLOCK_BYTES of item text at a time, larger benchmarks take a pass per block.
+Scale. One pass over the documents, without a shuffle. The items' index, some 16 bytes for a byte of item
+text, goes to every task; it is built from about BLOCK_BYTES of item text at a time, and larger benchmarks are
+passed block by block within the same scan.
 
-Defined cases: null and empty texts are clean; items without text, or shorter than Q bytes, match
-nothing; items of equal text all match; an empty benchmark leaves all rows clean; repeated rows each
-give a row; a null item_id is not reported, but its text contaminates.
+Defined cases: null and empty texts are clean; items without words match nothing; items of equal text all match; an
+empty benchmark leaves all rows clean; repeated rows each give a row; a null item_id is not reported, but its text
+contaminates.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, _SPACE, batches, buffer_of, mix, slices, text_bytes
+from quillstone.llm.common import _LOWER, _SPACE, SLICE_BYTES, batches, buffer_of, mix, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
 Q = 10
 WINDOW = 96  # bytes; about fifteen words
 EDITS = 0.06  # of a window's bytes
 BATCH = 256  # windows aligned at a time
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _BLOOM = 22
 
 
@@ -67,6 +69,21 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return eight
 
 
+_INK = np.zeros(256, bool)
+_INK[48:58] = _INK[97:123] = _INK[128:] = True
+
+
+def _plain_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs of letters and digits, first per document) of lower-cased texts."""
+    plain = np.where(_INK[buf], buf, np.uint8(0x20))
+    starts, ends, first = word_spans(plain, off)
+    return word_hashes(plain, starts, ends), first
+
+
+def _sequences(words: np.ndarray, k: int) -> np.ndarray:
+    return words if k == 1 else shingle_hashes(words, k)
+
+
 class Index:
     """The items' bodies and where each q-gram is in them.
 
@@ -74,49 +91,72 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.items, self.bodies = [], []
-        hashes, owner, place = [], [], []
+        self.items, self.bodies, short = [], [], {}
+        hashes, sizes = [], []
         for item_id, text in items:
-            buf, _ = normalised(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            body = buf.tobytes().strip(b" ")
-            if len(body) < Q:
-                continue
-            got = gram_hashes(np.frombuffer(body, np.uint8))
+            buf, off = normalised(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            bare = buf.tobytes().strip(b" ")
+            if len(bare) * EDITS < 1:
+                words, _ = _plain_words(buf, off)
+                if len(words):
+                    short.setdefault(len(words), []).append((int(_sequences(words, len(words))[0]), len(self.items)))
+            got = gram_hashes(np.frombuffer(bare if len(bare) * EDITS >= 1 else b"", np.uint8))
             hashes.append(got)
-            owner.append(np.full(len(got), len(self.bodies)))
-            place.append(np.arange(len(got)))
-            self.bodies.append(body)
+            sizes.append(len(got))
+            self.bodies.append(bare)
             self.items.append(item_id)
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        hashes, owner, place = cat(hashes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
-        by = np.argsort(hashes, kind="stable")
-        self.keys, first = np.unique(hashes[by], return_index=True)
-        self.first = np.append(first, len(by))
-        self.owner, self.place = owner[by], place[by]
+        sizes = np.array(sizes, np.int64)
+        hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        by = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[by]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+        self.keys, self.first = hashes[first], np.append(first, len(by)).astype(np.int32)
+        ends = np.cumsum(sizes)
+        self.owner = np.searchsorted(ends, by, "right").astype(np.int32)
+        self.place = by - (ends - sizes)[self.owner].astype(np.int32)
         self.bloom = np.zeros(1 << _BLOOM, bool)
         self.bloom[(self.keys >> np.uint64(64 - _BLOOM)).astype(np.int64)] = True
         self.size = np.minimum(np.array([len(w) for w in self.bodies], np.int64), WINDOW)  # of an item's windows
         self.edits = np.floor(self.size * EDITS).astype(np.int64)
         self.bound = np.maximum(1, self.size + 1 - Q * (self.edits + 1))
+        self.short = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)])) for k, v in short.items()}
+
+    def _short(self, buf: np.ndarray, off: np.ndarray):
+        """(document, place of the item) of items that have no q-gram."""
+        words, first = _plain_words(buf, off)
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        for k, (keys, items) in self.short.items():
+            runs = _sequences(words, k)
+            at = np.flatnonzero(np.isin(runs, keys) & (owner[: len(runs)] == owner[k - 1 :][: len(runs)]))
+            lo, hi = (np.searchsorted(keys, runs[at], side) for side in ("left", "right"))
+            for d, a, b in zip(owner[at].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                yield from ((d, int(i)) for i in items[a:b])
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
-        """(document, place of the item in `items`) of verified regions."""
+        """(document, place of the item in `items`) of verified regions, of normalised texts."""
+        found: dict[tuple[int, int], bool] = dict.fromkeys(self._short(buf, off), True) if self.short else {}
         if not len(self.keys):
-            return []
-        hashes = gram_hashes(buf)
-        at = np.flatnonzero(self.bloom[(hashes >> np.uint64(64 - _BLOOM)).astype(np.int32)])
-        k = np.searchsorted(self.keys, hashes[at])
-        hit = self.keys[np.minimum(k, len(self.keys) - 1)] == hashes[at]
+            return list(found)
+        at, hashes = [], []
+        for p in range(0, len(buf), SLICE_BYTES):
+            own = gram_hashes(buf[p : p + SLICE_BYTES + Q - 1])
+            some = np.flatnonzero(self.bloom[(own >> np.uint64(64 - _BLOOM)).astype(np.int32)])
+            at.append(some + p)
+            hashes.append(own[some])
+        if not at:
+            return list(found)
+        at, hashes = np.concatenate(at), np.concatenate(hashes)
+        k = np.searchsorted(self.keys, hashes)
+        hit = self.keys[np.minimum(k, len(self.keys) - 1)] == hashes
         at, k = at[hit], k[hit]
         doc = np.searchsorted(off, at, "right") - 1
         inside = at + Q <= off[doc + 1]
         at, k, doc = at[inside], k[inside], doc[inside]
-        n = self.first[k + 1] - self.first[k]
+        n = (self.first[k + 1] - self.first[k]).astype(np.int64)
         entry = np.arange(n.sum()) + np.repeat(self.first[k] - (np.cumsum(n) - n), n)
-        at, doc, item, place = np.repeat(at, n), np.repeat(doc, n), self.owner[entry], self.place[entry]
+        at, doc, item, place = np.repeat(at, n), np.repeat(doc, n), self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
         diagonal = at - place - off[doc]
         width = self.edits[item] + 1
-        found: dict[tuple[int, int], bool] = {}
         for back in (0, 1):  # each hit counts in two bands of twice the width; any `width` diagonals are in one of them
             band = (diagonal + back * width) // (2 * width)
             key = mix(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + item.astype(np.uint64)) + (band + 1).astype(np.uint64))
@@ -159,13 +199,12 @@ class Index:
             return True
         body = np.frombuffer(self.bodies[w], np.uint8).astype(np.int16)
         span = hi - lo + size + 2 * edits
-        pad = np.full(len(text) + 2 * span, -1, np.int16)  # equals no byte
-        pad[span : span + len(text)] = text
         step, begin = 8, 0
         while begin < len(starts):
             own = starts[begin : begin + step]
             windows = body[own[:, None] + np.arange(size)]
-            regions = pad[np.clip(own + lo - edits + span, 0, len(pad) - span)[:, None] + np.arange(span)]
+            at = (own + lo - edits)[:, None] + np.arange(span)
+            regions = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)], np.int16(-1))  # -1 equals no byte
             if any_within(windows, regions, edits):
                 return True
             begin, step = begin + step, BATCH
@@ -211,11 +250,12 @@ def any_within(windows: np.ndarray, regions: np.ndarray, edits: int) -> bool:
 
 
 def _run(index: Index):
+    """Adds a block's items to those found so far."""
+
     def run(parts):
         for part in parts:
             buf, off = buffer_of(part.column("text"))
-            lists: list[list[int]] = [[] for _ in range(part.num_rows)]
-            dirty = np.zeros(part.num_rows, bool)
+            lists, dirty = part.column("item_ids").to_pylist(), np.array(part.column("contaminated").to_numpy(zero_copy_only=False), bool)
             for i, j in slices(off):
                 own, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d, w in index.search(own, at):
@@ -224,35 +264,29 @@ def _run(index: Index):
                     if item is not None:
                         lists[i + d].append(item)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64())), pa.array(dirty)],
-                ["doc_id", "row", "item_ids", "contaminated"],
+                [part.column("doc_id"), part.column("text"), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64())), pa.array(dirty)],
+                ["doc_id", "text", "item_ids", "contaminated"],
             )
 
     return run
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index per block of at most about BLOCK_BYTES of item text."""
+def indexes(benchmark: DataFrame):
+    """One index after the other, each of about BLOCK_BYTES of item text (an item that is longer is taken whole)."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))
-    out = []
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # BLOCK_BYTES on average
-        out.append(Index([(r["item_id"], bytes(r["text"])) for r in own]))
-    return out
+        yield Index([(r["item_id"], bytes(r["text"])) for r in own])
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row: doc_id, n_items, item_ids (sorted) and contaminated."""
     batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"))
-    found = [rows.mapInArrow(_run(i), "doc_id long, row long, item_ids array<long>, contaminated boolean") for i in indexes(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    if len(found) > 1:
-        out = out.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("contaminated").alias("contaminated"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.array().cast("array<long>").alias("item_ids"), F.lit(False).alias("contaminated"))
+    for index in indexes(benchmark):
+        out = out.mapInArrow(_run(index), out.schema)
     return out.select("doc_id", F.size("item_ids").alias("n_items"), "item_ids", "contaminated")
 
 

@@ -47,14 +47,25 @@ def test_packing(request, which, targets):
 
 
 def test_mixture_in_every_window():
-    totals = {"a": 40_000, "b": 9_000, "c": 1_000}
-    s = packing.Schedule(totals)
-    got = {}
+    """Up to every window's end each queue is a run off its share at most: what one window lacks, the next has more."""
+    totals = {"a": 400_000, "b": 90_000, "c": 10_000}
+    s = packing.Schedule({q: n // packing.RUN for q, n in totals.items()})
+    per, whole, got = packing.LENGTH // packing.RUN, sum(n // packing.RUN for n in totals.values()), {}
     for q, n in totals.items():
-        for w, _, k in s.pieces(q, 0, n):
+        for w, _, k in s.pieces(q, 0, n // packing.RUN):
             got[w, q] = got.get((w, q), 0) + k
-    for w in range(50_000 // 4096):
-        assert all(abs(got[w, q] - 4096 * n / 50_000) <= 1 for q, n in totals.items())
+    for w in range(whole // per):
+        for q, n in totals.items():
+            assert abs(got.get((w, q), 0) - per * (n // packing.RUN) / whole) < 2
+            assert abs(sum(got.get((x, q), 0) for x in range(w + 1)) - (w + 1) * per * (n // packing.RUN) / whole) <= 1
+
+
+def test_many_sources_do_not_shred_documents(spark):
+    docs = [(i, "word " * 2000, f"s{i % 400}") for i in range(400)]
+    pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(pieces) <= 400 * (2001 // packing.RUN + 2)
+    spans = sorted((4096 * p["sequence_id"] + p["offset"], p["length"]) for p in pieces)
+    assert spans[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(spans, spans[1:], strict=False)) and sum(n for _, n in spans) == 400 * 2001
 
 
 def test_targets_among_many_sources(spark):
@@ -64,22 +75,32 @@ def test_targets_among_many_sources(spark):
     for p in pieces:
         own = "other" if p["doc_id"] < 10_000 else "ab"[p["doc_id"] % 2]
         by[p["sequence_id"], own] = by.get((p["sequence_id"], own), 0) + p["length"]
-    assert (by[0, "a"], by[0, "b"]) == (3072, 1024) and (0, "other") not in by
+    for w in range(3):
+        assert (by[w, "a"], by[w, "b"]) == (3072, 1024) and (w, "other") not in by
     spans = sorted((4096 * p["sequence_id"] + p["offset"], p["length"]) for p in pieces)
     assert all(x + n == y for (x, n), (y, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
     assert {p["doc_id"] for p in pieces} == {d[0] for d in docs}
 
 
-def test_targets_with_odd_shares():
+@pytest.mark.parametrize("weights", [None, {"a": 1}, {"a": 1, "b": 7, None: 2}])
+def test_schedules_place_every_run_once(weights):
     totals = {"a": 5, "b": 10_000, None: 3, "d": 0}
-    s = packing.Schedule(totals, {"a": 1})
+    s = packing.Schedule(totals, weights)
     seen = set()
     for q, n in totals.items():
-        for w, off, k in s.pieces(q, 0, n):
+        for w, off, k in s.pieces(q, 0, n, 32):
             new = {(w, off + i) for i in range(k)}
             assert not new & seen
             seen |= new
-    assert sorted(seen) == [(i // 4096, i % 4096) for i in range(10_008)]
+    assert sorted(seen) == [(i // 32, i % 32) for i in range(10_008)]
+
+
+def test_schedules_of_many_targets_are_quick():
+    import time
+
+    at = time.time()
+    s = packing.Schedule({f"s{i}": 100 + i * 37 % 1000 for i in range(400)}, {f"s{i}": 1 + i % 9 for i in range(400)})
+    assert s.size == sum(100 + i * 37 % 1000 for i in range(400)) and time.time() - at < 5
 
 
 def test_words_of_hard_texts():
@@ -141,7 +162,7 @@ def test_decontamination_of_windows_at_every_offset():
     chars = lambda n: rng.choice(list(b"abcdefghijklmnopq"), n).astype(np.uint8).tobytes()
     item = chars(330)
     index = decontaminate.Index([(7, item)])
-    cut = lambda texts: index.search(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    cut = lambda texts: index.search(*decontaminate.normalised(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])))
     for size in (96, 97, 110, 120, 137, 142):
         texts = [chars(at % 7 * 50) + item[at : at + size] + chars(60) for at in range(len(item) - size + 1)]
         assert sorted(d for d, _ in cut(texts)) == list(range(len(texts))), size
@@ -162,6 +183,40 @@ def test_decontamination_of_windows_at_every_offset():
     assert cut(broken) == [] and cut(short) == []
 
 
+def test_decontamination_is_every_window_everywhere():
+    """The search against aligning each window of each item with all of each text."""
+    rng = np.random.default_rng(8)
+    chars = lambda n: rng.choice(list(b"abcde fgh"), n).astype(np.uint8).tobytes()
+    items = [(k, chars(n)) for k, n in enumerate((60, 96, 97, 130, 200, 30))]
+    index = decontaminate.Index(items)
+    texts = []
+    for _ in range(150):
+        item = items[rng.integers(len(items))][1]
+        a = rng.integers(0, max(1, len(item) - 60))
+        own = bytearray(item[a : a + rng.integers(25, 140)])
+        for _ in range(rng.integers(0, 9)):
+            p = rng.integers(len(own))
+            own[p : p + rng.integers(0, 2)] = chars(rng.integers(0, 2))
+        texts.append(chars(rng.integers(0, 60)) + bytes(own) + chars(rng.integers(0, 60)))
+    buf, off = decontaminate.normalised(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    want = []
+    for d in range(len(texts)):
+        own = buf[off[d] : off[d + 1]].astype(np.int16)
+        for w, body in enumerate(index.bodies):
+            size = int(index.size[w])
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8).astype(np.int16), size)
+            if decontaminate.any_within(windows, np.broadcast_to(own, (len(windows), len(own))), int(index.edits[w])):
+                want.append((d, w))
+    assert sorted(index.search(buf, off)) == want and 30 < len(want) < 150
+
+
+def test_decontamination_by_short_items(spark):
+    items = [(1, "Yes"), (2, "the end"), (3, "a b c"), (4, "forty-two it is"), (5, "  "), (6, "nine bytes"), (7, "yes"), (8, "?!")]
+    docs = [(1, "Oh  YES\nindeed"), (2, "yesterday"), (3, "this is the\tend"), (4, "the endless"), (5, "x a b c d"), (6, "so forty-two it is."), (7, "so forty-two,it is"), (8, "forty-two it is"), (9, "xnine bytes"), (10, "nine bytes"), (11, None), (12, "what?! (yes)")]
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in got.collect()} == {1: [1, 7], 2: [], 3: [2], 4: [], 5: [3], 6: [4], 7: [4], 8: [4], 9: [], 10: [6], 11: [], 12: [1, 7]}
+
+
 def test_decontamination_reports_negative_ids(spark):
     items = [(-1, LONG[:200]), (-(2**40), LONG[:120]), (None, LONG[:150]), (3, "something else " * 12)]
     docs = spark.createDataFrame([(1, LONG[:400]), (2, "clean")], "doc_id long, text string")
