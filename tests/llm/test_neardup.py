@@ -69,6 +69,26 @@ def test_chain_and_residue(spark):
     assert rows(neardup.near_duplicates(docs)) == expected(table)
 
 
+    assert rows(neardup.near_duplicates(docs, exact=True)) == expected(table)
+
+
+def test_every_link_of_a_larger_table(spark):
+    """No link is missed among all pairs of sf0.01, by bands or by prefixes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = expected([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert rows(neardup.near_duplicates(docs)) == want
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 9, 40, 101):
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 10 * n, n).astype(np.uint64))
+            b = np.unique(np.concatenate([rng.permutation(a)[: -(-9 * len(a) // 10)], rng.integers(0, 10 * n, n // 9).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert np.intersect1d(neardup.prefix(a, 80), neardup.prefix(b, 80)).size
+
+
 def test_no_rows(none):
     assert neardup.near_duplicates(none).collect() == []
     assert neardup.keep_one(none).collect() == []
