@@ -8,8 +8,8 @@ queues' own sizes, so that every window has the mixture of the whole input and a
 together; with `targets`, a queue that runs dry leaves its share to the others. What is left of a queue after its
 whole runs, less than one, comes at the end, queue after queue.
 
-With whole runs, a queue's service until a window's end has a closed form (its share of the windows'
-runs, rounded by the running sum of shares), so where any document is cut follows from its place in
+With whole runs, a queue's service until a window's end has a closed form: the queues' shares lie on a line, and
+the runs so far are halved down that line (`dealt`), so where any document is cut follows from its place in
 its queue alone. No task has to see the windows before its own, deficits pass windows and partitions
 by arithmetic, and only the last window can be short.
 
@@ -44,6 +44,8 @@ RUN = 128  # tokens; a divisor of LENGTH
 CLOSING = 2
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
 SLICE = 4 << 20  # bytes of text at a time; every slice passes over the remembered words
+#: Rows of (partition, source) that are broadcast at most; above, tokens and places are joined by a shuffle.
+SMALL_PARTS = 200_000
 _MARK = b"\x01"  # stands alone between words that are tokenised together
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
@@ -170,6 +172,25 @@ def _tokenise(path: str, closing: int):
     return run
 
 
+def dealt(x: int, runs: int, whole: int) -> int:
+    """How many of the first `runs` runs go to the first `x` units of a line of `whole` units of share.
+
+    Half of the line, by its length, is dealt half of the runs, rounded down, and so on inwards. So each unit's count
+    never falls as runs go on, all add up to `runs`, and any stretch of the line is a few runs off its share at most.
+    """
+    lo, hi, out = 0, whole, 0
+    while runs and x > lo:
+        if x == hi:
+            return out + runs
+        mid = (lo + hi) // 2
+        left = runs * (mid - lo) // (hi - lo)
+        if x <= mid:
+            hi, runs = mid, left
+        else:
+            lo, runs, out = mid, runs - left, out + left
+    return out
+
+
 class Schedule:
     """Who is served when: phases in which the same queues are served, in fixed order, by whole-number shares.
 
@@ -188,22 +209,19 @@ class Schedule:
             for q, s in share.items():
                 before[q] = whole
                 whole += s
-            owed = lambda q, p: p * (before[q] + share[q]) // whole - p * before[q] // whole  # noqa: B023, E731
-            # The phase ends where the first queue runs dry. What a queue is owed is less than one off its exact share,
-            # so that place is between these two, and only queues that are near their end there need a look.
-            sure = {q: (left[q] * whole - 1) // s for q, s in share.items() if s}
-            lo, hi = max(1, min(sure.values())), max(1, min((left[q] + 1) * whole // share[q] + 1 for q in sure))
+            owed = lambda q, p: dealt(before[q] + share[q], p, whole) - dealt(before[q], p, whole)  # noqa: B023, E731
+            # The phase ends where the first queue runs dry. What a queue is owed is a run for each halving off its exact share
+            # at most, so that place is between these two, and only queues that are near their end there need a look.
+            off = 2 * whole.bit_length()
+            sure = {q: (left[q] - off) * whole // s for q, s in share.items() if s}
+            lo, hi = max(1, min(sure.values())), max(1, min((left[q] + off) * whole // share[q] + 1 for q in sure))
             near = [q for q, p in sure.items() if p <= hi]
             hi = min(hi, sum(left.values()))
             while lo < hi:
                 mid = (lo + hi + 1) // 2
                 lo, hi = (mid, hi) if all(owed(q, mid) <= left[q] for q in near) else (lo, mid - 1)
-            if any(owed(q, lo) > left[q] for q in near):  # a single run that falls to an empty queue
-                q = max(left, key=left.get)
-                share, before, whole, lo = {q: 1}, {q: 0}, 1, 1
             self.phases.append((at, at + lo, {q: (done[q], before[q], s) for q, s in share.items()}, whole))
-            for q in share:
-                n = owed(q, lo)
+            for q, n in {q: owed(q, lo) for q in share}.items():
                 done[q] += n
                 left[q] -= n
             left = {q: n for q, n in left.items() if n}
@@ -223,7 +241,8 @@ def serve(phases, first: int, size: int, length: int = LENGTH // RUN):
     phases = iter(phases)
     while size:
         at, end, done, before, share, whole = next(phases)
-        served = lambda p: done + p * (before + share) // whole - p * before // whole  # noqa: B023, E731
+        ahead = lambda p: dealt(before, p, whole)  # noqa: B023, E731
+        served = lambda p: done + dealt(before + share, p, whole) - ahead(p)  # noqa: B023, E731
         if served(end - at) <= first:
             continue
         # The window where run `first` is served: about first / share, then exactly.
@@ -233,17 +252,17 @@ def serve(phases, first: int, size: int, length: int = LENGTH // RUN):
             w -= 1
         while served(stop(w)) <= first:
             w += 1
+        begin = max(w * length, at) - at
+        lo, skipped = served(begin), ahead(begin)
         while size and w * length < end:
-            begin = max(w * length, at) - at
-            lo, hi = served(begin), served(stop(w))
+            hi, passed = served(stop(w)), ahead(stop(w))
             n = min(size, hi - first)
             if n > 0:
                 # Before this queue's runs come those of the queues before it, and the window's earlier phase.
-                ahead = stop(w) * before // whole - begin * before // whole
-                yield w, begin + at - w * length + ahead + first - lo, n
+                yield w, begin + at - w * length + passed - skipped + first - lo, n
                 first += n
                 size -= n
-            w += 1
+            w, begin, lo, skipped = w + 1, (w + 1) * length - at, hi, passed
 
 
 def token_pieces(phases, first: int, size: int, total: int, rest_at: int):
@@ -321,8 +340,9 @@ def pack(docs: DataFrame, path: str | None = None, closing: int = CLOSING, targe
         fixed.append((q, None, n, at))
         at += n % RUN
     queues = others.union(spark.createDataFrame(fixed, "o string, before long, total long, rest_at long"))
-    parts = parts.join(queues, F.col("queue").eqNullSafe(F.col("o")))
-    placed = tokens.join(parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), "base", "before", "total", "rest_at"), (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
+    small = parts.count() <= SMALL_PARTS
+    parts = parts.join(queues, F.col("queue").eqNullSafe(F.col("o"))).select(F.col("queue").alias("q"), F.col("part").alias("p"), "base", "before", "total", "rest_at")
+    placed = tokens.join(F.broadcast(parts) if small else parts, (F.col("part") == F.col("p")) & F.col("queue").eqNullSafe(F.col("q")))
     placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("first"), "doc_tokens", "ids", "before", "total", "rest_at")
     return placed.mapInArrow(_cut({q: schedule.phases_of(q) for q in totals}, schedule.size, whole), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -47,7 +47,7 @@ def test_packing(request, which, targets):
 
 
 def test_mixture_in_every_window():
-    """Up to every window's end each queue is a run off its share at most: what one window lacks, the next has more."""
+    """Up to every window's end each queue is three runs off its share at most: what one window lacks, the next has more."""
     totals = {"a": 400_000, "b": 90_000, "c": 10_000}
     s = packing.Schedule({q: n // packing.RUN for q, n in totals.items()})
     per, whole, got = packing.LENGTH // packing.RUN, sum(n // packing.RUN for n in totals.values()), {}
@@ -56,8 +56,8 @@ def test_mixture_in_every_window():
             got[w, q] = got.get((w, q), 0) + k
     for w in range(whole // per):
         for q, n in totals.items():
-            assert abs(got.get((w, q), 0) - per * (n // packing.RUN) / whole) < 2
-            assert abs(sum(got.get((x, q), 0) for x in range(w + 1)) - (w + 1) * per * (n // packing.RUN) / whole) <= 1
+            assert abs(got.get((w, q), 0) - per * (n // packing.RUN) / whole) < 4
+            assert abs(sum(got.get((x, q), 0) for x in range(w + 1)) - (w + 1) * per * (n // packing.RUN) / whole) < 3
 
 
 def test_many_sources_do_not_shred_documents(spark):
@@ -82,6 +82,18 @@ def test_targets_among_many_sources(spark):
     assert {p["doc_id"] for p in pieces} == {d[0] for d in docs}
 
 
+def test_dealing_is_fair_and_never_falls():
+    rng = np.random.default_rng(6)
+    for whole in (1, 2, 7, 100, 1000):
+        cuts = sorted({0, whole, *rng.integers(0, whole + 1, 6).tolist()})
+        last = [0] * len(cuts)
+        for runs in range(0, 3 * whole + 2):
+            now = [packing.dealt(x, runs, whole) for x in cuts]
+            assert now[-1] == runs and all(b - a >= d - c for a, b, c, d in zip(now, now[1:], last, last[1:]))
+            assert all(abs(n - runs * x / whole) < 3 for n, x in zip(now, cuts, strict=True))
+            last = now
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 1}, {"a": 1, "b": 7, None: 2}])
 def test_schedules_place_every_run_once(weights):
     totals = {"a": 5, "b": 10_000, None: 3, "d": 0}
