@@ -175,7 +175,7 @@ def _tokenise(path: str, closing: int):
 def dealt(x: int, runs: int, whole: int) -> int:
     """How many of the first `runs` runs go to the first `x` units of a line of `whole` units of share.
 
-    Half of the line, by its length, is dealt half of the runs, rounded down, and so on inwards. So each unit's count
+    Half of the line, by its length, is dealt half of the runs, rounded, and so on inwards. So each unit's count
     never falls as runs go on, all add up to `runs`, and any stretch of the line is a few runs off its share at most.
     """
     lo, hi, out = 0, whole, 0
@@ -183,7 +183,7 @@ def dealt(x: int, runs: int, whole: int) -> int:
         if x == hi:
             return out + runs
         mid = (lo + hi) // 2
-        left = runs * (mid - lo) // (hi - lo)
+        left = (2 * runs * (mid - lo) + hi - lo) // (2 * (hi - lo))
         if x <= mid:
             hi, runs = mid, left
         else:
