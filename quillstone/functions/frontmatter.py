@@ -101,6 +101,11 @@ def render(page: dict) -> str:
     quote = lambda v: json.dumps(str(v), ensure_ascii=False) if re.search(r"[:#\[\]{},\"'\n]|^\s|\s$|^-|^$", str(v)) else str(v)
     lines = []
     for k, v in keys.items():
+        if isinstance(v, str) and v[:1] == "[":
+            try:
+                v = [str(x) for x in json.loads(v)]
+            except ValueError:
+                pass  # a text that begins with a bracket
         if v is None or v == []:
             continue
         lines += [f"{k}:", *(f"  - {quote(x)}" for x in v)] if isinstance(v, (list, tuple)) else [f"{k}: {quote(v)}"]
@@ -114,6 +119,14 @@ def render_pages(parts):
         yield pa.RecordBatch.from_arrays([pa.array([r["path"] for r in rows], pa.string()), pa.array([render(r) for r in rows], pa.string())], ["path", "content"])
 
 
+def render_both(parts):
+    """Batches of (source_path, _is, path, new, old), the latter two pages as structs -> their Markdown as after and before."""
+    for part in parts:
+        rows = part.to_pylist()
+        text = lambda p: None if p is None else render(p)
+        yield pa.RecordBatch.from_arrays([part.column("source_path"), part.column("_is"), part.column("path"), *(pa.array([text(r[k]) for r in rows], pa.string()) for k in ("old", "new"))], ["source_path", "_is", "path", "before", "after"])
+
+
 def diffs(parts):
     """Batches of (source_path, path, op, before, after) with a unified diff of each change."""
     for part in parts:

@@ -55,15 +55,26 @@ def is_empty(values: str | Column) -> Column:
 
 
 def append_bullet(body: str | Column, heading: str | Column, bullet: str | Column) -> Column:
-    """`body` with a bullet under the heading, which is added at the end if the body lacks it."""
+    """`body` with a bullet first under the heading, which is added at the end if the body lacks it.
+
+    A section that has the bullet already stays as it is; the same line under other headings doesn't count.
+    """
     title = F.concat(F.lit("## "), _c(heading))
     line = F.concat(F.lit("- "), _c(bullet))
     lines = F.split(_c(body), "\n")
-    place = F.array_position(lines, title)
-    with_line = F.concat(F.slice(lines, F.lit(1), place.cast("int")), F.array(line), F.slice(lines, (place + 1).cast("int"), F.greatest(F.size(lines) - place.cast("int"), F.lit(0))))
-    return F.when(F.array_contains(lines, line), _c(body)).when(place > 0, F.array_join(with_line, "\n")).otherwise(F.concat(_c(body), F.lit("\n\n"), title, F.lit("\n"), line))
+    place = F.array_position(lines, title).cast("int")
+    after = F.slice(lines, place + 1, F.greatest(F.size(lines) - place, F.lit(0)))
+    ends = F.array_position(F.transform(after, lambda x: x.rlike("^#{1,2} ")), F.lit(True)).cast("int")
+    section = F.when(ends > 0, F.slice(after, F.lit(1), ends - 1)).otherwise(after)
+    with_line = F.concat(F.slice(lines, F.lit(1), place), F.array(line), after)
+    return F.when((place > 0) & F.array_contains(section, line), _c(body)).when(place > 0, F.array_join(with_line, "\n")).otherwise(F.concat(_c(body), F.lit("\n\n"), title, F.lit("\n"), line))
 
 
 def tokens(text: str | Column) -> Column:
-    """Lower-case runs of a-z."""
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, of any script."""
+    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def terms_of(question: str) -> list[str]:
+    """What `tokens` gives for a question, on the driver."""
+    return sorted(set("".join(c if c.isalnum() else " " for c in question.lower()).split()))

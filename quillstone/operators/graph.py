@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.schemas import EDGE_KEYS
+from quillstone.shared import stash, unstash
 
 #: A vocabulary or a rename map above this many rows is joined by shuffle instead of broadcast.
 SMALL_ROWS = 100_000
@@ -88,19 +90,76 @@ def into_frontmatter(pages: DataFrame, confirmed: DataFrame, key: str) -> DataFr
     return pages.join(new, "slug", "left").withColumn(key, merged).select(pages.columns)
 
 
-def follow(steps: DataFrame, depth: int = 8) -> DataFrame:
-    """(start, end, hops, cyclic) of chains (src, dst), at most `depth` hops, by joins that double the hops.
+def into_rest(pages: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Pages with confirmed edges of any names merged into `rest`: a list of targets per name, as JSON; those already there stay first."""
+    lists = confirmed.groupBy(F.col("src").alias("slug"), "edge").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
+    new = lists.groupBy("slug").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge", "dsts")))).alias("_new"))
+    there = lambda v: F.when(v.isNull(), F.array().cast("array<string>")).when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    rest = F.coalesce("rest", F.create_map().cast("map<string,string>"))
+    merged = F.map_zip_with(rest, "_new", lambda k, v, n: F.when(n.isNull(), v).otherwise(F.to_json(F.array_union(there(v), n))))
+    return pages.join(new, "slug", "left").withColumn("rest", F.when(F.col("_new").isNotNull(), merged).otherwise(F.col("rest"))).select(pages.columns)
 
-    Redirects and superseded_by: a chain that comes back to a node it passed, or is longer, is cyclic.
+
+def into_column(pages: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:
+    """Pages with a confirmed edge of one name in that scalar column, in place of what is there (of several the first by name)."""
+    new = confirmed.where(F.col("edge") == key).groupBy(F.col("src").alias("slug")).agg(F.min("dst").alias("_new"))
+    return pages.join(new, "slug", "left").withColumn(key, F.coalesce("_new", key)).select(pages.columns)
+
+
+def follow(steps: DataFrame) -> DataFrame:
+    """(start, end, hops, cyclic) of chains (src, dst) of any length, by joins that double the hops until none is left to follow.
+
+    Redirects and superseded_by: a node has one step (of several the least dst). Chains that run into a cycle have
+    cyclic set and no end and hops. Rounds grow with the logarithm of the longest chain: in each, at least the open
+    chain nearest its end closes, unless all that are open are cyclic.
+    """
+    at, left = stash(steps.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")).withColumn("hops", F.lit(1)), "steps"), -1
+    while True:
+        goes_on = at.select(F.col("src").alias("dst"), F.col("dst").alias("_next"), F.col("hops").alias("_more"))
+        moved = at.join(goes_on, "dst", "left").select("src", F.coalesce("_next", "dst").alias("dst"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("open"))
+        last, at = at, stash(moved, "steps")
+        unstash(last)
+        n = at.where("open").count()
+        if n in (0, left):
+            end = lambda c: F.when(~F.col("open"), F.col(c))
+            return at.select(F.col("src").alias("start"), end("dst").alias("end"), end("hops").alias("hops"), F.col("open").alias("cyclic"))
+        left, at = n, at.drop("open")
+
+
+_NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*([^()\s]+))?\s*\)")
+_STEP = re.compile(r"(<)?-\s*\[\s*([\w|]*)\s*\]\s*-(>)?")
+
+
+def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths through the graph that a pattern describes: a column n0, n1, ... per node and e1, e2, ... per edge.
+
+    A pattern is nodes joined by edges: (person)-[works_at]->(org)<-[works_at|advises]-(:carol-jones). A node may name a
+    type, an id after a colon, or neither; an edge may name alternatives, or none for any, and leads right, left, or, as -[..]-,
+    either way. A node that a path visits twice counts as often.
     """
-    at = steps.select("src", "dst", F.lit(1).alias("hops"))
-    done = 1
-    while done < depth:
-        nxt = at.select(F.col("src").alias("dst"), F.col("dst").alias("_end"), F.col("hops").alias("_more"))
-        at = at.join(nxt, "dst", "left").select("src", F.coalesce("_end", "dst").alias("dst"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
-        done *= 2
-    cyclic = at.join(steps.select(F.col("src").alias("dst"), F.lit(True).alias("_on")), "dst", "left")
-    return cyclic.select(F.col("src").alias("start"), F.col("dst").alias("end"), "hops", F.coalesce("_on", F.lit(False)).alias("cyclic")).distinct()
+    at, parts, text = 0, [], pattern.strip()
+    while at < len(text):
+        m = (_STEP if len(parts) % 2 else _NODE).match(text, at)
+        if not m:
+            raise ValueError(f"can't read the pattern at {text[at:]!r}")
+        parts.append(m)
+        at = re.compile(r"\s*").match(text, m.end()).end()
+    if len(parts) % 2 == 0:
+        raise ValueError("a pattern begins and ends with a node")
+
+    def node(k: int) -> DataFrame:
+        kind, id_ = parts[2 * k].groups()
+        own = nodes.where(F.col("type") == kind) if kind else nodes
+        return (own.where(F.col("id") == id_) if id_ else own).select(F.col("id").alias(f"n{k}")).distinct()
+
+    out = node(0)
+    for k in range(1, len(parts) // 2 + 1):
+        left, names, right = parts[2 * k - 1].groups()
+        own = edges.where(F.col("edge").isin(*names.split("|"))) if names else edges
+        ways = {"src": "dst"} if right and not left else {"dst": "src"} if left and not right else {"src": "dst", "dst": "src"}
+        step = reduce(DataFrame.unionAll, [own.select(F.col(a).alias(f"n{k - 1}"), F.col("edge").alias(f"e{k}"), F.col(b).alias(f"n{k}")) for a, b in ways.items()]).distinct()
+        out = out.join(step, f"n{k - 1}").join(node(k), f"n{k}")
+    return out.select(*(c for k in range(len(parts) // 2 + 1) for c in ([f"e{k}"] if k else []) + [f"n{k}"]))
 
 
 def canvas(nodes: DataFrame, edges: DataFrame) -> DataFrame:

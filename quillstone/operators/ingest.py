@@ -1,9 +1,7 @@
-"""Collect and ingest: skip what is known, classify, route, fan out, stage as changes, commit, undo."""
+"""Collect and ingest: skip what is known, classify, route, fan out, show as changes, undo."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +34,11 @@ def split_valid(items: DataFrame, channels: tuple[str, ...] = CHANNELS) -> tuple
     return marked.where("not _bad").drop("_bad"), marked.where("_bad").drop("_bad").withColumn("state", F.lit("quarantine"))
 
 
-def file_away(items: DataFrame) -> DataFrame:
-    """Ingested items at their final, dated path; the content, hence the key, stays as it is."""
-    return items.withColumn("path", dated_path("channel", "captured_at", "file_name")).withColumn("state", F.lit("filed"))
+def file_away(items: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """Ingested items at their final, dated path, with their batch and the path they had; the content, hence the key, stays as it is."""
+    moved = items.withColumn("was", F.col("path")) if "was" in items.columns else items
+    moved = moved.withColumn("batch_id", F.lit(batch_id).cast("string")) if "batch_id" in items.columns else moved
+    return moved.withColumn("path", dated_path("channel", "captured_at", "file_name")).withColumn("state", F.lit("filed"))
 
 
 def classify(channel: Column, text: Column) -> Column:
@@ -63,11 +63,11 @@ _EDGE = r"\(([^()]+)\)\s*--([A-Za-z_]+)-->\s*\(([^()]+)\)"
 
 
 def propose_edges(rows: DataFrame, id_: str = "slug", text: str = "body") -> DataFrame:
-    """(src, edge, dst, conf, state) that texts suggest: explicit arrows (0.9), 'X works at Y' (0.55), 'decided to' after a meeting's name (0.5)."""
+    """(src, edge, dst, conf, state) that texts suggest: explicit arrows (0.9), 'X works at Y' (0.6), 'decided to' after a meeting's name (0.5)."""
     arrow = [F.regexp_extract_all(F.col(text), F.lit(_EDGE), F.lit(k)) for k in (1, 2, 3)]
     one = rows.select(F.explode(F.arrays_zip(*(a.alias(n) for a, n in zip(arrow, ("src", "edge", "dst"), strict=True)))).alias("e")).select("e.*", F.lit(0.9).alias("conf"))
     at = [F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Z]\w+(?: [A-Z]\w+)?) works at ([A-Z]\w+)"), F.lit(k)) for k in (1, 2)]
-    two = rows.select(F.explode(F.arrays_zip(at[0].alias("src"), at[1].alias("dst"))).alias("e")).select(slugify("e.src").alias("src"), F.lit("works_at").alias("edge"), slugify("e.dst").alias("dst"), F.lit(0.55).alias("conf"))
+    two = rows.select(F.explode(F.arrays_zip(at[0].alias("src"), at[1].alias("dst"))).alias("e")).select(slugify("e.src").alias("src"), F.lit("works_at").alias("edge"), slugify("e.dst").alias("dst"), F.lit(0.6).alias("conf"))
     did = F.regexp_extract_all(F.col(text), F.lit(r"(?i)\bdecided to ([a-z0-9 ]{3,60})"), F.lit(1))
     three = rows.select(F.col(id_).alias("src"), F.lit("decided").alias("edge"), F.explode(did).alias("d")).select("src", "edge", slugify("d").alias("dst"), F.lit(0.5).alias("conf"))
     found = one.unionByName(two).unionByName(three)
@@ -84,34 +84,58 @@ def stubs(slugs: DataFrame, pages: DataFrame) -> DataFrame:
     return slugs.select(F.col("dst").alias("slug")).distinct().join(pages.select("slug"), "slug", "left_anti").select("slug", F.concat(F.lit("wiki/tofile/"), "slug", F.lit(".md")).alias("path"))
 
 
-def fan_out(items: DataFrame, mentions: DataFrame, pages: DataFrame, batch_id: str) -> DataFrame:
+def fan_out(items: DataFrame, mentions: DataFrame, pages: DataFrame, batch_id: str, by_source: bool = True) -> DataFrame:
     """Changes (batch_id, source_path, path, op, before, after) of pages that items mention.
 
     items: path, channel, file_name, captured_at. mentions: path, slug, bullet. A page that exists gets
-    the bullet under "Mentions" and the item's final path as a source; others become tofile stubs.
+    the bullet under "Mentions" and the item's final path as a source; others become tofile stubs. By source, each
+    row is what one source would do to the page by itself, which is what gets reviewed: a page that two sources tell of is
+    in both their diffs. Otherwise a row is a page with all that is told of it, and source_path is null: what is committed.
     """
     final = dated_path("channel", "captured_at", "file_name")
     told = mentions.join(items.select("path", final.alias("final")), "path")
-    told = told.groupBy("slug").agg(F.array_sort(F.collect_set(F.struct("final", "bullet"))).alias("told"), F.min("final").alias("source_path"))
+    told = told.withColumn("source_path", F.col("final") if by_source else F.lit(None).cast("string"))
+    told = told.groupBy("slug", "source_path").agg(F.array_sort(F.collect_set(F.struct("final", "bullet"))).alias("told"))
     there = pages.withColumn("_is", F.lit(True)).drop("file_name")
     rows = told.join(there, "slug", "left")
     path = F.coalesce("path", F.concat(F.lit("wiki/tofile/"), "slug", F.lit(".md")))
     body = F.aggregate("told", F.coalesce("body", F.lit("")), lambda b, t: append_bullet(b, F.lit("Mentions"), t["bullet"]))
     sources = F.array_union(F.coalesce("sources", F.array().cast("array<string>")), F.transform("told", lambda t: t["final"]))
-    before = rows.where("_is").select("slug", *[c for c in pages.columns if c not in ("slug", "file_name")])
-    after = rows.select("slug", "source_path", "_is", F.coalesce("type", F.lit("tofile")).alias("type"), path.alias("path"), sources.alias("sources"), body.alias("body"), *[c for c in pages.columns if c not in ("slug", "type", "path", "sources", "body", "file_name")])
-    text = lambda df, name: df.mapInArrow(frontmatter.render_pages, "path string, content string").withColumnRenamed("content", name)
-    out = after.select("path", "source_path", "_is").join(text(after, "after"), "path").join(text(before, "before"), "path", "left")
+    kept = [c for c in pages.columns if c not in ("slug", "type", "path", "sources", "body", "file_name")]
+    new = {"type": F.coalesce("type", F.lit("tofile")), "path": path, "sources": sources, "body": body} | {c: F.col(c) for c in kept}
+    old = F.when(F.col("_is"), F.struct(*(F.col(c) for c in new)))
+    both = rows.select("source_path", "_is", path.alias("path"), F.struct(*(v.alias(k) for k, v in new.items())).alias("new"), old.alias("old"))
+    rendered = both.mapInArrow(frontmatter.render_both, "source_path string, _is boolean, path string, before string, after string")
     op = F.when(F.col("_is"), "update").otherwise("create")
-    return out.where(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(batch_id).alias("batch_id"), "source_path", "path", op.alias("op"), "before", "after")
+    return rendered.where(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(batch_id).alias("batch_id"), "source_path", "path", op.alias("op"), "before", "after")
 
 
-def consolidated(changes: DataFrame) -> DataFrame:
-    """(source_path, n, diff): one diff per source, its changes by path."""
-    rows = changes.select("source_path", "path", "op", "before", "after")
+def changes_between(before: DataFrame, after: DataFrame, batch_id: str) -> DataFrame:
+    """(batch_id, path, op, before, after): how files (path, content) differ; equal ones are left out."""
+    a, b = before.select("path", F.col("content").alias("before")), after.select("path", F.col("content").alias("after"))
+    op = F.when(F.col("before").isNull(), "create").when(F.col("after").isNull(), "delete").otherwise("update")
+    rows = a.join(b, "path", "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    return rows.select(F.lit(batch_id).alias("batch_id"), "path", op.alias("op"), "before", "after")
+
+
+def diffs(changes: DataFrame) -> DataFrame:
+    """(source_path, path, op, diff): a unified diff of each change."""
+    source = F.col("source_path") if "source_path" in changes.columns else F.lit(None).cast("string")
+    rows = changes.select(source.alias("source_path"), "path", "op", "before", "after")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", diff string"
-    each = rows.mapInArrow(frontmatter.diffs, fields)
-    return each.groupBy("source_path").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "diff"))), lambda x: x["diff"]), "\n").alias("diff"))
+    return rows.mapInArrow(frontmatter.diffs, fields).select("source_path", "path", "op", "diff")
+
+
+def consolidated(changes: DataFrame) -> DataFrame:
+    """(source_path, path, op, diff, n): one diff per source, as its changes in the order of paths, each with their number.
+
+    A row per change: a source that touches a great many pages is as many rows, not one long text; the order is
+    that of a range partitioning, so reading it from top to bottom is reading one diff after the other.
+    """
+    each = diffs(changes)
+    sizes = each.groupBy("source_path").agg(F.count("*").alias("n"))
+    same = F.col("source_path").eqNullSafe(F.col("_s"))
+    return each.join(sizes.withColumnRenamed("source_path", "_s"), same).drop("_s").orderBy("source_path", "path")
 
 
 def apply(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -130,33 +154,3 @@ def undo(files: DataFrame, changes: DataFrame, batch_id: str) -> DataFrame:
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """`table` with the rows whose key it lacks; applying it twice is applying it once."""
     return table.unionByName(rows.join(table.select(key), key, "left_anti"))
-
-
-def commit(df: DataFrame, base: str, name: str) -> str:
-    """Write a table's new version beside the old and point the manifest at it by one rename; returns the version's path.
-
-    Readers see the old version or the new one whole. A lock file keeps a second writer out.
-    """
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(base).getFileSystem(conf)
-    lock = at(f"{base}/{name}.lock")
-    fs.mkdirs(at(base))
-    fs.create(lock, False).close()  # fails if it exists
-    try:
-        version = f"{base}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(version)
-        staged = at(f"{base}/{name}.manifest.new")
-        out = fs.create(staged, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(at(f"{base}/{name}.manifest"), False)
-        fs.rename(staged, at(f"{base}/{name}.manifest"))
-        return version
-    finally:
-        fs.delete(lock, False)
-
-
-def current(spark, base: str, name: str) -> DataFrame:
-    """The version of a table that its manifest names."""
-    return spark.read.parquet(spark.read.text(f"{base}/{name}.manifest").first()[0])

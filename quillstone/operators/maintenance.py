@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import slugify, type_dir
 from quillstone.operators.graph import follow, small
 from quillstone.schemas import RAW_CLASSES, SERVICE_DIRS, TYPE_TO_DIR
 
 
 def rename(rows: DataFrame, renames: DataFrame, *columns: str) -> DataFrame:
-    """`rows` with slugs in `columns` (texts or lists of texts) replaced by renames (old, new)."""
-    renames = small(renames.select("old", "new"))
+    """`rows` with slugs in `columns` (texts or lists of texts) replaced by renames (old, new).
+
+    A list is changed in its row, by the renames as a map if they are few enough to be broadcast, else by way of
+    the rows' own values: equal lists are renamed once and found again by what they were.
+    """
+    pairs = renames.select("old", "new")
     for c in columns:
         if dict(rows.dtypes)[c].startswith("array"):
-            own = rows.select(F.monotonically_increasing_id().alias("_i"), "*")
-            each = own.select("_i", F.posexplode(c).alias("_p", "old")).join(renames, "old", "left")
-            new = each.groupBy("_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("new", "old").alias("v")))), lambda x: x["v"]).alias("_v"))
-            rows = own.join(new, "_i", "left").withColumn(c, F.coalesce("_v", c)).select(rows.columns)
+            lists = rows.select(F.col(c).alias("_was")).where("_was is not null and size(_was) > 0").distinct()
+            each = lists.select("_was", F.posexplode("_was").alias("_p", "old")).join(small(pairs), "old", "left")
+            now = each.groupBy("_was").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("new", "old").alias("v")))), lambda x: x["v"]).alias("_now"))
+            rows = rows.join(now, F.col(c) == F.col("_was"), "left").withColumn(c, F.coalesce("_now", c)).select(rows.columns)
         else:
-            rows = rows.join(renames.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).select(rows.columns)
+            rows = rows.join(small(pairs).withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).select(rows.columns)
     return rows
 
 
@@ -38,30 +43,24 @@ def merge(pages: DataFrame, identity: str, slug: str, *lists: str) -> DataFrame:
     return out
 
 
-def link_candidates(stubs: DataFrame, canonical: DataFrame, distance: int = 2, prefix: int = 3) -> DataFrame:
-    """(stub, slug, distance): stubs within an edit distance of a canonical slug that begins alike (the block).
+def link_candidates(stubs: DataFrame, canonical: DataFrame, distance: int = 2) -> DataFrame:
+    """(stub, slug, distance): stubs within an edit distance of a canonical slug, each pair once and none lost.
 
-    With prefix 0 there is no block and no pair is lost, each given once: names within `distance` edits
-    have a text in common that leaves out at most `distance` characters of each.
+    Names within `distance` edits have a text in common that leaves out at most `distance` characters of each, so
+    they are joined by all such texts.
     """
-    if not prefix:
-        left_out = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        shorter = lambda x: F.when(F.length(x) > 0, left_out(x)).otherwise(F.array().cast("array<string>"))
-
-        def keys(c: str):
-            found = F.array(F.col(c))
-            for _ in range(distance):
-                found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
-            return F.explode(found).alias("_k")
-
-        a, b = stubs.select(F.col("slug").alias("stub")).distinct(), canonical.select("slug").distinct()
-        pairs = a.select("stub", keys("stub")).join(b.select("slug", keys("slug")), "_k").where("stub <> slug").select("stub", "slug").distinct()
-        return pairs.withColumn("distance", F.levenshtein("stub", "slug", distance)).where("distance >= 0")
-    block = F.substring("slug", 1, prefix)
-    a = stubs.select(F.col("slug").alias("stub"), block.alias("_b"))
-    b = canonical.select("slug", block.alias("_b"))
-    d = F.levenshtein("stub", "slug", distance)
-    return a.join(b, "_b").where(F.col("stub") != F.col("slug")).select("stub", "slug", d.alias("distance")).where("distance >= 0")
+    left_out = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    shorter = lambda x: F.when(F.length(x) > 0, left_out(x)).otherwise(F.array().cast("array<string>"))
+
+    def keys(c: str):
+        found = F.array(F.col(c))
+        for _ in range(distance):
+            found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
+        return F.explode(found).alias("_k")
+
+    a, b = stubs.select(F.col("slug").alias("stub")).distinct(), canonical.select("slug").distinct()
+    pairs = a.select("stub", keys("stub")).join(b.select("slug", keys("slug")), "_k").where("stub <> slug").select("stub", "slug").distinct()
+    return pairs.withColumn("distance", F.levenshtein("stub", "slug", distance)).where("distance >= 0")
 
 
 def archive(pages: DataFrame, stale: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,9 +70,9 @@ def archive(pages: DataFrame, stale: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved, gone.select(F.col("slug").alias("from_slug"), F.concat(F.lit("archive/"), "slug").alias("to_slug"))
 
 
-def resolve(rows: DataFrame, redirects: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """Slugs in `column` after following redirects; those on a cycle stay as they are."""
-    ends = follow(redirects.select(F.col("from_slug").alias("src"), F.col("to_slug").alias("dst")), depth).where("not cyclic")
+def resolve(rows: DataFrame, redirects: DataFrame, column: str) -> DataFrame:
+    """Slugs in `column` after following redirects, however many; those whose redirects run into a cycle stay as they are."""
+    ends = follow(redirects.select(F.col("from_slug").alias("src"), F.col("to_slug").alias("dst"))).where("not cyclic")
     return rows.join(ends.select(F.col("start").alias(column), F.col("end").alias("_end")), column, "left").withColumn(column, F.coalesce("_end", column)).select(rows.columns)
 
 
@@ -89,6 +88,34 @@ def split_bloated(pages: DataFrame, longest: int, slug: str = "slug", body: str
     return sections(pages.where(F.length(body) > longest), slug, body)
 
 
+def split_pages(pages: DataFrame, longest: int) -> DataFrame:
+    """Bloated pages and what they become: each section a page of its own, and the page with its preamble and links to them.
+
+    A section's slug is the page's and its heading's; of equal headings the later ones have their number after it.
+    """
+    parts = sections(pages.where(F.length("body") > longest)).withColumnRenamed("slug", "_of").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    name = F.concat_ws("-", "_of", slugify("heading"))
+    again = F.row_number().over(Window.partitionBy("_of", name).orderBy("ord"))  # within a page
+    parts = parts.withColumn("_name", F.when(F.col("ord") > 0, F.when(again > 1, F.concat_ws("-", name, again.cast("string"))).otherwise(name)))
+    heads = parts.groupBy("_of").agg(
+        F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("_text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") > 0, F.struct("ord", "_name")))), lambda x: F.concat(F.lit("- [["), x["_name"], F.lit("]]"))), "\n").alias("_list"),
+    )
+    heads = pages.join(heads, F.col("slug") == F.col("_of")).withColumn("body", F.concat_ws("\n\n", F.nullif("_text", F.lit("")), F.nullif("_list", F.lit("")))).select(pages.columns)
+    own = pages.join(parts.where("ord > 0"), F.col("slug") == F.col("_of")).withColumn("body", F.col("text"))
+    own = own.withColumn("path", F.concat(F.regexp_replace("path", r"[^/]+$", ""), F.col("_name"), F.lit(".md"))).withColumn("slug", F.col("_name")).withColumn("file_name", F.concat("_name", F.lit(".md")))
+    kept = ("slug", "type", "path", "file_name", "status", "created", "last_verified", "sources", "body")
+    own = own.select(*(F.col(c) if c in kept else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in pages.columns))
+    return heads.unionByName(own)
+
+
+def maps(pages: DataFrame) -> DataFrame:
+    """(path, line, text): the lines of a map page per type, that is links to its pages by slug; a row per line, as types may have many."""
+    where = F.concat(F.lit("wiki/_maps/"), type_dir("type"), F.lit(".md"))
+    rows = pages.where(type_dir("type").isNotNull()).select(where.alias("path"), F.concat(F.lit("- [["), "slug", F.lit("]]")).alias("text"))
+    return rows.orderBy("path", "text")
+
+
 def scoped(raw: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     """The raw rows that a compile run rebuilds from."""
     return raw.join(scope.select(key).distinct(), key, "left_semi")
@@ -100,6 +127,14 @@ def thread(raw: DataFrame, wiki: DataFrame, topic: str, text: str = "text", at:
     return rows.where(F.contains(F.lower(text), F.lit(topic.lower()))).orderBy(at, "path")
 
 
+def thread_page(timeline: DataFrame, topic: str) -> DataFrame:
+    """(path, content) of a topic's thread page: one line for each entry, in their order. A page is one text, however many entries it has."""
+    line = F.concat(F.lit("- "), F.col("at").cast("string"), F.lit(" ("), "layer", F.lit(", "), "path", F.lit("): "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    entries = F.array_sort(F.collect_list(F.struct("at", "path", line.alias("line"))))
+    body = F.concat(F.lit(f"---\ntype: thread\n---\n# {topic}\n\n"), F.array_join(F.transform(entries, lambda x: x["line"]), "\n"), F.lit("\n"))
+    return timeline.agg(F.count("*").alias("n"), body.alias("content")).where("n > 0").select(F.concat(F.lit("wiki/threads/"), slugify(F.lit(topic)), F.lit(".md")).alias("path"), "content")
+
+
 def narrative(timeline: DataFrame, topic: str) -> str:
     """A thread page as Markdown, from all entries of a timeline in its order; the page is one string on the driver."""
     return "\n".join([f"# {topic}", "", *(f"- {r['at']} ({r['layer']}, {r['path']}): {r['text']}" for r in timeline.toLocalIterator())])

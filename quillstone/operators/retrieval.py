@@ -7,10 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import tokens
+from quillstone.functions.text import terms_of, tokens
 from quillstone.operators.graph import expand, small
 
 K1, B, FUSION = 1.2, 0.75, 60
+DIMENSIONS = 256
 
 
 def recognise(question: str, aliases: DataFrame) -> DataFrame:
@@ -74,6 +75,46 @@ def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "te
     return rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).select("id", sum(part(i) for i in range(len(terms))).alias("score"))
 
 
+def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, id, tf, dl) of every document, by term: a stored index, whose files hold ranges of terms.
+
+    A document without terms is one row of the null term, so that the corpus figures count it. Written by ranges of
+    (term, id), so that a term that every document has lies in many files, and a question's terms prune the rest.
+    """
+    rows = docs.select(F.col(id_).alias("id"), tokens(text).alias("w"))
+    each = rows.select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
+    counted = each.groupBy("term", "id", "dl").agg(F.count("term").alias("tf"))
+    return counted.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """(n, total) documents and terms of a stored index, in one row."""
+    return index.agg(F.count_distinct("id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+
+
+def bm25_stored(index: DataFrame, terms: list[str], figures: tuple[int, int] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """`bm25` from a stored index: only the rows of the question's terms are read. figures: those of `lengths`, if known."""
+    n, total = figures or tuple(lengths(index).first())
+    own = index.where(F.col("term").isin(*terms))
+    df = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one a term of the question
+    if not df:
+        return own.select("id", F.lit(0.0).alias("score")).where("false")
+    idf = F.element_at(F.create_map(*(F.lit(x) for t, d in sorted(df.items()) for x in (t, math.log(1 + (n - d + 0.5) / (d + 0.5))))), F.col("term"))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(total / n)))
+    return own.groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def hashed_vectors(index: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, vector) of a stored index's documents: each term adds 1 + ln(tf) to or takes it from the dimension that its hash picks.
+
+    What stands in for a trained embedding where a caller brings none; a question's vector is made the same way.
+    """
+    h = F.xxhash64("term")
+    rows = index.where("term is not null").select("id", F.pmod(h, F.lit(dimensions)).cast("int").alias("d"), (F.when(F.xxhash64(F.lit(1), "term") % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log(F.col("tf")))).alias("v"))
+    sums = rows.groupBy("id", "d").agg(F.sum("v").alias("v")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # `dimensions` entries at most
+    return sums.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("vector"))
+
+
 def cosine(vectors: DataFrame, query: list[float], id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score): cosine with the query; 0-length vectors have no score and are left out."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -106,19 +147,34 @@ def cite(hits: DataFrame, lines: DataFrame, terms: list[str]) -> DataFrame:
     return lines.join(hits.select("path").distinct(), "path").where(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))))
 
 
-def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 10, edge_names: list[str] | None = None) -> DataFrame:
+def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 10, edge_names: list[str] | None = None, index: DataFrame | None = None, vectors: DataFrame | None = None, asked: list[float] | None = None) -> DataFrame:
     """Answer as passages: (path, line, text, score) from the k best pages and the raw files that they cite.
 
-    Seeds are pages that the question names, widened by one hop; a candidate's BM25 score is doubled if
-    it was reached that way.
+    Keyword and vector ranks, a shortlist of each, are fused; seeds are pages that the question names, widened by one hop, and a
+    candidate's score is doubled if it was reached that way. index, vectors: the stored ones of the pages (id is the
+    slug), worked out here if missing; asked: the question's vector, by default the hashed one.
     """
+    spark = pages.sparkSession
     seeds = recognise(question, aliases_of(pages))
     near = seeds.unionAll(expand(seeds, edges, edge_names).select("id"))
-    terms = sorted({w for w in "".join(c if "a" <= c <= "z" else " " for c in question.lower()).split() if len(w) > 2})
+    terms = [t for t in terms_of(question) if len(t) > 2]
     if not terms:
         return lines.where("false").withColumn("score", F.lit(0.0))
-    body = pages.select("slug", F.concat_ws(" ", F.regexp_replace("slug", "-", " "), "body").alias("text"))
-    best = top(rerank(bm25(body, terms, "slug"), near), k)
+    if index is None:
+        index = postings(searched(pages), "slug")
+    if vectors is None:
+        vectors = hashed_vectors(index)
+    if asked is None:
+        own = hashed_vectors(postings(spark.createDataFrame([("q", " ".join(terms))], "doc_id string, text string"))).first()
+        asked = list(own["vector"])
+    short = max(5 * k, 50)
+    found = fuse(top(bm25_stored(index, terms), short), top(cosine(vectors, asked, "id", "vector").where("score > 0"), short), 2 * short)
+    best = top(rerank(found.withColumnRenamed("rrf", "score"), near), k)
     cited = pages.join(best.select(F.col("id").alias("slug"), "score"), "slug").select(F.explode(F.concat(F.array("path"), F.coalesce("sources", F.array().cast("array<string>")))).alias("path"), "score")
     cited = cited.groupBy("path").agg(F.max("score").alias("score"))
     return cite(cited, lines, terms).join(cited, "path").select("path", "line", "text", "score").orderBy(F.desc("score"), "path", "line")
+
+
+def searched(pages: DataFrame) -> DataFrame:
+    """(slug, text): what search looks at in a page."""
+    return pages.select("slug", F.concat_ws(" ", F.regexp_replace("slug", "-", " "), "body").alias("text"))

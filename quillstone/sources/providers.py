@@ -5,39 +5,65 @@ spark.dataSource.register(ExportSource); spark.read.format("provider_export").op
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+COLUMNS = ("channel", "source", "captured_at", "title", "content")
+SPLIT_BYTES = 64 << 20
+
 
 class ExportSource(DataSource):
-    """Rows (channel, source, captured_at, title, content) of *.jsonl files in a shared folder, a partition per file."""
+    """Rows of *.jsonl files in a folder that all executors share, by path or URI; a partition for every SPLIT_BYTES."""
 
     @classmethod
     def name(cls) -> str:
         return "provider_export"
 
     def schema(self) -> str:
-        return "channel string, source string, captured_at string, title string, content string"
+        return ", ".join(f"{c} string" for c in COLUMNS)
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT_BYTES))))
+
+
+def _open(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self):
-        return [InputPartition(p) for p in sorted(glob.glob(os.path.join(self.path, "*.jsonl")))] or [InputPartition(None)]
+        from pyarrow import fs
+
+        store, base = _open(self.path)
+        found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and f.path.endswith(".jsonl")]
+        parts = [InputPartition((f.path, at, min(at + self.split, f.size))) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, self.split)]
+        return parts or [InputPartition(None)]
 
     def read(self, partition):
+        """The lines that begin in the partition's bytes."""
         if partition.value is None:
             return
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
+        path, begin, end = partition.value
+        store, _ = _open(self.path)
+        with store.open_input_file(path) as raw:
+            import io
+
+            raw.seek(max(begin - 1, 0))
+            lines, at = io.BufferedReader(raw), max(begin - 1, 0)
+            if begin:
+                at += len(lines.readline())
+            while at < end:
+                line = lines.readline()
+                if not line:
+                    return
+                at += len(line)
                 if line.strip():
-                    x = json.loads(line)
-                    yield tuple(x.get(k) for k in ("channel", "source", "captured_at", "title", "content"))
+                    row = json.loads(line)
+                    yield tuple(row.get(c) for c in COLUMNS)

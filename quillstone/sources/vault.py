@@ -13,14 +13,27 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import frontmatter
 from quillstone.functions.text import content_key
+from quillstone.shared import file_system
 from quillstone.schemas import CHANNELS, PAGES, SERVICE_DIRS, TYPE_TO_DIR
 
 
-def files(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """(path, file_name, modified, content) of all files under `root`; path is relative to the vault."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?/(?=(?:raw|wiki)/)", "")
-    return rows.select(F.url_decode(path).alias("path"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
+def _decoded(path) -> F.Column:
+    """A URI's path as it is in the file system; a plus sign is one."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def relative(spark: SparkSession, vault: str, path) -> F.Column:
+    """A file's URI as a path within the vault."""
+    fs, at = file_system(spark, vault)
+    root = fs.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    whole = _decoded(path)
+    return F.substring(whole, F.instr(whole, root) + len(root), F.length(whole))
+
+
+def files(spark: SparkSession, vault: str, folder: str, glob: str = "*.md") -> DataFrame:
+    """(path, file_name, modified, content) of all files under a folder of the vault; path is relative to the vault, wherever that is."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(f"{vault.rstrip('/')}/{folder}", wholetext=True)
+    return rows.select(relative(spark, vault, F.col("_metadata.file_path")).alias("path"), _decoded(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
 
 
 def located(rows: DataFrame) -> DataFrame:
@@ -34,7 +47,7 @@ def located(rows: DataFrame) -> DataFrame:
 
 def raw_items(spark: SparkSession, vault: str, raw_class: str | None = None, glob: str = "*.md") -> DataFrame:
     """Captured items with the columns of schemas.RAW_ITEMS; source, channel and captured_at from the frontmatter where it has them."""
-    rows = located(files(spark, f"{vault}/raw" + (f"/{raw_class}" if raw_class else ""), glob))
+    rows = located(files(spark, vault, "raw" + (f"/{raw_class}" if raw_class else ""), glob))
     key = lambda k: F.nullif(F.trim(F.regexp_extract("content", rf"(?s)\A---\n(?:(?!\n---).)*?(?<=\n){k}:[ \t]*([^\n]*)", 1)), F.lit(""))
     fields = {
         "item_key": content_key("content"),
@@ -43,7 +56,7 @@ def raw_items(spark: SparkSession, vault: str, raw_class: str | None = None, glo
         "captured_at": F.coalesce(F.try_to_timestamp(key("captured_at")), "modified"),
         "state": F.when(F.col("raw_class").isin("inbox", "quarantine"), F.col("raw_class")).otherwise("filed"),
     }
-    return rows.withColumns(fields).select("item_key", "path", "file_name", "channel", "source", "captured_at", "content", "state")
+    return rows.withColumns(fields).select("item_key", "path", "file_name", "channel", "source", "captured_at", "content", "state", F.lit(None).cast("string").alias("batch_id"), F.lit(None).cast("string").alias("was"))
 
 
 def inbox(spark: SparkSession, vault: str, channel: str | None = None) -> DataFrame:
@@ -86,12 +99,42 @@ def html_text(html) -> F.Column:
 
 
 def assets(spark: SparkSession, vault: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{vault}/raw/assets").select("path", "modificationTime", "length")
+    """(path, modificationTime, length) of the vault's assets; their bytes aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{vault}/raw/assets")
+    return rows.select(relative(spark, vault, F.col("path")).alias("path"), "modificationTime", "length")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write (path, content) as files under `root`, each whole or not at all, on the executors; returns how many.
+
+    `root` is a folder that all executors share. Doing a part again, as after a lost executor, writes the same files.
+    """
+
+    def run(parts):
+        import os
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        for part in parts:
+            for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
+                at = f"{base}/{path}"
+                store.create_dir(os.path.dirname(at), recursive=True)
+                staged = f"{os.path.dirname(at)}/.{uuid.uuid4().hex}.new"
+                with store.open_output_stream(staged) as out:
+                    out.write((content or "").encode())
+                store.move(staged, at)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], ["n"])
+
+    found = rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
+    return found[0] or 0
 
 
 def pages(spark: SparkSession, vault: str) -> DataFrame:
     """Entity pages with the columns of schemas.PAGES; a page without a type has its directory's; service directories are left out."""
-    rows = files(spark, f"{vault}/wiki").where(~F.col("path").rlike(r"(?:^|/)wiki/(?:" + "|".join(SERVICE_DIRS) + ")/"))
+    rows = files(spark, vault, "wiki").where(~F.col("path").rlike(r"(?:^|/)wiki/(?:" + "|".join(SERVICE_DIRS) + ")/"))
     parsed = rows.select("path", "file_name", "content").mapInArrow(frontmatter.parse_pages, PAGES)
     of_dir = F.element_at(F.create_map(*(F.lit(x) for kind, name in TYPE_TO_DIR.items() for x in (name, kind))), F.regexp_extract("path", r"(?:^|/)wiki/([^/]+)/", 1))
     return parsed.withColumn("type", F.coalesce("type", of_dir))

@@ -1,117 +1,184 @@
 """A vault as a set of tables, with a method per command.
 
-Tables are versioned Parquet directories; a command stages its result, and a manifest's rename commits
-it. Commands that change pages return their changes as a table of diffs first; `approve=True` commits.
+Tables are versioned Parquet directories. A command writes what it changes beside what is there, and one manifest, renamed
+into place at its end, makes all of it count at once (see quillstone.store): a command that fails changes nothing,
+and of two at a time the second is refused. Commands that change pages return their changes as a table
+first; `approve=True` commits them.
 """
 
 from __future__ import annotations
 
 import datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import schemas
 from quillstone.functions import frontmatter
-from quillstone.functions.text import content_key
+from quillstone.functions.text import content_key, wikilinks
 from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.shared import stash
 from quillstone.sources import vault as scans
+from quillstone.store import Store
 
 TABLES = {
-    "raw": schemas.RAW_ITEMS,
+    "inbox": schemas.RAW_ITEMS,
+    "filed": schemas.RAW_ITEMS,
     "pages": schemas.PAGES,
     "proposals": schemas.PROPOSALS,
     "changes": schemas.CHANGES,
     "log": schemas.LOG,
+    "log_archive": schemas.LOG,
     "redirects": "from_slug string, to_slug string",
     "nodes": "id string, type string",
     "edges": schemas.EDGES,
+    "postings": schemas.POSTINGS,
+    "vectors": schemas.VECTORS,
 }
+#: Directories of a table above which a command that appends to it writes it anew.
+MANY_PARTS = 64
+
+
+def command(f):
+    """A method whose changes are committed together when it returns; one that it calls is part of it."""
+
+    @wraps(f)
+    def run(self, *args, **kwargs):
+        if self._began is not None:
+            return f(self, *args, **kwargs)
+        self._began = self._store.latest()
+        self._new = {}
+        try:
+            out = f(self, *args, **kwargs)
+            number, tables = self._began
+            if self._new:
+                self._store.commit(number, tables | {name: {"parts": parts, "at": number + 1} for name, parts in self._new.items()})
+            return out
+        finally:
+            self._began = None
+
+    return run
 
 
 class Vault:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._store, self._began, self._new = Store(spark, base), None, {}
+
+    def _parts(self, name: str) -> list[str]:
+        if self._began is not None and name in self._new:
+            return self._new[name]
+        return (self._began or self._store.latest())[1].get(name, {}).get("parts", [])
 
     def table(self, name: str) -> DataFrame:
-        return ingest.current(self.spark, self.base, name)
+        """A table; raw is the inbox's and the filed and quarantined items together."""
+        if name == "raw":
+            return self.table("inbox").unionByName(self.table("filed"))
+        return self._store.read(self._parts(name), TABLES[name])
 
+    def _write(self, name: str, df: DataFrame) -> str:
+        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        return self._store.write(df.select(*columns), name)
+
+    @command
     def _save(self, name: str, df: DataFrame) -> None:
-        ingest.commit(df.select(*self._columns(name)), self.base, name)
+        self._new[name] = [self._write(name, df)]
+
+    @command
+    def _append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a table without writing it anew, but when it has come to be in a great many directories."""
+        parts = self._parts(name)
+        if len(parts) >= MANY_PARTS:
+            df, parts = self.table(name).unionByName(df.select(*self.table(name).columns)), []
+        self._new[name] = [*parts, self._write(name, df)]
 
     def _exists(self, path: str) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    @staticmethod
-    def _columns(name: str) -> list[str]:
-        return [c.strip().split(" ")[0] for c in TABLES[name].replace("map<string,string>", "map").split(",")]
-
     def _log(self, skill: str, batch_id: str, rows: DataFrame) -> None:
         """rows: channel, op, path."""
         now = F.lit(datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-        new = rows.select(now.alias("ts"), F.lit(skill).alias("skill"), "channel", "op", "path", F.lit(batch_id).alias("batch_id"))
-        self._save("log", self.table("log").unionByName(new))
+        self._append("log", rows.select(now.alias("ts"), F.lit(skill).alias("skill"), "channel", "op", "path", F.lit(batch_id).alias("batch_id")))
 
     # --- setting up -----------------------------------------------------------------------------
 
+    @command
     def init(self) -> None:
         """Empty tables; refuses a directory that has a vault already."""
-        if self._exists(f"{self.base}/pages.manifest"):
+        if self._began[0]:
             raise FileExistsError(f"{self.base} is a vault already")
         for name, ddl in TABLES.items():
             self._save(name, self.spark.createDataFrame([], ddl))
 
+    @command
     def load(self, root: str) -> None:
         """Take over a Markdown vault: its raw items, pages and queued proposals."""
-        self._save("raw", scans.raw_items(self.spark, root))
+        raw = scans.raw_items(self.spark, root)
+        self._save("inbox", raw.where("state = 'inbox'"))
+        self._save("filed", raw.where("state <> 'inbox'"))
         self._save("pages", scans.pages(self.spark, root))
         queue = f"{root}/wiki/_inbox/edges.md"
         if self._exists(queue):
             self._save("proposals", scans.proposals(self.spark, queue))
         self.project()
 
+    def export(self, root: str) -> int:
+        """Write all pages as Markdown files under a folder that all executors share; returns how many."""
+        return scans.write_files(self.harmonised(), root)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete what only versions before the last `keep` used."""
+        return self._store.vacuum(keep)
+
     # --- capture and ingest ---------------------------------------------------------------------
 
+    @command
     def collect(self, items: DataFrame) -> DataFrame:
         """Add captured items (file_name, channel, source, captured_at, content) to the inbox; (channel, new, duplicates)."""
-        keyed = items.withColumn("item_key", content_key("content")).withColumn("path", F.concat(F.lit("raw/inbox/"), "channel", F.lit("/"), "file_name")).withColumn("state", F.lit("inbox"))
-        raw = self.table("raw")
-        report = self.spark.createDataFrame(ingest.collect_report(ingest.keep_first(keyed, "item_key", "path"), raw, by="channel").collect(), "channel string, new long, duplicates long")
-        new = ingest.unseen(ingest.keep_first(keyed, "item_key", "path"), raw)
-        self._save("raw", raw.unionByName(new.select(*raw.columns)))
+        none = F.lit(None).cast("string")
+        keyed = items.withColumns({"item_key": content_key("content"), "path": F.concat(F.lit("raw/inbox/"), "channel", F.lit("/"), "file_name"), "state": F.lit("inbox"), "batch_id": none, "was": none})
+        raw = self.table("raw").select("item_key")
+        first = stash(ingest.keep_first(keyed, "item_key", "path"), "collected")
+        report = self.spark.createDataFrame(ingest.collect_report(first, raw, by="channel").collect(), "channel string, new long, duplicates long")
+        self._append("inbox", ingest.unseen(first, raw))
         self._log("collect", "collect", report.select("channel", F.lit("collect").alias("op"), F.lit(None).cast("string").alias("path")))
         return report
 
+    def _told(self, items: DataFrame) -> DataFrame:
+        """(path, slug, bullet): pages that items name or link to."""
+        told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(self.table("pages"))).withColumnRenamed("id", "slug")
+        told = told.unionByName(items.select("path", F.explode(wikilinks("content")).alias("slug"))).distinct()
+        return told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"))
+
+    def _rebuilt(self, items: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+        """(changes by source, as reviewed; changes by page, as committed), both of one set of mentions."""
+        told, pages = stash(self._told(items), "told"), self.table("pages")
+        return tuple(stash(ingest.fan_out(items, told, pages, batch_id, by_source), "planned") for by_source in (True, False))
+
     def plan(self, batch_id: str) -> DataFrame:
         """The changes that ingesting the inbox would make, as (batch_id, source_path, path, op, before, after)."""
-        items, _ = ingest.split_valid(self.table("raw").where("state = 'inbox'"))
-        pages = self.table("pages")
-        told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(pages)).withColumnRenamed("id", "slug")
-        links = items.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"\[\[([^\]|#]+)"))).alias("slug"))
-        told = told.unionByName(links.select("path", F.trim("slug").alias("slug"))).distinct()
-        told = told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"))
-        return ingest.fan_out(items, told, pages, batch_id)
+        return self._rebuilt(ingest.split_valid(self.table("inbox"))[0], batch_id)[0]
 
+    @command
     def ingest(self, batch_id: str, approve: bool = False) -> DataFrame:
         """One diff per source of the inbox; with approve, committed: pages, filed items, proposals, log. A second run changes nothing."""
-        changes = self._staged(self.plan(batch_id))
-        diff = ingest.consolidated(changes)
+        good, bad = ingest.split_valid(self.table("inbox"))
+        by_source, by_page = self._rebuilt(good, batch_id)
+        diff = stash(ingest.consolidated(by_source), "diff")
         if approve:
-            raw = self.table("raw")
-            good, bad = ingest.split_valid(raw.where("state = 'inbox'"))
-            proposals = ingest.queue(ingest.propose_edges(good, "file_name", "content"), self.table("proposals"))
-            self._save("proposals", self.table("proposals").unionByName(proposals))
-            self._commit_pages(changes, batch_id)
+            if self.table("changes").where(F.col("batch_id") == batch_id).limit(1).count():
+                raise ValueError(f"there is a batch {batch_id} already")
+            proposals = self.table("proposals")
+            self._append("proposals", ingest.queue(ingest.propose_edges(good, "file_name", "content"), proposals))
+            self._commit_pages(by_page, batch_id)
             self._log("ingest", batch_id, good.select("channel", F.lit("file").alias("op"), "path"))
-            self._save("raw", raw.where("state <> 'inbox'").unionByName(ingest.file_away(good)).unionByName(bad))
+            self._append("filed", ingest.file_away(good, batch_id).unionByName(bad))
+            self._save("inbox", self.table("inbox").where("false"))
             self.project()
         return diff
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        """`df` written down, so that what is reviewed is what is committed."""
-        return self.spark.read.parquet(ingest.commit(df, self.base, "staging"))
-
     def _pages_of(self, files: DataFrame) -> DataFrame:
         named = files.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).select("path", "file_name", "content")
         return named.mapInArrow(frontmatter.parse_pages, schemas.PAGES)
@@ -119,31 +186,64 @@ class Vault:
     def _commit_pages(self, changes: DataFrame, batch_id: str) -> None:
         pages = self.table("pages")
         touched = self._pages_of(changes.where("op <> 'delete'").select("path", F.col("after").alias("content")))
+        self._append("changes", changes.select(F.lit(batch_id).alias("batch_id"), "path", "op", "before", "after"))
         self._save("pages", pages.join(changes.select("path"), "path", "left_anti").unionByName(touched))
-        self._save("changes", self.table("changes").unionByName(changes.select(F.lit(batch_id).alias("batch_id"), "path", "op", "before", "after")))
 
+    @staticmethod
+    def _files(pages: DataFrame) -> DataFrame:
+        return pages.mapInArrow(frontmatter.render_pages, "path string, content string")
+
+    @command
     def undo_ingest(self, batch_id: str) -> None:
-        """Reverse a batch: pages as before, its items back in the inbox."""
+        """Reverse a batch: pages as before, its items back in the inbox. Refused if a page was changed since."""
         own = self.table("changes").where(F.col("batch_id") == batch_id)
+        pages = self.table("pages")
+        now = self._files(pages.join(own.select("path"), "path", "left_semi"))
+        later = ingest.apply(now, own.withColumn("op", F.lit("update"))).join(now.withColumnRenamed("content", "now"), "path", "left").where("not (content <=> now)").count()
+        if later:
+            raise ValueError(f"{later} pages of {batch_id} were changed since")
         back = self._pages_of(own.where("op <> 'create'").select("path", F.col("before").alias("content")))
-        self._save("pages", self.table("pages").join(own.select("path"), "path", "left_anti").unionByName(back))
-        filed = self.table("log").where((F.col("batch_id") == batch_id) & (F.col("op") == "file")).select(F.col("path").alias("_was"), F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct()
-        raw = self.table("raw").join(filed, "file_name", "left")
-        again = (F.col("state") == "filed") & F.col("_was").isNotNull()
-        raw = raw.withColumn("path", F.when(again, F.col("_was")).otherwise(F.col("path"))).withColumn("state", F.when(again, "inbox").otherwise(F.col("state")))
-        self._save("raw", raw)
+        mine = F.coalesce(F.col("batch_id") == batch_id, F.lit(False))
+        filed, none = self.table("filed"), F.lit(None).cast("string")
+        again = filed.where(mine).withColumns({"path": F.col("was"), "state": F.lit("inbox"), "batch_id": none, "was": none})
+        self._log("undo", batch_id, again.select("channel", F.lit("undo").alias("op"), "path"))
+        self._append("inbox", again)
+        self._save("filed", filed.where(~mine))
+        self._save("pages", pages.join(own.select("path"), "path", "left_anti").unionByName(back))
         self._save("changes", self.table("changes").where(F.col("batch_id") != batch_id))
         self.project()
 
-    def compile(self, scope: DataFrame, batch_id: str) -> DataFrame:
-        """Rebuild the mentions of pages from the raw items in `scope` (path); the changes, not committed."""
+    @command
+    def compile(self, scope: DataFrame, batch_id: str, approve: bool = False) -> DataFrame:
+        """Rebuild the mentions of pages from the raw items in `scope` (path); the changes by source, committed with approve."""
         items = maintenance.scoped(self.table("raw"), scope, "path")
-        told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(self.table("pages"))).withColumnRenamed("id", "slug")
-        told = told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"))
-        return ingest.fan_out(items, told, self.table("pages"), batch_id)
+        by_source, by_page = self._rebuilt(items, batch_id)
+        if approve:
+            self._commit_pages(by_page, batch_id)
+            self._log("compile", batch_id, by_page.select(F.lit(None).cast("string").alias("channel"), "op", "path"))
+            self.project()
+        return by_source
+
+    @command
+    def _approve(self, skill: str, changes: DataFrame, batch_id: str, approve: bool) -> DataFrame:
+        """The changes written down, so that what is reviewed is what is committed; with approve they are."""
+        changes = stash(changes, "planned")
+        if approve:
+            self._commit_pages(changes, batch_id)
+            self._log(skill, batch_id, changes.select(F.lit(None).cast("string").alias("channel"), "op", "path"))
+            self.project()
+        return changes
+
+    @command
+    def archive_log(self, before: str) -> None:
+        """Move the log's entries before a time to the archive."""
+        log, old = self.table("log"), F.col("ts") < F.lit(before).cast("timestamp")
+        self._append("log_archive", log.where(old))
+        self._save("log", log.where(~old))
 
     # --- graph ----------------------------------------------------------------------------------
 
+    @command
     def project(self) -> None:
         """Rebuild nodes and edges, a pure function of the pages."""
         nodes, edges = graph.project(self.table("pages"))
@@ -153,37 +253,69 @@ class Vault:
     def validate(self) -> DataFrame:
         return graph.validate(self.table("nodes"), self.table("edges"), schemas.vocab_nodes(self.spark), schemas.vocab_edges(self.spark))
 
+    @command
     def promote(self, decisions: DataFrame) -> None:
-        """Confirmed proposals into the pages' lists, then the graph again; skipped ones leave the queue too."""
-        queued, keys = self.table("proposals"), ["src", "edge", "dst"]
-        confirmed = queued.join(decisions.where("decision = 'confirm'").select(*keys), keys, "left_semi")
-        pages = self.table("pages")
-        for key in ("works_at", "contradicts", "sources"):
+        """Confirmed proposals into the pages' frontmatter, then the graph again; skipped ones leave the queue too.
+
+        Edges with a list of their own join it, superseded_by is replaced, others are lists among the other keys. A
+        confirmed edge of a page that there isn't stays in the queue.
+        """
+        queued, keys, pages = self.table("proposals"), ["src", "edge", "dst"], self.table("pages")
+        confirmed = queued.join(decisions.where("decision = 'confirm'").select(*keys), keys, "left_semi").join(pages.select(F.col("slug").alias("src")), "src", "left_semi").select(*keys)
+        confirmed = stash(confirmed.distinct(), "confirmed")
+        for key in frontmatter.LISTS:
             pages = graph.into_frontmatter(pages, confirmed, key)
-        other = confirmed.where(~F.col("edge").isin("works_at", "contradicts", "sources")).groupBy(F.col("src").alias("slug")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge", "dst")))).alias("_more"))
-        pages = pages.join(other, "slug", "left").withColumn("rest", F.when(F.col("_more").isNotNull(), F.map_concat(F.map_filter(F.coalesce("rest", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("_more", k)), "_more")).otherwise(F.col("rest")))
+        pages = graph.into_column(pages, confirmed, "superseded_by")
+        pages = graph.into_rest(pages, confirmed.where(~F.col("edge").isin(*frontmatter.LISTS, "superseded_by")))
+        skipped = decisions.where("decision <> 'confirm'").select(*keys)
         self._save("pages", pages)
-        self._save("proposals", queued.join(decisions.select(*keys), keys, "left_anti"))
+        self._save("proposals", queued.join(confirmed.unionByName(skipped), keys, "left_anti"))
         self.project()
 
     def neighbours(self, slug: str, hops: int = 1, edge_names: list[str] | None = None) -> DataFrame:
         return graph.hops(self.spark.createDataFrame([(slug,)], "id string"), self.table("edges"), hops, edge_names)
 
+    def match(self, pattern: str) -> DataFrame:
+        """Paths by a pattern, (person)-[works_at]->(org) for instance."""
+        return graph.match(pattern, self.table("nodes"), self.table("edges"))
+
     def canvas(self) -> DataFrame:
         return graph.canvas(self.table("nodes"), self.table("edges"))
 
     # --- asking and health ----------------------------------------------------------------------
 
+    @command
+    def reindex(self, excluded: list[str] = ()) -> None:
+        """Build the search index of the pages whose path no pattern excludes: postings and vectors."""
+        pages = scans.excluded(self.table("pages"), list(excluded))
+        self._save("postings", retrieval.postings(retrieval.searched(pages), "slug"))
+        self._save("vectors", retrieval.hashed_vectors(self.table("postings")))
+
     def query(self, question: str, k: int = 10) -> DataFrame:
+        """Cited passages by keywords, vectors and the graph. The index is built anew if pages changed since it was."""
+        tables = self._store.latest()[1]
+        if tables.get("postings", {}).get("at", 0) < tables.get("pages", {}).get("at", 0):
+            self.reindex()
         pages = self.table("pages")
         lines = scans.lines(self.table("raw")).unionByName(scans.lines(pages.select("path", F.col("body").alias("content"))))
-        return retrieval.query(question, pages, self.table("edges"), lines, k)
+        return retrieval.query(question, pages, self.table("edges"), lines, k, index=self.table("postings"), vectors=self.table("vectors"))
 
     def thread(self, topic: str) -> DataFrame:
         raw = self.table("raw").select("path", F.col("content").alias("text"), F.col("captured_at").alias("at"))
-        wiki = self.table("pages").select("path", F.col("body").alias("text"), F.coalesce("last_verified", "created").cast("timestamp").alias("at"))
+        wiki = self.table("pages").where("not path like 'wiki/threads/%'").select("path", F.col("body").alias("text"), F.coalesce("last_verified", "created").cast("timestamp").alias("at"))
         return maintenance.thread(raw, wiki, topic)
 
+    @command
+    def write_thread(self, topic: str, batch_id: str, approve: bool = False) -> DataFrame:
+        """The topic's thread page as a change, committed with approve."""
+        page = maintenance.thread_page(self.thread(topic), topic)
+        old = self._files(self.table("pages").join(page.select("path"), "path", "left_semi"))
+        new = self._files(self._pages_of(page))
+        return self._approve("thread", ingest.changes_between(old, new, batch_id), batch_id, approve)
+
+    def maps(self) -> DataFrame:
+        return maintenance.maps(self.table("pages"))
+
     def lint(self, as_of: str, days: int = 90) -> DataFrame:
         return lint.lint(self.table("pages"), as_of, days)
 
@@ -204,22 +336,28 @@ class Vault:
     def link(self, distance: int = 2) -> DataFrame:
         """(stub, slug, distance): canonical pages that tofile stubs may be."""
         pages = self.table("pages")
-        return maintenance.link_candidates(pages.where("type = 'tofile'"), pages.where("type <> 'tofile'"), distance, prefix=0)
+        return maintenance.link_candidates(pages.where("type = 'tofile'"), pages.where("type <> 'tofile'"), distance)
 
+    @command
     def merge(self) -> DataFrame:
-        """Fold pages with one identity key into the smallest slug; the others become redirects. Returns (identity_key, keeper, n)."""
+        """Fold pages with one identity key into the smallest slug, lists and bodies; the others become redirects. Returns (identity_key, keeper, n)."""
         pages, lists = self.table("pages"), ("aliases", "sources", "works_at", "contradicts")
         filled = pages.select("identity_key", "slug", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists))
-        folded = self._staged(maintenance.merge(filled, "identity_key", "slug", *lists).where("n > 1"))
+        folded = maintenance.merge(filled, "identity_key", "slug", *lists).where("n > 1")
+        texts = F.array_sort(F.collect_list(F.struct("slug", F.trim(F.coalesce("body", F.lit(""))).alias("body"))))
+        bodies = pages.groupBy("identity_key").agg(F.array_join(F.filter(F.array_distinct(F.transform(texts, lambda x: x["body"])), lambda b: b != ""), "\n\n").alias("body"))
+        folded = stash(folded.join(bodies, "identity_key"), "folded")
         gone = pages.join(folded.select("identity_key", "keeper"), "identity_key").where("slug <> keeper").select(F.col("slug").alias("from_slug"), F.col("keeper").alias("to_slug"))
-        self._save("redirects", self.table("redirects").unionByName(gone))
-        new = pages.join(gone.select(F.col("from_slug").alias("slug")), "slug", "left_anti").join(folded.select(F.col("keeper").alias("slug"), *(F.col(c).alias(f"_{c}") for c in lists)), "slug", "left")
+        self._append("redirects", gone)
+        new = pages.join(gone.select(F.col("from_slug").alias("slug")), "slug", "left_anti").join(folded.select(F.col("keeper").alias("slug"), F.col("body").alias("_body"), *(F.col(c).alias(f"_{c}") for c in lists)), "slug", "left")
+        new = new.withColumn("body", F.coalesce("_body", "body"))
         for c in lists:
             new = new.withColumn(c, F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c)))
         self._save("pages", new)
         self.project()
         return folded.select("identity_key", "keeper", "n")
 
+    @command
     def rename(self, old: str, new: str) -> None:
         """A slug everywhere: the page, its file, lists, superseded_by, links in bodies, proposals and redirects."""
         names = self.spark.createDataFrame([(old, new)], "old string, new string")
@@ -232,19 +370,24 @@ class Vault:
         self._save("redirects", maintenance.rename(self.table("redirects"), names, "to_slug"))
         self.project()
 
-    def refactor(self, longest: int) -> DataFrame:
-        """(slug, ord, heading, text): sections that pages longer than `longest` would be split into."""
-        return maintenance.split_bloated(self.table("pages"), longest)
+    @command
+    def refactor(self, longest: int, batch_id: str = "refactor", approve: bool = False) -> DataFrame:
+        """Split pages longer than `longest` into their sections; the changes, committed with approve."""
+        pages = self.table("pages")
+        after = maintenance.split_pages(pages, longest)
+        before = pages.join(after.select("path"), "path", "left_semi")
+        return self._approve("refactor", ingest.changes_between(self._files(before), self._files(after), batch_id), batch_id, approve)
 
     def harmonised(self) -> DataFrame:
         """(path, content): every page with its frontmatter in the contract's order."""
         return self.table("pages").mapInArrow(frontmatter.render_pages, "path string, content string")
 
+    @command
     def archive(self, as_of: str, days: int = 90) -> DataFrame:
         """Move stale pages to the archive, leaving redirects; returns these."""
         pages = self.table("pages").where(~F.col("path").startswith("wiki/archive/"))
         moved, redirects = maintenance.archive(pages, lint.stale(pages, as_of, days))
-        redirects = self._staged(redirects)
+        redirects = stash(redirects, "redirects")
         self._save("pages", moved.unionByName(self.table("pages").where(F.col("path").startswith("wiki/archive/"))))
-        self._save("redirects", self.table("redirects").unionByName(redirects))
+        self._append("redirects", redirects)
         return redirects
