@@ -33,7 +33,7 @@ def type_dir(kind: str | Column) -> Column:
 
 def wikilinks(body: str | Column) -> Column:
     """Slugs that a body links to: [[slug]], [[slug|label]], [[slug#heading]]."""
-    return F.transform(F.regexp_extract_all(_c(body), F.lit(r"\[\[([^\]|#]+)")), F.trim)
+    return F.transform(F.regexp_extract_all(_c(body), F.lit(r"\[\[([^\]|#]+)")), lambda x: F.trim(x))
 
 
 def content_key(content: str | Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as fn
 from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
 from quillstone.plans import views
+from quillstone.shared import stash
+from quillstone.sources import vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,13 +95,20 @@ def person_without_works_at(t):
     return lint.missing_values(pages, "person", "works_at").select("c_custkey", "c_name")
 
 
-@query(
-    "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id WHERE a.text <> b.text"
-)
+_CLAIMS = """p AS (SELECT p_partkey AS k, 'p' || p_partkey AS slug, p_size % 3 = 0 AS claims, p_partkey % 11 = 0 AS done FROM part),
+open_pairs AS (SELECT DISTINCT least(x.slug, y.slug) AS a, greatest(x.slug, y.slug) AS b FROM p x JOIN p y ON y.k IN (x.k + 1, x.k + 10) WHERE x.claims AND NOT x.done AND NOT y.done)"""
+
+
+def _claims(t) -> DataFrame:
+    """Parts as pages: some contradict the next and the tenth next, some are superseded."""
+    key = lambda n: F.concat(F.lit("p"), (F.col("p_partkey") + n).cast("string"))
+    claims = F.when(F.col("p_size") % 3 == 0, F.array(key(1), key(10)))
+    return t.part.select(key(0).alias("slug"), F.lit("topic").alias("type"), F.lit(None).cast("array<string>").alias("works_at"), F.lit(None).cast("array<string>").alias("sources"), claims.alias("contradicts"), F.when(F.col("p_partkey") % 11 == 0, "x").alias("superseded_by"))
+
+
+@query(f"WITH {_CLAIMS} SELECT a, b FROM open_pairs")
 def contradiction_pairs(t):
-    d = t.documents.select("doc_id", "source", "n_chars", F.md5("text").alias("h"))
-    a, b = (d.select("source", "n_chars", F.col("doc_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
-    return a.join(b, ["source", "n_chars"]).where("a < b and ha <> hb").select("a", "b")
+    return lint.contradictions(_claims(t))
 
 
 @query(f"""
@@ -115,9 +124,9 @@ def lint_debt(t):
 # --- collect and ingest -------------------------------------------------------------------------
 
 
-@query("SELECT md5(text) AS content_key, min(doc_id) AS keeper, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS item_key FROM documents GROUP BY text")
 def duplicate_skip(t):
-    return t.documents.groupBy(F.md5("text").alias("content_key")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    return ingest.keep_first(t.documents.select(fn.content_key("text").alias("item_key"), "doc_id"), "item_key", "doc_id").select("doc_id", "item_key")
 
 
 @query("""
@@ -164,10 +173,12 @@ def slugs(t):
     return t.part.select("p_partkey", fn.slugify(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
-@query("SELECT source AS source_path, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR) || ':' || n_chars, ',' ORDER BY doc_id) AS summary FROM documents GROUP BY source")
+@query("""SELECT source AS source_path, 'd' || doc_id AS path, 'update' AS op, count(*) OVER (PARTITION BY source) AS n,
+  '--- d' || doc_id || chr(10) || '+++ d' || doc_id || chr(10) || '@@ -1 +1,2 @@' || chr(10) || ' ' || source || chr(10) || '+' || n_chars AS diff FROM documents""")
 def consolidated_diff(t):
-    entry = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")).alias("line"))
-    return t.documents.groupBy(F.col("source").alias("source_path")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), ",").alias("summary"))
+    after = F.concat_ws("\n", "source", F.col("n_chars").cast("string"))
+    changes = t.documents.select(F.col("source").alias("source_path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit("update").alias("op"), F.col("source").alias("before"), after.alias("after"))
+    return ingest.consolidated(changes)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, source AS content FROM documents WHERE doc_id % 5 <> 1")
@@ -213,26 +224,22 @@ def one_hop(t):
 
 
 @query("""
-WITH RECURSIVE walk(start, cur, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 5
-  UNION ALL SELECT start, (7 * cur + 3) % 25, depth + 1 FROM walk WHERE depth < 4)
-SELECT start, cur, depth FROM walk""")
+WITH RECURSIVE step AS (SELECT n_nationkey AS src, (7 * n_nationkey + 3) % 25 AS dst FROM nation WHERE n_nationkey % 5 <> 0),
+walk(start, cur, depth) AS (SELECT src, dst, 1 FROM step UNION ALL SELECT start, s.dst, depth + 1 FROM walk w JOIN step s ON s.src = w.cur WHERE depth < 60)
+SELECT start, CASE WHEN max(depth) < 60 THEN max_by(cur, depth) ELSE -1 END AS "end", CASE WHEN max(depth) < 60 THEN max(depth) ELSE -1 END AS hops, max(depth) = 60 AS cyclic FROM walk GROUP BY start""")
 def bounded_recursion(t):
-    t.nation.createOrReplaceTempView("quillstone_nation")
-    return t._spark.sql("""
-      WITH RECURSIVE walk(start, cur, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM quillstone_nation WHERE n_nationkey < 5
-        UNION ALL SELECT start, (7 * cur + 3) % 25, depth + 1 FROM walk WHERE depth < 4)
-      SELECT start, cur, depth FROM walk""")
+    own = t.nation.where("n_nationkey % 5 <> 0")
+    ends = graph.follow(own.select(F.col("n_nationkey").alias("src"), ((7 * F.col("n_nationkey") + 3) % 25).cast("int").alias("dst")))
+    return ends.fillna(-1, ["end", "hops"])
 
 
 @query("""
-WITH RECURSIVE step AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey BETWEEN 64 AND 127),
-all_steps AS (SELECT src, dst FROM step UNION ALL SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey BETWEEN 32 AND 63),
-walk AS (SELECT src, dst, 1 AS hops FROM all_steps UNION ALL SELECT w.src, s.dst, w.hops + 1 FROM walk w JOIN all_steps s ON s.src = w.dst)
+WITH RECURSIVE step AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0),
+walk AS (SELECT src, dst, 1 AS hops FROM step UNION ALL SELECT w.src, s.dst, w.hops + 1 FROM walk w JOIN step s ON s.src = w.dst)
 SELECT src AS start, max_by(dst, hops) AS "end", CAST(max(hops) AS INTEGER) AS hops, false AS cyclic FROM walk GROUP BY src""")
 def supersession_chain(t):
-    p = t.part.select("p_partkey").where("p_partkey between 32 and 127")
-    half = F.when(F.col("p_partkey") >= 64, F.floor(F.col("p_partkey") / 2)).otherwise(F.floor(F.col("p_partkey") / 4)).cast("long")
-    return graph.follow(p.select(F.col("p_partkey").alias("src"), half.alias("dst")), 8)
+    own = t.part.where("p_partkey > 0")
+    return graph.follow(own.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")))
 
 
 @query(f"WITH {_EDGES} SELECT src, edge, dst FROM edges WHERE edge = 'part_of' UNION SELECT src, edge, dst FROM edges WHERE edge = 'works_at' AND CAST(substr(src, 2) AS INTEGER) % 2 = 0")
@@ -252,16 +259,37 @@ def canvas_export(t):
 
 # --- retrieval ----------------------------------------------------------------------------------
 
-_BM25 = """tok AS (SELECT doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[^a-z]+') IF x <> ''] AS w FROM documents WHERE lang = 'en'),
-cnt AS (SELECT id, len(w) AS dl, len([x FOR x IN w IF x = 'the']) AS a, len([x FOR x IN w IF x = 'ther']) AS b FROM tok),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS dfa, count(*) FILTER (b > 0) AS dfb FROM cnt),
-bm AS (SELECT id, CASE WHEN a > 0 THEN ln(1 + (n - dfa + 0.5) / (dfa + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END
-  + CASE WHEN b > 0 THEN ln(1 + (n - dfb + 0.5) / (dfb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END AS score FROM cnt, st WHERE a > 0 OR b > 0)"""
+_TERMS = ("the", "ther", "leaux")
+_BM25 = r"""tok AS (SELECT doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+tf AS (SELECT id, len(w) AS dl, q.t, len([x FOR x IN w IF x = q.t]) AS tf FROM tok, (VALUES ('the'), ('ther'), ('leaux')) q(t)),
+dfs AS (SELECT t, count(*) AS df FROM tf WHERE tf > 0 GROUP BY t),
+bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN dfs USING (t), st WHERE tf > 0 GROUP BY id)"""
 _COSINE = "cs AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)"
+_stored: dict[tuple, object] = {}
+
+
+def _once(t, name: str, make):
+    """What `make` gives, made once a session and directory: an index or a vault, as a user would store it."""
+    key = (t._spark.sparkContext.applicationId, t._dir, name)
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
+
+
+def _index(t) -> tuple[DataFrame, tuple[int, int]]:
+    """The stored search index of all documents, and its figures."""
+
+    def make():
+        index = stash(retrieval.postings(t.documents), "postings")
+        return index, tuple(retrieval.lengths(index).first())
+
+    return _once(t, "index", make)
 
 
 def _bm25(t) -> DataFrame:
-    return retrieval.bm25(t.documents.where("lang = 'en'"), ["the", "ther"])
+    index, figures = _index(t)
+    return retrieval.bm25_stored(index, list(_TERMS), figures)
 
 
 def _cosine(t) -> DataFrame:
@@ -274,17 +302,39 @@ def bm25_topk(t):
     return retrieval.top(_bm25(t), 20, 6)
 
 
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm")
+def bm25_scan(t):
+    """Every score without a stored index."""
+    return retrieval.bm25(t.documents, list(_TERMS)).withColumn("score", F.round("score", 6))
+
+
+@query(r"SELECT x AS term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS x FROM documents) WHERE x <> '' GROUP BY x")
+def term_counts(t):
+    return _index(t)[0].where("term is not null").groupBy("term").agg(F.sum("tf").alias("n"))
+
+
 @query(f"WITH {_COSINE} SELECT id, round(score, 5) AS score FROM cs ORDER BY round(score, 5) DESC, id LIMIT 20")
 def vector_topk(t):
     return retrieval.top(_cosine(t), 20, 5)
 
 
-@query(f"""WITH {_BM25}, {_COSINE}, x AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 50), y AS (SELECT id, round(score, 5) AS score FROM cs ORDER BY score DESC, id LIMIT 50),
-r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM x UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM y)
-SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM r GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
+_RRF = f"""{_BM25}, {_COSINE}, x AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 50), y AS (SELECT id, round(score, 5) AS score FROM cs ORDER BY score DESC, id LIMIT 50),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM x UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM y)"""
+
+
+def _fused(t) -> DataFrame:
+    return retrieval.fuse(retrieval.top(_bm25(t), 50, 6), retrieval.top(_cosine(t), 50, 5), 200)
+
+
+@query(f"WITH {_RRF} SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM r GROUP BY id ORDER BY rrf DESC, id LIMIT 20")
 def hybrid_rrf(t):
-    fused = retrieval.fuse(retrieval.top(_bm25(t), 50, 6), retrieval.top(_cosine(t), 50, 5), 200)
-    return fused.withColumn("rrf", F.round("rrf", 9)).orderBy(F.desc("rrf"), "id").limit(20)
+    return _fused(t).withColumn("rrf", F.round("rrf", 9)).orderBy(F.desc("rrf"), "id").limit(20)
+
+
+@query(f"WITH {_RRF} SELECT id, round(sum(1.0::DOUBLE / (60 + r)) * CASE WHEN id % 3 = 0 AND id IN (SELECT doc_id FROM documents) THEN 2 ELSE 1 END, 9) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 20")
+def rerank_topk(t):
+    near = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    return retrieval.top(retrieval.rerank(_fused(t).withColumnRenamed("rrf", "score"), near), 20, 9)
 
 
 @query("SELECT DISTINCT n_nationkey AS id FROM nation WHERE lower(n_name) IN ('nation_3', 'nation_7', 'nation 3', 'nation 7', 'nation3', 'nation7', 'france', 'germany')")
@@ -294,17 +344,32 @@ def query_entities(t):
 
 
 @query(r"""
-WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE lang = 'en' AND doc_id % 10 < 5)
-SELECT doc_id AS path, CAST(line AS INTEGER) AS line, text FROM ln WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), 'ther')""")
+WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id AS path, CAST(line AS INTEGER) AS line, text FROM ln WHERE list_has_any(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'ther', 'leaux'])""")
 def citations(t):
-    d = t.documents.where("lang = 'en' and doc_id % 10 < 5")
-    own = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
-    return retrieval.cite(d.select(F.col("doc_id").alias("path")), own, ["ther"])
+    hits = _bm25(t).where("score > 0").select(F.col("id").alias("path"))
+    return retrieval.cite(hits, vault.lines(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))), list(_TERMS))
+
 
+@query(r"""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS w FROM documents)
+SELECT doc_id AS path, a.id FROM d, (VALUES (1, 'worthless'), (2, 'this the'), (2, 'the this'), (3, 'que le des'), (4, 'not in there at all')) a(id, alias) WHERE contains(w, ' ' || alias || ' ') GROUP BY ALL""")
+def mention_rows(t):
+    aliases = t._spark.createDataFrame([(1, "Worthless"), (2, "this-the"), (2, "the this"), (3, "Que le des"), (4, "not in there at all")], "id int, alias string")
+    return retrieval.mentions(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), aliases)
 
-@query(r"""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+def clippings_text(t):
+    return t.pages.select("page_id", vault.html_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, trim(unnest(regexp_extract_all(replace(replace(html, '<a href="', '[['), '">', ']]'), '\[\[([^\]|#]+)', 1))) AS dst FROM pages""")
 def extract_links(t):
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    """Links of clipped pages, put as wikilinks."""
+    body = F.replace(F.replace("html", F.lit('<a href="'), F.lit("[[")), F.lit('">'), F.lit("]]"))
+    return t.pages.select("page_id", F.explode(fn.wikilinks(body)).alias("dst"))
 
 
 # --- maintenance --------------------------------------------------------------------------------
@@ -323,10 +388,10 @@ def merge_pages(t):
 
 
 @query("""SELECT a.c_name AS stub, b.c_name AS slug, CAST(levenshtein(a.c_name, b.c_name) AS INTEGER) AS distance FROM customer a JOIN customer b
-ON substr(a.c_name, 1, 17) = substr(b.c_name, 1, 17) WHERE a.c_custkey % 7 = 0 AND b.c_custkey % 7 <> 0 AND levenshtein(a.c_name, b.c_name) <= 1""")
+ON a.c_custkey % 7 = 0 AND b.c_custkey % 7 <> 0 AND levenshtein(a.c_name, b.c_name) <= 1""")
 def link_candidates(t):
     name = lambda df: df.select(F.col("c_name").alias("slug"))
-    return maintenance.link_candidates(name(t.customer.where("c_custkey % 7 = 0")), name(t.customer.where("c_custkey % 7 <> 0")), 1, 17)
+    return maintenance.link_candidates(name(t.customer.where("c_custkey % 7 = 0")), name(t.customer.where("c_custkey % 7 <> 0")), 1)
 
 
 @query(f"SELECT 'o' || o_orderkey AS from_slug, 'archive/o' || o_orderkey AS to_slug FROM orders WHERE o_orderdate < DATE '{AS_OF}' - INTERVAL 2000 DAY")
@@ -411,26 +476,45 @@ for _name, _view, _src, _where in (
     ORACLES[f"view_{_name}_intended"] = f"WITH {_src} SELECT {_cols} FROM {_from} WHERE {_where}"
 
 
+_INVARIANTS = """ip AS (SELECT 'd' || d.doc_id AS file_name, CASE lang WHEN 'en' THEN 'person' WHEN 'de' THEN 'decision' ELSE 'topic' END AS type, CASE WHEN n_chars % 2 = 0 THEN source END AS works_at,
+  'l' || l.quality AS sources, CASE WHEN n_chars % 5 = 0 THEN 'd' || (d.doc_id + 1) END AS contradicts, lang AS status, n_chars % 7 = 0 AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id)"""
+_INV_COLS = ", ".join(views.alias(c) for c in views.VIEWS["graph-invariants"].columns)
+
+
 def _invariant_pages(t) -> DataFrame:
-    """Labels as sources, same-length documents of a source as contradictions, lang as type."""
-    cited = t.labels.select("doc_id", F.concat(F.lit("l"), F.col("quality").cast("string")).alias("sources"))
+    """Documents as pages: labels as sources, source as employer, the next document contradicted by some, lang as type."""
+    cited = t.labels.select("doc_id", F.concat(F.lit("l"), F.col("quality").cast("string")).alias("l")).distinct()
     kind = F.when(F.col("lang") == "en", "person").when(F.col("lang") == "de", "decision").otherwise("topic")
-    works = F.when(F.col("n_chars") % 2 == 0, F.col("source"))
-    return t.documents.join(cited, "doc_id", "left").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"), kind.alias("type"), works.alias("works_at"), "sources", F.lit(None).cast("string").alias("contradicts"), F.col("lang").alias("status"))
+    key = lambda n: F.concat(F.lit("d"), (F.col("doc_id") + n).cast("string"))
+    one = lambda when, c: F.when(when, F.array(c))
+    rows = t.documents.join(cited, "doc_id", "left")
+    return rows.select(
+        key(0).alias("slug"), key(0).alias("file_name"), kind.alias("type"), F.col("lang").alias("status"), one(F.col("n_chars") % 2 == 0, F.col("source")).alias("works_at"),
+        one(F.col("l").isNotNull(), F.col("l")).alias("sources"), one(F.col("n_chars") % 5 == 0, key(1)).alias("contradicts"), F.when(F.col("n_chars") % 7 == 0, "x").alias("superseded_by"),
+    )
 
 
-_INVARIANTS = """ip AS (SELECT 'd' || d.doc_id AS file_name, CASE lang WHEN 'en' THEN 'person' WHEN 'de' THEN 'decision' ELSE 'topic' END AS type, CASE WHEN n_chars % 2 = 0 THEN source END AS works_at,
-  'l' || l.quality AS sources, CAST(NULL AS VARCHAR) AS contradicts, lang AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-_INV_COLS = ", ".join(views.alias(c) for c in views.VIEWS["graph-invariants"].columns)
+def _flat(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({c: F.element_at(c, 1) for c in ("works_at", "sources", "contradicts")})
 
 
 @query(f"WITH {_INVARIANTS} SELECT {_INV_COLS} FROM ip")
 def view_graph_invariants(t):
-    return views.as_written(views.VIEWS["graph-invariants"], _invariant_pages(t))
+    return views.as_written(views.VIEWS["graph-invariants"], _flat(_invariant_pages(t)))
 
 
-@query(f"WITH {_INVARIANTS} SELECT {_INV_COLS} FROM ip WHERE type = 'person' AND works_at IS NULL OR type = 'decision' AND sources IS NULL")
+@query(f"""WITH {_INVARIANTS}, bad AS (SELECT a.file_name AS x, b.file_name AS y FROM ip a JOIN ip b ON a.contradicts = b.file_name WHERE NOT a.done AND NOT b.done)
+SELECT {_INV_COLS} FROM ip WHERE type = 'person' AND works_at IS NULL OR type = 'decision' AND sources IS NULL OR file_name IN (SELECT x FROM bad UNION SELECT y FROM bad)""")
 def view_graph_invariants_intended(t):
-    broken = (lambda rows: lint.missing_values(rows.withColumns({"_w": F.array_compact(F.array("works_at")), "_s": F.array_compact(F.array("sources"))}), "person", "_w").unionAll(
-        lint.missing_values(rows.withColumns({"_w": F.array_compact(F.array("works_at")), "_s": F.array_compact(F.array("sources"))}), "decision", "_s")))
-    return views.as_intended(views.VIEWS["graph-invariants"], _invariant_pages(t), broken)
+    def broken(rows):
+        found = lint.invariants(rows)
+        return rows.join(found.select("slug").union(found.where("rule = 'unresolved_contradiction'").select("detail")).distinct(), "slug", "left_semi")
+
+    return views.as_intended(views.VIEWS["graph-invariants"], _flat(broken(_invariant_pages(t))), lambda rows: rows)
+
+
+@query(f"""WITH {_INVARIANTS}, bad AS (SELECT DISTINCT least(a.file_name, b.file_name) AS x, greatest(a.file_name, b.file_name) AS y FROM ip a JOIN ip b ON a.contradicts = b.file_name WHERE NOT a.done AND NOT b.done)
+SELECT 'person_without_works_at' AS rule, file_name AS slug, NULL::VARCHAR AS detail FROM ip WHERE type = 'person' AND works_at IS NULL
+UNION ALL SELECT 'decision_without_sources', file_name, NULL FROM ip WHERE type = 'decision' AND sources IS NULL UNION ALL SELECT 'unresolved_contradiction', x, y FROM bad""")
+def invariant_findings(t):
+    return lint.invariants(_invariant_pages(t))

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import quillstone.plans.vault_catalog  # noqa: F401 - registers its queries
 from quillstone.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
