@@ -34,6 +34,8 @@ WINDOW = 96  # bytes; about fifteen words
 EDITS = 0.06  # of a window's bytes
 BATCH = 256  # windows aligned at a time
 BLOCK_BYTES = 4 << 20
+HITS = 2 << 20  # shared q-grams looked at together, about
+REACH = 256  # bytes; no window's shared q-grams lie further apart
 _BLOOM = 22
 
 
@@ -149,6 +151,18 @@ class Index:
         k = np.searchsorted(self.keys, hashes)
         hit = self.keys[np.minimum(k, len(self.keys) - 1)] == hashes
         at, k = at[hit], k[hit]
+        # A stretch of text at a time, if its q-grams are frequent ones; neighbouring stretches overlap by what a window spans.
+        total = np.cumsum(self.first[k + 1] - self.first[k], dtype=np.int64)
+        i = 0
+        while i < len(at):
+            j = int(np.searchsorted(total, (total[i - 1] if i else 0) + HITS, "right"))
+            j = max(j, int(np.searchsorted(at, at[i] + 2 * REACH)))
+            self._count(buf, off, at[i:j], k[i:j], found)
+            i = int(np.searchsorted(at, at[j] - REACH)) if j < len(at) else j
+        return list(found)
+
+    def _count(self, buf: np.ndarray, off: np.ndarray, at: np.ndarray, k: np.ndarray, found: dict) -> None:
+        """Adds the verified regions of q-grams `k` at places `at` of the text to `found`."""
         doc = np.searchsorted(off, at, "right") - 1
         inside = at + Q <= off[doc + 1]
         at, k, doc = at[inside], k[inside], doc[inside]
@@ -178,7 +192,6 @@ class Index:
                 lo = (2 * int(band[head]) - back) * int(width[head])
                 if self._meets(w, places[own], buf[off[d] : off[d + 1]], lo, lo + 2 * int(width[head])):
                     found[d, w] = True
-        return list(found)
 
     def _meets(self, w: int, places: np.ndarray, text: np.ndarray, lo: int, hi: int) -> bool:
         """Is some window of item `w`, where `places` (sorted, distinct) are shared, within its edits of `text` between diagonals lo and hi?"""

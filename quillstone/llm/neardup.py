@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs`, all columns: one of each component, and those without words; repeats of a kept row's id go too.
 
-    A component's row is the one of its smallest doc_id (of equal ids the first by text); components
+    A component's row is the one of its smallest doc_id (of equal ids the first by text, of equal texts by the row as JSON); components
     without any id keep one row. Of rows without words all that have no id stay.
     """
     found = near_duplicates(docs, width, percent, extra=True)
@@ -470,7 +470,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # Own names for all columns meanwhile, so that none of the table's can clash.
     own = docs.select(F.struct("*").alias("_row"), key(F.col("doc_id")).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(width), text).alias("_h2"))
     kept = own.join(keep, ["_id", "_h1", "_h2"]).withColumn("_each", F.when(F.col("_all"), F.monotonically_increasing_id()))
-    return kept.groupBy("_id", "_h1", "_h2", "_each").agg(F.first("_row").alias("_row")).select("_row.*")
+    return kept.groupBy("_id", "_h1", "_h2", "_each").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
 
 
 common.ship(__name__)

@@ -77,7 +77,7 @@ def gram_pieces(buf: np.ndarray, off: np.ndarray):
     for a in range(0, n, SLICE_BYTES):
         b = min(a + SLICE_BYTES, n)
         head = buf[a - ORDER : a] if a else np.full(ORDER, START, np.uint8)
-        text = np.concatenate([head, buf[a:b], np.full(b == n, END, np.uint8)])
+        text = np.concatenate([head, buf[a:b], np.full(int(b == n), END, np.uint8)])
         key = np.zeros(len(text) - ORDER, np.uint64)
         for i in range(ORDER + 1):
             key <<= np.uint64(8)
