@@ -9,7 +9,7 @@ import pytest
 import quillstone.plans.vault_catalog  # noqa: F401 - registers its queries
 from quillstone.plans.catalog import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("CATALOG_DATA", "/root/testdata/sf0.001")
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
