@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillstone.shared import stash, unstash  # noqa: F401 - for the operators
 
 #: Rows and bytes of one Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that one vectorised step takes at a time; byte work on a longer document goes in steps of this size.
 SLICE_BYTES = 1 << 20
 
@@ -85,6 +85,16 @@ def release() -> None:
         return
 
 
+def frugal(run):
+    """A worker's function of batches that gives back what it took, as an idle worker would keep it."""
+
+    def bounded(parts):
+        yield from run(parts)
+        release()
+
+    return bounded
+
+
 def slices(off: np.ndarray, most: int = SLICE_BYTES):
     """Ranges (i, j) of documents with about `most` bytes together."""
     i, n = 0, len(off) - 1

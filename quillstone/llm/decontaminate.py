@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, _SPACE, SLICE_BYTES, batches, buffer_of, mix, shingle_hashes, slices, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, _SPACE, SLICE_BYTES, batches, buffer_of, frugal, mix, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
 Q = 10
 WINDOW = 96  # bytes; about fifteen words
@@ -299,7 +299,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.array().cast("array<long>").alias("item_ids"), F.lit(False).alias("contaminated"))
     for index in indexes(benchmark):
-        out = out.mapInArrow(_run(index), out.schema)
+        out = out.mapInArrow(frugal(_run(index)), out.schema)
     return out.select("doc_id", F.size("item_ids").alias("n_items"), "item_ids", "contaminated")
 
 
@@ -322,7 +322,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all columns, whose text holds no benchmark window."""
     batches(docs.sparkSession)
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(_drop(index), docs.schema)
+        docs = docs.mapInArrow(frugal(_drop(index)), docs.schema)
     return docs
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _BYTE, _SPACE, SLICE_BYTES, batches, buffer_of, mix, run_hashes, shingle_hashes, slices, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _BYTE, _SPACE, SLICE_BYTES, batches, buffer_of, frugal, mix, run_hashes, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
 WINDOW = 8
 _CLASSES = ("other", "lower", "upper", "digit", "symbol", "stop", "bang", "continued", "wide", "space")
@@ -131,7 +131,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and NAMES (long) per row of `docs`, over whole texts (null: empty); no shuffle."""
     batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(_run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
+    return rows.mapInArrow(frugal(_run), "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
 
 
 common.ship(__name__)

@@ -38,6 +38,7 @@ from quillstone.llm.common import (
     _LOWER,
     batches,
     buffer_of,
+    frugal,
     mix,
     sequence_hash,
     shingle_hashes,
@@ -337,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
     sigmas = float("inf") if exact else SIGMAS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(width), "text").alias("h2"), text_bytes().alias("text"))
-    sketched = stash(rows.mapInArrow(_sketch(width, percent, exact), SKETCHED), "sketched")
+    sketched = stash(rows.mapInArrow(frugal(_sketch(width, percent, exact)), SKETCHED), "sketched")
     # With an equal set go equal registers, so grouping by them as well changes nothing and stays hashed.
     classes = stash(sketched.where("n > 0").groupBy("f1", "f2", "n", "regs").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("h1", "h2")).alias("at"), F.first("keys").alias("keys")), "classes")
     named = lambda p: F.struct(F.col(f"{p}1").alias("f1"), F.col(f"{p}2").alias("f2")).alias(p)
@@ -346,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
     # a third of all classes is one row of the counts and a side that the join may split.
     banded = classes.where("n > 3")
     if not exact:
-        banded = stash(banded.select("f1", "f2", "n", "regs").mapInArrow(_bands, "f1 long, f2 long, n long, keys array<long>"), "bands")
+        banded = stash(banded.select("f1", "f2", "n", "regs").mapInArrow(frugal(_bands), "f1 long, f2 long, n long, keys array<long>"), "bands")
     keys = banded.select("f1", "f2", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stash(keys.join(shared, "key", "left_semi").select("key", "f1", "f2", "n"), "buckets")
@@ -363,7 +364,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
         new = needed if have is None else needed.join(have.select("f1", "f2"), ["f1", "f2"], "left_anti")
         where = stash(new.join(classes, ["f1", "f2"]).select("f1", "f2", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2")), "wanted")
         texts = sieved(rows, where, "h1").groupBy("h1", "h2").agg(F.first("text").alias("text")).join(where, ["h1", "h2"]).select("f1", "f2", "text")
-        known.append(stash(texts.mapInArrow(_sets(width), "f1 long, f2 long, set array<long>"), "sets"))
+        known.append(stash(texts.mapInArrow(frugal(_sets(width)), "f1 long, f2 long, set array<long>"), "sets"))
         unstash(where)
         return known[0] if have is None else sieved(reduce(DataFrame.union, known), needed, "f1")
 
@@ -371,7 +372,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
         """Of class pairs (a1, a2, b1, b2), those whose full sets reach the threshold, as structs a, b."""
         side = lambda p: classes.select(F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("n").alias(f"{p}n"), F.col("regs").alias(f"{p}r"))
         both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-        left = stash(both.select("a1", "a2", "an", "ar", "b1", "b2", "bn", "br").mapInArrow(_thin(percent, sigmas), "a1 long, a2 long, b1 long, b2 long"), "pairs")
+        left = stash(both.select("a1", "a2", "an", "ar", "b1", "b2", "bn", "br").mapInArrow(frugal(_thin(percent, sigmas)), "a1 long, a2 long, b1 long, b2 long"), "pairs")
         sets = sets_of(left.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).union(left.select("b1", "b2")).distinct())
         own = lambda p: sets.select(F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("set").alias(f"{p}s"))
         full = left.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).withColumn("both", F.size(F.array_intersect("as", "bs")).cast("long"))
@@ -408,9 +409,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, extra: b
             return alone.union(x.where("bx < blocks - 1").join(y, ["h1", "h2", "bx"]).select("h1", "h2", "x", "y", F.lit(False).alias("same")))
 
         sketches = paired(dealt(at, F.lit(K // 4)).join(classes.select("f1", "f2", "n", "regs"), ["f1", "f2"]), "n", "regs")
-        left = stash(sketches.mapInArrow(_block_partners(percent, sigmas), "h1 long, h2 long, f1 long, f2 long, c1 long, c2 long, n long").distinct(), "partners")
+        left = stash(sketches.mapInArrow(frugal(_block_partners(percent, sigmas)), "h1 long, h2 long, f1 long, f2 long, c1 long, c2 long, n long").distinct(), "partners")
         pairs = paired(dealt(left, F.col("n") + 64).join(sets_of(left.select("f1", "f2").distinct()), ["f1", "f2"]), "set")
-        found = stash(pairs.mapInArrow(_block_links(percent, sigmas), "a1 long, a2 long, b1 long, b2 long").select(named("a"), named("b")), "links")
+        found = stash(pairs.mapInArrow(frugal(_block_links(percent, sigmas)), "a1 long, a2 long, b1 long, b2 long").select(named("a"), named("b")), "links")
         unstash(at, left)
         return found
 

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, batches, buffer_of, slices, stash, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, batches, buffer_of, frugal, slices, stash, text_bytes, word_hashes, word_spans
 
 LENGTH = 4096
 RUN = 128  # tokens; a divisor of LENGTH
 CLOSING = 2
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
-SLICE = 4 << 20  # bytes of text at a time; every slice passes over the remembered words
+SLICE = 2 << 20  # bytes of text at a time; every slice passes over the remembered words
 #: Rows of (partition, source) that are broadcast at most; above, tokens and places are joined by a shuffle.
 SMALL_PARTS = 200_000
 _MARK = b"\x01"  # stands alone between words that are tokenised together
@@ -317,7 +317,7 @@ def pack(docs: DataFrame, path: str | None = None, closing: int = CLOSING, targe
         raise ValueError(f"{path} has more ids than two bytes can tell apart")
     queue = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), text_bytes().alias("text"))
-    tokens = stash(rows.mapInArrow(_tokenise(path, closing), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
+    tokens = stash(rows.mapInArrow(frugal(_tokenise(path, closing)), "doc_id long, queue string, part long, at long, doc_tokens long, ids binary"), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     parts = stash(parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")), "parts")
     named = {q: w for q, w in (targets or {}).items() if w}

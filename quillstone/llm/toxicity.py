@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, mix, remainder, slices, stash, text_bytes, unstash, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, frugal, mix, remainder, slices, stash, text_bytes, unstash, word_hashes, word_spans
 
 BUCKETS, DIM = 1 << 16, 16
 GRAM_SIZES = (3, 4, 5)
@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     batches(docs.sparkSession)
     model = train(docs, labels, label, max_rows, max_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 3) == 1).alias("held_out"), text_bytes().alias("text"))
-    out = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
+    out = rows.mapInArrow(frugal(_score(model)), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -223,7 +223,7 @@ def _keep(model: Model, threshold: float):
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, max_bytes: int = 8 << 20) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `threshold`."""
     batches(docs.sparkSession)
-    return docs.mapInArrow(_keep(train(docs, labels, label, max_rows, max_bytes), threshold), docs.schema)
+    return docs.mapInArrow(frugal(_keep(train(docs, labels, label, max_rows, max_bytes), threshold)), docs.schema)
 
 
 common.ship(__name__)
