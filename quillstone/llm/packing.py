@@ -236,13 +236,13 @@ class Schedule:
         return serve(self.phases_of(queue), first, size, length)
 
 
-def serve(phases, first: int, size: int, length: int = LENGTH // RUN):
+def serve(phases, first: int, size: int, length: int = LENGTH // RUN, deal=dealt):
     """`Schedule.pieces` by a queue's own phases: (first position, end, its first run, sum of shares before, its share, sum of all)."""
     phases = iter(phases)
     while size:
         at, end, done, before, share, whole = next(phases)
-        ahead = lambda p: dealt(before, p, whole)  # noqa: B023, E731
-        served = lambda p: done + dealt(before + share, p, whole) - ahead(p)  # noqa: B023, E731
+        ahead = lambda p: deal(before, p, whole)  # noqa: B023, E731
+        served = lambda p: done + deal(before + share, p, whole) - ahead(p)  # noqa: B023, E731
         if served(end - at) <= first:
             continue
         # The window where run `first` is served: about first / share, then exactly.
@@ -265,12 +265,12 @@ def serve(phases, first: int, size: int, length: int = LENGTH // RUN):
             w, begin, lo, skipped = w + 1, (w + 1) * length - at, hi, passed
 
 
-def token_pieces(phases, first: int, size: int, total: int, rest_at: int):
+def token_pieces(phases, first: int, size: int, total: int, rest_at: int, deal=dealt):
     """(window, offset there, tokens) of `size` tokens from token `first` on of a queue of `total` tokens whose last, broken run is at `rest_at`."""
     full, end = total // RUN * RUN, first + size
     if first < full:
         run = first // RUN
-        for w, offset, n in serve(phases, run, -(-min(end, full) // RUN) - run):
+        for w, offset, n in serve(phases, run, -(-min(end, full) // RUN) - run, deal=deal):
             lo = max(first, run * RUN)
             run += n
             yield w, offset * RUN + lo - (run - n) * RUN, min(end, run * RUN) - lo
@@ -286,6 +286,9 @@ def _cut(phases: dict, begin: int, whole: int):
     """Cuts by the phases of the queues with a target; the others are one phase of `whole` runs from run `begin` on."""
 
     def run(parts):
+        from functools import lru_cache
+
+        deal = lru_cache(1 << 16)(dealt)  # a queue's documents follow each other in the same windows
         for part in parts:
             rows = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             columns = [part.column(c).to_pylist() for c in ("doc_id", "queue", "first", "doc_tokens", "ids", "before", "total", "rest_at")]
@@ -293,7 +296,7 @@ def _cut(phases: dict, begin: int, whole: int):
                 wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes()
                 start = 0
                 own = phases[queue] if before is None else [(begin, begin + whole, 0, before, total // RUN, whole)]
-                for window, offset, n in token_pieces(own, first, size, total, rest_at):
+                for window, offset, n in token_pieces(own, first, size, total, rest_at, deal):
                     crc = zlib.crc32(wide[4 * start : 4 * (start + n)])
                     for c, v in zip(rows, (doc_id, start, n, crc, size, window, offset), strict=True):
                         rows[c].append(v)
