@@ -37,10 +37,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and return the written table, which cuts the lineage."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed = path  # what `unstash` deletes
     return out
