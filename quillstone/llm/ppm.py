@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, release, remainder, slices, stash, text_bytes, unstash, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, release, remainder, slices, stash, text_bytes, word_hashes, word_spans
 
 ORDER = 5
 ROOT = 3
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 32 << 20
 #: Partitions that groups are dealt over at most; each takes its groups one after the other.
 MOST_PARTITIONS = 20_000
 _ROWS = 200_000  # of an Arrow batch of keys
@@ -108,8 +108,22 @@ def _spread(train: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(train, np.diff(first))
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as one compressed value: text is kept once and moved once, and takes a third of its size so."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(column):
+    """The record batches of a column of `_packed`."""
+    for value in column:
+        yield from pa.ipc.open_stream(value.as_buffer())
+
+
 def _deal(limit: int):
-    """Adds the group: a partition's rows in order, about `limit` bytes of text a group."""
+    """(group, its rows packed): a partition's rows in order, about `limit` bytes of text a group."""
 
     def run(parts):
         from pyspark import TaskContext
@@ -117,9 +131,13 @@ def _deal(limit: int):
         base, used = TaskContext.get().partitionId() << 32, 0
         for part in parts:
             _, off = buffer_of(part.column("text"))
-            before = used + off[:-1] + 64 * np.arange(len(off) - 1)
-            used += int(off[-1]) + 64 * (len(off) - 1) if len(off) > 1 else 0
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base + before // limit)], ["doc_id", "held", "text", "g"])
+            if len(off) < 2:
+                continue
+            group = base + (used + off[:-1] + 64 * np.arange(len(off) - 1)) // limit
+            used += int(off[-1]) + 64 * (len(off) - 1)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            rows = [_packed(part.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), pa.array(rows, pa.binary())], ["g", "rows"])
 
     return run
 
@@ -140,17 +158,12 @@ def _tally(parts):
     """
     now, got = None, {}
     for part in parts:
-        groups = np.asarray(part.column("g"))
-        cuts = np.flatnonzero(np.diff(groups)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)], strict=True):
-            if lo == hi:
-                continue
-            if now != groups[lo]:
+        for g, own in ((g, own) for g, value in zip(part.column("g").to_pylist(), part.column("rows"), strict=True) for own in _unpacked([value])):
+            if now != g:
                 if got:
                     yield from _table(now, got)
                     release()
-                now, got = int(groups[lo]), {GRAM: [], WORD: []}
-            own = part.slice(lo, hi - lo)
+                now, got = g, {GRAM: [], WORD: []}
             train = ~np.asarray(own.column("held").to_numpy(zero_copy_only=False), bool)
             buf, off = buffer_of(own.column("text"))
             got[WORD].append((END_KEY[None], train.sum(keepdims=True)))
@@ -302,8 +315,11 @@ def _score(total: int, distinct: int):
         end_count = count(END_KEY[None])[0] if docs.num_rows else 0
         end, known_end = math.log10(end_count + 1) - unit, int(end_count > 0)
         cols = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for chunk in docs.column("text").chunks:
-            buf, off = buffer_of(chunk)
+        ids, held = [], []
+        for own in _unpacked(docs.column("rows")):
+            ids.append(own.column("doc_id"))
+            held.append(own.column("held"))
+            buf, off = buffer_of(own.column("text"))
             for i, j in slices(off):
                 low, at = _LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
                 cols["score"].append(sum(_sums(cost(strings), first) for strings, first in gram_pieces(low, at)))
@@ -315,7 +331,8 @@ def _score(total: int, distinct: int):
         out = {c: pa.array(np.concatenate(v)) if v else pa.array([], pa.float64()) for c, v in cols.items()}
         del cost, count, kind, keys, value
         release()
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array(np.full(docs.num_rows, total, np.int64)), "base_score": out["base_score"], "score": out["score"]})
+        n = sum(map(len, ids))
+        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "held_out": pa.chunked_array(held, pa.bool_()), "n_tokens": out["n_tokens"].cast(pa.int64()), "n_known": out["n_known"].cast(pa.int64()), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": out["base_score"], "score": out["score"]})
 
     return run
 
@@ -327,10 +344,10 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     """
     batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", folds) == held_fold).alias("held"), text_bytes().alias("text"))
-    dealt = stash(rows.mapInArrow(_deal(GROUP_BYTES), "doc_id long, held boolean, text binary, g long"), "dealt")
-    tallied = stash(dealt.mapInArrow(_tally, "g long, kind byte, key long, c long"), "tallied")
+    dealt = stash(rows.mapInArrow(_deal(GROUP_BYTES), "g long, rows binary"), "dealt")
+    tallied = stash(dealt.mapInArrow(_tally, "g long, kind byte, key long, c long"), "tallied", "zstd")
     groups = max(1, min(MOST_PARTITIONS, tallied.select("g").distinct().count()))
-    model = stash(tallied.groupBy("kind", "key").agg(F.sum("c").alias("c")), "model")
+    model = stash(tallied.groupBy("kind", "key").agg(F.sum("c").alias("c")), "model", "zstd")
     words, strings = model.where(f"kind = {WORD}"), model.where(f"kind = {GRAM}")
     known = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
     pairs = strings.groupBy((F.col("key") % (1 << 8 * ROOT)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # 256 ** ROOT rows at most
@@ -338,8 +355,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     root = F.shiftright("key", 8) % (1 << 8 * ROOT)
     priced = strings.withColumn("root", root).repartition("root").sortWithinPartitions("root").select("key", "c").mapInArrow(_subtrees(low), "key long, value double")
     priced = priced.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").union(words.select("kind", "key", F.col("c").cast("double")))
-    table = stash(tallied.select("g", "kind", "key").join(priced, ["kind", "key"]).select("g", "kind", "key", "value"), "priced")
-    unstash(tallied, model)
+    table = tallied.select("g", "kind", "key").join(priced, ["kind", "key"]).select("g", "kind", "key", "value")
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     sides = (x.repartition(groups, "g").groupBy("g") for x in (dealt, table))
     return next(sides).cogroup(next(sides)).applyInArrow(_score(known["total"], known["distinct"]), kinds)

@@ -228,7 +228,8 @@ elif sys.argv[1] == "pii":
     assert pii.all_spans(buf.tobytes().decode()) == []
 else:
     text = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(buf)])
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), text, pa.array([0])], ["doc_id", "held", "text", "g"])
+    rows = ppm._packed(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), text], ["doc_id", "held", "text"]))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows], pa.binary())], ["g", "rows"])
     assert sum(int(np.asarray(b.column("c")).sum()) for b in ppm._tally([batch]) if b.column("kind")[0].as_py() == 0) == (100 << 20) + 1
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
 """
