@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
 _local: dict[str, str] = {}
 
@@ -39,8 +40,14 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and return the written table, which cuts the lineage."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    # Nothing reads the shuffles of this write after it, so their files may go at its end.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed = path  # what `unstash` deletes
     return out
