@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import chat, codes, decontaminate, licenses, mixing, neardup, packing, pii, ppm, quality, rules, toxicity
+from quillstone.llm import chat, codes, decontaminate, licenses, mixing, neardup, packing, pii, ppm, quality, rules, spelling, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,17 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_neardup, op2_ppm, op3_toxicity, op4_quality, op5_packing, op6_decontaminate, op7_rules, op8_chat, op9_licenses, op10_pii, op11_mixing, op13_codes)
+    for f in (op1_neardup, op2_ppm, op3_toxicity, op4_quality, op5_packing, op6_decontaminate, op7_rules, op8_chat, op9_licenses, op10_pii, op11_mixing, op12_spelling, op13_codes)
 }
 #: The rest can't be put into SQL; tests/llm hold them against brute force, round trips or held-out accuracy.
 ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op13_codes": codes.ORACLE}
