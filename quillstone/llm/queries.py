@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_neardup, op2_ppm, op3_toxicity, op4_quality, op5_packing, op6_decontaminate, op7_rules, op8_chat, op9_licenses, op10_pii, op11_mixing, op12_spelling, op13_codes)
 }
 #: The rest can't be put into SQL; tests/llm hold them against brute force, round trips or held-out accuracy.
-ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op13_codes": codes.ORACLE}
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op12_spelling": spelling.ORACLE, "op13_codes": codes.ORACLE}

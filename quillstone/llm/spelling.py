@@ -282,4 +282,18 @@ def variants(docs: DataFrame, ratio: int = RATIO, group: int = GROUP, group_byte
     return rows.join(links, "word", "left").select(text("word").alias("word"), text("form").alias("form"), text(F.coalesce("root", "word")).alias("root"), "n", "n_near", "form_n")
 
 
+#: DuckDB SQL of `variants` for the table `documents`: crc32 a byte at a time, near words by what is left when a character goes.
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+kinds AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM runs WHERE length(w) >= {SHORTEST} GROUP BY id, w),
+summed AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS h FROM kinds, crc),
+words AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {DELETE} = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, n FROM summed) WHERE length(w) >= {SHORTEST} GROUP BY w HAVING sum(n) >= {TIMES}),
+gaps AS MATERIALIZED (SELECT w, i, left(w, i) || substr(w, i + 2) AS d FROM words, LATERAL (SELECT unnest(range(length(w))) AS i)),
+near AS MATERIALIZED (SELECT a.w AS a, b.w AS b FROM gaps a JOIN gaps b ON a.d = b.d AND a.i = b.i AND a.w <> b.w UNION SELECT g.w, v.w FROM gaps g JOIN words v ON g.d = v.w UNION SELECT v.w, g.w FROM gaps g JOIN words v ON g.d = v.w),
+best AS (SELECT a, count(*) AS n_near, min({{'m': -n, 'b': b}}) AS o FROM near JOIN words ON w = b GROUP BY a),
+forms AS MATERIALIZED (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -o.m >= {RATIO} * n THEN o.b END AS form, CASE WHEN -o.m >= {RATIO} * n THEN -o.m END AS form_n FROM words LEFT JOIN best ON a = w),
+way AS (SELECT w, w AS root FROM forms UNION ALL SELECT way.w, f.form FROM way JOIN forms f ON f.w = way.root WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form, way.root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON way.w = f.w JOIN forms e ON e.w = way.root WHERE e.form IS NULL"""
+
 common.ship(__name__)
