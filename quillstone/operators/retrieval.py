@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import terms_of, tokens
 from quillstone.operators.graph import expand, small
+from quillstone.sources.vault import lines as lines_of
 
 K1, B, FUSION = 1.2, 0.75, 60
 DIMENSIONS = 256
@@ -142,17 +144,20 @@ def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = FUSION) ->
 
 
 def cite(hits: DataFrame, lines: DataFrame, terms: list[str]) -> DataFrame:
-    """(path, line, text) of the hits' lines that have a term; hits: path, lines: path, line, text."""
+    """(path, line, text) of the hits' lines that have a term; hits: path, lines: path, line, text, or items (path, content), of which only the hits' are cut into lines."""
     words = tokens("text")
-    return lines.join(hits.select("path").distinct(), "path").where(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))))
+    if "content" in lines.columns:
+        return lines_of(lines.join(small(hits.select("path").distinct()), "path", "left_semi")).where(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))))
+    return lines.join(small(hits.select("path").distinct()), "path").where(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))))
 
 
-def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 10, edge_names: list[str] | None = None, index: DataFrame | None = None, vectors: DataFrame | None = None, asked: list[float] | None = None) -> DataFrame:
+def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 10, edge_names: list[str] | None = None, index: DataFrame | None = None, vectors: DataFrame | None = None, asked: list[float] | None = None, found: Callable[[list[str], int], DataFrame] | None = None) -> DataFrame:
     """Answer as passages: (path, line, text, score) from the k best pages and the raw files that they cite.
 
     Keyword and vector ranks, a shortlist of each, are fused; seeds are pages that the question names, widened by one hop, and a
     candidate's score is doubled if it was reached that way. index, vectors: the stored ones of the pages (id is the
-    slug), worked out here if missing; asked: the question's vector, by default the hashed one.
+    slug), worked out here if missing; asked: the question's vector, by default the hashed one; found: the k best of some terms as
+    (id, score), by an index that stops early for instance, in the place of scoring all postings.
     """
     spark = pages.sparkSession
     seeds = recognise(question, aliases_of(pages))
@@ -160,7 +165,7 @@ def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k
     terms = [t for t in terms_of(question) if len(t) > 2]
     if not terms:
         return lines.where("false").withColumn("score", F.lit(0.0))
-    if index is None:
+    if index is None and (found is None or vectors is None):
         index = postings(searched(pages), "slug")
     if vectors is None:
         vectors = hashed_vectors(index)
@@ -168,8 +173,9 @@ def query(question: str, pages: DataFrame, edges: DataFrame, lines: DataFrame, k
         own = hashed_vectors(postings(spark.createDataFrame([("q", " ".join(terms))], "doc_id string, text string"))).first()
         asked = list(own["vector"])
     short = max(5 * k, 50)
-    found = fuse(top(bm25_stored(index, terms), short), top(cosine(vectors, asked, "id", "vector").where("score > 0"), short), 2 * short)
-    best = top(rerank(found.withColumnRenamed("rrf", "score"), near), k)
+    keyed = found(terms, short) if found is not None else top(bm25_stored(index, terms), short)
+    fused = fuse(keyed, top(cosine(vectors, asked, "id", "vector").where("score > 0"), short), 2 * short)
+    best = top(rerank(fused.withColumnRenamed("rrf", "score"), near), k)
     cited = pages.join(best.select(F.col("id").alias("slug"), "score"), "slug").select(F.explode(F.concat(F.array("path"), F.coalesce("sources", F.array().cast("array<string>")))).alias("path"), "score")
     cited = cited.groupBy("path").agg(F.max("score").alias("score"))
     return cite(cited, lines, terms).join(cited, "path").select("path", "line", "text", "score").orderBy(F.desc("score"), "path", "line")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
 from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.operators.search import SearchIndex
 from quillstone.plans import views
-from quillstone.shared import stash
+from quillstone.shared import fresh, stash
 from quillstone.sources import vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,6 +309,42 @@ def bm25_scan(t):
     return retrieval.bm25(t.documents, list(_TERMS)).withColumn("score", F.round("score", 6))
 
 
+def _search(t) -> tuple[SearchIndex, tuple[int, int, int]]:
+    """An index of earlier documents brought up to date with all documents, and what that took.
+
+    Earlier, each hundredth text began with another word, each hundredth was missing, and as many were there that have gone since.
+    """
+
+    def make():
+        index = SearchIndex(t._spark, fresh(t._spark, "search"))
+        now = t.documents.select(F.col("doc_id").cast("string").alias("id"), "text", (F.col("doc_id") % 100).alias("r"))
+        was = now.where("r <> 1").withColumn("text", F.when(F.col("r") == 0, F.concat(F.lit("zebra "), "text")).otherwise(F.col("text")))
+        index.update(was.unionAll(now.where("r = 2").withColumn("id", F.concat(F.lit("-"), "id"))))
+        return index, index.update(now)
+
+    return _once(t, "search", make)
+
+
+@query(r"""WITH t AS (SELECT doc_id % 100 AS r, len(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''])) AS n FROM documents)
+SELECT count(*) FILTER (r IN (0, 1)) AS comes, count(*) FILTER (r IN (0, 2)) AS goes, CAST(coalesce(sum(n) FILTER (r IN (0, 1)), 0) AS BIGINT) AS written FROM t""")
+def search_update(t):
+    """What an update of a search index wrote: the postings of what came and no others."""
+    return t._spark.createDataFrame([_search(t)[1]], "comes long, goes long, written long")
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, id::VARCHAR LIMIT 20")
+def search_topk(t):
+    """The best documents by the index of segments, windows that can't have any left out; ties by the ids' text."""
+    return _search(t)[0].top(list(_TERMS), 20).rows.select(F.col("id").cast("long").alias("id"), "score")
+
+
+@query("SELECT 1 AS k, true AS fewer UNION ALL SELECT 3, true")
+def search_work(t):
+    """Whether fewer postings were read than the terms have."""
+    found = {k: _search(t)[0].top(list(_TERMS), k) for k in (1, 3)}
+    return t._spark.createDataFrame([(k, f.read < f.postings) for k, f in found.items()], "k int, fewer boolean")
+
+
 @query(r"SELECT x AS term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS x FROM documents) WHERE x <> '' GROUP BY x")
 def term_counts(t):
     return _index(t)[0].where("term is not null").groupBy("term").agg(F.sum("tf").alias("n"))
@@ -348,7 +385,7 @@ WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate
 SELECT doc_id AS path, CAST(line AS INTEGER) AS line, text FROM ln WHERE list_has_any(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'ther', 'leaux'])""")
 def citations(t):
     hits = _bm25(t).where("score > 0").select(F.col("id").alias("path"))
-    return retrieval.cite(hits, vault.lines(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))), list(_TERMS))
+    return retrieval.cite(hits, t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), list(_TERMS))
 
 
 @query(r"""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS w FROM documents)

@@ -33,8 +33,6 @@ PAGES = (
 EDGES = "src string, edge string, dst string"
 PROPOSALS = "src string, edge string, dst string, conf double, state string"
 CHANGES = "batch_id string, path string, op string, before string, after string"
-POSTINGS = "term string, id string, tf long, dl long"
-VECTORS = "id string, vector array<double>"
 LOG = "ts timestamp, skill string, channel string, op string, path string, batch_id string"
 
 

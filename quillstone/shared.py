@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, SparkSession] = {}
@@ -69,6 +70,15 @@ def _drop_all() -> None:
             return
 
 
+def numbered(rows: DataFrame, *by: Column, name: str = "number") -> DataFrame:
+    """`rows` with their place (from 0) in the order of `by`, as a column; sorted in ranges, of which only the sizes meet."""
+    spread = stash(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = spread.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return spread.withColumn("_place", place).join(F.broadcast(ranges), "_range").withColumn(name, F.col("_place") + F.col("_ahead") - 1).drop("_range", "_place", "_ahead")
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop's file system of a path, the path as its object)."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,6 +18,7 @@ from quillstone import schemas
 from quillstone.functions import frontmatter
 from quillstone.functions.text import content_key, wikilinks
 from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.operators.search import SearchIndex
 from quillstone.shared import stash
 from quillstone.sources import vault as scans
 from quillstone.store import Store
@@ -33,8 +34,6 @@ TABLES = {
     "redirects": "from_slug string, to_slug string",
     "nodes": "id string, type string",
     "edges": schemas.EDGES,
-    "postings": schemas.POSTINGS,
-    "vectors": schemas.VECTORS,
 }
 #: Directories of a table above which a command that appends to it writes it anew.
 MANY_PARTS = 64
@@ -65,6 +64,7 @@ class Vault:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
         self._store, self._began, self._new = Store(spark, base), None, {}
+        self.search = SearchIndex(spark, f"{self.base}/search")
 
     def _parts(self, name: str) -> list[str]:
         if self._began is not None and name in self._new:
@@ -130,7 +130,7 @@ class Vault:
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete what only versions before the last `keep` used."""
-        return self._store.vacuum(keep)
+        return self._store.vacuum(keep) + self.search.vacuum(keep)
 
     # --- capture and ingest ---------------------------------------------------------------------
 
@@ -284,21 +284,17 @@ class Vault:
 
     # --- asking and health ----------------------------------------------------------------------
 
-    @command
-    def reindex(self, excluded: list[str] = ()) -> None:
-        """Build the search index of the pages whose path no pattern excludes: postings and vectors."""
-        pages = scans.excluded(self.table("pages"), list(excluded))
-        self._save("postings", retrieval.postings(retrieval.searched(pages), "slug"))
-        self._save("vectors", retrieval.hashed_vectors(self.table("postings")))
-
-    def query(self, question: str, k: int = 10) -> DataFrame:
-        """Cited passages by keywords, vectors and the graph. The index is built anew if pages changed since it was."""
-        tables = self._store.latest()[1]
-        if tables.get("postings", {}).get("at", 0) < tables.get("pages", {}).get("at", 0):
-            self.reindex()
+    def reindex(self, excluded: list[str] = ()) -> tuple[int, int, int]:
+        """Bring the search index to the pages whose path no pattern excludes; (pages added or changed, removed or replaced, postings written)."""
+        return self.search.update(retrieval.searched(scans.excluded(self.table("pages"), list(excluded))).withColumnRenamed("slug", "id"))
+
+    def query(self, question: str, k: int = 10, excluded: list[str] = ()) -> DataFrame:
+        """Cited passages by keywords, vectors and the graph. What changed since the index was last brought up to date is indexed first."""
+        self.reindex(excluded)
         pages = self.table("pages")
-        lines = scans.lines(self.table("raw")).unionByName(scans.lines(pages.select("path", F.col("body").alias("content"))))
-        return retrieval.query(question, pages, self.table("edges"), lines, k, index=self.table("postings"), vectors=self.table("vectors"))
+        items = self.table("raw").select("path", "content").unionByName(pages.select("path", F.col("body").alias("content")))
+        found = lambda terms, n: self.search.top(terms, n).rows
+        return retrieval.query(question, pages, self.table("edges"), items, k, vectors=self.search.vectors(), found=found)
 
     def thread(self, topic: str) -> DataFrame:
         raw = self.table("raw").select("path", F.col("content").alias("text"), F.col("captured_at").alias("at"))
