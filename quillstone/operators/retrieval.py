@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import terms_of, tokens
 from quillstone.operators.graph import expand, small
+from quillstone.operators.names import mentions  # noqa: F401 - a part of retrieval
 from quillstone.sources.vault import lines as lines_of
 
 K1, B, FUSION = 1.2, 0.75, 60
@@ -30,25 +31,6 @@ def aliases_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("slug").alias("id"), F.explode(names).alias("alias"))
 
 
-def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(path, id) of the pages whose alias occurs in a text, by runs of as many words as some alias has; texts: path, content.
-
-    The numbers of words are an aggregate of the alias table, worked out first. Runs are filtered by the
-    alias table, broadcast if it is checked to be small, as soon as they are made.
-    """
-    words = F.filter(F.split(F.lower("content"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    rows = texts.select("path", words.alias("w"))
-    at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
-    run = lambda n: F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " ")))
-    name = F.trim(F.regexp_replace(F.lower("alias"), "[^\\p{L}\\p{N}]+", " "))
-    known = aliases.select("id", name.alias("name")).where("name <> ''").distinct()
-    sizes = known.agg(F.array_sort(F.collect_set(F.size(F.split("name", " "))))).first()[0]
-    if not sizes:
-        return texts.select("path").join(known.select("id"), F.lit(False))
-    runs = [run(n) for n in sizes]
-    return rows.select("path", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("name")).join(small(known), "name").select("path", "id").distinct()
-
-
 def rerank(hits: DataFrame, near: DataFrame, boost: float = 2.0) -> DataFrame:
     """(id, score) of a shortlist with the scores of `near` (id), say neighbours of the question's entities, multiplied."""
     near = near.select("id", F.lit(boost).alias("_boost")).distinct()
