@@ -14,6 +14,10 @@ from pyspark import cloudpickle
 _FENCE = re.compile(r"\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^---[ \t]*(?:\r?\n|\Z)", re.S | re.M)
 
 
+#: The key that holds a block which is no YAML, as it was: it is written back as it is.
+RAW = "_block"
+
+
 def split(text: str) -> tuple[str, str]:
     """(frontmatter, body); a text that doesn't begin with a fenced block is all body."""
     m = _FENCE.match(text)
@@ -39,7 +43,7 @@ def load(block: str) -> dict:
         try:
             found = yaml.load(block, Loader=yaml.BaseLoader)  # all scalars stay text
         except yaml.YAMLError:
-            return {"_error": "invalid frontmatter"}
+            return {"_error": "invalid frontmatter", RAW: block}
         return found if isinstance(found, dict) else {}
     out: dict = {}
     key = None
@@ -70,6 +74,11 @@ def day(value) -> datetime.date | None:
 LISTS, SCALARS, DAYS = ("aliases", "sources", "works_at", "contradicts"), ("type", "identity_key", "status", "superseded_by"), ("created", "last_verified")
 
 
+def slug_of(path: str, name: str) -> str:
+    """A page's slug: its file's name; in the archive, with archive/ before it, where redirects lead."""
+    return ("archive/" if re.search(r"(?:^|/)wiki/archive/", path) else "") + re.sub(r"\.md$", "", name)
+
+
 def parse_pages(parts):
     """Batches of (path, file_name, content) -> the contract's columns, the other keys as text, and the body."""
     for part in parts:
@@ -78,7 +87,7 @@ def parse_pages(parts):
             block, body = split(content or "")
             keys = load(block)
             one = lambda k: (texts(keys.get(k)) or [None])[0]  # noqa: B023, E731
-            row = {"slug": re.sub(r"\.md$", "", name), "path": path, "file_name": name, "body": body}
+            row = {"slug": slug_of(path, name), "path": path, "file_name": name, "body": body}
             row |= {k: texts(keys.get(k)) for k in LISTS} | {k: one(k) for k in SCALARS} | {k: day(keys.get(k)) for k in DAYS}
             row["rest"] = [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True, default=str)) for k, v in sorted(keys.items()) if k not in (*LISTS, *SCALARS, *DAYS) and v is not None]
             rows.append(row)
@@ -97,15 +106,22 @@ ORDER = ("type", "identity_key", "aliases", "status", "created", "last_verified"
 
 def render(page: dict) -> str:
     """A page as Markdown: contract keys in fixed order, then the rest by name; empty keys are left out."""
-    keys = {k: page.get(k) for k in ORDER} | dict(sorted(dict(page.get("rest") or {}).items()))
+    rest = dict(page.get("rest") or {})
+    if RAW in rest:
+        return f"---\n{rest[RAW]}\n---\n" + (page.get("body") or "")
+    keys = {k: page.get(k) for k in ORDER} | dict(sorted(rest.items()))
     quote = lambda v: json.dumps(str(v), ensure_ascii=False) if re.search(r"[:#\[\]{},\"'\n]|^\s|\s$|^-|^$", str(v)) else str(v)
     lines = []
     for k, v in keys.items():
-        if isinstance(v, str) and v[:1] == "[":
+        if isinstance(v, str) and v[:1] in ("[", "{"):
             try:
-                v = [str(x) for x in json.loads(v)]
+                found = json.loads(v)
             except ValueError:
-                pass  # a text that begins with a bracket
+                found = v  # a text that begins with a bracket
+            if isinstance(found, dict) or isinstance(found, list) and any(isinstance(x, (dict, list)) for x in found):
+                lines.append(f"{k}: {v}")  # JSON is a block's flow style
+                continue
+            v = [str(x) for x in found] if isinstance(found, list) else v
         if v is None or v == []:
             continue
         lines += [f"{k}:", *(f"  - {quote(x)}" for x in v)] if isinstance(v, (list, tuple)) else [f"{k}: {quote(v)}"]

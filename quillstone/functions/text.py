@@ -70,6 +70,21 @@ def append_bullet(body: str | Column, heading: str | Column, bullet: str | Colum
     return F.when((place > 0) & F.array_contains(section, line), _c(body)).when(place > 0, F.array_join(with_line, "\n")).otherwise(F.concat(_c(body), F.lit("\n\n"), title, F.lit("\n"), line))
 
 
+def append_bullets(body: str | Column, heading: str | Column, bullets: Column) -> Column:
+    """What `append_bullet` gives for one bullet after the other, in a single step: the last comes first, and those that the section has are left out."""
+    title = F.concat(F.lit("## "), _c(heading))
+    new = F.array_distinct(F.transform(bullets, lambda b: F.concat(F.lit("- "), b)))
+    lines = F.split(_c(body), "\n")
+    place = F.array_position(lines, title).cast("int")
+    after = F.slice(lines, place + 1, F.greatest(F.size(lines) - place, F.lit(0)))
+    ends = F.array_position(F.transform(after, lambda x: x.rlike("^#{1,2} ")), F.lit(True)).cast("int")
+    section = F.when(ends > 0, F.slice(after, F.lit(1), ends - 1)).otherwise(after)
+    fresh = F.reverse(F.array_except(new, section))
+    with_lines = F.concat(F.slice(lines, F.lit(1), place), fresh, after)
+    own = F.concat(_c(body), F.lit("\n\n"), title, F.lit("\n"), F.array_join(F.reverse(new), "\n"))
+    return F.when(F.size(new) == 0, _c(body)).when(place > 0, F.array_join(with_lines, "\n")).otherwise(own)
+
+
 def tokens(text: str | Column) -> Column:
     """Lower-case runs of letters and digits, of any script."""
     return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import frontmatter
-from quillstone.functions.text import append_bullet, dated_path, slugify, type_dir
+from quillstone.functions.text import append_bullets, dated_path, slugify, type_dir
 from quillstone.schemas import CHANNELS
 
 
@@ -21,6 +21,18 @@ def keep_first(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*").select(items.columns)
 
 
+def named_apart(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Items whose file name no other of their channel has: where it is taken, by a known item or by a smaller key, the key's beginning comes after it."""
+    same = lambda a, b: a["channel"].eqNullSafe(b["channel"]) & a["file_name"].eqNullSafe(b["file_name"])
+    first = items.groupBy("channel", "file_name").agg(F.min("item_key").alias("_first"))
+    taken = known.select("channel", "file_name").distinct().withColumn("_taken", F.lit(True))
+    rows = items.join(first, same(items, first)).select(items["*"], "_first")
+    rows = rows.join(taken, same(rows, taken), "left").select(rows["*"], "_taken")
+    parts = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 2)
+    apart = F.concat(parts[0], F.lit("-"), F.substring("item_key", 1, 12), parts[1])
+    return rows.withColumn("file_name", F.when(F.coalesce("_taken", F.lit(False)) | (F.col("item_key") != F.col("_first")), apart).otherwise(F.col("file_name"))).select(items.columns)
+
+
 def collect_report(items: DataFrame, known: DataFrame, key: str = "item_key", by: str = "channel") -> DataFrame:
     """(channel, new, duplicates): items against what is there."""
     marked = items.join(known.select(key, F.lit(1).alias("_known")).distinct(), key, "left")
@@ -99,7 +111,7 @@ def fan_out(items: DataFrame, mentions: DataFrame, pages: DataFrame, batch_id: s
     there = pages.withColumn("_is", F.lit(True)).drop("file_name")
     rows = told.join(there, "slug", "left")
     path = F.coalesce("path", F.concat(F.lit("wiki/tofile/"), "slug", F.lit(".md")))
-    body = F.aggregate("told", F.coalesce("body", F.lit("")), lambda b, t: append_bullet(b, F.lit("Mentions"), t["bullet"]))
+    body = append_bullets(F.coalesce("body", F.lit("")), F.lit("Mentions"), F.transform("told", lambda t: t["bullet"]))
     sources = F.array_union(F.coalesce("sources", F.array().cast("array<string>")), F.transform("told", lambda t: t["final"]))
     kept = [c for c in pages.columns if c not in ("slug", "type", "path", "sources", "body", "file_name")]
     new = {"type": F.coalesce("type", F.lit("tofile")), "path": path, "sources": sources, "body": body} | {c: F.col(c) for c in kept}

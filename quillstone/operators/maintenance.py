@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import slugify, type_dir
+from quillstone.functions.text import slugify, type_dir, wikilinks
 from quillstone.operators.graph import follow, small
-from quillstone.schemas import RAW_CLASSES, SERVICE_DIRS, TYPE_TO_DIR
+from quillstone.schemas import ARCHIVE, EDGE_KEYS, RAW_CLASSES, SERVICE_DIRS, TYPE_TO_DIR
 
 
 def rename(rows: DataFrame, renames: DataFrame, *columns: str) -> DataFrame:
@@ -35,6 +35,30 @@ def rename_links(rows: DataFrame, old: str, new: str, body: str = "body") -> Dat
     return rows.withColumn(body, F.regexp_replace(body, rf"\[\[\s*{re.escape(old)}\s*(?=[\]|#])", f"[[{new}"))
 
 
+def redirected(pages: DataFrame, renames: DataFrame, edge_keys: tuple[str, ...] = EDGE_KEYS) -> DataFrame:
+    """Pages (schemas.PAGES) in which everything that names a slug names its new one: lists, superseded_by, edges among the other keys, links in bodies.
+
+    renames: old, new, with one row per old. A page's own slug stays. What a page names is joined with the renames, so pages that name none
+    of them are left as they are, and no page is joined with more rows than it has names.
+    """
+    out = rename(pages, renames, "superseded_by", "works_at", "contradicts")
+    for c in ("works_at", "contradicts"):
+        out = out.withColumn(c, F.array_distinct(c))
+    listed = F.col("value").startswith("[")
+    values = F.when(listed, F.coalesce(F.from_json("value", "array<string>"), F.array("value"))).otherwise(F.array("value"))
+    kept = out.select("slug", F.explode("rest")).where(F.col("key").isin(*edge_keys)).select("slug", "key", listed.alias("listed"), F.posexplode(values).alias("i", "old"))
+    named = kept.join(small(renames.select("old", "new")), "old", "left")
+    keys = named.groupBy("slug", "key").agg(F.max("listed").alias("listed"), F.max(F.col("new").isNotNull()).alias("hit"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("new", "old").alias("v")))).alias("v")).where("hit")
+    now = F.array_distinct(F.transform("v", lambda x: x["v"]))
+    keys = keys.select("slug", F.struct("key", F.when(F.col("listed"), F.to_json(now)).otherwise(now[0]).alias("value")).alias("e")).groupBy("slug").agg(F.map_from_entries(F.collect_list("e")).alias("_rest"))
+    other = lambda: F.map_filter("rest", lambda k, v: ~F.map_contains_key("_rest", k))
+    out = out.join(keys, "slug", "left").withColumn("rest", F.when(F.col("_rest").isNull(), F.col("rest")).otherwise(F.map_concat(other(), "_rest"))).select(pages.columns)
+    links = out.select("slug", F.explode(F.array_distinct(wikilinks("body"))).alias("old")).join(small(renames.select("old", "new")), "old")
+    links = links.groupBy("slug").agg(F.collect_list(F.struct("old", "new")).alias("_links"))
+    one = lambda body, x: F.regexp_replace(body, F.concat(F.lit(r"\[\[\s*\Q"), x["old"], F.lit(r"\E\s*(?=[\]|#])")), F.concat(F.lit("[["), x["new"]))
+    return out.join(links, "slug", "left").withColumn("body", F.when(F.col("_links").isNull(), F.col("body")).otherwise(F.aggregate("_links", F.col("body"), one))).select(pages.columns)
+
+
 def merge(pages: DataFrame, identity: str, slug: str, *lists: str) -> DataFrame:
     """One row per identity: the smallest slug as keeper, the others, and each list column folded to its sorted distinct values."""
     own = pages.where(F.col(identity).isNotNull())
@@ -64,9 +88,10 @@ def link_candidates(stubs: DataFrame, canonical: DataFrame, distance: int = 2) -
 
 
 def archive(pages: DataFrame, stale: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with the stale ones moved to the archive, redirects from_slug -> to_slug)."""
+    """(pages with the stale ones moved to the archive, where their slug is archive/<slug>; redirects from_slug -> to_slug)."""
     gone = stale.select("slug").distinct().withColumn("_gone", F.lit(True))
-    moved = pages.join(gone, "slug", "left").withColumn("path", F.when(F.col("_gone"), F.concat(F.lit("wiki/archive/"), "slug", F.lit(".md"))).otherwise(F.col("path"))).select(pages.columns)
+    there = pages.join(gone, "slug", "left")
+    moved = there.withColumns({"path": F.when(F.col("_gone"), F.concat(F.lit(ARCHIVE), "slug", F.lit(".md"))).otherwise(F.col("path")), "slug": F.when(F.col("_gone"), F.concat(F.lit("archive/"), "slug")).otherwise(F.col("slug"))}).select(pages.columns)
     return moved, gone.select(F.col("slug").alias("from_slug"), F.concat(F.lit("archive/"), "slug").alias("to_slug"))
 
 

@@ -403,9 +403,9 @@ def vault_undo_pages(t):
     return day["pages"].select(F.lit("after b1").alias("at"), "slug").unionAll(day["both"].select(F.lit("after b2"), "slug")).unionAll(day["undone"].select(F.lit("undone"), "slug"))
 
 
-@query(f"WITH {_ITEMS} SELECT 'raw/' || channel || '/2001/05/i' || k || '.md' AS path, 'filed' AS state FROM it UNION ALL SELECT 'raw/inbox/emails/i' || n_nationkey || '.md', 'inbox' FROM nation")
+@query(f"WITH {_ITEMS} SELECT 'raw/' || channel || '/2001/05/i' || k || '.md' AS path, 'filed' AS state FROM it UNION ALL SELECT 'raw/inbox/emails/i' || n_nationkey || CASE WHEN n_nationkey IN (SELECT k FROM it WHERE channel = 'emails') THEN '-' || left(sha256('on [[late]] by nation ' || n_nationkey), 12) ELSE '' END || '.md', 'inbox' FROM nation")
 def vault_undo_items(t):
-    """Files of the same name from another channel stay filed."""
+    """Files of the same name from another channel stay filed; those whose channel has the name already have another."""
     return _day(t)["undone_raw"].select("path", "state")
 
 

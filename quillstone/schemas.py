@@ -19,19 +19,21 @@ TYPE_TO_DIR = {
     "thread": "threads",
     "tofile": "tofile",
 }
+ARCHIVE = "wiki/archive/"
 SERVICE_DIRS = ("_inbox", "_maps", "archive", "log-archive")
 #: Edge names that are evidenced, with the node types at their ends where those are; a vault's schema replaces them.
 EDGE_TYPES = (("works_at", "person", "org"), ("decided", "meeting", "decision"), ("attended", None, None), ("contradicts", None, None), ("superseded_by", None, None))
 EDGE_KEYS = tuple(e[0] for e in EDGE_TYPES)
 
-#: The tables, as DDL. A filed item has the batch that filed it and the path that it had in the inbox.
+#: The tables, as DDL. A filed item has the batch that filed it and the path that it had in the inbox, a proposal the batch that queued it.
+#: A page in the archive has the slug archive/<slug>, where its redirect leads.
 RAW_ITEMS = "item_key string, path string, file_name string, channel string, source string, captured_at timestamp, content string, state string, batch_id string, was string"
 PAGES = (
     "slug string, type string, path string, file_name string, identity_key string, aliases array<string>, status string, created date, last_verified date, sources array<string>, works_at array<string>, "
     "contradicts array<string>, superseded_by string, rest map<string,string>, body string"
 )
 EDGES = "src string, edge string, dst string"
-PROPOSALS = "src string, edge string, dst string, conf double, state string"
+PROPOSALS = "src string, edge string, dst string, conf double, state string, batch_id string"
 CHANGES = "batch_id string, path string, op string, before string, after string"
 LOG = "ts timestamp, skill string, channel string, op string, path string, batch_id string"
 

@@ -133,8 +133,8 @@ def write_files(rows: DataFrame, root: str) -> int:
 
 
 def pages(spark: SparkSession, vault: str) -> DataFrame:
-    """Entity pages with the columns of schemas.PAGES; a page without a type has its directory's; service directories are left out."""
-    rows = files(spark, vault, "wiki").where(~F.col("path").rlike(r"(?:^|/)wiki/(?:" + "|".join(SERVICE_DIRS) + ")/"))
+    """Entity pages with the columns of schemas.PAGES; a page without a type has its directory's; service directories but the archive are left out."""
+    rows = files(spark, vault, "wiki").where(~F.col("path").rlike(r"(?:^|/)wiki/(?:" + "|".join(d for d in SERVICE_DIRS if d != "archive") + ")/"))
     parsed = rows.select("path", "file_name", "content").mapInArrow(frontmatter.parse_pages, PAGES)
     of_dir = F.element_at(F.create_map(*(F.lit(x) for kind, name in TYPE_TO_DIR.items() for x in (name, kind))), F.regexp_extract("path", r"(?:^|/)wiki/([^/]+)/", 1))
     return parsed.withColumn("type", F.coalesce("type", of_dir))

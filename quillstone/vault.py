@@ -77,9 +77,13 @@ class Vault:
             return self.table("inbox").unionByName(self.table("filed"))
         return self._store.read(self._parts(name), TABLES[name])
 
+    def live(self) -> DataFrame:
+        """The pages that aren't in the archive: what the graph, health checks, upkeep and search look at."""
+        return self.table("pages").where(~F.col("path").startswith(schemas.ARCHIVE))
+
     def _write(self, name: str, df: DataFrame) -> str:
-        columns = self.spark.createDataFrame([], TABLES[name]).columns
-        return self._store.write(df.select(*columns), name)
+        fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
+        return self._store.write(df.select(*(f.name if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields)), name)
 
     @command
     def _save(self, name: str, df: DataFrame) -> None:
@@ -138,23 +142,27 @@ class Vault:
     def collect(self, items: DataFrame) -> DataFrame:
         """Add captured items (file_name, channel, source, captured_at, content) to the inbox; (channel, new, duplicates)."""
         none = F.lit(None).cast("string")
-        keyed = items.withColumns({"item_key": content_key("content"), "path": F.concat(F.lit("raw/inbox/"), "channel", F.lit("/"), "file_name"), "state": F.lit("inbox"), "batch_id": none, "was": none})
-        raw = self.table("raw").select("item_key")
-        first = stash(ingest.keep_first(keyed, "item_key", "path"), "collected")
-        report = self.spark.createDataFrame(ingest.collect_report(first, raw, by="channel").collect(), "channel string, new long, duplicates long")
-        self._append("inbox", ingest.unseen(first, raw))
+        keyed = stash(items.withColumns({"item_key": content_key("content"), "state": F.lit("inbox"), "batch_id": none, "was": none}), "collected")
+        raw = self.table("raw")
+        new = stash(ingest.named_apart(ingest.unseen(ingest.keep_first(keyed, "item_key", "file_name"), raw), raw), "new")
+        new = new.withColumn("path", F.concat(F.lit("raw/inbox/"), "channel", F.lit("/"), "file_name"))
+        each = new.groupBy("channel").agg(F.count("*").alias("new"))  # a row a channel
+        report = keyed.groupBy("channel").agg(F.count("*").alias("n")).join(each.withColumnRenamed("channel", "_c"), F.col("channel").eqNullSafe(F.col("_c")), "left")
+        report = report.select("channel", F.coalesce("new", F.lit(0)).alias("new"), (F.col("n") - F.coalesce("new", F.lit(0))).alias("duplicates"))
+        report = self.spark.createDataFrame(report.collect(), "channel string, new long, duplicates long")
+        self._append("inbox", new)
         self._log("collect", "collect", report.select("channel", F.lit("collect").alias("op"), F.lit(None).cast("string").alias("path")))
         return report
 
     def _told(self, items: DataFrame) -> DataFrame:
         """(path, slug, bullet): pages that items name or link to."""
-        told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(self.table("pages"))).withColumnRenamed("id", "slug")
+        told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(self.live())).withColumnRenamed("id", "slug")
         told = told.unionByName(items.select("path", F.explode(wikilinks("content")).alias("slug"))).distinct()
         return told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"))
 
     def _rebuilt(self, items: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
         """(changes by source, as reviewed; changes by page, as committed), both of one set of mentions."""
-        told, pages = stash(self._told(items), "told"), self.table("pages")
+        told, pages = stash(self._told(items), "told"), self.live()
         return tuple(stash(ingest.fan_out(items, told, pages, batch_id, by_source), "planned") for by_source in (True, False))
 
     def plan(self, batch_id: str) -> DataFrame:
@@ -171,7 +179,7 @@ class Vault:
             if self.table("changes").where(F.col("batch_id") == batch_id).limit(1).count():
                 raise ValueError(f"there is a batch {batch_id} already")
             proposals = self.table("proposals")
-            self._append("proposals", ingest.queue(ingest.propose_edges(good, "file_name", "content"), proposals))
+            self._append("proposals", ingest.queue(ingest.propose_edges(good, "file_name", "content"), proposals).withColumn("batch_id", F.lit(batch_id)))
             self._commit_pages(by_page, batch_id)
             self._log("ingest", batch_id, good.select("channel", F.lit("file").alias("op"), "path"))
             self._append("filed", ingest.file_away(good, batch_id).unionByName(bad))
@@ -195,7 +203,7 @@ class Vault:
 
     @command
     def undo_ingest(self, batch_id: str) -> None:
-        """Reverse a batch: pages as before, its items back in the inbox. Refused if a page was changed since."""
+        """Reverse a batch: pages as before, its items back in the inbox, its queued proposals gone unless other items make them. Refused if a page was changed since."""
         own = self.table("changes").where(F.col("batch_id") == batch_id)
         pages = self.table("pages")
         now = self._files(pages.join(own.select("path"), "path", "left_semi"))
@@ -209,6 +217,10 @@ class Vault:
         self._log("undo", batch_id, again.select("channel", F.lit("undo").alias("op"), "path"))
         self._append("inbox", again)
         self._save("filed", filed.where(~mine))
+        queued, keys = self.table("proposals"), ["src", "edge", "dst"]
+        others = ingest.propose_edges(filed.where(~mine & (F.col("state") == "filed")), "file_name", "content").select(*keys)
+        stay = queued.where(mine).join(others, keys, "left_semi").withColumn("batch_id", none)
+        self._save("proposals", queued.where(~mine).unionByName(stay))
         self._save("pages", pages.join(own.select("path"), "path", "left_anti").unionByName(back))
         self._save("changes", self.table("changes").where(F.col("batch_id") != batch_id))
         self.project()
@@ -246,7 +258,7 @@ class Vault:
     @command
     def project(self) -> None:
         """Rebuild nodes and edges, a pure function of the pages."""
-        nodes, edges = graph.project(self.table("pages"))
+        nodes, edges = graph.project(self.live())
         self._save("nodes", nodes)
         self._save("edges", edges)
 
@@ -254,11 +266,11 @@ class Vault:
         return graph.validate(self.table("nodes"), self.table("edges"), schemas.vocab_nodes(self.spark), schemas.vocab_edges(self.spark))
 
     @command
-    def promote(self, decisions: DataFrame) -> None:
+    def promote(self, decisions: DataFrame, approve: bool = True, batch_id: str | None = None) -> DataFrame:
         """Confirmed proposals into the pages' frontmatter, then the graph again; skipped ones leave the queue too.
 
         Edges with a list of their own join it, superseded_by is replaced, others are lists among the other keys. A
-        confirmed edge of a page that there isn't stays in the queue.
+        confirmed edge of a page that there isn't stays in the queue. Returns the changes, which are committed unless approve is false.
         """
         queued, keys, pages = self.table("proposals"), ["src", "edge", "dst"], self.table("pages")
         confirmed = queued.join(decisions.where("decision = 'confirm'").select(*keys), keys, "left_semi").join(pages.select(F.col("slug").alias("src")), "src", "left_semi").select(*keys)
@@ -268,9 +280,7 @@ class Vault:
         pages = graph.into_column(pages, confirmed, "superseded_by")
         pages = graph.into_rest(pages, confirmed.where(~F.col("edge").isin(*frontmatter.LISTS, "superseded_by")))
         skipped = decisions.where("decision <> 'confirm'").select(*keys)
-        self._save("pages", pages)
-        self._save("proposals", queued.join(confirmed.unionByName(skipped), keys, "left_anti"))
-        self.project()
+        return self._revised("promote", batch_id, approve, pages, proposals=queued.join(confirmed.unionByName(skipped), keys, "left_anti"))
 
     def neighbours(self, slug: str, hops: int = 1, edge_names: list[str] | None = None) -> DataFrame:
         return graph.hops(self.spark.createDataFrame([(slug,)], "id string"), self.table("edges"), hops, edge_names)
@@ -286,19 +296,19 @@ class Vault:
 
     def reindex(self, excluded: list[str] = ()) -> tuple[int, int, int]:
         """Bring the search index to the pages whose path no pattern excludes; (pages added or changed, removed or replaced, postings written)."""
-        return self.search.update(retrieval.searched(scans.excluded(self.table("pages"), list(excluded))).withColumnRenamed("slug", "id"))
+        return self.search.update(retrieval.searched(scans.excluded(self.live(), list(excluded))).withColumnRenamed("slug", "id"))
 
     def query(self, question: str, k: int = 10, excluded: list[str] = ()) -> DataFrame:
         """Cited passages by keywords, vectors and the graph. What changed since the index was last brought up to date is indexed first."""
         self.reindex(excluded)
-        pages = self.table("pages")
+        pages = self.live()
         items = self.table("raw").select("path", "content").unionByName(pages.select("path", F.col("body").alias("content")))
         found = lambda terms, n: self.search.top(terms, n).rows
         return retrieval.query(question, pages, self.table("edges"), items, k, vectors=self.search.vectors(), found=found)
 
     def thread(self, topic: str) -> DataFrame:
         raw = self.table("raw").select("path", F.col("content").alias("text"), F.col("captured_at").alias("at"))
-        wiki = self.table("pages").where("not path like 'wiki/threads/%'").select("path", F.col("body").alias("text"), F.coalesce("last_verified", "created").cast("timestamp").alias("at"))
+        wiki = self.live().where("not path like 'wiki/threads/%'").select("path", F.col("body").alias("text"), F.coalesce("last_verified", "created").cast("timestamp").alias("at"))
         return maintenance.thread(raw, wiki, topic)
 
     @command
@@ -310,61 +320,89 @@ class Vault:
         return self._approve("thread", ingest.changes_between(old, new, batch_id), batch_id, approve)
 
     def maps(self) -> DataFrame:
-        return maintenance.maps(self.table("pages"))
+        return maintenance.maps(self.live())
 
     def lint(self, as_of: str, days: int = 90) -> DataFrame:
-        return lint.lint(self.table("pages"), as_of, days)
+        return lint.lint(self.live(), as_of, days)
 
     def status(self, as_of: str) -> dict[str, DataFrame]:
         return {
             "inbox": status.inbox_depth(self.table("raw").where("state = 'inbox'")),
-            "pages": status.page_counts(self.table("pages")),
+            "pages": status.page_counts(self.live()),
             "debt": lint.debt(self.lint(as_of)),
             "last_ingest": status.last_ingest(self.table("log").where("skill = 'ingest'")),
             "log": status.log_size(self.table("log")),
         }
 
     def overview(self, as_of: str) -> str:
-        return status.overview(status.page_counts(self.table("pages")), lint.debt(self.lint(as_of)))
+        return status.overview(status.page_counts(self.live()), lint.debt(self.lint(as_of)))
 
     # --- upkeep ---------------------------------------------------------------------------------
 
     def link(self, distance: int = 2) -> DataFrame:
         """(stub, slug, distance): canonical pages that tofile stubs may be."""
-        pages = self.table("pages")
+        pages = self.live()
         return maintenance.link_candidates(pages.where("type = 'tofile'"), pages.where("type <> 'tofile'"), distance)
 
+    def _revised(self, skill: str, batch_id: str | None, approve: bool, pages: DataFrame, **others: DataFrame) -> DataFrame:
+        """The changes (batch_id, path, op, before, after) from the pages to `pages`; with approve, these and other tables are saved, written down and logged."""
+        batch_id = batch_id or f"{skill}-{self._began[0] + 1}"
+        pages = stash(pages, "revised")
+        changes = stash(ingest.changes_between(self._files(self.table("pages")), self._files(pages), batch_id), "planned")
+        if approve:
+            self._save("pages", pages)
+            for name, df in others.items():
+                self._save(name, df)
+            self._append("changes", changes)
+            self._log(skill, batch_id, changes.select(F.lit(None).cast("string").alias("channel"), "op", "path"))
+            self.project()
+        return changes
+
+    def _repointed(self, names: DataFrame) -> dict[str, DataFrame]:
+        """Proposals and redirects with slugs renamed by (old, new), and redirects from the old ones."""
+        redirects = maintenance.rename(self.table("redirects"), names, "to_slug").where("from_slug <> to_slug")
+        new = names.select(F.col("old").alias("from_slug"), F.col("new").alias("to_slug"))
+        redirects = redirects.join(new.select("from_slug"), "from_slug", "left_anti").unionByName(new)
+        return {"proposals": maintenance.rename(self.table("proposals"), names, "src", "dst"), "redirects": redirects}
+
     @command
-    def merge(self) -> DataFrame:
-        """Fold pages with one identity key into the smallest slug, lists and bodies; the others become redirects. Returns (identity_key, keeper, n)."""
-        pages, lists = self.table("pages"), ("aliases", "sources", "works_at", "contradicts")
+    def merge(self, approve: bool = True, batch_id: str | None = None) -> DataFrame:
+        """Fold pages with one identity key into the smallest slug, lists and bodies; the others become redirects, and what named them names the keeper.
+
+        Returns (identity_key, keeper, n), or without approval the changes, of which nothing is then written.
+        """
+        pages, lists = self.live(), ("aliases", "sources", "works_at", "contradicts")
         filled = pages.select("identity_key", "slug", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists))
         folded = maintenance.merge(filled, "identity_key", "slug", *lists).where("n > 1")
         texts = F.array_sort(F.collect_list(F.struct("slug", F.trim(F.coalesce("body", F.lit(""))).alias("body"))))
         bodies = pages.groupBy("identity_key").agg(F.array_join(F.filter(F.array_distinct(F.transform(texts, lambda x: x["body"])), lambda b: b != ""), "\n\n").alias("body"))
         folded = stash(folded.join(bodies, "identity_key"), "folded")
-        gone = pages.join(folded.select("identity_key", "keeper"), "identity_key").where("slug <> keeper").select(F.col("slug").alias("from_slug"), F.col("keeper").alias("to_slug"))
-        self._append("redirects", gone)
-        new = pages.join(gone.select(F.col("from_slug").alias("slug")), "slug", "left_anti").join(folded.select(F.col("keeper").alias("slug"), F.col("body").alias("_body"), *(F.col(c).alias(f"_{c}") for c in lists)), "slug", "left")
+        gone = pages.join(folded.select("identity_key", "keeper"), "identity_key").where("slug <> keeper").select(F.col("slug").alias("old"), F.col("keeper").alias("new"))
+        gone = stash(gone, "gone")
+        new = self.table("pages").join(gone.select(F.col("old").alias("slug")), "slug", "left_anti").join(folded.select(F.col("keeper").alias("slug"), F.col("body").alias("_body"), *(F.col(c).alias(f"_{c}") for c in lists)), "slug", "left")
         new = new.withColumn("body", F.coalesce("_body", "body"))
         for c in lists:
             new = new.withColumn(c, F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c)))
-        self._save("pages", new)
-        self.project()
-        return folded.select("identity_key", "keeper", "n")
+        changes = self._revised("merge", batch_id, approve, maintenance.redirected(new.select(pages.columns), gone), **self._repointed(gone))
+        return folded.select("identity_key", "keeper", "n") if approve else changes
 
     @command
-    def rename(self, old: str, new: str) -> None:
-        """A slug everywhere: the page, its file, lists, superseded_by, links in bodies, proposals and redirects."""
+    def rename(self, old: str, new: str, approve: bool = True, batch_id: str | None = None) -> DataFrame:
+        """A slug everywhere: the page, its file, lists, superseded_by, edges among the other keys, links in bodies, proposals and redirects; the old one becomes a redirect.
+
+        Returns the changes, which are committed unless approve is false. A slug that there is already is refused, as is one that there isn't to rename.
+        """
         names = self.spark.createDataFrame([(old, new)], "old string, new string")
-        pages = self.table("pages")
-        mine = F.col("slug") == old
-        pages = pages.withColumn("path", F.when(mine, F.concat(F.regexp_replace("path", r"[^/]+$", ""), F.lit(f"{new}.md"))).otherwise(F.col("path"))).withColumn("file_name", F.when(mine, F.lit(f"{new}.md")).otherwise(F.col("file_name")))
-        pages = maintenance.rename(maintenance.rename_links(pages, old, new), names, "slug", "superseded_by", "works_at", "contradicts")
-        self._save("pages", pages)
-        self._save("proposals", maintenance.rename(self.table("proposals"), names, "src", "dst"))
-        self._save("redirects", maintenance.rename(self.table("redirects"), names, "to_slug"))
-        self.project()
+        pages, mine = self.table("pages"), F.col("slug") == old
+        there = {r["slug"] for r in pages.where(F.col("slug").isin(old, new)).select("slug").collect()}
+        if new in there or old not in there:
+            raise ValueError(f"there is a page {new} already" if new in there else f"there is no page {old}")
+        moved = pages.withColumns({
+            "path": F.when(mine, F.concat(F.regexp_replace("path", r"[^/]+$", ""), F.lit(f"{new}.md"))).otherwise(F.col("path")),
+            "file_name": F.when(mine, F.lit(f"{new}.md")).otherwise(F.col("file_name")),
+            "slug": F.when(mine, F.lit(new)).otherwise(F.col("slug")),
+        })
+        return self._revised("rename", batch_id, approve, maintenance.redirected(moved, names), **self._repointed(names))
 
     @command
     def refactor(self, longest: int, batch_id: str = "refactor", approve: bool = False) -> DataFrame:
@@ -379,11 +417,15 @@ class Vault:
         return self.table("pages").mapInArrow(frontmatter.render_pages, "path string, content string")
 
     @command
-    def archive(self, as_of: str, days: int = 90) -> DataFrame:
-        """Move stale pages to the archive, leaving redirects; returns these."""
-        pages = self.table("pages").where(~F.col("path").startswith("wiki/archive/"))
+    def archive(self, as_of: str, days: int = 90, approve: bool = True, batch_id: str | None = None) -> DataFrame:
+        """Move stale pages to the archive, leaving redirects; returns these, or without approval the changes.
+
+        What is in the archive is no longer searched, checked or part of the graph; it is still exported.
+        """
+        pages = self.live()
         moved, redirects = maintenance.archive(pages, lint.stale(pages, as_of, days))
         redirects = stash(redirects, "redirects")
-        self._save("pages", moved.unionByName(self.table("pages").where(F.col("path").startswith("wiki/archive/"))))
-        self._append("redirects", redirects)
-        return redirects
+        away = self.table("pages").where(F.col("path").startswith(schemas.ARCHIVE))
+        old = self.table("redirects").join(redirects.select("from_slug"), "from_slug", "left_anti")
+        changes = self._revised("archive", batch_id, approve, moved.unionByName(away), redirects=old.unionByName(redirects))
+        return redirects if approve else changes

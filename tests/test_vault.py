@@ -384,7 +384,7 @@ def test_links_are_those_of_brute_force(spark):
     table = spark.createDataFrame([(s, "topic") for s in slugs] + [(s, "tofile") for s in stubs], "slug string, type string")
     for distance in (1, 2):
         want = sorted((a, b, edits(a, b)) for a, b in itertools.product(stubs, slugs) if a != b and edits(a, b) <= distance)
-        assert rows(Vault.link(types.SimpleNamespace(table=lambda _: table), distance), "stub", "slug", "distance") == want
+        assert rows(Vault.link(types.SimpleNamespace(live=lambda: table), distance), "stub", "slug", "distance") == want
 
 
 def test_narrative_has_every_entry(spark):
