@@ -99,15 +99,16 @@ def stubs(slugs: DataFrame, pages: DataFrame) -> DataFrame:
 def fan_out(items: DataFrame, mentions: DataFrame, pages: DataFrame, batch_id: str, by_source: bool = True) -> DataFrame:
     """Changes (batch_id, source_path, path, op, before, after) of pages that items mention.
 
-    items: path, channel, file_name, captured_at. mentions: path, slug, bullet. A page that exists gets
-    the bullet under "Mentions" and the item's final path as a source; others become tofile stubs. By source, each
+    items: path, channel, file_name, captured_at. mentions: path, slug, bullet, and verified if a mention says something of the page, which
+    is then verified on that day if it wasn't later. A page that exists gets the bullet under "Mentions" and the item's final path as a source; others become tofile stubs. By source, each
     row is what one source would do to the page by itself, which is what gets reviewed: a page that two sources tell of is
     in both their diffs. Otherwise a row is a page with all that is told of it, and source_path is null: what is committed.
     """
     final = dated_path("channel", "captured_at", "file_name")
     told = mentions.join(items.select("path", final.alias("final")), "path")
     told = told.withColumn("source_path", F.col("final") if by_source else F.lit(None).cast("string"))
-    told = told.groupBy("slug", "source_path").agg(F.array_sort(F.collect_set(F.struct("final", "bullet"))).alias("told"))
+    told = told if "verified" in told.columns else told.withColumn("verified", F.lit(None).cast("date"))
+    told = told.groupBy("slug", "source_path").agg(F.max("verified").alias("verified"), F.array_sort(F.collect_set(F.struct("final", "bullet"))).alias("told"))
     there = pages.withColumn("_is", F.lit(True)).drop("file_name")
     rows = told.join(there, "slug", "left")
     path = F.coalesce("path", F.concat(F.lit("wiki/tofile/"), "slug", F.lit(".md")))
@@ -115,7 +116,8 @@ def fan_out(items: DataFrame, mentions: DataFrame, pages: DataFrame, batch_id: s
     sources = F.array_union(F.coalesce("sources", F.array().cast("array<string>")), F.transform("told", lambda t: t["final"]))
     kept = [c for c in pages.columns if c not in ("slug", "type", "path", "sources", "body", "file_name")]
     new = {"type": F.coalesce("type", F.lit("tofile")), "path": path, "sources": sources, "body": body} | {c: F.col(c) for c in kept}
-    old = F.when(F.col("_is"), F.struct(*(F.col(c) for c in new)))
+    new |= {"last_verified": F.greatest("last_verified", "verified")} if "last_verified" in kept else {}
+    old = F.when(F.col("_is"), F.struct(*(F.col(c) for c in new)))  # the page's own columns
     both = rows.select("source_path", "_is", path.alias("path"), F.struct(*(v.alias(k) for k, v in new.items())).alias("new"), old.alias("old"))
     rendered = both.mapInArrow(frontmatter.render_both, "source_path string, _is boolean, path string, before string, after string")
     op = F.when(F.col("_is"), "update").otherwise("create")

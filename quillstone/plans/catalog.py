@@ -7,13 +7,14 @@ region, customer and supplier for the graph. Each query runs the library's opera
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
-from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.operators import claims, graph, ingest, lint, maintenance, retrieval, status
 from quillstone.operators.search import SearchIndex
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans import views
@@ -259,6 +260,35 @@ def canvas_export(t):
     return graph.canvas(nodes, _edges(t).where("edge = 'part_of'"))
 
 
+# --- claims -------------------------------------------------------------------------------------
+
+_SAID = """said AS (SELECT 'customer-' || o_custkey AS subject, trim(split_part(o_orderpriority, '-', 2)) AS value, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS valid_from, CAST(o_orderdate AS TIMESTAMP) AS heard FROM orders),
+one AS (SELECT subject, value, valid_from, min(heard) AS heard, coalesce(valid_from, CAST(min(heard) AS DATE)) AS since, count(*) AS n FROM (SELECT DISTINCT * FROM said) GROUP BY subject, value, valid_from),
+named AS (SELECT *, subject || '/order_class/' || left(sha256(value || chr(10) || coalesce(CAST(valid_from AS VARCHAR), '')), 12) AS slug FROM one)"""
+
+
+def _said(t) -> DataFrame:
+    """Orders as notes on their customers: what class the order has, and since when if it is finished."""
+    kind = F.trim(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))
+    since = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" since "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise("")
+    content = F.concat(F.lit("Some news.\nCustomer-"), F.col("o_custkey").cast("string"), F.lit("'s order class is "), kind, since, F.lit(".\n"))
+    items = t.orders.select(F.lit("note").alias("path"), content.alias("content"), F.col("o_orderdate").cast("timestamp").alias("captured_at"))
+    return claims.extract(items)
+
+
+@query(f"""WITH {_SAID} SELECT slug, value, n, CASE WHEN pv <> value AND NOT coalesce(valid_from > ps, false) THEN ps_slug END AS contradicts, CASE WHEN nv <> value AND coalesce(nf > since, false) THEN n_slug END AS superseded_by
+FROM (SELECT *, lag(value) OVER w AS pv, lag(since) OVER w AS ps, lag(slug) OVER w AS ps_slug, lead(value) OVER w AS nv, lead(valid_from) OVER w AS nf, lead(slug) OVER w AS n_slug FROM named WINDOW w AS (PARTITION BY subject ORDER BY heard, valid_from NULLS FIRST, value))""")
+def claim_history(t):
+    return claims.settle(_said(t)).select("slug", "value", "n", F.element_at("contradicts", 1).alias("contradicts"), "superseded_by")
+
+
+@query(f"""WITH {_SAID} SELECT c_custkey, (SELECT max({{'f': coalesce(valid_from, CAST(heard AS DATE)), 'h': heard, 'value': value}}).value FROM said WHERE subject = 'customer-' || c_custkey AND coalesce(valid_from, CAST(heard AS DATE)) <= DATE '1997-06-30' AND heard <= TIMESTAMP '1998-01-01') AS value FROM customer""")
+def claims_as_of(t):
+    """Every customer's class in the middle of 1997 by what was known at its end."""
+    asked = t.customer.select("c_custkey", F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("subject"), F.lit("order_class").alias("attribute"), F.lit(datetime.date(1997, 6, 30)).alias("day"), F.lit("1998-01-01").cast("timestamp").alias("known"))
+    return claims.as_of(asked, _said(t)).select("c_custkey", "value")
+
+
 # --- retrieval ----------------------------------------------------------------------------------
 
 _TERMS = ("the", "ther", "leaux")

@@ -34,6 +34,7 @@ PAGES = (
 )
 EDGES = "src string, edge string, dst string"
 PROPOSALS = "src string, edge string, dst string, conf double, state string, batch_id string"
+CLAIMS = "subject string, attribute string, value string, valid_from date, source string, recorded_at timestamp, batch_id string"
 CHANGES = "batch_id string, path string, op string, before string, after string"
 LOG = "ts timestamp, skill string, channel string, op string, path string, batch_id string"
 

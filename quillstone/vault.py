@@ -11,13 +11,13 @@ from __future__ import annotations
 import datetime
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import schemas
 from quillstone.functions import frontmatter
-from quillstone.functions.text import content_key, wikilinks
-from quillstone.operators import graph, ingest, lint, maintenance, retrieval, status
+from quillstone.functions.text import content_key, dated_path, slugify, wikilinks
+from quillstone.operators import claims, graph, ingest, lint, maintenance, retrieval, status
 from quillstone.operators.search import SearchIndex
 from quillstone.shared import stash
 from quillstone.sources import vault as scans
@@ -29,6 +29,7 @@ TABLES = {
     "pages": schemas.PAGES,
     "proposals": schemas.PROPOSALS,
     "changes": schemas.CHANGES,
+    "claims": schemas.CLAIMS,
     "log": schemas.LOG,
     "log_archive": schemas.LOG,
     "redirects": "from_slug string, to_slug string",
@@ -39,6 +40,12 @@ TABLES = {
 MANY_PARTS = 64
 
 
+def claims_bullet() -> Column:
+    """A claim as a line of its subject's page."""
+    since = F.when(F.col("valid_from").isNotNull(), F.concat(F.lit(" since "), F.col("valid_from").cast("string"))).otherwise("")
+    return F.concat("attribute", F.lit(": "), "value", since, F.lit(" ("), F.element_at(F.split("source", "/"), -1), F.lit(")"))
+
+
 def command(f):
     """A method whose changes are committed together when it returns; one that it calls is part of it."""
 
@@ -158,7 +165,19 @@ class Vault:
         """(path, slug, bullet): pages that items name or link to."""
         told = retrieval.mentions(items.select("path", "content"), retrieval.aliases_of(self.live())).withColumnRenamed("id", "slug")
         told = told.unionByName(items.select("path", F.explode(wikilinks("content")).alias("slug"))).distinct()
-        return told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"))
+        said = self._claimed(items).select(F.col("source").alias("path"), F.col("subject").alias("slug"), claims_bullet().alias("bullet"), F.col("recorded_at").cast("date").alias("verified"))
+        told = told.join(items.select("path", "file_name"), "path").select("path", "slug", F.concat(F.lit("mentioned in "), "file_name").alias("bullet"), F.lit(None).cast("date").alias("verified"))
+        return told.unionByName(said.join(told.select("path", "slug").distinct(), ["path", "slug"], "left_semi").distinct())
+
+    def _claimed(self, items: DataFrame) -> DataFrame:
+        """The claims of items, their subjects by the slugs of the pages that have such a name."""
+        known = retrieval.aliases_of(self.live()).select(F.col("id"), slugify("alias").alias("subject")).groupBy("subject").agg(F.min("id").alias("id"))
+        found = claims.extract(items)
+        return found.join(graph.small(known), "subject", "left").withColumn("subject", F.coalesce("id", "subject")).select(found.columns)
+
+    def claims(self) -> DataFrame:
+        """All claims that were ingested, with what contradicts and supersedes them."""
+        return claims.settle(self.table("claims"))
 
     def _rebuilt(self, items: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
         """(changes by source, as reviewed; changes by page, as committed), both of one set of mentions."""
@@ -180,6 +199,8 @@ class Vault:
                 raise ValueError(f"there is a batch {batch_id} already")
             proposals = self.table("proposals")
             self._append("proposals", ingest.queue(ingest.propose_edges(good, "file_name", "content"), proposals).withColumn("batch_id", F.lit(batch_id)))
+            said = self._claimed(good).join(good.select(F.col("path").alias("source"), dated_path("channel", "captured_at", "file_name").alias("_to")), "source")
+            self._append("claims", said.withColumn("source", F.col("_to")).withColumn("batch_id", F.lit(batch_id)))
             self._commit_pages(by_page, batch_id)
             self._log("ingest", batch_id, good.select("channel", F.lit("file").alias("op"), "path"))
             self._append("filed", ingest.file_away(good, batch_id).unionByName(bad))
@@ -221,6 +242,7 @@ class Vault:
         others = ingest.propose_edges(filed.where(~mine & (F.col("state") == "filed")), "file_name", "content").select(*keys)
         stay = queued.where(mine).join(others, keys, "left_semi").withColumn("batch_id", none)
         self._save("proposals", queued.where(~mine).unionByName(stay))
+        self._save("claims", self.table("claims").where(~mine))
         self._save("pages", pages.join(own.select("path"), "path", "left_anti").unionByName(back))
         self._save("changes", self.table("changes").where(F.col("batch_id") != batch_id))
         self.project()
@@ -323,7 +345,9 @@ class Vault:
         return maintenance.maps(self.live())
 
     def lint(self, as_of: str, days: int = 90) -> DataFrame:
-        return lint.lint(self.live(), as_of, days)
+        """The pages' findings, and claims that contradict each other."""
+        open_ = lint.contradictions(self.claims()).select(F.lit("unresolved_contradiction").alias("rule"), F.col("a").alias("slug"), F.col("b").alias("detail"))
+        return lint.lint(self.live(), as_of, days).unionByName(open_)
 
     def status(self, as_of: str) -> dict[str, DataFrame]:
         return {
