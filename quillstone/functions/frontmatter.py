@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import difflib
 import json
 import re
 import sys
@@ -11,6 +10,8 @@ import sys
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from quillstone.functions import linediff
+
 _FENCE = re.compile(r"\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^---[ \t]*(?:\r?\n|\Z)", re.S | re.M)
 
 
@@ -79,18 +80,21 @@ def slug_of(path: str, name: str) -> str:
     return ("archive/" if re.search(r"(?:^|/)wiki/archive/", path) else "") + re.sub(r"\.md$", "", name)
 
 
+def page_of(path: str, name: str, content: str | None) -> dict:
+    """The contract's columns, the other keys as text, and the body."""
+    block, body = split(content or "")
+    keys = load(block)
+    one = lambda k: (texts(keys.get(k)) or [None])[0]
+    row = {"slug": slug_of(path, name), "path": path, "file_name": name, "body": body}
+    row |= {k: texts(keys.get(k)) for k in LISTS} | {k: one(k) for k in SCALARS} | {k: day(keys.get(k)) for k in DAYS}
+    row["rest"] = [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True, default=str)) for k, v in sorted(keys.items()) if k not in (*LISTS, *SCALARS, *DAYS) and v is not None]
+    return row
+
+
 def parse_pages(parts):
-    """Batches of (path, file_name, content) -> the contract's columns, the other keys as text, and the body."""
+    """Batches of (path, file_name, content) -> rows of `page_of`."""
     for part in parts:
-        rows = []
-        for path, name, content in zip(*(part.column(c).to_pylist() for c in ("path", "file_name", "content")), strict=True):
-            block, body = split(content or "")
-            keys = load(block)
-            one = lambda k: (texts(keys.get(k)) or [None])[0]  # noqa: B023, E731
-            row = {"slug": slug_of(path, name), "path": path, "file_name": name, "body": body}
-            row |= {k: texts(keys.get(k)) for k in LISTS} | {k: one(k) for k in SCALARS} | {k: day(keys.get(k)) for k in DAYS}
-            row["rest"] = [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True, default=str)) for k, v in sorted(keys.items()) if k not in (*LISTS, *SCALARS, *DAYS) and v is not None]
-            rows.append(row)
+        rows = [page_of(*r) for r in zip(*(part.column(c).to_pylist() for c in ("path", "file_name", "content")), strict=True)]
         yield pa.RecordBatch.from_pylist(rows, schema=ARROW_PAGES)
 
 
@@ -143,11 +147,60 @@ def render_both(parts):
         yield pa.RecordBatch.from_arrays([part.column("source_path"), part.column("_is"), part.column("path"), *(pa.array([text(r[k]) for r in rows], pa.string()) for k in ("old", "new"))], ["source_path", "_is", "path", "before", "after"])
 
 
+def _taken_back(key: str, was, now, back) -> tuple[object, list[str]]:
+    """A key's value with what changed from `back` to `was` undone, and what can't be."""
+    if now == was or back == was:
+        return (back if now == was else now), []
+    if all(isinstance(x, (list, type(None))) for x in (was, now, back)):
+        was, now, back = was or [], now or [], back or []
+        return [x for x in now if x in back or x not in was] + [x for x in back if x not in was and x not in now] or None, []
+    return now, [f"{key}: {now}"]
+
+
+def taken_back(path: str, was: str, now: str, back: str) -> tuple[str, list[str]]:
+    """A page as it is `now` with the change from `back` to `was` undone: keys one by one, the body by lines; and the conflicts, in which the page stays as it is."""
+    pages = [page_of(path, path.rsplit("/", 1)[-1], x) for x in (was, now, back)]
+    if any(RAW in dict(p["rest"]) for p in pages):
+        lines, conflicts = linediff.merge3(was.split("\n"), now.split("\n"), back.split("\n"))
+        return "\n".join(lines), conflicts
+    out, conflicts = dict(pages[1]), []
+    for key in (*LISTS, *SCALARS, *DAYS):
+        out[key], more = _taken_back(key, *(p[key] for p in pages))
+        conflicts += more
+    rest = [dict(p["rest"]) for p in pages]
+    out["rest"] = {}
+    for key in sorted(set().union(*rest)):
+        value, more = _taken_back(key, *(r.get(key) for r in rest))
+        conflicts += more
+        if value is not None:
+            out["rest"][key] = value
+    lines, more = linediff.merge3(*(p["body"].split("\n") for p in pages))
+    return render(out | {"body": "\n".join(lines)}), conflicts + more
+
+
+def undone(parts):
+    """Batches of (path, op, before, after, now, others) -> (path, op, now, after, conflict): each page without a batch's change, or why not."""
+    for part in parts:
+        rows = []
+        for r in part.to_pylist():
+            after, conflict = r["before"], None
+            if r["now"] != r["after"]:
+                others = ", ".join(r["others"] or []) or "somebody"
+                if r["op"] == "update" and r["now"] is not None:
+                    after, lost = taken_back(r["path"], r["after"], r["now"], r["before"])
+                    conflict = "\n".join(lost) if lost else None
+                else:
+                    after, conflict = r["now"], f"{r['op']}d by the batch, then changed by {others}"
+            op = "delete" if after is None else "create" if r["now"] is None else "update"
+            rows.append((r["path"], op, r["now"], after, conflict))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] or [pa.array([], pa.string())] * 5, ["path", "op", "now", "after", "conflict"])
+
+
 def diffs(parts):
     """Batches of (source_path, path, op, before, after) with a unified diff of each change."""
+    lines = lambda x: [] if x is None else x.split("\n")
     for part in parts:
-        rows = part.to_pylist()
-        text = ["\n".join(difflib.unified_diff((r["before"] or "").split("\n") if r["before"] is not None else [], (r["after"] or "").split("\n") if r["after"] is not None else [], r["path"], r["path"], lineterm="")) for r in rows]
+        text = ["\n".join(linediff.unified(lines(b), lines(a), p)) for p, b, a in zip(*(part.column(c).to_pylist() for c in ("path", "before", "after")), strict=True)]
         yield part.append_column("diff", pa.array(text, pa.string()))
 
 

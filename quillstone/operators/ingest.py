@@ -165,6 +165,30 @@ def undo(files: DataFrame, changes: DataFrame, batch_id: str) -> DataFrame:
     return rows.where("_op is null or _op <> 'create'").select("path", F.when(F.col("_op").isNull(), F.col("content")).otherwise(F.col("_before")).alias("content"))
 
 
+def undo_plan(files: DataFrame, changes: DataFrame, batch_id: str) -> DataFrame:
+    """(path, op, now, after, conflict): what undoing a batch makes of its pages (path, content), with what later batches did kept.
+
+    A page that nobody touched since is as before. Of one that others changed, what the batch did is taken back by a three-way merge; where that
+    isn't possible, as others changed the same lines or the batch made the page that they built on, conflict says so.
+    """
+    mine = F.col("batch_id") == batch_id
+    own = changes.where(mine).select("path", "op", "before", "after")
+    others = changes.where(~mine).join(own.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("batch_id")).alias("others"))
+    rows = own.join(files.select("path", F.col("content").alias("now")), "path", "left").join(others, "path", "left")
+    return rows.select("path", "op", "before", "after", "now", "others").mapInArrow(frontmatter.undone, "path string, op string, now string, after string, conflict string")
+
+
+def dependents(changes: DataFrame, batch_id: str) -> DataFrame:
+    """(batch_id) of the batches that have to be undone before one: those that changed a page which it made, those that changed what they made, and so on."""
+    made = changes.where("op = 'create'").select(F.col("batch_id").alias("src"), "path")
+    edges = made.join(changes.where("op <> 'create'").select(F.col("batch_id").alias("dst"), "path"), "path").where("src <> dst").select("src", "dst").distinct()
+    seen = front = [batch_id]
+    while front:  # a round a step; batches are few beside their changes
+        front = [r["dst"] for r in edges.where(F.col("src").isin(front) & ~F.col("dst").isin(seen)).select("dst").distinct().collect()]
+        seen = seen + front
+    return changes.sparkSession.createDataFrame([(b,) for b in sorted(set(seen[1:]))], "batch_id string")
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """`table` with the rows whose key it lacks; applying it twice is applying it once."""
     return table.unionByName(rows.join(table.select(key), key, "left_anti"))

@@ -140,6 +140,21 @@ def collect_report(t):
     return ingest.collect_report(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0"), by="source")
 
 
+@query("""SELECT doc_id, sha256('head' || chr(10) || text || chr(10) || 'later') AS kept, doc_id % 5 = 0 AS conflict FROM documents WHERE text IS NOT NULL""")
+def undo_keeps_later(t):
+    """A batch put a line into each document, a later one put one at its end, and the first is undone; in each fifth the later one changed that very line."""
+    first = lambda line: F.concat(F.lit(f"head\n{line}\n"), F.col("text"))
+    pages = t.documents.where("text is not null").select(F.concat(F.lit("wiki/topics/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "doc_id", "text")
+    odd = F.col("doc_id") % 5 == 0
+    now = F.concat(F.when(odd, first("mine")).otherwise(first("added")), F.lit("\nlater"))
+    head = F.concat(F.lit("head\n"), F.col("text"))
+    rows = pages.select("path", head.alias("before"), first("added").alias("after"), now.alias("now"), "doc_id", F.col("text").alias("t"))
+    changes = rows.select(F.lit("b1").alias("batch_id"), "path", F.lit("update").alias("op"), "before", "after")
+    plan = ingest.undo_plan(rows.select("path", F.col("now").alias("content")), changes, "b1")
+    body = F.regexp_replace(F.regexp_replace("after", r"\A---\n\n---\n", ""), r"\Ahead\nmine\n", "head\n")
+    return plan.select(F.regexp_extract("path", r"(-?\d+)\.md", 1).cast("long").alias("doc_id"), F.sha2(body, 256).alias("kept"), F.col("conflict").isNotNull().alias("conflict"))
+
+
 @query("SELECT doc_id FROM documents d WHERE doc_id % 4 <> 0 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0)")
 def ingest_guard(t):
     d = t.documents.select("doc_id", F.md5("text").alias("item_key"))

@@ -222,16 +222,24 @@ class Vault:
     def _files(pages: DataFrame) -> DataFrame:
         return pages.mapInArrow(frontmatter.render_pages, "path string, content string")
 
+    def undo_plan(self, batch_id: str) -> DataFrame:
+        """(path, op, now, after, conflict): what undoing a batch makes of its pages, and what stands against it."""
+        changes = self.table("changes")
+        own = self.table("pages").join(changes.where(F.col("batch_id") == batch_id).select("path"), "path", "left_semi")
+        return ingest.undo_plan(self._files(own), changes, batch_id)
+
     @command
     def undo_ingest(self, batch_id: str) -> None:
-        """Reverse a batch: pages as before, its items back in the inbox, its queued proposals gone unless other items make them. Refused if a page was changed since."""
-        own = self.table("changes").where(F.col("batch_id") == batch_id)
+        """Reverse a batch: what it did to pages is taken back, its items return to the inbox, its queued proposals go unless other items make them, its claims too.
+
+        What later batches did to the same pages stays. Refused if `undo_plan` has conflicts; `ingest.dependents` names the batches that have to go first.
+        """
+        plan = stash(self.undo_plan(batch_id), "undo")
+        conflicts = plan.where("conflict is not null").count()
+        if conflicts:
+            raise ValueError(f"{conflicts} pages of {batch_id} were changed since in ways that can't be kept; see undo_plan")
         pages = self.table("pages")
-        now = self._files(pages.join(own.select("path"), "path", "left_semi"))
-        later = ingest.apply(now, own.withColumn("op", F.lit("update"))).join(now.withColumnRenamed("content", "now"), "path", "left").where("not (content <=> now)").count()
-        if later:
-            raise ValueError(f"{later} pages of {batch_id} were changed since")
-        back = self._pages_of(own.where("op <> 'create'").select("path", F.col("before").alias("content")))
+        back = self._pages_of(plan.where("op <> 'delete'").select("path", F.col("after").alias("content")))
         mine = F.coalesce(F.col("batch_id") == batch_id, F.lit(False))
         filed, none = self.table("filed"), F.lit(None).cast("string")
         again = filed.where(mine).withColumns({"path": F.col("was"), "state": F.lit("inbox"), "batch_id": none, "was": none})
@@ -243,7 +251,7 @@ class Vault:
         stay = queued.where(mine).join(others, keys, "left_semi").withColumn("batch_id", none)
         self._save("proposals", queued.where(~mine).unionByName(stay))
         self._save("claims", self.table("claims").where(~mine))
-        self._save("pages", pages.join(own.select("path"), "path", "left_anti").unionByName(back))
+        self._save("pages", pages.join(plan.select("path"), "path", "left_anti").unionByName(back))
         self._save("changes", self.table("changes").where(F.col("batch_id") != batch_id))
         self.project()
 
