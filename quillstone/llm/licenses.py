@@ -21,7 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -139,11 +139,13 @@ class Scanner:
                         if len(pairs) >= self.threshold * len(t):
                             found.append((len(pairs), name, len(pairs) / len(t), lo + pairs[0][0], lo + pairs[-1][0] + 1))
                             break
-        out = []
+        starts, out = [], []  # by place, so that only neighbours are looked at
         for _, name, share, a, b in sorted(found, key=lambda f: (-f[0], -f[2], f[1], f[3])):
-            if all(b <= c or d <= a for _, _, c, d in out):
-                out.append((name, share, a, b))
-        return sorted(out, key=lambda f: f[2])
+            i = bisect_right(starts, a)
+            if (i == 0 or out[i - 1][3] <= a) and (i == len(out) or b <= starts[i]):
+                starts.insert(i, a)
+                out.insert(i, (name, share, a, b))
+        return out
 
 
 def _run(scanner: Scanner):

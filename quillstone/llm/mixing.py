@@ -29,6 +29,7 @@ from quillstone.llm import common
 from quillstone.llm.common import mix as scramble
 from quillstone.llm.common import batches, stash
 from quillstone.operators.graph import small
+from quillstone.shared import numbered
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 GROUP = 8192
@@ -40,20 +41,10 @@ def words_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """`rows` with their place (from 0) by the code points of `by`, nulls last, as column `number`; sorted in ranges, of which only the sizes meet."""
-    spread = rows.repartitionByRange(F.asc_nulls_last(by)).withColumn("_range", F.spark_partition_id())
-    spread = stash(spread, "numbered")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    ranges = spread.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(by)))
-    return spread.withColumn("_place", within).join(F.broadcast(ranges), "_range").withColumn("number", F.col("_place") + F.col("_ahead") - 1).drop("_range", "_place", "_ahead")
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, number, target) from (source, source_size): by weight, at most `most` times a size, the excess shared again until none is above."""
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
-    rows = stash(numbered(sources, "source").withColumns({"w": weight, "cap": F.col("source_size") * F.lit(float(most))}), "sources")
+    rows = stash(numbered(sources, F.asc_nulls_last("source")).withColumns({"w": weight, "cap": F.col("source_size") * F.lit(float(most))}), "sources")
     wanted = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
     per, full = -1.0, F.lit(False)
     exact = lambda c, when: F.sum(F.when(when, F.col(c).cast("decimal(38,9)")))  # noqa: E731 - so that sums don't depend on their order

@@ -8,7 +8,7 @@ scoring, so a byte's code length depends on its last six bytes alone. Text is co
 A-Z lower-cased; 0xFE stands for the start of the text and 0xFF for its end, neither occurs in UTF-8.
 
 Scale. The trie is a table of (context and byte, count), never held in one place. Documents are dealt,
-as they are scanned, into groups of a bounded number of bytes and written down so, as which group a row is
+as they are scanned, into groups of a bounded number of bytes and of distinct strings, and written down so, as which group a row is
 in must not change when a lost executor's work is done again. Each group sends its distinct 6-byte
 strings and words with their training counts, the counts are summed by key, code lengths are worked out in subtrees of one
 three-byte context (at most 256 ** 3 rows, by the size of the alphabet), and each group gets back
@@ -38,6 +38,8 @@ from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, relea
 ORDER = 5
 ROOT = 3
 GROUP_BYTES = 32 << 20
+#: Distinct strings of a group, estimated; scoring takes about 100 bytes for each.
+MOST_STRINGS = 4_000_000
 #: Partitions that groups are dealt over at most; each takes its groups one after the other.
 MOST_PARTITIONS = 20_000
 _ROWS = 200_000  # of an Arrow batch of keys
@@ -122,26 +124,49 @@ def _unpacked(column):
         yield from pa.ipc.open_stream(value.as_buffer())
 
 
-def _deal(limit: int):
-    """(group, its rows packed): a partition's rows in order, about `limit` bytes of text a group."""
+def _sampled(buf: np.ndarray) -> np.ndarray:
+    """A 64th of the distinct strings of ORDER + 1 bytes, by their hash: counted, they tell how many there are."""
+    if len(buf) <= ORDER:
+        return np.zeros(0, np.uint64)
+    low, key = _LOWER[buf], np.zeros(len(buf) - ORDER, np.uint64)
+    for i in range(ORDER + 1):
+        key <<= np.uint64(8)
+        key |= low[i : len(buf) - ORDER + i]
+    return np.unique(key[(key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58) == 0])
+
+
+def _deal(limit: int, strings: int = MOST_STRINGS):
+    """(group, its rows packed): a partition's rows in order, about `limit` bytes of text a group and about `strings` distinct strings at most.
+
+    The latter are what a group's memory goes by: prose has few, random text as many as bytes. One document is never cut.
+    """
 
     def run(parts):
         from pyspark import TaskContext
 
-        base, used = TaskContext.get().partitionId() << 32, 0
+        group, used, seen = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64)
         for part in parts:
-            _, off = buffer_of(part.column("text"))
-            if len(off) < 2:
-                continue
-            group = base + (used + off[:-1] + 64 * np.arange(len(off) - 1)) // limit
-            used += int(off[-1]) + 64 * (len(off) - 1)
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            rows = [_packed(part.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), pa.array(rows, pa.binary())], ["g", "rows"])
+            buf, off = buffer_of(part.column("text"))
+            start = 0
+            for i, j in slices(off):
+                own = [_sampled(buf[p : p + SLICE_BYTES + ORDER]) for p in range(int(off[i]), int(off[j]), SLICE_BYTES)]
+                new, size = np.unique(np.concatenate([seen, *own])), int(off[j] - off[i]) + 64 * (j - i)
+                if used and (used + size > limit or len(new) * 64 > strings):
+                    if i > start:
+                        yield _dealt(group, part.slice(start, i - start))
+                    group, used, start = group + 1, 0, i
+                    new = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+                used, seen = used + size, new
+            if part.num_rows > start:
+                yield _dealt(group, part.slice(start))
 
     return run
 
 
+def _dealt(group: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["g", "rows"])
+
+
 def _table(g: int, got: dict):
     """A group's keys and counts as Arrow batches."""
     for kind, parts in got.items():
