@@ -133,7 +133,7 @@ _STEP = re.compile(r"(<)?-\s*\[\s*([\w|]*)\s*\]\s*-(>)?")
 def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Paths through the graph that a pattern describes: a column n0, n1, ... per node and e1, e2, ... per edge.
 
-    A pattern is nodes joined by edges: (person)-[works_at]->(org)<-[works_at|advises]-(:carol-jones). A node may name a
+    A pattern is nodes joined by edges: (person)-[works_at]->(org)<-[works_at|advises]-(:mona-reed). A node may name a
     type, an id after a colon, or neither; an edge may name alternatives, or none for any, and leads right, left, or, as -[..]-,
     either way. A node that a path visits twice counts as often.
     """
