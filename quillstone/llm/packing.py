@@ -43,7 +43,7 @@ LENGTH = 4096
 RUN = 128  # tokens; a divisor of LENGTH
 CLOSING = 2
 MEMO = 2_000_000  # words whose ids a worker remembers, in arrays of some 20 bytes a word
-SLICE = 2 << 20  # bytes of text at a time; every slice passes over the remembered words
+SLICE = 1 << 20  # bytes of text at a time; every slice passes over the remembered words
 #: Rows of (partition, source) that are broadcast at most; above, tokens and places are joined by a shuffle.
 SMALL_PARTS = 200_000
 _MARK = b"\x01"  # stands alone between words that are tokenised together

@@ -31,6 +31,7 @@ from quillstone.llm.common import _LOWER, SLICE_BYTES, batches, buffer_of, fruga
 BUCKETS, DIM = 1 << 16, 16
 GRAM_SIZES = (3, 4, 5)
 WINDOW = 2
+STEP_BYTES = SLICE_BYTES // 2  # of documents that are scored at a time
 ROUNDS, DECAY, EPSILON = 60, 1e-4, 1e-5
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -165,7 +166,7 @@ def _scores(model: Model, parts):
     """(scores, batch) of batches with a column text."""
     for part in parts:
         buf, off = buffer_of(part.column("text").cast(pa.binary()).fill_null(b""))
-        got = [model.score(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
+        got = [model.score(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, STEP_BYTES)]
         yield np.concatenate(got) if got else np.zeros(0), part
 
 
