@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.paths import walks
 from quillstone.schemas import EDGE_KEYS
 from quillstone.shared import stash, unstash
 
@@ -127,7 +128,15 @@ def follow(steps: DataFrame) -> DataFrame:
 
 
 _NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*([^()\s]+))?\s*\)")
-_STEP = re.compile(r"(<)?-\s*\[\s*([\w|]*)\s*\]\s*-(>)?")
+_STEP = re.compile(r"(<)?-\s*\[\s*([\w|]*)\s*(\*\s*\d*\s*(?:\.\.\s*\d*)?)?\s*\]\s*-(>)?")
+
+
+def _repeated(names: str, stars: str, left: bool, right: bool) -> str:
+    """The expression of `paths` for a step with a star, such as [part_of|lives_in*1..4]."""
+    least, dots, most = re.sub(r"[\s*]", "", stars).partition("..")
+    counts = f"{{{least or 1},{most}}}" if dots or not least else f"{{{least}}}"
+    ways = ["", "^"] if left == right else ["^"] if left else [""]
+    return "(" + "|".join(w + n for n in (names.split("|") if names else ["."]) for w in ways) + ")" + counts
 
 
 def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +144,9 @@ def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A pattern is nodes joined by edges: (person)-[works_at]->(org)<-[works_at|advises]-(:mona-reed). A node may name a
     type, an id after a colon, or neither; an edge may name alternatives, or none for any, and leads right, left, or, as -[..]-,
-    either way. A node that a path visits twice counts as often.
+    either way. A node that a path visits twice counts as often. A star stands for several edges, (ann)-[knows|part_of*1..4]->():
+    *2 are two, *2.. two or more, *..3 up to three, * one or more. Such a step finds each two nodes once, and its e is the number of
+    edges of the shortest walk between them; it is followed from its right end if only that one names an id.
     """
     at, parts, text = 0, [], pattern.strip()
     while at < len(text):
@@ -154,7 +165,14 @@ def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     out = node(0)
     for k in range(1, len(parts) // 2 + 1):
-        left, names, right = parts[2 * k - 1].groups()
+        left, names, stars, right = parts[2 * k - 1].groups()
+        if stars:
+            back = bool(parts[2 * k][2]) and not parts[2 * k - 2][2]
+            a, b = (k, k - 1) if back else (k - 1, k)
+            seeds = (node(k) if back else out).select(F.col(f"n{a}").alias("id"))
+            found = walks(_repeated(names, stars, bool(right if back else left), bool(left if back else right)), edges, seeds)
+            out = out.join(found.select(F.col("start").alias(f"n{a}"), F.col("hops").alias(f"e{k}"), F.col("node").alias(f"n{b}")), f"n{k - 1}").join(node(k), f"n{k}")
+            continue
         own = edges.where(F.col("edge").isin(*names.split("|"))) if names else edges
         ways = {"src": "dst"} if right and not left else {"dst": "src"} if left and not right else {"src": "dst", "dst": "src"}
         step = reduce(DataFrame.unionAll, [own.select(F.col(a).alias(f"n{k - 1}"), F.col("edge").alias(f"e{k}"), F.col(b).alias(f"n{k}")) for a, b in ways.items()]).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
-from quillstone.operators import claims, graph, ingest, lint, maintenance, retrieval, status
+from quillstone.operators import claims, graph, ingest, lint, maintenance, paths, retrieval, status
 from quillstone.operators.search import SearchIndex
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans import views
@@ -482,6 +482,39 @@ def extract_links(t):
     return t.pages.select("page_id", F.explode(fn.wikilinks(body)).alias("dst"))
 
 
+def _reports(t) -> DataFrame:
+    """The graph's edges, and customers who report to one another as a tree, some of whom deputise for one below."""
+    c = t.customer.select("c_custkey")
+    name = lambda x: F.concat(F.lit("c"), x.cast("long").cast("string"))
+    up = c.where("c_custkey > 1").select(name(F.col("c_custkey")).alias("src"), F.lit("reports_to").alias("edge"), name(F.floor(F.col("c_custkey") / 3)).alias("dst"))
+    down = c.where("c_custkey % 11 = 0").select(name(F.col("c_custkey")).alias("src"), F.lit("deputises").alias("edge"), name(F.col("c_custkey") * 3).alias("dst"))
+    return _edges(t).unionAll(up).unionAll(down)
+
+
+_REPORTS = f"""{_EDGES}, all_edges AS (SELECT * FROM edges UNION ALL SELECT 'c' || c_custkey, 'reports_to', 'c' || (c_custkey // 3) FROM customer WHERE c_custkey > 1
+  UNION ALL SELECT 'c' || c_custkey, 'deputises', 'c' || (3 * c_custkey) FROM customer WHERE c_custkey % 11 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_REPORTS}, walk(start, node, state) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer
+UNION SELECT w.start, e.dst, CASE edge WHEN 'lives_in' THEN 2 WHEN 'part_of' THEN 3 ELSE 1 END FROM walk w JOIN all_edges e ON e.src = w.node
+  AND (edge IN ('reports_to', 'deputises') AND state < 2 OR edge = 'lives_in' AND state = 1 OR edge = 'part_of' AND state = 2))
+SELECT DISTINCT start, node FROM walk WHERE state IN (2, 3)""")
+def path_reach(t):
+    """Where those live to whom a customer reports, however far up, by walks that go through cycles."""
+    seeds = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return paths.walks("(reports_to|deputises)+/lives_in/part_of?", _reports(t), seeds).select("start", "node")
+
+
+@query(f"""WITH RECURSIVE {_REPORTS}, walk(n0, n1, e1) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer
+UNION SELECT n0, e.dst, e1 + 1 FROM walk w JOIN all_edges e ON e.src = w.n1 AND edge IN ('reports_to', 'deputises', 'lives_in') WHERE e1 < 4)
+SELECT n0, min(e1) AS e1, n1 FROM walk WHERE e1 > 0 GROUP BY n0, n1""")
+def path_lengths(t):
+    """A pattern's step of one to four edges, with the least number of them, between all nodes."""
+    edges = _reports(t)
+    nodes = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct().withColumn("type", F.substring("id", 1, 1))
+    return graph.match("(c)-[reports_to|deputises|lives_in*1..4]->()", nodes, edges)
+
+
 # --- maintenance --------------------------------------------------------------------------------
 
 
