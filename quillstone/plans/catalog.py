@@ -208,6 +208,19 @@ def undo_batch(t):
     return ingest.undo(ingest.apply(before, changes), changes, "b1")
 
 
+@query("""SELECT sha256(coalesce(text, '')) AS item_key, count(*) - 1 AS duplicates FROM (SELECT text FROM documents UNION ALL SELECT text FROM documents WHERE doc_id % 10 = 0) GROUP BY coalesce(text, '')""")
+def provider_pull(t):
+    """Documents that a provider drops in two goes, the second with some of the first again: each item once, and its duplicates."""
+    from quillstone.streaming.pull import pull, pulled
+
+    box, table, check = (fresh(t._spark, name) for name in ("exports", "pulled", "pull-checkpoint"))
+    rows = t.documents.select("doc_id", F.lit("docs").alias("channel"), "source", F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    for drop in ("doc_id % 2 = 0", "doc_id % 2 <> 0 or doc_id % 10 = 0"):
+        rows.where(drop).drop("doc_id").write.mode("append").json(box)
+        pull(t._spark, box, table, check, ".json")
+    return pulled(t._spark, table).select("item_key", "duplicates")
+
+
 # --- graph --------------------------------------------------------------------------------------
 
 
