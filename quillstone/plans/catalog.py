@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
-from quillstone.operators import claims, graph, ingest, lint, maintenance, paths, retrieval, status
+from quillstone.operators import claims, graph, ingest, lint, maintenance, paths, resolution, retrieval, status
 from quillstone.operators.search import SearchIndex
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans import views
@@ -537,6 +537,26 @@ def rename_slug(t):
     return maintenance.rename(t.customer.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), names, "nation")
 
 
+@query("""SELECT 2 * c_custkey AS id, 2 * c_custkey AS entity, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS n FROM customer
+UNION ALL SELECT 2 * c_custkey + 1, 2 * c_custkey, 2 FROM customer WHERE c_custkey % 5 = 0""")
+def entities(t):
+    """Customers as people, a fifth of them again with their names turned round, with an initial or misspelt, half of those without their mail."""
+    k = F.col("c_custkey").cast("string")
+    c = t.customer.select(
+        "c_custkey",
+        F.substring(F.md5(F.concat(F.lit("f"), (F.col("c_custkey") % 97).cast("string"))), 1, 5).alias("first"),
+        F.substring(F.md5(F.concat(F.lit("l"), k)), 1, 8).alias("last"),
+        F.col("c_nationkey").alias("nation"),
+        F.concat(F.md5(F.concat(F.lit("m"), k)), F.lit("@x")).alias("mail"),
+    )
+    own = c.select((2 * F.col("c_custkey")).alias("id"), F.concat_ws(" ", "first", "last").alias("name"), "nation", "mail")
+    turned, initial = F.concat(F.upper("last"), F.lit(", "), "first"), F.concat_ws(" q. ", "first", "last")
+    misspelt = F.concat(F.col("first"), F.lit(" "), F.substring("last", 1, 4), F.lit("z"), F.substring("last", 5, 4))
+    name = F.when(F.col("c_custkey") % 3 == 0, turned).when(F.col("c_custkey") % 3 == 1, initial).otherwise(misspelt)
+    again = c.where("c_custkey % 5 = 0").select((2 * F.col("c_custkey") + 1).alias("id"), name.alias("name"), "nation", F.when(F.col("c_custkey") % 2 == 0, F.col("mail")).alias("mail"))
+    return resolution.resolve(own.unionByName(again), "id", "name", ("nation", "mail"))
+
+
 @query("SELECT md5(text) AS identity, min(doc_id) AS keeper, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY md5(text) HAVING count(*) > 1")
 def merge_pages(t):
     rows = t.documents.select(F.md5("text").alias("identity"), "doc_id", F.array("source").alias("sources"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillstone import schemas
 from quillstone.functions import frontmatter
 from quillstone.functions.text import content_key, dated_path, slugify, wikilinks
-from quillstone.operators import claims, graph, ingest, lint, maintenance, retrieval, status
+from quillstone.operators import claims, graph, ingest, lint, maintenance, resolution, retrieval, status
 from quillstone.operators.search import SearchIndex
 from quillstone.shared import stash
 from quillstone.sources import vault as scans
@@ -397,13 +397,24 @@ class Vault:
         redirects = redirects.join(new.select("from_slug"), "from_slug", "left_anti").unionByName(new)
         return {"proposals": maintenance.rename(self.table("proposals"), names, "src", "dst"), "redirects": redirects}
 
+    def same(self, least: float = 0.9) -> DataFrame:
+        """(slug, identity_key, n): pages of one type that are probably one thing under several names, by their names, works_at and key, for review and `merge`."""
+        pages = self.live().where("type is not null")
+        rows = pages.select("slug", F.regexp_replace("slug", "-", " ").alias("name"), "type", F.array_join(F.array_sort("works_at"), " ").alias("works_at"), "identity_key")
+        found = resolution.resolve(rows, "slug", "name", ("type", "works_at", "identity_key"), least)
+        typed = found.withColumnRenamed("id", "slug").join(pages.select("slug", "type"), "slug")
+        several = typed.groupBy("entity", "type").agg(F.count("*").alias("n")).where("n > 1")
+        return typed.drop("n").join(several, ["entity", "type"]).select("slug", F.concat_ws("/", "type", "entity").alias("identity_key"), "n")
+
     @command
-    def merge(self, approve: bool = True, batch_id: str | None = None) -> DataFrame:
+    def merge(self, approve: bool = True, batch_id: str | None = None, identities: DataFrame | None = None) -> DataFrame:
         """Fold pages with one identity key into the smallest slug, lists and bodies; the others become redirects, and what named them names the keeper.
 
-        Returns (identity_key, keeper, n), or without approval the changes, of which nothing is then written.
+        The key is the pages' own, or that of `identities` (slug, identity_key), such as `same` gives. Returns (identity_key, keeper, n), or without approval the changes, of which nothing is then written.
         """
         pages, lists = self.live(), ("aliases", "sources", "works_at", "contradicts")
+        if identities is not None:
+            pages = pages.drop("identity_key").join(identities.select("slug", "identity_key"), "slug")
         filled = pages.select("identity_key", "slug", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists))
         folded = maintenance.merge(filled, "identity_key", "slug", *lists).where("n > 1")
         texts = F.array_sort(F.collect_list(F.struct("slug", F.trim(F.coalesce("body", F.lit(""))).alias("body"))))
