@@ -77,6 +77,23 @@ def test_pairs_that_a_block_made_alike_are_no_matches():
     assert [q >= 0.9 for q in p] == [True] * 4 + [False] * 6
 
 
+def test_misspelt_names_meet_where_many_share_all_else(spark):
+    word = lambda i: random.Random(i).randbytes(4).hex()
+    rows = [(i, f"anna {word(i)}", "t1", None, "x", 1) for i in range(3 * BLOCK)] + [(9000, f"anna {word(0)[:4]}z{word(0)[4:]}", "t1", None, "x", 1)]
+    met = {tuple(r) for r in blocks(records(spark.createDataFrame(rows, ROWS), "id", "name", FIELDS), 2).collect()}
+    assert (0, 9000) in met and len(met) < 100
+
+
+def test_chance_pairs_of_a_large_block_are_no_matches():
+    # 90,000 people and 18,000 again, met by first name and nation: pairs that share a first name, an initial and the nation are many by then.
+    seen = {(3, 1, 1): 3000, (2, 1, 1): 6000, (3, 1, -1): 3000, (2, 1, -1): 6000, (1, 1, -1): 1500, (1, 1, 0): 1500, (0, 1, 0): 1_200_000, (0, 1, -1): 200_000}
+    total = 108_000 * 107_999 / 2
+    levels = np.array([0, 90 / 2e6 * total, 12_000, 6_000])
+    levels[0] = total - levels.sum()
+    p = fit(np.array(list(seen)), np.array(list(seen.values()), float), np.array([0.04, 1e-5]), levels, total)
+    assert [q >= 0.9 for q in p] == [True] * 4 + [False] * 4
+
+
 def test_fit_gets_the_shares_that_pairs_were_drawn_by():
     rng = np.random.default_rng(1)
     n, share = 40_000, 0.2
