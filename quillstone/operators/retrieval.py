@@ -15,6 +15,8 @@ from quillstone.sources.vault import lines as lines_of
 
 K1, B, FUSION = 1.2, 0.75, 60
 DIMENSIONS = 256
+#: Places that a term's postings go to in a stored index.
+SPREAD = 64
 
 
 def recognise(question: str, aliases: DataFrame) -> DataFrame:
@@ -59,21 +61,48 @@ def bm25(docs: DataFrame, terms: list[str], id_: str = "doc_id", text: str = "te
     return rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).select("id", sum(part(i) for i in range(len(terms))).alias("score"))
 
 
+def counted(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, dl, terms, tfs) of rows with words w (none if null): each one's terms with their counts, from its own row."""
+
+    def run(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in parts:
+            for begin in range(0, whole.num_rows, 2048):
+                part = whole.slice(begin, 2048)
+                sizes = part.column("w").value_lengths().to_numpy()
+                coded = part.column("w").flatten().dictionary_encode()
+                n = max(len(coded.dictionary), 1)
+                key, tfs = np.unique(np.repeat(np.arange(len(sizes)) * n, sizes) + coded.indices.to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(len(sizes) + 1) * n).astype(np.int32))
+                terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % n)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes.astype(np.int64)), terms, pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))], [*keep, "dl", "terms", "tfs"])
+
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(*keep, F.coalesce("w", F.array().cast("array<string>")).alias("w")).mapInArrow(run, f"{kinds}dl long, terms array<string>, tfs array<int>")
+
+
 def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl) of every document, by term: a stored index, whose files hold ranges of terms.
+    """(term, id, tf, dl) of every document, by term: a stored index. Ids are unique.
 
-    A document without terms is one row of the null term, so that the corpus figures count it. Written by ranges of
-    (term, id), so that a term that every document has lies in many files, and a question's terms prune the rest.
+    A document without terms is one row of the null term, so that the corpus figures count it. Terms are counted within their document's
+    own row, so only postings are shuffled, once and not ahead of it to find ranges. A term goes to SPREAD places by its documents' ids, so
+    that one that every document has lies in many files; files are sorted by term, so a question's terms prune the pages of the rest.
     """
-    rows = docs.select(F.col(id_).alias("id"), tokens(text).alias("w"))
-    each = rows.select("id", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("term"))
-    counted = each.groupBy("term", "id", "dl").agg(F.count("term").alias("tf"))
-    return counted.select("term", "id", "tf", "dl").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    own = counted(docs.select(F.col(id_).alias("id"), tokens(text).alias("w")), "id")
+    each = own.select("id", "dl", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p"))
+    rows = each.select(F.col("p.terms").alias("term"), "id", F.coalesce("p.tfs", F.lit(0)).cast("long").alias("tf"), "dl")
+    return rows.repartition("term", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("term", "id")
 
 
 def lengths(index: DataFrame) -> DataFrame:
-    """(n, total) documents and terms of a stored index, in one row."""
-    return index.agg(F.count_distinct("id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    """(n, total) documents and terms of a stored index, in one row.
+
+    A document's shares tf / dl add up to 1, so documents are counted by a sum and no ids are shuffled.
+    """
+    share = F.when(F.col("term").isNull(), 1.0).otherwise(F.col("tf") / F.col("dl"))
+    return index.agg(F.coalesce(F.round(F.sum(share)), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
 
 
 def bm25_stored(index: DataFrame, terms: list[str], figures: tuple[int, int] | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -99,6 +128,28 @@ def hashed_vectors(index: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return sums.select("id", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("vector"))
 
 
+def vectors_of_rows(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """`hashed_vectors` of documents (id, terms, tfs), each from its own row; those without terms are left out."""
+    at = F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
+    add = F.zip_with("terms", "tfs", lambda t, n: F.when(F.xxhash64(F.lit(1), t) % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log(n)))
+
+    def run(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in parts:
+            for begin in range(0, whole.num_rows, 1024):
+                part = whole.slice(begin, 1024)
+                n, sizes = part.num_rows, part.column("at").value_lengths().to_numpy()
+                place = np.repeat(np.arange(n) * dimensions, sizes) + part.column("at").flatten().to_numpy()
+                sums = np.bincount(place, part.column("add").flatten().to_numpy(), n * dimensions)
+                vector = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimensions), pa.array(sums))
+                yield pa.RecordBatch.from_arrays([part.column("id"), vector], ["id", "vector"])
+
+    id_ = rows.schema["id"].dataType.simpleString()
+    return rows.where(F.size("terms") > 0).select("id", at.alias("at"), add.alias("add")).mapInArrow(run, f"id {id_}, vector array<double>")
+
+
 def cosine(vectors: DataFrame, query: list[float], id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score): cosine with the query; 0-length vectors have no score and are left out."""
     q = F.array(*(F.lit(float(x)) for x in query))
