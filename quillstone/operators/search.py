@@ -5,13 +5,13 @@ its old segment: its old version is listed as dead, and its new one is in the ne
 merged into one, without their dead; so a posting is rewritten once for each class it passes, a logarithm of the index, and
 an update costs what it brings.
 
-Within a segment documents are ordered by length and cut into windows of WINDOW documents. The postings of a term in a window
+Within a part of a segment's files documents are ordered by length and cut into windows of WINDOW documents. The postings of a term in a window
 are one row, a block, which has its highest term count and its shortest document beside the postings. The sum of what these
 allow over a question's terms bounds the score of any document of the window (block-max WAND, with windows in the place of the
 pivots). The windows of the highest bounds are scored first; their k-th score is a threshold, and windows that can't reach it are
 never read. The answer is that of scoring every posting.
 
-Scale. Blocks lie in files by ranges of (term, window), so a term that every document has is many rows in many files, and
+Scale. Blocks lie in files by term and part, so a term that every document has is many rows in many files, and
 a question reads the bounds of its own terms alone, then some blocks. The driver holds a row per segment (FAN a class at most) and
 per term of a question, and k scores. Dead versions are joined by id; they are fewer than the live of their segments, as a segment that is
 mostly dead is merged away.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import tokens
 from quillstone.operators.graph import small
-from quillstone.operators.retrieval import B, DIMENSIONS, K1, hashed_vectors, top
-from quillstone.shared import numbered, stash
+from quillstone.operators.retrieval import B, DIMENSIONS, K1, counted, top, vectors_of_rows
+from quillstone.shared import stash
 from quillstone.store import Store
 
 WINDOW = 16  # documents; fewer make closer bounds and more rows of them
@@ -45,23 +45,47 @@ _BLOCKS = "term string, win long, n int, max_tf int, min_dl long, ids array<stri
 
 def forward(docs: DataFrame) -> DataFrame:
     """(id, hash, dl, terms, tfs) of documents (id, text): each one's terms with their counts, from its own row."""
-    rows = docs.where("id is not null").select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("w"))
-    one = rows.select("id", "hash", F.size("w").cast("long").alias("dl"), F.array_sort("w").alias("w"))
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (i == F.size("w")) | (F.try_element_at("w", i) != F.try_element_at("w", i + 1)))
-    one = one.withColumn("ends", F.when(F.size("w") > 0, ends).otherwise(F.array().cast("array<int>")))
-    terms = F.transform("ends", lambda i: F.element_at("w", i))
-    counts = F.transform("ends", lambda e, k: e - F.when(k > 0, F.get("ends", k - 1)).otherwise(F.lit(0)))
-    return one.select("id", "hash", "dl", terms.alias("terms"), counts.alias("tfs"))
+    rows = docs.where("id is not null").select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("hash"), tokens("text").alias("w"))
+    return counted(rows, "id", "hash")
+
+
+def _windows(window: int):
+    """A worker's function: the blocks of documents that come in order."""
+
+    def run(parts):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        win = TaskContext.get().partitionId() << 32
+        for whole in parts:
+            for begin in range(0, whole.num_rows, 64 * window):
+                docs = whole.slice(begin, 64 * window)
+                coded = docs.column("terms").flatten().dictionary_encode()
+                if len(coded):
+                    doc = np.repeat(np.arange(docs.num_rows), docs.column("terms").value_lengths().to_numpy())
+                    key = doc // window * len(coded.dictionary) + coded.indices.to_numpy()
+                    order = np.argsort(key, kind="stable")
+                    key, doc = key[order], doc[order]
+                    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+                    tfs, dls = docs.column("tfs").flatten().to_numpy()[order], docs.column("dl").to_numpy()[doc]
+                    lists = (pa.ListArray.from_arrays(ends, v) for v in (docs.column("id").take(pa.array(doc)), pa.array(tfs), pa.array(dls)))
+                    columns = [coded.dictionary.take(pa.array(key[starts] % len(coded.dictionary))), pa.array(win + key[starts] // len(coded.dictionary)), pa.array(np.diff(ends).astype(np.int32)), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(dls, starts))]
+                    yield pa.RecordBatch.from_arrays([*columns, *lists], ["term", "win", "n", "max_tf", "min_dl", "ids", "tfs", "dls"])
+                win += -(-docs.num_rows // window)
+
+    return run
 
 
 def blocks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The blocks of documents as `forward` gives them, by ranges of (term, window)."""
-    placed = numbered(rows.select("id", "dl", "terms", "tfs"), F.asc("dl"), F.asc("id"), name="win").withColumn("win", F.floor(F.col("win") / window))
-    each = placed.select("win", "id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "win", "id", F.col("p.tfs").alias("tf"), "dl")
-    spread = each.repartitionByRange("term", "win").groupBy("term", "win")
-    held = spread.agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))  # `window` postings at most
-    of = lambda c: F.transform("p", lambda x: x[c])
-    return held.select("term", "win", F.size("p").alias("n"), "max_tf", "min_dl", of("id").alias("ids"), of("tf").alias("tfs"), of("dl").alias("dls")).sortWithinPartitions("term", "win")
+    """The blocks of documents as `forward` gives them, sorted by (term, window) within files.
+
+    Each part of the files of `rows` is sorted by length and cut into windows, the last of a batch shorter. A window's postings are put together where
+    its documents are, so blocks are shuffled and neither documents nor postings; a term goes to as many places as there are parts.
+    """
+    ordered = rows.select("id", "dl", "terms", "tfs").sortWithinPartitions("dl", "id")
+    return ordered.mapInArrow(_windows(window), _BLOCKS).repartition("term", F.shiftright("win", 32)).sortWithinPartitions("term", "win")
 
 
 def part(idf: Column, tf: Column, dl: Column, average: float, k1: float, b: float) -> Column:
@@ -128,8 +152,7 @@ class SearchIndex:
         docs, length, postings = own.agg(F.count("*"), F.sum("dl"), F.sum(F.size("terms").cast("long"))).first()
         if not docs:
             return None
-        each = own.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-        vectors = self._store.write(hashed_vectors(each, self.dimensions), "vectors")
+        vectors = self._store.write(vectors_of_rows(own, self.dimensions), "vectors")
         return Segment(number, docs, length, postings, 0, 0, self._store.write(blocks(own, self.window), "blocks"), at, vectors)
 
     def _class(self, s: Segment) -> int:
@@ -151,6 +174,11 @@ class SearchIndex:
         began, tables = self._store.latest()
         segments, written = self.segments(), 0
         now = docs.where("id is not null").select(F.col("id").cast("string").alias("id"), "text")
+        if not segments:  # all of it comes: no text has to meet what is there
+            own = self._written(forward(now), 1)
+            if own:
+                self._store.commit(began, {"segments": {"parts": [own.blocks, own.forward, own.vectors], "rows": [own.__dict__]}, "dead": {"parts": []}})
+            return (own.docs, 0, own.postings) if own else (0, 0, 0)
         hashed = now.select("id", F.xxhash64("text").alias("hash"))
         had = self.live().select("id", "hash", "seg")
         apart = hashed.alias("a").join(had.alias("b"), "id", "full_outer").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))

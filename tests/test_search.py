@@ -97,3 +97,23 @@ def test_blocks_hold_a_window_each(spark):
     assert sum(r["n"] for r in rows) == sum(len(r["terms"]) for r in own.collect())
     for r in rows:
         assert r["n"] == len(r["ids"]) <= 8 and r["max_tf"] == max(r["tfs"]) and r["min_dl"] == min(r["dls"])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_an_index_shuffles_once_by_blocks(spark):
+    """Neither documents nor single terms are shuffled on the way to blocks, and no ranges are looked for ahead."""
+    own = forward(frame(spark, texts(30, 5)).coalesce(1)).cache()
+    plan = blocks(own)
+    assert exchanges(plan) == exchanges(own) + 1 and "rangepartitioning" not in plan._jdf.queryExecution().toString()
+
+
+def test_postings_are_shuffled_once_and_counted_by_their_shares(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b c d e f g h")], "doc_id long, text string").coalesce(1)
+    index = retrieval.postings(docs)
+    assert exchanges(index) == 1 and "rangepartitioning" not in index._jdf.queryExecution().toString()
+    assert {tuple(r) for r in index.where("id < 4").collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3), (None, 2, 0, 0), (None, 3, 0, 0)}
+    assert tuple(retrieval.lengths(index).first()) == (4, 10)
+    assert "count(distinct" not in retrieval.lengths(index)._jdf.queryExecution().toString()
