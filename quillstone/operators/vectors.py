@@ -4,7 +4,7 @@ Vectors are scaled to length 1, so that a dot product is a cosine. Coarse centro
 rounds are aggregates: a task sums the vectors that went to each centroid, Spark adds the sums up, and the driver holds a
 row per centroid. A vector is kept in the list of its nearest centroid as a code, one byte for each PART components of what
 is left after the centroid, by codebooks fitted in the same way. A search visits the `probes` nearest lists, scores
-their codes by table look-up, and ranks the `refine` * k best again by their true vectors. `exact=True` scans everything instead.
+their codes by table look-up, and ranks the `refine` * k best again by their true vectors; `refine` is measured, as codes tell fewer vectors apart the more there are. `exact=True` scans everything instead.
 
 Scale. Codes and vectors lie in files by ranges of list, so a search reads `probes` of the lists, a byte for every PART
 components, and `refine` * k vectors. Lists are dealt into blocks of BLOCK vectors at most on average, by a hash of the id, so that a list that holds a third of
@@ -28,7 +28,8 @@ from quillstone.shared import stash
 from quillstone.store import Store
 
 LISTS, PART, ENTRIES, ROUNDS = 4096, 4, 256, 4
-REFINE, BLOCK = 10, 4096
+REFINE, BLOCK = 10, 4096  # REFINE: times k that are ranked again, at least
+MOST_REFINE, REFINE_SAMPLE = 160, 32  # times k at most, and vectors by which it is measured
 RECALL, SAMPLE, NEAR = 0.97, 128, 20
 _STEP = 1024  # vectors that are compared with all centroids at a time
 _CODES = "list int, block int, id string, code binary"
@@ -144,14 +145,14 @@ def _order(centres: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.argsort((centres**2).sum(1) / 2 - points @ centres.T, axis=1, kind="stable")
 
 
-def probes_for(placed: DataFrame, centres: np.ndarray, asked: np.ndarray, recall: float = RECALL) -> int:
-    """How many lists hold `recall` of the nearest vectors of `asked`, by one scan."""
+def probes_for(placed: DataFrame, centres: np.ndarray, asked: np.ndarray, recall: float = RECALL) -> tuple[int, list]:
+    """How many lists hold `recall` of the nearest vectors of `asked`, by one scan, and these nearest as (q, list, id)."""
     near = placed.select("list", "id", "vector").mapInArrow(_near(asked, NEAR), "q int, list int, id string, score double")
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("_rank") <= NEAR)
-    found = ranked.select("q", "list").collect()  # SAMPLE * NEAR at most
+    found = ranked.select("q", "list", "id").collect()  # SAMPLE * NEAR at most
     place = np.argsort(_order(centres, asked), axis=1)
     ranks = np.sort([place[r["q"], r["list"]] for r in found])
-    return int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1
+    return int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1, found
 
 
 def _probes(centres: np.ndarray, probes: int):
@@ -196,8 +197,11 @@ class VectorIndex:
             return 0
         rows, n = rows.where(F.size("v") == most["size"]), most["count"]
         lists = lists or min(LISTS, max(1, round(math.sqrt(n))))
-        start = rows.orderBy(F.xxhash64("id"), "id").limit(max(lists, ENTRIES)).select("v").collect()  # the first centroids and codes
+        start = rows.orderBy(F.xxhash64("id"), "id").limit(max(lists, ENTRIES) + SAMPLE).select("v").collect()  # the first centroids and codes, and vectors to measure by
         seed = np.array([r["v"] for r in start])
+        # Vectors that centroids or codes began as are closer to these than others, and would promise too much.
+        seed, others = seed[: max(lists, ENTRIES)], seed[max(lists, ENTRIES) :]
+        asked = others if len(others) else seed[:SAMPLE]
         (centres,) = fit(rows, [seed[:lists]], [0, most["size"]])
         at, left = _parts(most["size"]), lambda x: x - centres[nearest(x, centres)]
         first = left(seed[:ENTRIES])
@@ -205,8 +209,8 @@ class VectorIndex:
         placed = stash(rows.mapInArrow(_placed(centres, books, at), "id string, vector array<float>, list int, code binary"), "vectors-placed")
         sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row a list
         coded = placed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        probes = probes_for(placed, centres, seed[:SAMPLE])
-        model = [("probes", probes, [])] + [("centre", i, c.tolist()) for i, c in enumerate(centres)] + [(f"part{p}", i, e.tolist()) for p, b in enumerate(books) for i, e in enumerate(b)]
+        probes, true = probes_for(placed, centres, asked)
+        model = [("probes", probes, []), ("refine", self._refine_for(coded, sizes, centres, books, probes, asked[:REFINE_SAMPLE], true), [])] + [("centre", i, c.tolist()) for i, c in enumerate(centres)] + [(f"part{p}", i, e.tolist()) for p, b in enumerate(books) for i, e in enumerate(b)]
         parts = {
             "codes": coded.select("list", "block", "id", "code").repartitionByRange("list", "id").sortWithinPartitions("list", "id"),
             "vectors": coded.select("list", "block", "id", "vector").repartitionByRange("list", "id").sortWithinPartitions("list", "id"),
@@ -223,6 +227,7 @@ class VectorIndex:
             for r in self._table("model", _MODEL).orderBy("kind", "i").collect():  # LISTS and ENTRIES bound it
                 held.setdefault(r["kind"], []).append(r["values"])
             held.pop("probes", None)
+            held.pop("refine", None)
             self._models = {number: (np.array(held.pop("centre", [])), [np.array(held[f"part{p}"]) for p in range(len(held))])}
         return self._models[number]
 
@@ -232,10 +237,28 @@ class VectorIndex:
         row = self._table("model", _MODEL).where("kind = 'probes'").first()
         return row["i"] if row else 0
 
-    def search(self, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", probes: int | None = None, refine: int = REFINE, lists: list[int] | None = None, exact: bool = False) -> DataFrame:
+    @property
+    def refine(self) -> int:
+        """How many times k candidates a search ranks again unless told."""
+        row = self._table("model", _MODEL).where("kind = 'refine'").first()
+        return row["i"] if row else REFINE
+
+    def _refine_for(self, coded: DataFrame, sizes: DataFrame, centres: np.ndarray, books: list[np.ndarray], probes: int, asked: np.ndarray, true: list) -> int:
+        """How many times NEAR candidates by code hold RECALL of the true nearest vectors of `asked` that the probed lists have."""
+        spark = self.spark
+        queries = spark.createDataFrame([(str(q), v.tolist()) for q, v in enumerate(asked)], "qid string, v array<double>")
+        blocks = sizes.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+        goes = queries.mapInArrow(_probes(centres, probes), "qid string, v array<double>, list int, base double").join(small(blocks), "list")
+        scored = goes.groupBy("list", "block").cogroup(coded.select("list", "block", "id", "code").groupBy("list", "block")).applyInArrow(_scored(MOST_REFINE * NEAR, books, _parts(centres.shape[1])), "qid string, list int, id string, score double")
+        near = F.broadcast(spark.createDataFrame([(str(r["q"]), r["id"]) for r in true if r["q"] < len(asked)], "qid string, id string"))  # REFINE_SAMPLE * NEAR at most
+        ranked = scored.withColumn("_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+        ranks = sorted(r["_rank"] for r in ranked.join(near, ["qid", "id"]).select("_rank").collect())
+        return min(MOST_REFINE, max(REFINE, math.ceil(ranks[math.ceil(RECALL * len(ranks)) - 1] / NEAR))) if ranks else REFINE
+
+    def search(self, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", probes: int | None = None, refine: int | None = None, lists: list[int] | None = None, exact: bool = False) -> DataFrame:
         """(qid, id, score): the k best of every query, ties by id. lists: those that the queries are known to probe, to read no others; exact: by all vectors, block by block."""
         centres, books = self._model()
-        probes = len(centres) if exact else probes or self.probes
+        probes, refine = len(centres) if exact else probes or self.probes, refine or self.refine
         if not len(centres):
             return self.spark.createDataFrame([], "qid string, id string, score double")
         asked = self._unit(queries, id_, vector).where(F.size("v") == centres.shape[1]).withColumnRenamed("id", "qid")
@@ -256,7 +279,7 @@ class VectorIndex:
         """(list, block, id, vector) of all vectors, at length 1."""
         return self._table("vectors", _VECTORS)
 
-    def top(self, query: list[float], k: int, probes: int | None = None, refine: int = REFINE, exact: bool = False) -> DataFrame:
+    def top(self, query: list[float], k: int, probes: int | None = None, refine: int | None = None, exact: bool = False) -> DataFrame:
         """(id, score): the k best by cosine; exact: by scanning all vectors."""
         if exact:
             return top(cosine(self.vectors(), query, "id", "vector"), k)
@@ -270,10 +293,10 @@ class VectorIndex:
         norm = np.linalg.norm(q)
         return _order(centres, q[None] / norm)[0, :probes].tolist() if len(centres) and norm else []
 
-    def cost(self, query: list[float], k: int, probes: int | None = None, refine: int = REFINE) -> tuple[int, int]:
+    def cost(self, query: list[float], k: int, probes: int | None = None, refine: int | None = None) -> tuple[int, int]:
         """(bytes of codes, ids and vectors that `top` needs, bytes of all vectors and ids), ids as 8 bytes."""
         centres, books = self._model()
-        lists = self._lists(query, probes or self.probes)
+        lists, refine = self._lists(query, probes or self.probes), refine or self.refine
         n, own = self._table("lists", "list int, block int, n long").agg(F.sum("n"), F.sum(F.when(F.col("list").isin(lists), F.col("n")))).first()
         one = 4 * centres.shape[1] + 8
         return own * (len(books) + 8) + min(refine * k, own) * one, n * one

@@ -83,3 +83,16 @@ def test_means_are_those_of_plain_rounds(spark):
         to = ((points[:, None] - book) ** 2).sum(2).argmin(1)
         book = np.array([points[to == e].mean(0) if (to == e).any() else book[e] for e in range(5)])
     np.testing.assert_allclose(got, book, rtol=1e-9)
+
+
+def test_probes_are_measured_by_vectors_that_nothing_began_as(spark, tmp_path, monkeypatch):
+    seen, real = [], vectors.probes_for
+    monkeypatch.setattr(vectors, "probes_for", lambda placed, centres, asked: (seen.append(asked), real(placed, centres, asked))[1])
+    rows = clustered(400, 8, 3)
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/vx")
+    index.build(df)
+    unit = VectorIndex._unit(df, "vec_id", "embedding")
+    began = np.array([r["v"] for r in unit.orderBy(vectors.F.xxhash64("id"), "id").limit(vectors.ENTRIES).collect()])
+    assert len(seen[0]) == vectors.SAMPLE and not (seen[0][:, None] == began).all(2).any()
+    assert index.refine >= vectors.REFINE
