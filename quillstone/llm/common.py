@@ -19,6 +19,8 @@ from quillstone.shared import stash, unstash  # noqa: F401 - for the operators
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that one vectorised step takes at a time; byte work on a longer document goes in steps of this size.
 SLICE_BYTES = 1 << 20
+#: Rows that a Parquet scan holds as columns at a time: 4096 texts are one array of tens of MB of an executor's heap, more for long ones.
+SCAN_ROWS = 512
 
 
 def ship(name: str) -> None:
@@ -27,7 +29,7 @@ def ship(name: str) -> None:
 
 
 def batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in rows and bytes.
+    """Keep Arrow batches small in rows and bytes, and scans' in rows.
 
     The session's settings are lowered and stay so: they count when a plan runs, which is after an
     operator has returned it.
@@ -36,6 +38,8 @@ def batches(spark: SparkSession) -> None:
         name = f"spark.sql.execution.arrow.{name}"
         if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > most:
             spark.conf.set(name, f"{most}{unit}")
+    if int(spark.conf.get(scan := "spark.sql.parquet.columnarReaderBatchSize")) > SCAN_ROWS:
+        spark.conf.set(scan, SCAN_ROWS)
 
 
 def text_bytes(text: str | Column = "text") -> Column:

@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
-from quillstone.llm.common import _LOWER, _SPACE, SLICE_BYTES, batches, buffer_of, frugal, mix, shingle_hashes, slices, text_bytes, word_hashes, word_spans
+from quillstone.llm.common import _LOWER, _SPACE, batches, buffer_of, frugal, mix, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
 Q = 10
 WINDOW = 96  # bytes; about fifteen words
 EDITS = 0.06  # of a window's bytes
 BATCH = 256  # windows aligned at a time
 BLOCK_BYTES = 4 << 20
-HITS = 2 << 20  # shared q-grams looked at together, about
+HITS = 1 << 18  # shared q-grams looked at together, about
+STEP = 1 << 18  # bytes of text normalised and hashed at a time, as its arrays take some 40 times as much
 REACH = 256  # bytes; no window's shared q-grams lie further apart
 _BLOOM = 22
 
@@ -140,8 +141,8 @@ class Index:
         if not len(self.keys):
             return list(found)
         at, hashes = [], []
-        for p in range(0, len(buf), SLICE_BYTES):
-            own = gram_hashes(buf[p : p + SLICE_BYTES + Q - 1])
+        for p in range(0, len(buf), STEP):
+            own = gram_hashes(buf[p : p + STEP + Q - 1])
             some = np.flatnonzero(self.bloom[(own >> np.uint64(64 - _BLOOM)).astype(np.int32)])
             at.append(some + p)
             hashes.append(own[some])
@@ -269,7 +270,7 @@ def _run(index: Index):
         for part in parts:
             buf, off = buffer_of(part.column("text"))
             lists, dirty = part.column("item_ids").to_pylist(), np.array(part.column("contaminated").to_numpy(zero_copy_only=False), bool)
-            for i, j in slices(off):
+            for i, j in slices(off, STEP):
                 own, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d, w in index.search(own, at):
                     dirty[i + d] = True
@@ -309,7 +310,7 @@ def _drop(index: Index):
             texts = part.column("text").cast(pa.binary()).fill_null(b"")
             buf, off = buffer_of(texts)
             clean = np.ones(part.num_rows, bool)
-            for i, j in slices(off):
+            for i, j in slices(off, STEP):
                 own, at = normalised(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for d, _ in index.search(own, at):
                     clean[i + d] = False
