@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.paths import walks
 from quillstone.schemas import EDGE_KEYS
-from quillstone.shared import stash, unstash
+from quillstone.shared import stash, told_apart, unstash
 
 #: A vocabulary or a rename map above this many rows is joined by shuffle instead of broadcast.
 SMALL_ROWS = 100_000
@@ -161,7 +161,7 @@ def match(pattern: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def node(k: int) -> DataFrame:
         kind, id_ = parts[2 * k].groups()
         own = nodes.where(F.col("type") == kind) if kind else nodes
-        return (own.where(F.col("id") == id_) if id_ else own).select(F.col("id").alias(f"n{k}")).distinct()
+        return told_apart((own.where(F.col("id") == id_) if id_ else own).select(F.col("id").alias(f"n{k}")))
 
     out = node(0)
     for k in range(1, len(parts) // 2 + 1):
