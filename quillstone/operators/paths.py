@@ -12,15 +12,18 @@ a step at a time from (start, node, state) rows that are new, so cycles end and
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.shared import fresh, stash, unstash
+from quillstone.shared import fresh, stash, told_apart, unstash
 
 #: New rows of a step up to this many are broadcast to the edges, so that these stay where they are.
 FRONT_ROWS = 100_000
+#: Arcs and seeds a bucket of what was reached, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 2000
 #: Places of names that an expression may have once its counts are written out.
 MOST_STATES = 1000
 
@@ -129,7 +132,8 @@ def walks(expression: str, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     edges: src, edge, dst; rows with a null in any of them lead nowhere, rows that repeat count once, other columns are left
     alone. Nodes and edges may be visited again. A seed that is null is left out; one that no edge has is reached from itself
     if the expression may be empty. There are as many rounds as the longest of the shortest walks has edges; each reads the arcs and what was reached before
-    and writes its new rows to the shared folder; a round whose rows are few is broadcast to the edges, else both are shuffled by node.
+    and writes its new rows to the shared folder; a round whose rows are few is broadcast to the edges, else both are shuffled by node. What was
+    reached is a table in buckets by its rows, so only a round's own steps are shuffled to it; its name is dropped at the end.
     """
     auto, spark = Automaton(expression), edges.sparkSession
     plain = edges.select("src", "edge", "dst").dropna()
@@ -146,23 +150,31 @@ def walks(expression: str, edges: DataFrame, seeds: DataFrame) -> DataFrame:
             leads = leads.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("to"), F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
             found.append(leads.select("node", "m.state", "to", "m.next"))
     none = plain.where("false").select(F.col("src").alias("node"), F.lit(0).alias("state"), F.col("dst").alias("to"), F.lit(0).alias("next"))
-    arcs = stash(reduce(DataFrame.unionAll, found, none).distinct(), "arcs")
+    arcs = stash(told_apart(reduce(DataFrame.unionAll, found, none)), "arcs")
+    start = told_apart(seeds.select(F.col("id").alias("start")).dropna()).select("start", F.col("start").alias("node"), F.lit(0).alias("state"))
+    start = stash(start, "seeds")
+
+    where, name, keys = fresh(spark, "walks"), f"quillstone_walks_{uuid.uuid4().hex}", ["start", "node", "state"]
+    buckets = min(MOST_BUCKETS, (arcs.count() + start.count()) // BUCKET_ROWS + 1)
+
+    def add(rows: DataFrame, hops: int) -> None:
+        rows.withColumn("hops", F.lit(hops)).write.format("parquet").mode("append").partitionBy("hops").bucketBy(buckets, *keys).option("path", where).saveAsTable(name)
 
-    where = fresh(spark, "walks")
-    start = seeds.select(F.col("id").alias("start")).dropna().distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("state"))
-    start.write.parquet(f"{where}/hops=0")
     form = start.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", hops int"
     hops = 0
-    while True:
-        reached = spark.read.schema(form).parquet(where)
-        front = reached.where(F.col("hops") == hops)
-        n = front.count()
-        if not n:
-            break
-        if n <= FRONT_ROWS:
-            front = F.broadcast(front)
-        step = arcs.join(front.drop("hops"), ["node", "state"]).select("start", F.col("to").alias("node"), F.col("next").alias("state")).distinct()
-        hops += 1
-        step.join(reached, ["start", "node", "state"], "left_anti").write.parquet(f"{where}/hops={hops}")
-    unstash(arcs)
-    return reached.where(F.col("state").isin(*auto.accepting)).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    try:
+        add(start.repartition(buckets, *keys), hops)
+        while True:
+            reached = spark.table(name)
+            front = reached.where(F.col("hops") == hops).drop("hops")
+            n = front.count()
+            if not n:
+                break
+            step = arcs.join(F.broadcast(front) if n <= FRONT_ROWS else front, ["node", "state"]).select("start", F.col("to").alias("node"), F.col("next").alias("state"))
+            hops += 1
+            add(step.repartition(buckets, *keys).distinct().join(reached, keys, "left_anti"), hops)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay
+    unstash(arcs, start)
+    reached = spark.read.schema(form).parquet(where)
+    return reached.where(F.col("state").isin(*auto.accepting)).repartition("start", "node").groupBy("start", "node").agg(F.min("hops").alias("hops"))
