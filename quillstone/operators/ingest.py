@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import frontmatter
 from quillstone.functions.text import append_bullets, dated_path, slugify, type_dir
 from quillstone.schemas import CHANNELS
+from quillstone.shared import stash
 
 
 def unseen(items: DataFrame, known: DataFrame, key: str = "item_key") -> DataFrame:
@@ -146,7 +147,7 @@ def consolidated(changes: DataFrame) -> DataFrame:
     A row per change: a source that touches a great many pages is as many rows, not one long text; the order is
     that of a range partitioning, so reading it from top to bottom is reading one diff after the other.
     """
-    each = diffs(changes)
+    each = stash(diffs(changes), "diffs")  # read by the join and by the sort's ranges, worked out once
     sizes = each.groupBy("source_path").agg(F.count("*").alias("n"))
     same = F.col("source_path").eqNullSafe(F.col("_s"))
     return each.join(sizes.withColumnRenamed("source_path", "_s"), same).drop("_s").orderBy("source_path", "path")
