@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillstone.operators.resolution import BLOCK, blocks, components, fit, records, resolve
+from quillstone.operators.resolution import BLOCK, _agreement, blocks, components, fit, records, resolve
 
 FIELDS = ("town", "mail")
 ROWS = "id long, name string, town string, mail string, tokens string, entity int"
@@ -84,6 +85,23 @@ def test_misspelt_names_meet_where_many_share_all_else(spark):
     assert (0, 9000) in met and len(met) < 100
 
 
+def test_a_misspelt_word_that_changes_places_is_near(spark):
+    # Words are kept in order: "c11d2c92 c11d5" against "c11d5 c11dz2c92" are far apart as a whole.
+    rows = [(0, "c11d5 c11d2c92", "t1", "m@x", "x", 1), (1, "c11d5 c11dz2c92", "t1", "m@x", "x", 1), (2, "c11d5 c11dz2d93", "t1", "m@x", "x", 1)]
+    recs = records(spark.createDataFrame(rows, ROWS), "id", "name", FIELDS)
+    x, y = (recs.select(F.struct(*recs.columns).alias(k)) for k in ("x", "y"))
+    got = {(r["a"], r["b"]): r["g0"] for r in x.join(y, F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *_agreement(2)).collect()}
+    assert got[0, 1] == 2 and got[0, 2] < 2
+
+
+def test_who_lacks_a_field_goes_with_the_closer_of_two_that_differ_in_it(spark):
+    rows, want = planted(300)
+    # 5002 is 5000 misspelt, and two edits from 5001, who is someone else by mail; 5012 is 5010 turned round, an edit from 5011.
+    odd = [(5000, "quirin abcdefgh", "t1", "a@x"), (5001, "quirin abcdefgk", "t1", "b@x"), (5002, "quirin abcdzefgh", "t1", None), (5010, "quirin tuvwxyab", "t2", "c@x"), (5011, "quirin tuvwxyac", "t2", "d@x"), (5012, "Tuvwxyab, Quirin", "t2", None)]
+    got = {r["id"]: r["entity"] for r in resolve(spark.createDataFrame(rows + [(*r, "x", 1) for r in odd], ROWS), "id", "name", FIELDS).collect()}
+    assert [got[i] for i in (5000, 5001, 5002, 5010, 5011, 5012)] == [5000, 5001, 5000, 5010, 5011, 5010]
+
+
 def test_chance_pairs_of_a_large_block_are_no_matches():
     # 90,000 people and 18,000 again, met by first name and nation: pairs that share a first name, an initial and the nation are many by then.
     seen = {(3, 1, 1): 3000, (2, 1, 1): 6000, (3, 1, -1): 3000, (2, 1, -1): 6000, (1, 1, -1): 1500, (1, 1, 0): 1500, (0, 1, 0): 1_200_000, (0, 1, -1): 200_000}
