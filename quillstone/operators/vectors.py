@@ -4,7 +4,8 @@ Vectors are scaled to length 1, so that a dot product is a cosine. Coarse centro
 rounds are aggregates: a task sums the vectors that went to each centroid, Spark adds the sums up, and the driver holds a
 row per centroid. A vector is kept in the list of its nearest centroid as a code, one byte for each PART components of what
 is left after the centroid, by codebooks fitted in the same way. A search visits the `probes` nearest lists, scores
-their codes by table look-up, and ranks the `refine` * k best again by their true vectors; `refine` is measured, as codes tell fewer vectors apart the more there are. `exact=True` scans everything instead.
+their codes by table look-up, and ranks the `refine` * k best again by their true vectors; `refine` is measured for NEAR answers, as codes tell fewer vectors apart the more there are, and
+fewer answers get as many candidates. `exact=True` scans everything instead.
 
 Scale. Codes and vectors lie in files by ranges of list, so a search reads `probes` of the lists, a byte for every PART
 components, and `refine` * k vectors. Lists are dealt into blocks of BLOCK vectors at most on average, by a hash of the id, so that a list that holds a third of
@@ -28,7 +29,7 @@ from quillstone.shared import stash
 from quillstone.store import Store
 
 LISTS, PART, ENTRIES, ROUNDS = 4096, 4, 256, 4
-REFINE, BLOCK = 10, 4096  # REFINE: times k that are ranked again, at least
+REFINE, BLOCK = 1, 4096  # REFINE: times k that are ranked again, at least
 MOST_REFINE, REFINE_SAMPLE = 160, 32  # times k at most, and vectors by which it is measured
 RECALL, SAMPLE, NEAR = 0.97, 128, 20
 _STEP = 1024  # vectors that are compared with all centroids at a time
@@ -258,19 +259,19 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", probes: int | None = None, refine: int | None = None, lists: list[int] | None = None, exact: bool = False) -> DataFrame:
         """(qid, id, score): the k best of every query, ties by id. lists: those that the queries are known to probe, to read no others; exact: by all vectors, block by block."""
         centres, books = self._model()
-        probes, refine = len(centres) if exact else probes or self.probes, refine or self.refine
         if not len(centres):
             return self.spark.createDataFrame([], "qid string, id string, score double")
+        probes, keep = (len(centres), k) if exact else (probes or self.probes, self._candidates(k, refine))
         asked = self._unit(queries, id_, vector).where(F.size("v") == centres.shape[1]).withColumnRenamed("id", "qid")
         codes, vectors, blocks = self._table("codes", _CODES), self._table("vectors", _VECTORS), self._table("lists", "list int, block int, n long")
         if lists is not None:
             codes, vectors = (df.where(F.col("list").isin(lists)) for df in (codes, vectors))
         goes = asked.mapInArrow(_probes(centres, probes), "qid string, v array<double>, list int, base double").join(small(blocks.select("list", "block")), "list")
-        near = goes.groupBy("list", "block").cogroup((vectors if exact else codes).groupBy("list", "block")).applyInArrow(_scored(k if exact else refine * k, books, _parts(centres.shape[1])), "qid string, list int, id string, score double")
+        near = goes.groupBy("list", "block").cogroup((vectors if exact else codes).groupBy("list", "block")).applyInArrow(_scored(keep, books, _parts(centres.shape[1])), "qid string, list int, id string, score double")
         best = lambda df, n: df.withColumn("_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("_rank") <= n).drop("_rank")
         if exact:
             return best(near, k).select("qid", "id", "score")
-        wanted = best(near, refine * k).select("qid", "list", "id")
+        wanted = best(near, keep).select("qid", "list", "id")
         dot = F.aggregate(F.zip_with("v", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         again = vectors.join(wanted, ["list", "id"]).join(asked, "qid").select("qid", "id", dot.alias("score"))
         return best(again, k)
@@ -293,10 +294,25 @@ class VectorIndex:
         norm = np.linalg.norm(q)
         return _order(centres, q[None] / norm)[0, :probes].tolist() if len(centres) and norm else []
 
-    def cost(self, query: list[float], k: int, probes: int | None = None, refine: int | None = None) -> tuple[int, int]:
-        """(bytes of codes, ids and vectors that `top` needs, bytes of all vectors and ids), ids as 8 bytes."""
+    def _candidates(self, k: int, refine: int | None) -> int:
+        """How many vectors a search ranks again: `refine` * k, or those measured for NEAR answers, at least, unless told."""
+        return refine * k if refine else self.refine * max(k, NEAR)
+
+    def costs(self, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", probes: int | None = None, refine: int | None = None) -> DataFrame:
+        """(qid, read, least, whole) of every query: bytes of codes, ids and vectors that its search needs, of its k answers, which any search reads, and of all vectors and ids; ids as 8 bytes."""
         centres, books = self._model()
-        lists, refine = self._lists(query, probes or self.probes), refine or self.refine
-        n, own = self._table("lists", "list int, block int, n long").agg(F.sum("n"), F.sum(F.when(F.col("list").isin(lists), F.col("n")))).first()
-        one = 4 * centres.shape[1] + 8
-        return own * (len(books) + 8) + min(refine * k, own) * one, n * one
+        if not len(centres):
+            return self.spark.createDataFrame([], "qid string, read long, least long, whole long")
+        asked = self._unit(queries, id_, vector).where(F.size("v") == centres.shape[1]).withColumnRenamed("id", "qid")
+        lists = self._table("lists", "list int, block int, n long").groupBy("list").agg(F.sum("n").alias("n"))  # a row a list
+        n, one = lists.agg(F.sum("n")).first()[0], 4 * centres.shape[1] + 8
+        goes = asked.mapInArrow(_probes(centres, probes or self.probes), "qid string, v array<double>, list int, base double").select("qid", "list")
+        own = goes.join(small(lists), "list").groupBy("qid").agg(F.sum("n").alias("own"))
+        read = F.col("own") * (len(books) + 8) + F.least(F.lit(self._candidates(k, refine)).cast("long"), "own") * one
+        return own.select("qid", read.alias("read"), (F.least(F.lit(k).cast("long"), "own") * one).alias("least"), F.lit(n * one).cast("long").alias("whole"))
+
+    def cost(self, query: list[float], k: int, probes: int | None = None, refine: int | None = None) -> tuple[int, int]:
+        """(bytes of codes, ids and vectors that `top` needs, bytes of all vectors and ids), as by `costs`."""
+        one = self.spark.createDataFrame([("q", [float(x) for x in query])], "vec_id string, embedding array<double>")
+        found = self.costs(one, k, probes=probes, refine=refine).first()
+        return found["read"], found["whole"]

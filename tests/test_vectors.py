@@ -5,6 +5,7 @@ import pytest
 
 from quillstone.operators import vectors
 from quillstone.operators.vectors import VectorIndex
+from quillstone.plans.catalog import QUERIES
 
 
 def clustered(n, size, seed=1):
@@ -96,3 +97,23 @@ def test_probes_are_measured_by_vectors_that_nothing_began_as(spark, tmp_path, m
     began = np.array([r["v"] for r in unit.orderBy(vectors.F.xxhash64("id"), "id").limit(vectors.ENTRIES).collect()])
     assert len(seen[0]) == vectors.SAMPLE and not (seen[0][:, None] == began).all(2).any()
     assert index.refine >= vectors.REFINE
+
+
+def test_a_small_table_is_not_ranked_again_whole(spark, tmp_path):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(0, 1, (500, 64)))]  # hardly clustered, so most lists are probed
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/vx")
+    index.build(df)
+    used, whole = index.cost(rows[0][1], 20)
+    assert used < 0.25 * whole
+    asked = df.where("vec_id % 100 = 0")
+    assert {(r["qid"], r["read"] < 0.25 * r["whole"], r["least"]) for r in index.costs(asked, 20).collect()} == {(str(i), True, 20 * 264) for i in range(0, 500, 100)}
+    for k in (1, 5, 20):  # fewer answers are ranked among as many candidates
+        found, true = ({(r["qid"], r["id"]) for r in index.search(asked, k, exact=e).collect()} for e in (False, True))
+        assert len(found & true) >= 0.9 * len(true)
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_recall_and_fraction_of_tables_with_few_vectors(spark, tmp_path, n):
+    spark.createDataFrame(clustered(n, 16, 7) + [(100, None)] * (n > 0), "vec_id int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in QUERIES["vector_index_recall"](spark, str(tmp_path)).select("queries", "recalled", "fraction").collect()] == [(2 if n else 0, True, True)]
